@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire import constants as C
-from tidewire.functions.text import non_blank, or_blank, strip
+from tidewire.functions.text import let, non_blank, or_blank, strip
 from tidewire.schemas import ACTIONS, ANALYSED_MEDIA, CHART, LINKS, POINTS, TABLE
 
 _EMPTY = "array<string>"
@@ -95,35 +95,63 @@ def article_actions(value: Column, limit: int | None = None) -> Column:
     return actions if limit is None else F.slice(actions, 1, limit)
 
 
-def model_output(value: Column) -> Column:
-    """Raw scorer text -> VARIANT: code fences removed, leading prose skipped, a cut array closed; else null."""
-    text = strip(or_blank(value))
-    fenced = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"\n?[ \t]*```[ \t]*$", "")
-    text = F.when(text.startswith("```"), fenced).otherwise(text)
-    body = F.regexp_extract(text, r"(?s)([\[{].*)$", 1)
+def _close(text: Column, body: Column) -> Column:
+    """The text, or what starts at its first bracket, parsed; cut lists and objects are closed."""
     trimmed = F.regexp_replace(body, r"\s*,?\s*$", "")
-    is_list = body.startswith("[")
     last_object = F.regexp_extract(body, r"(?s)^(.*\})", 1)
     return F.coalesce(
         F.try_parse_json(non_blank(text)),
         F.try_parse_json(non_blank(body)),
-        F.when(is_list, F.try_parse_json(F.concat(trimmed, F.lit("]")))),
-        F.when(is_list & (last_object != ""), F.try_parse_json(F.concat(last_object, F.lit("]")))),
+        F.when(body.startswith("["), F.try_parse_json(F.concat(trimmed, F.lit("]")))),
+        F.when(
+            body.startswith("[") & (last_object != ""), F.try_parse_json(F.concat(last_object, F.lit("]")))
+        ),
         F.when(body.startswith("{"), F.try_parse_json(F.concat(trimmed, F.lit("}")))),
     )
 
 
-def model_items(parsed: Column) -> Column:
-    """List of result objects: an ``items`` wrapper is opened, a single object becomes a list."""
-    kind = F.schema_of_variant(parsed)
-    wrapped = F.try_variant_get(parsed, "$.items", "array<variant>")
-    return (
-        F.when(kind.startswith("ARRAY"), F.try_variant_get(parsed, "$", "array<variant>"))
-        .when(wrapped.isNotNull(), wrapped)
-        .when(kind.startswith("OBJECT"), F.array(parsed))
+def _unfence(text: Column) -> Column:
+    inner = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"\n?[ \t]*```[ \t]*$", "")
+    return F.when(text.startswith("```"), inner).otherwise(text)
+
+
+def model_output(value: Column) -> Column:
+    """Raw scorer text -> VARIANT: code fences removed, leading prose skipped, a cut array closed; else null."""
+    return let(
+        strip(or_blank(value)),
+        lambda text: let(
+            _unfence(text), lambda plain: let(F.regexp_extract(plain, r"(?s)([\[{].*)$", 1), lambda b: _close(plain, b))
+        ),
     )
 
 
+def model_items(value: Column) -> Column:
+    """Result objects of a raw scorer text: an ``items`` wrapper is opened, a single object becomes a list."""
+
+    def opened(parsed: Column) -> Column:
+        kind = F.schema_of_variant(parsed)
+        return (
+            F.when(kind.startswith("ARRAY"), F.try_variant_get(parsed, "$", "array<variant>"))
+            .when(
+                F.try_variant_get(parsed, "$.items", "array<variant>").isNotNull(),
+                F.try_variant_get(parsed, "$.items", "array<variant>"),
+            )
+            .when(kind.startswith("OBJECT"), F.array(parsed))
+        )
+
+    return let(model_output(value), opened)
+
+
+def first_object(value: Column) -> Column:
+    """Parsed scorer text; of a list, its first element."""
+
+    def pick(parsed: Column) -> Column:
+        is_list = F.schema_of_variant(parsed).startswith("ARRAY")
+        return F.when(is_list, F.try_variant_get(parsed, "$[0]", "variant")).otherwise(parsed)
+
+    return let(model_output(value), pick)
+
+
 def score_item(item: Column) -> Column:
     """One raw result object -> normalised score struct."""
 
@@ -159,56 +187,48 @@ def article_result(raw: Column, text: Column, title: Column, preview: Column) ->
 
     An empty article, or output that is no object, gives a plain summary and empty lists.
     """
-    body, title, preview = strip(or_blank(text)), or_blank(title), or_blank(preview)
+    body = strip(or_blank(text))
     named = F.coalesce(non_blank(preview), non_blank(title))
     fallback = strip(F.coalesce(named, F.substring(body, 1, 400)))
-    parsed = model_output(raw)
-    first = F.when(
-        F.schema_of_variant(parsed).startswith("ARRAY"), F.try_variant_get(parsed, "$[0]", "variant")
-    ).otherwise(parsed)
-    first = F.when(body != "", first)
-
-    def objects(path: str) -> Column:
-        found = F.try_variant_get(first, f"$.{path}", "array<variant>")
-        return F.coalesce(
-            F.filter(found, lambda v: F.schema_of_variant(v).startswith("OBJECT")), F.array().cast("array<variant>")
-        )
+    empty_article = body == ""
+    return let(
+        F.when(~empty_article, first_object(raw)),
+        lambda v: _article_struct(v, F.when(empty_article, strip(or_blank(named))).otherwise(fallback)),
+    )
+
 
-    def field(v: Column, path: str) -> Column:
-        return strip(or_blank(F.try_variant_get(v, f"$.{path}", "string")))
+def _field(v: Column, path: str) -> Column:
+    return strip(or_blank(F.try_variant_get(v, f"$.{path}", "string")))
 
+
+def _members(v: Column, path: str) -> Column:
+    """Objects of a list member; an empty list where there is none."""
+    found = F.try_variant_get(v, f"$.{path}", "array<variant>")
+    objects = F.filter(found, lambda m: F.schema_of_variant(m).startswith("OBJECT"))
+    return F.coalesce(objects, F.array().cast("array<variant>"))
+
+
+def _article_struct(v: Column, fallback: Column) -> Column:
     points = F.filter(
         F.transform(
-            objects("primary_points"),
-            lambda v: F.struct(*[field(v, f).alias(f) for f in ("point", "reasoning", "evidence")]),
+            _members(v, "primary_points"),
+            lambda m: F.struct(*[_field(m, f).alias(f) for f in ("point", "reasoning", "evidence")]),
         ),
         lambda p: p["point"] != "",
     )
-    actions = F.filter(
-        F.transform(
-            objects("actionable_items"),
-            lambda v: F.struct(
-                field(v, "action").alias("action"),
-                field(v, "trigger").alias("trigger"),
-                field(v, "horizon").alias("horizon"),
-                F.greatest(
-                    F.lit(0.0),
-                    F.least(F.lit(1.0), F.coalesce(F.try_variant_get(v, "$.confidence", "double"), F.lit(0.0))),
-                ).alias("confidence"),
-                F.coalesce(
-                    F.transform(
-                        F.filter(F.try_variant_get(v, "$.tickers", "array<string>"), lambda t: strip(t) != ""),
-                        F.upper,
-                    ),
-                    F.array().cast(_EMPTY),
-                ).alias("tickers"),
-            ),
-        ),
-        lambda a: a["action"] != "",
-    )
-    said = strip(or_blank(F.try_variant_get(first, "$.short_summary", "string")))
+
+    def action(m: Column) -> Column:
+        confidence = F.coalesce(F.try_variant_get(m, "$.confidence", "double"), F.lit(0.0))
+        tickers = F.filter(F.try_variant_get(m, "$.tickers", "array<string>"), lambda t: strip(t) != "")
+        return F.struct(
+            *[_field(m, f).alias(f) for f in ("action", "trigger", "horizon")],
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence"),
+            F.coalesce(F.transform(tickers, lambda t: F.upper(t)), F.array().cast(_EMPTY)).alias("tickers"),
+        )
+
+    actions = F.filter(F.transform(_members(v, "actionable_items"), action), lambda a: a["action"] != "")
     return F.struct(
-        F.when(body == "", strip(or_blank(named))).when(said != "", said).otherwise(fallback).alias("short_summary"),
+        F.coalesce(non_blank(_field(v, "short_summary")), fallback).alias("short_summary"),
         F.slice(points, 1, 6).alias("primary_points"),
         actions.alias("actionable_items"),
     )
@@ -244,29 +264,27 @@ def _table(kind_is: Column | None = None, **values: Column) -> Column:
 
 def media_result(raw: Column) -> Column:
     """Vision output (a direct provider's object) -> media struct with defaults."""
-    parsed = model_output(raw)
-    first = F.when(
-        F.schema_of_variant(parsed).startswith("ARRAY"), F.try_variant_get(parsed, "$[0]", "variant")
-    ).otherwise(parsed)
 
-    def get(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get(first, f"$.{path}", kind)
+    def build(first: Column) -> Column:
+        def get(path: str, kind: str = "string") -> Column:
+            return F.try_variant_get(first, f"$.{path}", kind)
 
-    texts = [strip(or_blank(get(f))).alias(f) for f in ("short_description", "prose_text", "prose_summary")]
-    chart = _chart(
-        **{f: get(f"chart.{f}") for f in ("type", "description", "insight", "implication")},
-        tickers=get("chart.tickers", _EMPTY),
-    )
-    table = _table(
-        **{f: get(f"table.{f}") for f in ("title", "description", "summary")},
-        columns=get("table.columns", _EMPTY),
-        rows=get("table.rows", "array<array<string>>"),
-        tickers=get("table.tickers", _EMPTY),
-    )
-    kind = F.lower(F.coalesce(non_blank(get("kind")), F.lit("other")))
-    return F.when(
-        first.isNotNull(), F.struct(kind.alias("kind"), *texts, chart.alias("chart"), table.alias("table"))
-    )
+        texts = [strip(or_blank(get(f))).alias(f) for f in ("short_description", "prose_text", "prose_summary")]
+        chart = _chart(
+            **{f: get(f"chart.{f}") for f in ("type", "description", "insight", "implication")},
+            tickers=get("chart.tickers", _EMPTY),
+        )
+        table = _table(
+            **{f: get(f"table.{f}") for f in ("title", "description", "summary")},
+            columns=get("table.columns", _EMPTY),
+            rows=get("table.rows", "array<array<string>>"),
+            tickers=get("table.tickers", _EMPTY),
+        )
+        kind = F.lower(F.coalesce(non_blank(get("kind")), F.lit("other")))
+        shaped = F.struct(kind.alias("kind"), *texts, chart.alias("chart"), table.alias("table"))
+        return F.when(first.isNotNull(), shaped)
+
+    return let(first_object(raw), build)
 
 
 def charts_result(kind: Column, title: Column, transcript: Column, insight: Column, tickers: Column) -> Column:

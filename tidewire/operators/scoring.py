@@ -109,7 +109,7 @@ def score_batches(
 
 def normalize_scores(batches: DataFrame) -> DataFrame:
     """Raw scorer texts -> score results. Texts that cannot be parsed give no rows (see ``score_failures``)."""
-    items = model_items(model_output(F.col("raw")))
+    items = model_items(F.col("raw"))
     return batches.where(F.col("raw").isNotNull()).select(F.explode(items).alias("v")).select(
         score_item(F.col("v")).alias("s")
     ).select("s.*")

@@ -36,7 +36,7 @@ def apply_enrichment(log: DataFrame, order: str = "at") -> DataFrame:
 def apply_article(log: DataFrame, order: str = "at") -> DataFrame:
     """As enrichment; the short summary is the link summary too; a row with ``set_top_visual`` may clear it."""
     rest = [c for c in log.columns if c not in ("id", order, "top_visual", "set_top_visual")]
-    visual = F.max_by(F.struct("top_visual"), F.when("set_top_visual", F.col(order)))
+    visual = F.max_by(F.struct("top_visual"), F.when(F.col("set_top_visual"), F.col(order)))
     state = log.groupBy("id").agg(
         *[_last_present(c, order) for c in rest], visual["top_visual"].alias("top_visual")
     )
@@ -63,7 +63,7 @@ def apply_analysis(posts: DataFrame, analyses: DataFrame, order: str = "at") ->
     fields = [c for c in analyses.columns if c != "id"]
     latest = analyses.groupBy("id").agg(F.max_by(F.struct(*fields), order).alias("analysis"))
     analysis = F.col("analysis")
-    return posts.join(latest, "id", "left").withColumns(
+    return posts.drop("analysis").join(latest, "id", "left").withColumns(
         {
             "signal_tier": stronger_tier(F.col("signal_tier"), analysis["signal_tier"]),
             "tickers": F.coalesce(merged_tickers(F.col("tickers"), analysis["tickers"]), F.col("tickers")),

@@ -1,0 +1,320 @@
+"""A signal feed laid over the driver tables, so that every operator has whole tables to run on.
+
+Each view is one projection; its DuckDB twin stands next to it in ``oracles.VIEWS``.
+"""
+
+from __future__ import annotations
+
+from datetime import datetime, timezone
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+AS_OF = datetime(2024, 1, 29, 12, 0, tzinfo=timezone.utc)
+
+
+class Feed:
+    """Lazily built views over one directory of driver tables."""
+
+    def __init__(self, spark: SparkSession, directory: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        self.spark, self.directory = spark, directory
+
+    def table(self, name: str) -> DataFrame:
+        """A driver table; its zoneless times become instants (UTC), as watermarks and zone rules need."""
+        df = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        zoneless = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
+        return df.withColumns({n: F.col(n).cast("timestamp") for n in zoneless}) if zoneless else df
+
+    @cached_property
+    def _post_columns(self) -> list[str]:
+        n = "event_id"
+        return [
+            f"CAST({n} AS STRING) AS id",
+            f"{n} AS n",
+            "concat('u', user_id) AS author_handle",
+            "concat('User ', user_id) AS author_name",
+            f"concat(event_type, ' note ', {n} % 97) AS summary",
+            "ts AS created_at",
+            f"CASE WHEN {n} % 10 <> 9 THEN ts + INTERVAL 5 MINUTES END AS processed_at",
+            f"CASE WHEN {n} % 10 <> 9 THEN least(10D, floor(value) / 10D) END AS score",
+            "event_type",
+            f"""CASE {n} % 3 WHEN 0 THEN concat('["T', {n} % 7, '"]') WHEN 1 THEN concat('T', {n} % 7, ', X') END
+                AS tickers_raw""",
+            f"""CASE {n} % 3 WHEN 0 THEN array(concat('T', {n} % 7)) WHEN 1 THEN array(concat('T', {n} % 7), 'X')
+                ELSE CAST(array() AS ARRAY<STRING>) END AS tickers""",
+            """CASE event_type WHEN 'click' THEN '["earnings","equities"]' WHEN 'view' THEN '"fed_policy"'
+               WHEN 'purchase' THEN 'crypto' WHEN 'signup' THEN '["fed_policy","rates_fx"]' END AS categories_raw""",
+            """CASE event_type WHEN 'click' THEN array('earnings', 'equities') WHEN 'view' THEN array('fed_policy')
+               WHEN 'purchase' THEN array('crypto') WHEN 'signup' THEN array('fed_policy', 'rates_fx')
+               ELSE CAST(array() AS ARRAY<STRING>) END AS categories""",
+            f"""CASE {n} % 4 WHEN 0 THEN '["ai-capex","rates"]' WHEN 1 THEN '["rates"]' WHEN 2 THEN 'bad' END
+                AS themes_raw""",
+            f"""CASE {n} % 4 WHEN 0 THEN array('ai-capex', 'rates') WHEN 1 THEN array('rates')
+                ELSE CAST(array() AS ARRAY<STRING>) END AS themes""",
+            f"CAST({n} % 3 AS INT) AS surprise",
+            f"CASE WHEN {n} % 17 = 0 THEN 'supply_shock' END AS playbook_trigger",
+            f"CASE {n} % 13 WHEN 0 THEN 'resolved' WHEN 1 THEN 'scheduled' END AS catalyst_status",
+            f"CASE {n} % 4 WHEN 0 THEN 'long' WHEN 1 THEN 'short' WHEN 2 THEN 'na' ELSE 'up' END AS direction",
+            f"{n} % 11 = 0 AS bookmarked",
+            f"{n} % 4 = 0 AS has_quote",
+            f"CASE WHEN {n} % 4 = 0 AND {n} > 0 THEN CAST({n} DIV 2 AS STRING) END AS quote_id",
+            f"CASE WHEN {n} % 5 = 0 AND {n} > 7 THEN CAST({n} - 7 AS STRING) END AS reply_id",
+            f"""CASE {n} % 6 WHEN 0 THEN array(named_struct('url', concat('https://t.co/', {n}), 'expanded_url',
+                  concat('https://x.com/u1/status/', {n} DIV 3), 'display_url', ''))
+                WHEN 1 THEN array(named_struct('url', concat('https://t.co/', {n}), 'expanded_url',
+                  concat('https://news.example.com/a/', {n} % 50), 'display_url', ''))
+                ELSE CAST(array() AS ARRAY<STRUCT<url:STRING,expanded_url:STRING,display_url:STRING>>) END AS links""",
+            f"{n} % 7 = 0 AS has_media",
+            f"CASE WHEN {n} % 7 = 0 THEN concat('https://pic.example.com/', {n} % 100, '.jpg') END AS media_url",
+            f"{n} % 9 = 0 AS is_article",
+            f"concat('Report ', {n} % 30) AS article_title",
+            f"concat('Preview of ', event_type) AS article_preview",
+            f"{n} % 8 = 0 AS is_retweet",
+            f"CASE WHEN {n} % 19 = 0 THEN ts END AS signal_emitted_at",
+            f"CASE WHEN {n} % 20 = 0 THEN ts END AS reprocessed_at",
+            f"CASE WHEN {n} % 15 = 0 THEN 'done' END AS analysis",
+            f"CASE WHEN {n} % 21 = 0 THEN 'seen' END AS media_analysis",
+            f"CASE WHEN {n} % 25 = 0 THEN 'short' END AS content_summary",
+            "CAST(NULL AS TIMESTAMP) AS article_processed_at",
+            f"CASE WHEN {n} % 3 = 0 THEN to_date(ts) END AS included_in_digest",
+        ]
+
+    @cached_property
+    def posts(self) -> DataFrame:
+        """Posts without their long texts."""
+        from tidewire.operators.scoring import signal_tier
+
+        rows = self.table("events").selectExpr(*self._post_columns)
+        return rows.withColumn("signal_tier", signal_tier(F.col("score")))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """(n, content, article_text): the whole text of one document per post, plus the post's short link."""
+        documents = self.table("documents").select("doc_id", "text")
+        events = self.table("events").select("event_id")
+        total = documents.select(F.count(F.lit(1))).scalar()
+        joined = events.withColumn("doc_id", F.col("event_id") % total).join(documents, "doc_id")
+        n = F.col("event_id")
+        short = F.when(n % 6 < 2, F.concat(F.lit(" https://t.co/"), n)).otherwise("")
+        return joined.select(n.alias("n"), F.concat("text", short).alias("content"), F.col("text").alias("article_text"))
+
+    @cached_property
+    def full_posts(self) -> DataFrame:
+        return self.posts.join(self.texts, "n")
+
+    @cached_property
+    def observations(self) -> DataFrame:
+        """Sightings of posts: one post is seen in a third of all rows, the others about three times each."""
+        rows = self.table("events").join(self.texts.withColumnRenamed("n", "event_id"), "event_id")
+        n = "event_id"
+        none = lambda t: f"CAST(NULL AS {t})"
+        return rows.selectExpr(
+            f"CASE WHEN {n} % 3 = 0 THEN 'hot' ELSE CAST({n} DIV 4 AS STRING) END AS id",
+            "concat('u', user_id) AS author_handle",
+            f"CASE WHEN {n} % 5 > 1 THEN concat('User ', user_id) END AS author_name",
+            f"CASE WHEN {n} % 4 = 0 THEN concat(split_part(article_text, '.', 1), '...') ELSE article_text END AS content",
+            f"CASE WHEN {n} % 5 > 2 THEN ts END AS created_at",
+            "event_type AS source",
+            f"{n} % 4 = 1 AS has_quote",
+            f"CASE WHEN {n} % 4 = 1 THEN CAST({n} DIV 2 AS STRING) END AS quote_id",
+            f"CASE WHEN {n} % 5 = 0 THEN CAST({n} DIV 5 AS STRING) END AS reply_id",
+            f"{none('STRING')} AS conversation_id",
+            "false AS has_media",
+            f"""CASE WHEN {n} % 5 = 0 THEN array(named_struct('url', concat('https://pic.example.com/', {n} % 40, '.jpg'),
+                'type', 'photo', 'source', {none('STRING')}, 'media_id', CAST({n} AS STRING))) END AS media_items""",
+            f"{n} % 6 < 2 AS has_link",
+            f"""CASE WHEN {n} % 6 < 2 THEN array(named_struct('url', concat('https://t.co/', {n} % 60), 'expanded_url',
+                concat('https://news.example.com/', {n} % 60), 'display_url', {none('STRING')})) END AS links""",
+            f"{n} % 9 = 0 AS is_article",
+            f"CASE WHEN {n} % 9 = 0 THEN repeat('T', CAST({n} % 13 AS INT)) END AS article_title",
+            f"{none('STRING')} AS article_preview",
+            f"CASE WHEN {n} % 9 = 0 THEN article_text END AS article_text",
+            f"{n} % 8 < 3 AS is_retweet",
+            f"CASE WHEN {n} % 8 < 3 THEN concat('u', user_id) END AS retweeted_by_handle",
+            f"{none('STRING')} AS retweeted_by_name",
+            f"CASE WHEN {n} % 8 = 1 THEN CAST({n} DIV 8 AS STRING) END AS original_id",
+            f"{none('STRING')} AS original_author_handle",
+            f"{none('STRING')} AS original_author_name",
+            f"CASE {n} % 8 WHEN 0 THEN 'abc...' WHEN 1 THEN repeat('ab', CAST(1 + {n} % 5 AS INT)) WHEN 2 THEN 'ba' END"
+            " AS original_content",
+            f"{n} AS seq",
+        )
+
+    @cached_property
+    def reactions(self) -> DataFrame:
+        return self.table("events").where("event_type IN ('click', 'view')").selectExpr(
+            "event_id AS reaction_id", "CAST(event_id DIV 2 AS STRING) AS post_id",
+            "CASE event_type WHEN 'click' THEN '>>' ELSE CASE WHEN event_id % 3 = 0 THEN 'x_author' ELSE '>' END END"
+            " AS reaction_type",
+            "CAST(NULL AS STRING) AS reason", "concat('@u', user_id) AS target", "ts AS created_at",
+        )
+
+    @cached_property
+    def authors(self) -> DataFrame:
+        return self.table("customer").selectExpr(
+            "concat('u', c_custkey) AS handle", "c_name AS display_name", "CAST(1 + c_custkey % 3 AS INT) AS tier",
+            "lower(c_mktsegment) AS category", "50D + c_custkey % 50 AS weight", "c_custkey % 10 = 0 AS muted",
+            "CASE WHEN c_custkey % 4 <> 0 THEN round(c_acctbal / 1000D, 1) END AS avg_score",
+            "CASE WHEN c_custkey % 6 <> 0 THEN TIMESTAMP'2024-01-01' + make_interval(0, 0, 0, CAST(c_custkey % 28 AS INT)) END"
+            " AS last_high_signal_at",
+            "CASE WHEN c_custkey % 5 <> 0 THEN TIMESTAMP'2024-01-01' + make_interval(0, 0, 0, 0, CAST(c_custkey % 600 AS INT)) END"
+            " AS last_fetched_at",
+        )
+
+    @cached_property
+    def author_commands(self) -> DataFrame:
+        return self.table("events").selectExpr(
+            "concat('@u', user_id) AS handle",
+            "CASE event_type WHEN 'signup' THEN 'upsert' WHEN 'purchase' THEN 'boost' WHEN 'error' THEN 'decay'"
+            " WHEN 'click' THEN 'promote' ELSE CASE WHEN event_id % 50 = 0 THEN 'mute' ELSE 'demote' END END AS command",
+            "CAST(1 + event_id % 4 AS INT) AS tier",
+            "CASE WHEN event_id % 2 = 0 THEN concat('Name ', event_id) END AS display_name",
+            "CAST(NULL AS STRING) AS category",
+            "CASE event_type WHEN 'purchase' THEN floor(value) / 10D WHEN 'error' THEN 0.05D END AS amount",
+            "event_id AS seq", "ts AS at",
+        )
+
+    @cached_property
+    def usage_events(self) -> DataFrame:
+        """Started (phase 0) and completed (phase 1) events; undiscounted ones never complete."""
+        rows = self.table("lineitem").selectExpr(
+            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS attempt_id", "*"
+        )
+        shared = [
+            "attempt_id", "l_shipdate AS called_at", "l_returnflag AS component",
+            "CASE WHEN l_partkey % 2 = 0 THEN 'gemini' ELSE 'deepseek' END AS provider",
+            "CASE l_partkey % 4 WHEN 0 THEN 'gemini-2.5-flash-lite-0925' WHEN 1 THEN 'deepseek-v4-pro'"
+            " WHEN 2 THEN 'Gemini-2.5-Flash ' ELSE 'other-model' END AS model",
+        ]
+        started = rows.selectExpr(
+            *shared, "0 AS phase", "false AS success", "'started' AS attempt_status",
+            *[f"CAST(NULL AS BIGINT) AS {c}" for c in _TOKENS],
+            "CAST(NULL AS DOUBLE) AS latency_seconds", "CAST(NULL AS DOUBLE) AS estimated_cost_usd",
+            "CAST(NULL AS STRING) AS error_message",
+        )
+        done = rows.where("l_discount > 0.01").selectExpr(
+            *shared, "1 AS phase", "l_linestatus = 'F' AS success", "'completed' AS attempt_status",
+            "CAST(l_quantity * 1000 AS BIGINT) AS input_tokens", "CAST(l_linenumber * 100 AS BIGINT) AS output_tokens",
+            "CAST(l_partkey % 50 AS BIGINT) AS reasoning_tokens", "CAST(l_suppkey * 600 AS BIGINT) AS cached_input_tokens",
+            "CAST(l_quantity * 1000 + l_linenumber * 100 AS BIGINT) AS total_tokens",
+            "l_tax AS latency_seconds", "l_extendedprice / 100000 AS estimated_cost_usd",
+            "CASE WHEN l_linestatus <> 'F' THEN repeat('e', CAST(490 + l_linenumber * 5 AS INT)) END AS error_message",
+        )
+        return started.unionByName(done)
+
+    @cached_property
+    def metric_events(self) -> DataFrame:
+        return self.table("events").selectExpr(
+            "CASE event_type WHEN 'click' THEN 'pipeline.clicks' WHEN 'view' THEN 'web.views' ELSE concat('scorer.', event_type) END"
+            " AS name",
+            "CASE WHEN event_id % 2 = 0 THEN map('b', CAST(event_id % 3 AS STRING), 'a', 'x') ELSE map() END AS labels",
+            "CASE event_type WHEN 'click' THEN 'counter' WHEN 'view' THEN 'gauge' ELSE 'histogram' END AS type",
+            "value", "ts AS at",
+        )
+
+    @cached_property
+    def fetch_log(self) -> DataFrame:
+        return self.table("orders").selectExpr(
+            "concat('user/', o_orderstatus) AS endpoint", "concat('@u', o_custkey) AS handle", "o_orderdate AS executed_at",
+            "o_orderkey % 100 AS fetched", "o_orderkey % 7 AS new", "o_orderkey AS run",
+        )
+
+    @cached_property
+    def alert_log(self) -> DataFrame:
+        return self.table("events").selectExpr("CAST(event_id AS STRING) AS post_id", "ts AS sent_at")
+
+    @cached_property
+    def media_log(self) -> DataFrame:
+        """Cache log over images: stored results and hits."""
+        return self.table("events").selectExpr(
+            "concat('https://pic.example.com/', event_id % 60, '.jpg') AS media_url", "' Gemini' AS provider",
+            "CASE WHEN event_id % 2 = 0 THEN 'Vision' ELSE 'vision ' END AS model",
+            "CASE WHEN event_id % 3 <> 0 THEN concat('result ', event_id) END AS result",
+            "event_id % 3 = 0 AS is_hit", "ts AS updated_at",
+        )
+
+    @cached_property
+    def analyses(self) -> DataFrame:
+        """Enrichment results: tier, narratives, tickers, sentiment."""
+        return self.table("events").selectExpr(
+            "CAST(event_id DIV 2 AS STRING) AS id", "event_id AS n",
+            "CASE event_id % 5 WHEN 0 THEN 'high_signal' WHEN 1 THEN 'news' WHEN 2 THEN 'odd' WHEN 3 THEN 'noise' END AS signal_tier",
+            "array(concat('story ', event_id % 23), concat('theme ', event_type)) AS narratives",
+            "CASE WHEN event_id % 3 = 0 THEN array('ZZ', concat('T', event_id % 5)) ELSE CAST(array() AS ARRAY<STRING>) END AS tickers",
+            "CASE WHEN event_id % 4 = 0 THEN event_type END AS sentiment", "ts AS at",
+        )
+
+    @cached_property
+    def instruments(self) -> DataFrame:
+        return self.table("part").selectExpr(
+            "concat('t', p_partkey) AS ticker",
+            "CASE p_partkey % 4 WHEN 0 THEN 'owned' WHEN 1 THEN 'peer' WHEN 2 THEN 'watchlist' ELSE 'expression' END AS relationship",
+            "CASE WHEN p_partkey % 2 = 0 THEN array('rates', lower(p_brand)) ELSE array('ai-capex') END AS themes",
+            "p_partkey AS pos",
+        )
+
+    @cached_property
+    def themes(self) -> DataFrame:
+        return self.table("nation").selectExpr(
+            "CASE n_nationkey WHEN 0 THEN 'ai-capex' WHEN 1 THEN 'rates' ELSE lower(n_name) END AS id",
+            "CASE WHEN n_nationkey % 5 = 4 THEN 'closed' ELSE 'open' END AS status", "n_nationkey AS pos",
+        )
+
+    @cached_property
+    def catalysts(self) -> DataFrame:
+        return self.table("supplier").selectExpr(
+            "concat('cat-', s_suppkey) AS id", "date_add(DATE'2024-02-01', CAST(s_suppkey % 20 AS INT)) AS date",
+            "'earnings' AS type",
+            "CASE WHEN s_suppkey < 5 THEN array(concat('T', s_suppkey)) ELSE array(concat('S', s_suppkey)) END AS instruments",
+            "CASE WHEN s_suppkey = 7 THEN array('ai-capex') ELSE array(concat('q', s_suppkey)) END AS themes",
+        )
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return self.table("region").selectExpr(
+            "CASE r_regionkey WHEN 0 THEN 'click note 5' WHEN 1 THEN 'view' WHEN 2 THEN 'note 7' ELSE r_name END AS label",
+            "CASE r_regionkey WHEN 0 THEN 'fomc' ELSE 'cpi' END AS type", "'us' AS scope",
+            "date_add(DATE'2024-02-01', r_regionkey) AS date",
+        )
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        return self.table("documents").selectExpr(
+            "CAST(doc_id AS STRING) AS id", "text AS content", "concat('about ', source) AS summary",
+            "source AS author_handle", "CASE WHEN doc_id % 3 = 0 THEN 'T1 X' ELSE '' END AS tickers_text",
+            "lang AS signal_tier", "CAST(n_chars % 11 AS DOUBLE) AS score",
+            "TIMESTAMP'2024-01-01' + make_interval(0, 0, 0, 0, 0, CAST(doc_id AS INT)) AS created_at",
+        )
+
+    @cached_property
+    def threads(self) -> DataFrame:
+        return self.table("conversations").selectExpr(
+            "concat(conv_id, '-', turn) AS id",
+            "CASE WHEN turn > 0 THEN concat(conv_id, '-', turn - 1) END AS reply_id", "turn", "role", "text AS content",
+        )
+
+    @cached_property
+    def golden(self) -> DataFrame:
+        return self.table("labels").selectExpr(
+            "CAST(doc_id AS STRING) AS id",
+            """named_struct('score_min', quality * 5D, 'score_max', 5D + quality * 5D, 'surprise', toxic,
+               'is_stale_repeat', doc_id % 7 = 0, 'playbook_trigger',
+               CASE doc_id % 5 WHEN 0 THEN 'supply_shock' WHEN 1 THEN 'vol_substitution' END,
+               'catalyst', CASE WHEN doc_id % 3 = 0 THEN 'resolved' END, 'direction', 'long') AS expected""",
+        )
+
+    @cached_property
+    def golden_results(self) -> DataFrame:
+        return self.table("documents").where("lang <> 'fr'").selectExpr(
+            "CAST(doc_id AS STRING) AS id", "least(10D, n_chars / 500D) AS score", "CAST(n_chars % 2 AS INT) AS surprise",
+            "doc_id % 14 = 0 AS is_stale_repeat",
+            "CASE doc_id % 10 WHEN 0 THEN 'supply_shock' WHEN 2 THEN 'vol_substitution' WHEN 3 THEN 'ai_victim' END AS playbook_trigger",
+            "CASE WHEN doc_id % 6 = 0 THEN 'resolved' END AS catalyst_status",
+            "CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE 'long' END AS direction",
+        )
+
+
+_TOKENS = ["input_tokens", "output_tokens", "reasoning_tokens", "cached_input_tokens", "total_tokens"]
