@@ -11,10 +11,10 @@ from pyspark.sql.types import ArrayType, StringType
 
 from tidewire import constants as C
 
-# All Unicode white space plus the four separators that Python-style stripping also removes.
-_SPACE = r"[\s\x{1C}-\x{1F}]"
-_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
-_RIGHT_EDGE = rf"(?U){_SPACE}+$"
+# All Unicode white space, as characters for trimming and as a class for patterns. Trimming looks at the ends of
+# a text only; a pattern would walk all of it.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "]"
 # Character references as HTML defines them: decimal, hexadecimal, named.
 _ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
@@ -30,11 +30,11 @@ def let(value: Column, body) -> Column:
 
 def strip(value: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(value, _EDGES, "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def rstrip(value: Column) -> Column:
-    return F.regexp_replace(value, _RIGHT_EDGE, "")
+    return F.rtrim(value, F.lit(SPACES))
 
 
 def or_blank(value: Column) -> Column:
@@ -48,7 +48,7 @@ def non_blank(value: Column) -> Column:
 
 def squeeze(value: Column) -> Column:
     """Runs of white space become one blank; edges are trimmed."""
-    return F.regexp_replace(strip(value), rf"(?U){_SPACE}+", " ")
+    return F.regexp_replace(strip(value), _SPACE + "+", " ")
 
 
 def sanitize(value: Column) -> Column:
@@ -73,7 +73,8 @@ def unescape_html(value: Column) -> Column:
 
 def looks_truncated(value: Column) -> Column:
     """Right-trimmed text ends with an ellipsis."""
-    return F.coalesce(value.rlike(rf"(?U)(…|\.\.\.){_SPACE}*$"), F.lit(False))
+    kept = rstrip(value)
+    return F.coalesce(kept.endswith("…") | kept.endswith("..."), F.lit(False))
 
 
 def ellipsize(value: Column, limit: int) -> Column:
@@ -111,7 +112,7 @@ def bounded_text(value: Column, max_chars: int) -> Column:
         cut = F.concat(
             rstrip(F.substring(text, 1, head)),
             F.lit("\n\n[...middle truncated to reduce analysis cost...]\n\n"),
-            F.regexp_replace(F.right(text, F.lit(tail)), rf"(?U)^{_SPACE}+", ""),
+            F.ltrim(F.right(text, F.lit(tail)), F.lit(SPACES)),
         )
     return F.when(F.length(text) <= max_chars, text).otherwise(cut)
 

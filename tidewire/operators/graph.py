@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from tidewire.functions.text import non_blank, or_blank, squeeze, strip, triage_text, truncate_context
 from tidewire.functions.urls import inline_links, link_kinds, status_id
-from tidewire.operators.skew import lookup, union_all
+from tidewire.operators.skew import lookup, materialize, union_all
 
 MAX_INLINE = 4
 MAX_QUOTE_DEPTH = 3
@@ -85,6 +85,9 @@ def quote_chain(posts: DataFrame, page: DataFrame | None = None, depth: int = MA
     ``page`` restricts the starting posts (its row count is an argument of the feed, so it may be broadcast).
     """
     pointers = quote_pointers(posts)
+    if page is None:
+        # Three narrow columns, read seven times below; the texts they come from are read once.
+        pointers = materialize(pointers)
     chain = pointers.select("id", F.col("top_quote").alias("next"))
     if page is not None:
         chain = chain.join(F.broadcast(page.select("id")), "id", "left_semi")
@@ -92,7 +95,7 @@ def quote_chain(posts: DataFrame, page: DataFrame | None = None, depth: int = MA
     hops = pointers.select(F.col("id").alias("next"), F.col("next_quote").alias("after"), F.lit(True).alias("found"))
     for _ in range(depth):
         if page is None:
-            joined = lookup(chain, hops, "next")
+            joined = lookup(materialize(chain), hops, "next")
         else:
             wanted = hops.join(F.broadcast(chain.select("next").distinct()), "next", "left_semi")
             joined = chain.join(F.broadcast(wanted), "next", "left")

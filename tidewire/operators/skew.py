@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 # A key is hot above this share of all rows, so there can never be more than 1/HOT_SHARE hot keys:
 # the set of hot keys (and one looked-up row for each) has a proven size and may be broadcast.
 HOT_SHARE = 1 / 500
+# Salts a hot key is spread over.
+SPREAD = 64
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
@@ -20,18 +24,38 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: float = HOT_SHARE) -> DataFrame:
-    """Join ``left`` to ``right`` (unique on ``key``) without sending a hot key to one task.
+    """Join ``left`` to ``right`` (unique on ``key``) so that no key sends its rows to one task.
 
-    Rows of hot keys meet their few looked-up rows by broadcast where they lie; all others shuffle as usual.
+    Rows of hot keys are spread over ``SPREAD`` salts and their looked-up rows (at most one per hot key, so few) are
+    copied to each salt; rows without a key are spread too, as they match nothing. All others join as usual.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported lookup: {how!r}")
     hot = F.broadcast(hot_keys(left, key, share))
-    tagged = left.join(hot, F.col(key) == F.col("_hot"), "left")
-    hot_rows = right.join(hot, F.col(key) == F.col("_hot"), "left_semi")
-    warm = tagged.where(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot_rows), key, how)
-    cold = tagged.where(F.col("_hot").isNull()).drop("_hot").join(right, key, how)
-    return warm.unionByName(cold)
+    is_hot = F.col("_hot").isNotNull()
+    hashed = [f.name for f in left.schema if isinstance(f.dataType, AtomicType)]
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in hashed]), F.lit(SPREAD)).cast("int")
+    salted_left = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(0)
+    )
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(salts))
+    joined = salted_left.drop("_hot").join(salted_right.drop("_hot"), [key, "_salt"], how)
+    return joined.drop("_salt")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame that later steps read several times, in the shared folder the cluster names."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="tidewire-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def _pluck(name: str) -> Column:

@@ -26,13 +26,3 @@ def build_session(app: str = "tidewire", master: str | None = None, **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The cluster's shared checkpoint folder; ``fallback`` only where none is named."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
