@@ -14,7 +14,7 @@ from tidewire import constants as C
 # All Unicode white space, as characters for trimming and as a class for patterns. Trimming looks at the ends of
 # a text only; a pattern would walk all of it.
 SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "]"
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Character references as HTML defines them: decimal, hexadecimal, named.
 _ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
@@ -79,42 +79,53 @@ def looks_truncated(value: Column) -> Column:
 
 def ellipsize(value: Column, limit: int) -> Column:
     """Cut to ``limit`` characters, the last three being dots."""
-    return F.when(F.length(value) <= limit, value).otherwise(
-        F.concat(rstrip(F.substring(value, 1, max(0, limit - 3))), F.lit("..."))
-    )
+    cut = lambda v: F.concat(rstrip(F.substring(v, 1, max(0, limit - 3))), F.lit("..."))
+    return let(value, lambda v: F.when(F.length(v) <= limit, v).otherwise(cut(v)))
 
 
 def truncate_context(value: Column, limit: int) -> Column:
-    return ellipsize(squeeze(or_blank(value)), limit)
+    """White space squeezed, then cut to ``limit`` characters.
+
+    What follows the cut does not matter, so a long text is squeezed from its start first and in full only if that
+    start turns out too short (long runs of blanks).
+    """
+    start = lambda v: squeeze(F.substring(v, 1, 2 * limit))
+    return let(
+        or_blank(value),
+        lambda v: let(
+            start(v),
+            lambda s: ellipsize(F.when((F.length(s) > limit) | (F.length(v) <= 2 * limit), s).otherwise(squeeze(v)), limit),
+        ),
+    )
 
 
 def triage_text(content: Column, is_article: Column, title: Column, preview: Column, body: Column) -> Column:
     """Text shown to a scorer: the article where it is clearly richer than the post."""
-    text, body = strip(or_blank(content)), strip(or_blank(body))
-    parts = F.filter(F.array(strip(or_blank(title)), strip(or_blank(preview)), body), lambda p: p != "")
-    article = F.substring(F.array_join(parts, "\n\n"), 1, 6000)
-    use_article = (
-        F.coalesce(is_article, F.lit(False))
-        & (body != "")
-        & ((text == "") | (F.length(article) >= F.length(text) + 120))
+    parts = F.filter(F.transform(F.array(title, preview, body), lambda p: strip(or_blank(p))), lambda p: p != "")
+    whole = F.substring(F.array_join(parts, "\n\n"), 1, 6000)
+    has_body = F.coalesce(is_article, F.lit(False)) & (strip(or_blank(body)) != "")
+    return let(
+        F.struct(strip(or_blank(content)).alias("text"), F.when(has_body, whole).alias("article")),
+        lambda s: F.when(
+            (s["text"] == "") | (F.length(s["article"]) >= F.length(s["text"]) + 120), F.coalesce(s["article"], s["text"])
+        ).otherwise(s["text"]),
     )
-    return F.when(use_article, article).otherwise(text)
 
 
 def bounded_text(value: Column, max_chars: int) -> Column:
     """Long texts keep their first three quarters and their last quarter of the budget."""
-    text = strip(or_blank(value))
-    if max_chars <= 1000:
-        cut = strip(F.substring(text, 1, max_chars))
-    else:
+
+    def cut(text: Column) -> Column:
+        if max_chars <= 1000:
+            return strip(F.substring(text, 1, max_chars))
         head = int(max_chars * 0.75)
-        tail = max_chars - head
-        cut = F.concat(
+        return F.concat(
             rstrip(F.substring(text, 1, head)),
             F.lit("\n\n[...middle truncated to reduce analysis cost...]\n\n"),
-            F.ltrim(F.right(text, F.lit(tail)), F.lit(SPACES)),
+            F.ltrim(F.right(text, F.lit(max_chars - head)), F.lit(SPACES)),
         )
-    return F.when(F.length(text) <= max_chars, text).otherwise(cut)
+
+    return let(strip(or_blank(value)), lambda v: F.when(F.length(v) <= max_chars, v).otherwise(cut(v)))
 
 
 def normalize_cashtags(value: Column) -> Column:
@@ -123,7 +134,7 @@ def normalize_cashtags(value: Column) -> Column:
 
 def equity_context(value: Column) -> Column:
     """Any equity word occurs in the lower-cased text (as a substring)."""
-    return F.lower(value).rlike("|".join(C.EQUITY_KEYWORDS))
+    return let(F.lower(value), lambda v: F.exists(F.array(*[F.lit(k) for k in C.EQUITY_KEYWORDS]), lambda k: F.contains(v, k)))
 
 
 def page_hint(value: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import normalize_cashtags, or_blank
+from tidewire.functions.text import let, normalize_cashtags, or_blank
 from tidewire.operators.feed import filter_posts
 
 TEXT_COLUMNS = ("content", "summary", "author_handle", "tickers_text")
@@ -62,9 +62,7 @@ def _frequency(term: Term) -> Column:
     """Occurrences of the term in a row."""
     words = _words(term)
 
-    def in_column(name: str) -> Column:
-        column = F.col(f"t_{name}")
-
+    def count(column: Column) -> Column:
         def matches(token: Column, at: Column) -> Column:
             test = F.lit(True)
             for i, word in enumerate(words):
@@ -75,6 +73,9 @@ def _frequency(term: Term) -> Column:
 
         return F.size(F.filter(column, matches))
 
+    def in_column(name: str) -> Column:
+        return count(F.col(f"t_{name}")) if len(words) == 1 else let(F.col(f"t_{name}"), count)
+
     names = [term.column] if term.column else TEXT_COLUMNS
     if not words:
         return F.lit(0)
@@ -108,31 +109,37 @@ def text_search(
     scored = [*must, *should]
     if not scored:
         raise ValueError("a search needs at least one term to match")
-    counted = index.withColumns({f"_tf{i}": _frequency(t) for i, t in enumerate(scored)})
-    stats = counted.agg(
+    frequencies = F.struct(*[_frequency(t).alias(f"f{i}") for i, t in enumerate(scored)])
+    stats = index.select("n_tokens", frequencies.alias("tf")).agg(
         F.count(F.lit(1)).alias("docs"),
         F.avg("n_tokens").alias("mean_size"),
-        *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(scored))],
+        *[F.count_if(F.col(f"tf.f{i}") > 0).alias(f"df{i}") for i in range(len(scored))],
     )
-    stat = stats.select(F.struct("*")).scalar()
-    rows = counted.withColumn("_s", stat)
-    test = F.lit(True)
-    for i in range(len(must)):
-        test = test & (F.col(f"_tf{i}") > 0)
-    if should and not must:
-        test = F.greatest(*[F.col(f"_tf{i}") for i in range(len(scored))], F.lit(0)) > 0
-    for term in must_not:
-        test = test & (_frequency(term) == 0)
+
+    def matches(tf: Column) -> Column:
+        test = F.lit(True)
+        for i in range(len(must)):
+            test = test & (tf[f"f{i}"] > 0)
+        if should and not must:
+            test = F.exists(F.array(*[tf[f"f{i}"] for i in range(len(should))]), lambda n: n > 0)
+        for term in must_not:
+            test = test & (_frequency(term) == 0)
+        return test
+
+    # Matching inside the generator keeps the optimiser from copying the counting into a pushed-down filter;
+    # the plain filters below still reach the scan.
+    kept = F.filter(F.array(frequencies), matches)
+    hits = filter_posts(index, **filters).select("*", F.explode(kept).alias("_tf"))
+    hits = hits.withColumn("_s", stats.select(F.struct("*")).scalar())
     rank = F.lit(0.0)
     for i in range(len(scored)):
-        df, tf = F.col("_s")[f"df{i}"].cast("double"), F.col(f"_tf{i}").cast("double")
+        df, tf = F.col("_s")[f"df{i}"].cast("double"), F.col(f"_tf.f{i}").cast("double")
         odds = (F.col("_s")["docs"] - df + 0.5) / (df + 0.5)
         idf = F.when(odds > 1, F.ln(odds)).otherwise(_MIN_IDF)
         norm = K1 * (1 - B + B * F.col("n_tokens") / F.col("_s")["mean_size"])
         rank = rank - idf * tf * (K1 + 1) / (tf + norm)
-    hits = filter_posts(rows.where(test), **filters).withColumn("rank", rank)
-    drop = ["_s", *[f"_tf{i}" for i in range(len(scored))], *[f"t_{c}" for c in TEXT_COLUMNS]]
-    page = hits.drop(*drop).orderBy(*_ORDER[order](), "id")
+    drop = ["_s", "_tf", *[f"t_{c}" for c in TEXT_COLUMNS]]
+    page = hits.withColumn("rank", rank).drop(*drop).orderBy(*_ORDER[order](), "id")
     return (page.offset(offset) if offset else page).limit(limit)
 
 

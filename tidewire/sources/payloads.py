@@ -66,7 +66,7 @@ def read_observations(spark: SparkSession, path: str, whole_files: bool = False,
     Line-delimited files split across tasks. Files that hold one array or page over several lines need
     ``whole_files``; one such file is one record, so keep them small. ``nesting`` bounds wrappers within wrappers.
     """
-    return _open(_parsed(spark, path, whole_files).where(F.col("v").isNotNull()), nesting).select("file", "v")
+    return _open(_parsed(spark, path, whole_files), nesting).select("file", "v")
 
 
 def read_quarantine(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -76,8 +76,7 @@ def read_quarantine(spark: SparkSession, path: str, whole_files: bool = False) -
 
 def parse_payloads(raw: DataFrame, column: str, nesting: int = 3) -> DataFrame:
     """The same from a text column; other columns are kept. Unparsable texts give no rows."""
-    rows = raw.withColumn("v", F.try_parse_json(column)).where(F.col("v").isNotNull())
-    return _open(rows, nesting)
+    return _open(raw.withColumn("v", F.try_parse_json(column)), nesting)
 
 
 def post_id(v: Column) -> Column:
