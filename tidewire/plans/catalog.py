@@ -63,6 +63,6 @@ def run(name: str, spark: SparkSession, directory: str) -> DataFrame:
 
 def load() -> dict[str, Query]:
     """All registered queries."""
-    from tidewire.plans import feed_queries, merge_queries, score_queries, text_queries  # noqa: F401
+    from tidewire.plans import feed_queries, merge_queries, score_queries, stream_queries, text_queries  # noqa: F401
 
     return CATALOG

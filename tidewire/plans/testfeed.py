@@ -28,6 +28,18 @@ class Feed:
         zoneless = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
         return df.withColumns({n: F.col(n).cast("timestamp") for n in zoneless}) if zoneless else df
 
+    def stream(self, name: str) -> DataFrame:
+        """A driver table as a file stream."""
+        path = f"{self.directory}/{name}*.parquet"
+        schema = self.spark.read.parquet(path).schema
+        rows = self.spark.readStream.schema(schema).parquet(path)
+        zoneless = [f.name for f in schema if isinstance(f.dataType, T.TimestampNTZType)]
+        return rows.withColumns({n: F.col(n).cast("timestamp") for n in zoneless})
+
+    @cached_property
+    def stream_posts(self) -> DataFrame:
+        return self.stream("events").selectExpr(*self._post_columns)
+
     @cached_property
     def _post_columns(self) -> list[str]:
         n = "event_id"

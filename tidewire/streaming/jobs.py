@@ -67,17 +67,19 @@ def stream_signals(events: DataFrame, out: str, checkpoint: str, watermark: str
     return once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
 
 
+# No alert of a run comes later than a day (25 hours where clocks change) after another one.
+_EXPIRY_MS = 26 * 3600 * 1000
 _SENT = "id string, chat string, ts timestamp, score double, sent boolean"
 
 
 def gate_stream(
     candidates: DataFrame, tz: str = "UTC", quiet: tuple[int, int] = (23, 8), max_per_window: int = 10,
-    window_minutes: int = 60, override_score: float = 10,
+    window_minutes: int = 60, override_score: float = 10, watermark: str = "1 hour",
 ) -> DataFrame:
     """Streaming twin of ``alert_gate`` for candidates that arrive in time order.
 
     Keyed by chat and local day from the end of the quiet hours, with overrides of the last window copied into the
-    next day: state is the send times of one window, and it expires a day after the last alert.
+    next day: state is the send times of one window, and it expires when the watermark has passed the run's day.
     """
     start, end = quiet
     if (end - start) % 24 * 60 < window_minutes or start == end:
@@ -90,6 +92,7 @@ def gate_stream(
     copy = F.struct(F.date_add("day", 1).alias("day"), F.lit(True).alias("replay"))
     rows = (
         candidates.select("id", "chat", "ts", "score")
+        .withWatermark("ts", watermark)
         .withColumn("day", day)
         .withColumn("run", F.explode(F.when(late, F.array(own, copy)).otherwise(F.array(own))))
         .select("id", "chat", "ts", "score", "run.*", quiet_hours(F.col("ts"), tz, start, end).alias("quiet"))
@@ -110,11 +113,11 @@ def gate_stream(
                 recent.append(row.us)
             sent.append(passes)
         state.update((recent,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(max(int(batch["us"].max()) // 1000 + _EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
         yield batch.assign(sent=sent)[~batch["replay"]][["id", "chat", "ts", "score", "sent"]]
 
     return rows.groupBy("chat", "day").applyInPandasWithState(
-        walk, _SENT, "recent array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        walk, _SENT, "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
