@@ -96,7 +96,7 @@ def test_merge_equals_sequential_walk(spark):
     rows = [tuple(r[f] for f in FIELDS) for rs in sequences.values() for r in rs]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, POST_OBSERVATION)
-    for bits in ((2, 4), (16, 32)):
+    for bits in ((2, 4), (12, 24)):
         got = {r["id"]: r.asDict(recursive=True) for r in merge_posts(df, bits).collect()}
         assert len(got) == len(sequences)
         for post_id, observations in sequences.items():
@@ -145,7 +145,7 @@ def test_author_fold_equals_sequential_walk(spark):
         )
     df = spark.createDataFrame([tuple(c.values()) for c in commands], AUTHOR_COMMAND)
     want = sequential_authors(commands)
-    for bits in ((3, 6), (16, 32)):
+    for bits in ((3, 6), (12, 24)):
         got = {r["handle"]: r for r in fold_authors(df, bits).collect()}
         assert got.keys() == want.keys()
         for handle, author in want.items():

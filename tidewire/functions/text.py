@@ -46,12 +46,14 @@ def non_blank(value: Column) -> Column:
 
 def squeeze(value: Column) -> Column:
     """Runs of white space become one blank; edges are trimmed."""
-    def tidy(text: Column) -> Column:
-        plain = F.octet_length(text) == F.length(text)
-        narrow = F.regexp_replace(text, _ASCII_SPACE + "+", " ")
-        return F.when(plain, narrow).otherwise(F.regexp_replace(text, _SPACE + "+", " "))
+    return let(strip(value), lambda text: collapse_spaces(text, "+"))
 
-    return let(strip(value), tidy)
+
+def collapse_spaces(text: Column, times: str) -> Column:
+    """Runs of white space of the given regex length become one blank."""
+    plain = F.octet_length(text) == F.length(text)
+    narrow = F.regexp_replace(text, _ASCII_SPACE + times, " ")
+    return F.when(plain, narrow).otherwise(F.regexp_replace(text, _SPACE + times, " "))
 
 
 def sanitize(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire import constants as C
-from tidewire.functions.text import let, or_blank, strip
+from tidewire.functions.text import collapse_spaces, let, or_blank, strip
 from tidewire.schemas import LINKS
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -186,7 +186,7 @@ def _longest_first(items: Column, key) -> Column:
 
 def _per_line(text: Column, edit) -> Column:
     lines = F.transform(
-        F.split(text, _LINE_BREAK), lambda line: strip(F.regexp_replace(edit(line), r"(?U)\s{2,}", " "))
+        F.split(text, _LINE_BREAK), lambda line: let(edit(line), lambda done: strip(collapse_spaces(done, "{2,}")))
     )
     return strip(F.array_join(F.filter(lines, lambda line: line != ""), "\n"))
 
@@ -211,18 +211,25 @@ def display_text(text: Column, kinds: Column) -> Column:
             return F.aggregate(
                 swaps,
                 line,
-                lambda acc, k: F.regexp_replace(
-                    acc,
-                    _token(k["raw"]),
-                    F.concat(F.lit("$1"), F.regexp_replace(k["url"], r"([\\$])", r"\\$1")),
-                ),
+                lambda acc, k: F.when(
+                    F.contains(acc, k["raw"]),
+                    F.regexp_replace(
+                        acc,
+                        _token(k["raw"]),
+                        F.concat(F.lit("$1"), F.regexp_replace(k["url"], r"([\\$])", r"\\$1")),
+                    ),
+                ).otherwise(acc),
             )
 
         return F.when(F.size(swaps) > 0, _per_line(text, swap)).otherwise(text)
 
     def cleared(gone: Column) -> Column:
         def drop(line: Column) -> Column:
-            return F.aggregate(gone, line, lambda acc, u: F.regexp_replace(acc, _token(u), F.lit(" ")))
+            return F.aggregate(
+                gone,
+                line,
+                lambda acc, u: F.when(F.contains(acc, u), F.regexp_replace(acc, _token(u), F.lit(" "))).otherwise(acc),
+            )
 
         return let(
             let(swap_list, swapped),

@@ -79,7 +79,7 @@ def _command_effect() -> Column:
     )
 
 
-def fold_authors(commands: DataFrame, level_bits: tuple[int, ...] = (16, 32)) -> DataFrame:
+def fold_authors(commands: DataFrame, level_bits: tuple[int, ...] = (12, 24)) -> DataFrame:
     """Commands in order of ``seq`` -> one row per author.
 
     Commands: upsert (keeps the lower tier, fills name and category), promote, demote, mute, boost, decay.

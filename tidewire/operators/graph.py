@@ -79,31 +79,33 @@ def quote_pointers(posts: DataFrame) -> DataFrame:
     )
 
 
+def _chosen(posts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Posts of a page's few ids: the ids are broadcast, so nothing but the chosen posts moves."""
+    return posts.join(F.broadcast(ids), "id", "left_semi")
+
+
 def quote_chain(posts: DataFrame, page: DataFrame | None = None, depth: int = MAX_QUOTE_DEPTH) -> DataFrame:
     """Per post the nested quoted posts q1..q<depth>; a chain ends at a missing post or one it already holds.
 
-    ``page`` restricts the starting posts (its row count is an argument of the feed, so it may be broadcast).
+    ``page`` restricts the starting posts; its row count is an argument of the feed, so its ids may be broadcast.
+    Each level is materialised (a few narrow columns), so the plan does not double from level to level, and the
+    texts that links are found in are read once, or for a page only for the posts of the chain.
     """
-    pointers = quote_pointers(posts)
     if page is None:
-        # Three narrow columns, read seven times below; the texts they come from are read once.
-        pointers = materialize(pointers)
-    chain = pointers.select("id", F.col("top_quote").alias("next"))
-    if page is not None:
-        chain = chain.join(F.broadcast(page.select("id")), "id", "left_semi")
-    chain = chain.withColumn("path", F.array().cast("array<string>"))
-    hops = pointers.select(F.col("id").alias("next"), F.col("next_quote").alias("after"), F.lit(True).alias("found"))
+        start = every = materialize(quote_pointers(posts))
+    else:
+        start = quote_pointers(_chosen(posts, page.select("id")))
+    chain = start.select("id", F.col("top_quote").alias("next"), F.array().cast("array<string>").alias("path"))
     for _ in range(depth):
-        if page is None:
-            joined = lookup(materialize(chain), hops, "next")
-        else:
-            wanted = hops.join(F.broadcast(chain.select("next").distinct()), "next", "left_semi")
-            joined = chain.join(F.broadcast(wanted), "next", "left")
+        chain = materialize(chain)
+        if page is not None:
+            every = quote_pointers(_chosen(posts, chain.select(F.col("next").alias("id")).distinct()))
+        hops = every.select(F.col("id").alias("next"), F.col("next_quote").alias("after"), F.lit(True).alias("found"))
+        joined = lookup(chain, hops, "next") if page is None else chain.join(F.broadcast(hops), "next", "left")
         path = F.when(F.col("found"), F.array_append("path", F.col("next"))).otherwise(F.col("path"))
-        chain = joined.select("id", path.alias("path"), F.col("after"), F.col("found")).select(
-            "id",
-            "path",
-            F.when(F.col("found") & ~F.array_contains("path", F.col("after")), F.col("after")).alias("next"),
+        open_end = F.col("found") & ~F.array_contains("path", F.col("after"))
+        chain = joined.select("id", "after", "found", path.alias("path")).select(
+            "id", F.when(open_end, F.col("after")).alias("next"), "path"
         )
     return chain.select("id", *[F.get("path", F.lit(i)).alias(f"q{i + 1}") for i in range(depth)])
 

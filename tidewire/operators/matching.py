@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import constants as C
-from tidewire.functions.text import or_blank
+from tidewire.functions.text import let, or_blank
 from tidewire.operators.skew import lookup, union_all
 
 # Registries up to this many values are inlined as a literal list (their size is checked first).
@@ -102,22 +102,19 @@ def match_labelled_catalyst(posts: DataFrame, catalysts: DataFrame) -> DataFrame
     dims = catalysts.select(F.upper("label").alias("label"), F.struct(ref.alias("ref"), "date", "type").alias("c"))
     per_label = dims.groupBy("label").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     haystack = F.upper(F.concat(or_blank(F.col("summary")), F.lit(" "), or_blank(F.col("content"))))
-    rows = posts.where(~F.coalesce(F.col("catalyst_status") == "resolved", F.lit(False))).select(
-        "id", haystack.alias("haystack")
-    )
+    rows = posts.where(~F.coalesce(F.col("catalyst_status") == "resolved", F.lit(False)))
     labels = small_values(dims, "label")
     if labels is not None:
         known = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
-        hits = rows.select("id", F.explode(F.filter(known, lambda x: F.contains(F.col("haystack"), x))).alias("label"))
+        found = let(haystack, lambda h: F.filter(known, lambda x: F.contains(h, x)))
+        hits = rows.select("id", F.explode(found).alias("label"))
     else:
         lengths = dims.agg(F.collect_set(F.length("label"))).scalar()
-        hits = rows.select("id", "haystack", F.explode(lengths).alias("n")).select(
-            "id",
-            F.explode(F.array_distinct(F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("haystack") - F.col("n") + 1, F.lit(1))),
-                lambda i: F.substring(F.col("haystack"), i, F.col("n")),
-            ))).alias("label"),
-        )
+        pieces = let(haystack, lambda h: F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(h) - F.col("n") + 1, F.lit(1))),
+            lambda i: F.substring(h, i, F.col("n")),
+        )))
+        hits = rows.withColumn("n", F.explode(lengths)).select("id", F.explode(pieces).alias("label"))
     return (
         lookup(hits, per_label, "label", "inner")
         .groupBy("id")

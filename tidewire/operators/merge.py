@@ -53,11 +53,11 @@ def _fold_steps(runs: Column) -> Column:
     return F.aggregate(F.reverse(runs), F.array().cast(_STEPS), lambda acc, run: _then(run, acc))
 
 
-def _text_leaf(seq: Column, text: Column) -> Column:
+def _text_leaf(seq: Column, text: Column, counts: Column) -> Column:
     length = F.length(strip(text))
     version = F.struct(seq.alias("seq"), text.alias("text"), length.alias("len"), looks_truncated(text).alias("cut"))
     leaf = F.array(F.struct(length.alias("len"), version.alias("end")))
-    return F.when(or_blank(text) != "", leaf).otherwise(F.array()).cast(_STEPS)
+    return F.when(counts, leaf).otherwise(F.array()).cast(_STEPS)
 
 
 # --- media and link lists --------------------------------------------------------------------------------------
@@ -169,7 +169,7 @@ def _longest(value: Column, seq: Column) -> Column:
     )
 
 
-def merge_posts(observations: DataFrame, level_bits: tuple[int, ...] = (16, 32)) -> DataFrame:
+def merge_posts(observations: DataFrame, level_bits: tuple[int, ...] = (12, 24)) -> DataFrame:
     """One row per id from observations in order of ``seq`` (a unique place in the log).
 
     First sight fixes author and source; later sights fill gaps, raise flags, lengthen titles, replace cut texts
@@ -177,10 +177,15 @@ def merge_posts(observations: DataFrame, level_bits: tuple[int, ...] = (16, 32))
     sight that added a link (older link expansions are void from there on).
     """
     seq = F.col("seq")
+    said = or_blank(F.col("content")) != ""
+    wrote = strip(or_blank(F.col("article_text"))) != ""
     leaf: dict[str, Column] = {
+        # Texts that take part in the folds below are not carried twice: only blank ones are kept here.
         "first_row": F.struct(
             "seq",
-            *["author_handle", "source", "content", "article_title", "article_preview", "article_text"],
+            *["author_handle", "source", "article_title", "article_preview"],
+            F.when(~said, F.col("content")).alias("content"),
+            F.when(~wrote, F.col("article_text")).alias("article_text"),
             *_RETWEET_FILL,
             "original_content",
         ),
@@ -188,8 +193,8 @@ def merge_posts(observations: DataFrame, level_bits: tuple[int, ...] = (16, 32))
         "last_seq": seq,
         "title": _longest(F.col("article_title"), seq),
         "preview": _longest(F.col("article_preview"), seq),
-        "content": _text_leaf(seq, F.col("content")),
-        "body": _text_leaf(seq, strip(F.col("article_text"))),
+        "content": _text_leaf(seq, F.col("content"), said),
+        "body": _text_leaf(seq, F.col("article_text"), wrote),
         "media": _item_leaf(seq, F.col("media_items"), MEDIA_FIELDS),
         "link_items": _item_leaf(seq, F.col("links"), LINK_FIELDS),
         "original": F.array(
@@ -274,8 +279,8 @@ def merge_posts(observations: DataFrame, level_bits: tuple[int, ...] = (16, 32))
         longest("title", "article_title").alias("article_title"),
         longest("preview", "article_preview").alias("article_preview"),
         F.when(F.size("body") == 0, first["article_text"])
-        .when(body["seq"] == first_seq, first["article_text"])
-        .otherwise(body["text"])
+        .when(body["seq"] == first_seq, body["text"])
+        .otherwise(strip(body["text"]))
         .alias("article_text"),
         "is_retweet",
         *[F.coalesce(first[n], F.col(n)["value"]).alias(n) for n in _RETWEET_FILL],

@@ -13,6 +13,7 @@ from tidewire.functions.text import event_one_liner, non_blank
 from tidewire.functions.times import before
 from tidewire.functions.urls import post_url
 from tidewire.operators.matching import match_catalysts, registry_validate
+from tidewire.operators.skew import materialize
 
 
 def signal_kind(surprise: Column, catalyst_status: Column, catalyst_ref: Column) -> Column:
@@ -46,10 +47,20 @@ def _event_id(post_id: Column) -> Column:
     return F.concat(F.lit("sig_"), F.substring(F.sha2(F.concat(F.lit("signal:"), post_id), 256), 1, 24))
 
 
+_USED = [
+    "id", "author_handle", "created_at", "processed_at", "summary", "content", "score", "surprise", "direction", "themes",
+    "tickers", "playbook_trigger", "catalyst_status",
+]
+
+
 def signal_events(
     candidates: DataFrame, catalysts: DataFrame, calendar: DataFrame, themes: DataFrame, instruments: DataFrame
 ) -> DataFrame:
-    """One canonical event per candidate, with a deterministic id and a dedup key."""
+    """One canonical event per candidate, with a deterministic id and a dedup key.
+
+    Candidates (a day's best posts) are read by each matcher, hence materialised first.
+    """
+    candidates = materialize(candidates.select(*_USED))
     valid = registry_validate(candidates, themes, instruments).withColumnRenamed("themes", "valid_themes")
     refs = match_catalysts(candidates, catalysts, calendar)
     rows = candidates.join(valid, "id", "left").join(refs, "id", "left")
