@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import table
+from tidewire.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +40,28 @@ def op10_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack(table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
+
+
+@query
+def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from two thirds of the labelled texts, predict all."""
+    from tidewire.llm import language
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    model = language.fit(documents.where(~held_out))
+    return language.identify(documents.drop("lang"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count on three folds of labelled texts, calibrate on the fourth, score all."""
+    from tidewire.llm import toxicity
+
+    fold = fold_of(F.col("doc_id"), 5)
+    scored = toxicity.score(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold > 1, calibrate=fold == 1
+    )
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
