@@ -65,3 +65,15 @@ def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold > 1, calibrate=fold == 1
     )
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base test and the posterior's verdict on every document."""
+    from tidewire.llm import quality
+
+    return quality.assess(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
+
+
