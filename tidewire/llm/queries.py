@@ -77,3 +77,12 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+@query
+def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    from tidewire.llm import simhash
+
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
