@@ -95,3 +95,11 @@ def op7_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     left = winnow.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op6_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector among all others."""
+    from tidewire.llm import neighbours
+
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
