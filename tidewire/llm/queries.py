@@ -103,3 +103,21 @@ def op6_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm import neighbours
 
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op4_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in every document."""
+    from tidewire.llm import privacy
+
+    found = privacy.all_spans(table(spark, sf_dir, "documents"))
+    base, added = privacy.spans_text(F.col("base")), privacy.spans_text(F.col("added"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in privacy.KINDS]
+    return found.select(
+        F.col("key.id").alias("doc_id"), *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        F.concat_ws(",", F.when(F.size("base") > 0, base), F.when(F.size("added") > 0, added)).alias("spans"),
+    )
