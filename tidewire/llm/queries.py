@@ -121,3 +121,13 @@ def op4_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key.id").alias("doc_id"), *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         F.concat_ws(",", F.when(F.size("base") > 0, base), F.when(F.size("added") > 0, added)).alias("spans"),
     )
+
+
+@query
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, formatted and in reply order."""
+    from tidewire.llm import chat
+
+    ordered = chat.reply_ordered(chat.link(table(spark, sf_dir, "conversations")))
+    path = F.array_join(F.transform("path", lambda b: F.concat_ws("-", -b["back"], b["first"])), "/")
+    return ordered.select("conv_id", "turn", "role", "parent_turn", "n_quotes", "n_linked", path.alias("branches"), "formatted")

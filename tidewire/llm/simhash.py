@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewire.llm.common import checkpointed, slices
 from tidewire.llm.components import components
@@ -54,7 +55,9 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row; null texts have fingerprint 0. No shuffle."""
+    """(doc_id, fp) for every row, ids of any type; null texts have fingerprint 0. No shuffle."""
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), StructField("fp", LongType())])
 
     def run(batches):
         for batch in batches:
@@ -62,8 +65,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
                 found = [fingerprint(t, width) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, schema)
 
 
 def _tree(members: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
@@ -138,20 +140,24 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE,
+           most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, fp, component) for every row: rows share a component, named by one of its fingerprints, exactly if links
+    of fingerprints join them. Equal fingerprints (0 for texts without words too) always link; copies meet as one
+    fingerprint before anything is paired. Repeated rows are returned each; an empty table gives no rows."""
+    prints = checkpointed(fingerprints(df, doc_id, text, width))
+    distinct = prints.select("fp").distinct()
+    roots = components(links(prints, most_bits))
+    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("component"))
+    return prints.join(placed, "fp").select("doc_id", "fp", "component")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE,
                     most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row with an id: the least id reachable over links of fingerprints.
+    """(doc_id, fp, component_id) for every row: the least id reachable over links of fingerprints.
 
-    Equal fingerprints (0 for texts without words too) always link. Copies meet as one fingerprint before anything is
-    paired. Rows without an id get a null component unless they share a fingerprint with rows that have one; repeated
-    rows are returned each. An empty table gives no rows.
+    As ``groups``, with ids that are longs. Rows without an id get a null component unless rows with one are reachable.
     """
-    prints = checkpointed(fingerprints(df, doc_id, text, width))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(least, most_bits))
-    placed = least.join(roots, least["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    found = checkpointed(groups(df, doc_id, text, width, most_bits).withColumn("doc_id", F.col("doc_id").cast("long")))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", "fp", "component_id")
