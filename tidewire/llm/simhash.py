@@ -68,11 +68,11 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     return rows.mapInArrow(run, schema)
 
 
-def _tree(members: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
+def _tree(members: np.ndarray, most_bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that span the linked groups of one list: each member is compared with those not reached yet."""
-    left, found = members, []
+    left, ends, roots = members, [], []
     while len(left) > 1:
-        root, left = left[0], left[1:]
+        root, left = left[:1], left[1:]
         front = [root]
         while front and len(left):
             apart = left ^ front.pop()
@@ -81,10 +81,11 @@ def _tree(members: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
             near = near[np.bitwise_count(apart[near]) <= most_bits]
             if len(near):
                 reached = left[near]
-                found += [(int(r), int(root)) for r in reached.view(np.int64)]
-                front += list(reached)
+                ends.append(reached)
+                roots.append(np.repeat(root, len(reached)))
+                front += [reached[i : i + 1] for i in range(len(reached))]
                 left = np.delete(left, near)
-    return found
+    return ends, roots
 
 
 def _links_of(keys: np.ndarray, values: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +95,12 @@ def _links_of(keys: np.ndarray, values: np.ndarray, most_bits: int) -> tuple[np.
     pairs = edges[:-1][sizes == 2]
     left, right = values[pairs], values[pairs + 1]
     near = np.bitwise_count(left ^ right) <= most_bits
-    a, b = [left[near].view(np.int64)], [right[near].view(np.int64)]
+    a, b = [left[near]], [right[near]]
     for start, size in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        found = _tree(values[start : start + size], most_bits)
-        if found:
-            x, y = zip(*found)
-            a.append(np.array(x, np.int64))
-            b.append(np.array(y, np.int64))
-    return np.concatenate(a), np.concatenate(b)
+        ends, roots = _tree(values[start : start + size], most_bits)
+        a += ends
+        b += roots
+    return np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
 
 
 def links(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
