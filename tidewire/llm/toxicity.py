@@ -203,7 +203,8 @@ def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("_label"))
     learn = F.lit(True) if learn is None else learn
     calibrate = F.lit(True) if calibrate is None else calibrate
-    texts = df.where(learn).select(doc_id, text).join(known.where(learn), doc_id)
+    # Merged at every size: labels grow with the documents, so they are never sent to all tasks.
+    texts = df.where(learn).select(doc_id, text).join(known.where(learn).hint("merge"), doc_id)
     slots = fit_slots(texts, text, "_label")
     found = checkpointed(likelihoods(df, slots, doc_id, text))
     rows = (
