@@ -24,13 +24,13 @@ SAMPLE = 16_384
 MOST_LISTS = 4_096
 LIST_SIZE = 256
 # Lists a border vector stands in, and how much farther than the nearest centroid theirs may be.
-COPIES = 4
-BORDER = 0.10
+COPIES = 2
+BORDER = 0.05
 WISHED_RECALL = 0.98
 DEGREE = 16
-# Vectors and queries that meet in one task: longer lists are cut into blocks.
-BLOCK_VECTORS = 8_192
-BLOCK_QUERIES = 4_096
+# Components of the vectors, and queries, that meet in one task: short lists stand on one shelf, long ones are cut.
+SHELF_COMPONENTS = 1 << 21
+SHELF_QUERIES = 4_096
 
 
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -85,6 +85,7 @@ class Index:
     ratio: float
     radius: float
     sizes: np.ndarray | None = None
+    shelf: np.ndarray | None = None
 
     def lengthened(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.radius**2 - (x**2).sum(axis=1), 0))
@@ -153,17 +154,39 @@ def fit(sample: np.ndarray, radius: float, lists: int, recall: float = WISHED_RE
     return index
 
 
-def _best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int):
-    """Rows of the ``k`` largest inner products per query, ties to smaller ids."""
-    score = q @ v.T
-    for i, row in enumerate(score):
-        rows = np.arange(len(row))
-        if len(row) > k:
-            least = np.partition(row, len(row) - k)[len(row) - k]
-            rows = np.flatnonzero(row >= least - 1e-9)
-        exact = (v[rows] * q[i]).sum(axis=1)
-        order = np.lexsort((ids[rows], -exact))[:k]
-        yield i, rows[order], exact[order]
+def shelve(posted: dict[int, int], lists: int, most: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Shelf of each list, and into how many blocks each shelf is cut: lists one after another, about ``most`` vectors."""
+    shelf, held, size = np.zeros(lists, np.int32), {0: 0}, 0
+    now = 0
+    for number in range(lists):
+        size = posted.get(number, 0)
+        if held[now] and held[now] + size > most:
+            now += 1
+            held[now] = 0
+        held[now] += size
+        shelf[number] = now
+    return shelf, {k: max(1, -(-n // most)) for k, n in held.items()}
+
+
+def _best(q: np.ndarray, wanted: list, v: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
+    """Rows of the ``k`` largest inner products of each query among the lists it wants, ties to smaller ids."""
+    edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+    for start in range(0, len(q), 128):
+        part = q[start : start + 128]
+        score = np.full((len(part), len(v)), -np.inf)
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            asks = [i for i in range(len(part)) if own[low] in wanted[start + i]]
+            if asks:
+                score[asks, low:high] = part[asks] @ v[low:high].T
+        # A vector may stand in several lists of a shelf: take as many more and keep the first of each.
+        take = min(k * COPIES, len(v))
+        least = np.partition(score, len(v) - take, axis=1)[:, len(v) - take]
+        for i, row in enumerate(score):
+            rows = np.flatnonzero((row >= least[i] - 1e-9) & (row > -np.inf))
+            rows = rows[np.unique(ids[rows], axis=0, return_index=True)[1]]
+            exact = (v[rows] * part[i]).sum(axis=1)
+            order = np.lexsort((ids[rows, 0], -exact))[:k]
+            yield start + i, rows[order], exact[order]
 
 
 def search(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -218,23 +241,34 @@ def search(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embeddi
     index.sizes = np.zeros(len(index.centroids), np.int64)
     for row in counted:
         index.sizes[row["list"]] = row["own"]
+    most = max(1024, SHELF_COMPONENTS // common["dim"])
+    index.shelf, blocks = shelve({r["list"]: r["n"] for r in counted}, len(index.centroids), most)
     probing = spark.sparkContext.broadcast(index)
 
     def probe(batches):
         for batch in batches:
+            own = probing.value
             vectors = np.array(batch.column("v").to_pylist(), float).reshape(batch.num_rows, -1)
-            found = [probing.value.search(q, k + 1) for q in probing.value.lengthened(vectors, query=True)] if len(vectors) else []
-            places = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            taken = batch.take(pa.array(places))
+            places, shelves, lists = [], [], []
+            for place, q in enumerate(own.lengthened(vectors, query=True) if len(vectors) else []):
+                by_shelf: dict[int, list[int]] = {}
+                for number in own.search(q, k + 1):
+                    by_shelf.setdefault(int(own.shelf[number]), []).append(number)
+                places += [place] * len(by_shelf)
+                shelves += list(by_shelf)
+                lists += list(by_shelf.values())
+            taken = batch.take(pa.array(places, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array([n for f in found for n in f], pa.int32())], [*batch.schema.names, "list"]
+                [*taken.columns, pa.array(shelves, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "shelf", "lists"]
             )
 
     questions = classes.select("key", "v").join(asking.select("key").distinct(), "key", "left_semi")
-    probes = checkpointed(questions.mapInArrow(probe, kind + ", list int"))
-    asked = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts = [(r["list"], -(-r["n"] // BLOCK_VECTORS), -(-asked[r["list"]] // BLOCK_QUERIES)) for r in counted if r["list"] in asked]
-    cut = F.broadcast(spark.createDataFrame(cuts, "list int, blocks int, rounds int"))
+    probes = checkpointed(questions.mapInArrow(probe, kind + ", shelf int, lists array<int>"))
+    # One row per shelf, fewer than lists.
+    asked = {r["shelf"]: r["n"] for r in probes.groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = [(s, blocks[s], -(-n // SHELF_QUERIES)) for s, n in asked.items()]
+    cut = F.broadcast(spark.createDataFrame(cuts, "shelf int, blocks int, rounds int"))
+    shelf_of = F.broadcast(spark.createDataFrame([(i, int(s)) for i, s in enumerate(index.shelf)], "list int, shelf int"))
 
     def dealt(number: str):
         return (F.pmod(F.xxhash64("key.id", "key.h", F.lit(1)), F.col(number))).cast("int")
@@ -242,21 +276,23 @@ def search(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embeddi
     def all_of(number: str):
         return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
 
-    left = probes.join(cut, "list").withColumn("round", dealt("rounds")).withColumn("block", all_of("blocks"))
-    right = posted.join(cut, "list").withColumn("block", dealt("blocks")).withColumn("round", all_of("rounds"))
+    left = probes.join(cut, "shelf").withColumn("round", dealt("rounds")).withColumn("block", all_of("blocks"))
+    right = posted.join(shelf_of, "list").join(cut, "shelf").withColumn("block", dealt("blocks")).withColumn("round", all_of("rounds"))
 
     def compare(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         made = []
         if len(queries) and len(vectors):
-            ids = np.array([x["id"] for x in vectors["key"]], np.int64)
+            vectors = vectors.sort_values("list", kind="stable").reset_index(drop=True)
+            ids = np.array([(x["id"], x["h"]) for x in vectors["key"]], np.int64)
             v, q = np.array(vectors["v"].tolist(), float), np.array(queries["v"].tolist(), float)
-            for i, found, exact in _best(q, v, ids, k + 1):
+            wanted = [set(x.tolist()) for x in queries["lists"]]
+            for i, found, exact in _best(q, wanted, v, vectors["list"].to_numpy(), ids, k + 1):
                 key = queries["key"].iloc[i]
                 made += [(key["id"], key["h"], vectors["ids"].iloc[j], s) for j, s in zip(found.tolist(), exact.tolist())]
         return pd.DataFrame(made, columns=["id", "h", "ids", "score"])
 
-    by = ["list", "round", "block"]
-    met = left.select("key", "v", *by).groupBy(*by).cogroup(right.select("key", "v", "ids", *by).groupBy(*by))
+    by = ["shelf", "round", "block"]
+    met = left.select("key", "v", "lists", *by).groupBy(*by).cogroup(right.select("key", "v", "ids", "list", *by).groupBy(*by))
     scored = met.applyInPandas(compare, "id long, h long, ids array<long>, score double")
     once = scored.groupBy("id", "h", "ids").agg(F.max("score").alias("score"))
     of_query = Window.partitionBy("id", "h")
