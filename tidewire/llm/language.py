@@ -32,44 +32,40 @@ def _letters() -> np.ndarray:
     return codes
 
 
-def _grams_of(codes: np.ndarray) -> np.ndarray:
-    """Codes of all n-grams of a stretch that begins and ends with a gap; a gap counts as an edge letter."""
-    shifted = np.uint64(21)
-    found, grams = [], codes
-    found.append(codes[codes > 0])
-    for length in range(2, GRAM + 1):
-        grams = (grams[:-1] << shifted) | codes[length - 1 :]
-        inner = np.ones(len(grams), bool)
-        for place in range(1, length - 1):
-            inner &= codes[place : place + len(grams)] > 0
-        # A gap may stand first or last, never both at once around nothing.
-        inner &= (codes[: len(grams)] > 0) | (codes[length - 1 :] > 0)
+def _grams_of(codes: np.ndarray, known: int) -> np.ndarray:
+    """Codes of all n-grams of 1 to ``GRAM`` letters that end behind the first ``known`` places; a gap counts as a letter
+    at a word's edge and never stands inside."""
+    found = []
+    for length in range(1, GRAM + 1):
+        part = codes[max(0, known - length + 1) :]
+        count = len(part) - length + 1
+        if count <= 0:
+            continue
+        grams, whole = np.zeros(count, np.uint64), np.ones(count, bool)
+        for place in range(length):
+            grams = (grams << np.uint64(21)) | part[place : place + count]
+            if length == 1 or 0 < place < length - 1:
+                whole &= part[place : place + count] > 0
         tag = np.uint64(1 << 63) if length == 2 else np.uint64(0)
-        found.append(grams[inner] | tag)
-    return np.concatenate(found)
+        found.append(grams[whole] | tag)
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def count_grams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of the whole text and their counts."""
-    keys = counts = None
+    """The distinct n-grams of the whole text and their counts, read in stretches that carry their last places over."""
+    gap = np.zeros(1, np.uint64)
+    last, keys, counts = gap, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for start in range(0, len(text), STRETCH):
-        # Two code points before the stretch give the n-grams that reach over its start; those inside are counted once.
-        begin = max(0, start - (GRAM - 1))
-        points = np.frombuffer(text[begin : start + STRETCH].lower().encode("utf-32-le", "replace"), np.uint32)
-        codes = letters[points]
-        pad = np.zeros(1, np.uint64)
-        codes = np.concatenate([pad, codes, pad])
-        gap = codes == 0
+        points = np.frombuffer(text[start : start + STRETCH].lower().encode("utf-32-le", "replace"), np.uint32)
+        codes = np.concatenate([last, letters[points], gap if start + STRETCH >= len(text) else gap[:0]])
         keep = np.ones(len(codes), bool)
-        keep[1:] = ~(gap[1:] & gap[:-1])
-        some, n = np.unique(_grams_of(codes[keep]), return_counts=True)
-        if keys is None:
-            keys, counts = some, n
-        else:
-            keys, inverse = np.unique(np.concatenate([keys, some]), return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([counts, n])).astype(np.int64)
-    if keys is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)
+        codes = codes[keep]
+        some, n = np.unique(_grams_of(codes, len(last)), return_counts=True)
+        if start:
+            some, inverse = np.unique(np.concatenate([keys, some]), return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate([counts, n]), minlength=len(some)).astype(np.int64)
+        keys, counts, last = some, n, codes[-(GRAM - 1) :]
     return keys, counts
 
 
@@ -99,7 +95,7 @@ def profiles(df: DataFrame, lang: str = "lang", text: str = "text", size: int =
                     keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
                     counts = np.bincount(inverse, weights=np.concatenate([n for _, n in found]), minlength=len(keys))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(keys)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))],
+                        [pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))],
                         ["lang", "gram", "n"],
                     )
 

@@ -42,7 +42,7 @@ def word_counts(df: DataFrame, text: str, label: str) -> DataFrame:
                     for word in _WORDS(value.lower()):
                         counts.setdefault(word, [0, 0])[toxic] += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(counts)), *[pa.array([n[i] for n in counts.values()], pa.int64()) for i in (0, 1)]],
+                    [pa.array(list(counts), pa.string()), *[pa.array([n[i] for n in counts.values()], pa.int64()) for i in (0, 1)]],
                     ["word", "n0", "n1"],
                 )
 
