@@ -12,9 +12,20 @@ from tidewire.schemas import ACTIONS, ANALYSED_MEDIA, CHART, LINKS, POINTS, TABL
 _EMPTY = "array<string>"
 
 
+def whole_json(text: Column) -> Column:
+    """The text as one JSON value; null where anything stands before or behind it.
+
+    The parser stops behind the first value. Put into a list and into an object, a text that is more than one value
+    breaks at least one of the two, or gives a longer list.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.size(listed) == 1) & named.isNotNull(), listed[0])
+
+
 def _strings(value: Column) -> Column:
     """JSON list as strings; null where the text is no list."""
-    parsed = F.try_parse_json(value)
+    parsed = whole_json(value)
     is_list = F.schema_of_variant(parsed).startswith("ARRAY")
     return F.when(is_list, F.from_json(value, "array<string>"))
 
@@ -27,7 +38,7 @@ def json_list_or_csv(value: Column) -> Column:
 
 def json_list_or_scalar(value: Column) -> Column:
     """JSON list, a JSON string as a singleton, or the raw text itself as a singleton."""
-    scalar = F.try_variant_get(F.try_parse_json(value), "$", "string")
+    scalar = F.try_variant_get(whole_json(value), "$", "string")
     return F.when(or_blank(value) == "", F.array().cast(_EMPTY)).otherwise(
         F.coalesce(_strings(value), F.array(F.coalesce(scalar, value)))
     )
@@ -39,7 +50,7 @@ def json_list_strict(value: Column) -> Column:
 
 def json_objects(value: Column, schema: str) -> Column:
     """Objects of a JSON list; ``{"items": [...]}`` is accepted too; other elements are dropped."""
-    variant = F.try_parse_json(value)
+    variant = whole_json(value)
     listed = F.coalesce(
         F.try_variant_get(variant, "$.items", "array<variant>"), F.try_variant_get(variant, "$", "array<variant>")
     )
@@ -95,13 +106,24 @@ def article_actions(value: Column, limit: int | None = None) -> Column:
     return actions if limit is None else F.slice(actions, 1, limit)
 
 
+def _container(parsed: Column) -> Column:
+    """The value where it is a list or an object, else null."""
+    kind = F.schema_of_variant(parsed)
+    return F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), parsed)
+
+
 def _close(text: Column, body: Column) -> Column:
     """The text, or what starts at its first bracket, parsed; cut lists and objects are closed."""
     trimmed = F.regexp_replace(body, r"\s*,?\s*$", "")
     last_object = F.regexp_extract(body, r"(?s)^(.*\})", 1)
     return F.coalesce(
-        F.try_parse_json(non_blank(text)),
-        F.try_parse_json(non_blank(body)),
+        _container(whole_json(non_blank(text))),
+        _container(whole_json(non_blank(body))),
+        # Prose behind a list or an object: what ends at its last bracket.
+        _container(whole_json(F.regexp_extract(body, r"(?s)^(\[.*\])", 1))),
+        _container(whole_json(F.regexp_extract(body, r"(?s)^(\{.*\})", 1))),
+        # Prose with brackets before the results: what starts at the first list of objects.
+        _container(whole_json(F.regexp_extract(text, r"(?s)(\[\s*\{.*\])", 1))),
         F.when(body.startswith("["), F.try_parse_json(F.concat(trimmed, F.lit("]")))),
         F.when(
             body.startswith("[") & (last_object != ""), F.try_parse_json(F.concat(last_object, F.lit("]")))
@@ -139,7 +161,8 @@ def model_items(value: Column) -> Column:
             .when(kind.startswith("OBJECT"), F.array(parsed))
         )
 
-    return let(model_output(value), opened)
+    objects = let(model_output(value), opened)
+    return F.filter(objects, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
 
 
 def first_object(value: Column) -> Column:
@@ -152,6 +175,14 @@ def first_object(value: Column) -> Column:
     return let(model_output(value), pick)
 
 
+def has_score(item: Column) -> Column:
+    """The item has an id, and its score is a number or missing."""
+    stated = F.try_variant_get(item, "$.score", "variant")
+    missing = stated.isNull() | (F.schema_of_variant(stated) == "VOID")
+    return non_blank(F.try_variant_get(item, "$.id", "string")).isNotNull() & (
+        missing | F.try_variant_get(item, "$.score", "double").isNotNull())
+
+
 def score_item(item: Column) -> Column:
     """One raw result object -> normalised score struct."""
 
@@ -164,7 +195,7 @@ def score_item(item: Column) -> Column:
         F.when(non_blank(get("categories")).isNotNull() & listed.isNull(), F.array(get("categories"))),
         F.array(F.coalesce(get("category"), F.lit("noise"))),
     )
-    surprise = F.coalesce(get("surprise", "double").cast("int"), F.lit(0))
+    surprise = F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.coalesce(get("surprise", "double"), F.lit(0.0)))).cast("int")
     one_of = lambda v, allowed: F.when(v.isin(allowed), v)
     empty = F.array().cast(_EMPTY)
     return F.struct(
@@ -173,7 +204,7 @@ def score_item(item: Column) -> Column:
         categories.alias("categories"),
         or_blank(get("summary")).alias("summary"),
         F.coalesce(get("tickers", "array<string>"), empty).alias("tickers"),
-        F.greatest(F.lit(0), F.least(F.lit(2), surprise)).alias("surprise"),
+        surprise.alias("surprise"),
         F.coalesce(get("is_stale_repeat", "boolean"), F.lit(False)).alias("is_stale_repeat"),
         F.coalesce(get("themes", "array<string>"), empty).alias("themes"),
         one_of(get("playbook_trigger"), C.PLAYBOOK_TRIGGERS).alias("playbook_trigger"),

@@ -23,9 +23,10 @@ def before(moment: datetime, **delta: float) -> Column:
 
 
 def parse_timestamp(value: Column) -> Column:
-    """ISO text (``Z`` or offset; naive means UTC) or the classic feed format; anything else is null."""
+    """ISO text with a full date (``Z`` or offset; naive means UTC) or the classic feed format; anything else is null."""
+    dated = value.rlike(r"^\s*\d{4,6}-\d{1,2}-\d{1,2}(?:[T ]|\s*$)")
     classic = F.regexp_extract(value, r"^[A-Za-z]{3} ([A-Za-z]{3} \d{2} \d{2}:\d{2}:\d{2} [+-]\d{4} \d{4})$", 1)
-    return F.coalesce(value.try_cast("timestamp"), F.try_to_timestamp(classic, F.lit("MMM dd HH:mm:ss Z yyyy")))
+    return F.coalesce(F.when(dated, value.try_cast("timestamp")), F.try_to_timestamp(classic, F.lit("MMM dd HH:mm:ss Z yyyy")))
 
 
 def market_day_cutoff(ts: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import brief_text, non_blank, or_blank
 from tidewire.functions.times import before, in_range
 from tidewire.functions.urls import post_url
+from tidewire.operators.skew import lookup
 from tidewire.operators.state import tier_rank
 
 # A page may be broadcast because its row count is an argument; longer pages join by shuffle.
@@ -69,7 +70,7 @@ def filter_posts(
 
 def restrict_to(posts: DataFrame, ids: DataFrame) -> DataFrame:
     """Posts with an id in ``ids``; an empty set gives no rows."""
-    return posts.join(ids.select("id").distinct(), "id", "left_semi")
+    return lookup(posts, ids, "id", "left_semi")
 
 
 def _page(rows: DataFrame, keys: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -240,7 +241,7 @@ def reactions_export(
     rows = reactions if reaction_type is None else reactions.where(F.col("reaction_type") == reaction_type)
     existing = posts.select(F.col("id").alias("post_id"))
     page = (
-        rows.join(existing, "post_id", "left_semi")
+        lookup(rows, existing, "post_id", "left_semi")
         .orderBy(F.col("created_at").desc(), F.col("reaction_id").desc())
         .limit(limit)
     )

@@ -52,10 +52,10 @@ def expand_dependencies(posts: DataFrame, sources: DataFrame, depth: int = 3) ->
     return start.unionByName(posts.where(F.col("processed_at").isNull()).join(more, "id", "left_semi"))
 
 
-def missing_dependencies(posts: DataFrame) -> DataFrame:
-    """Ids that posts depend on but that are not stored."""
+def missing_dependencies(posts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Ids that posts depend on but that are not among the ``stored`` ones (all of ``posts`` by default)."""
     named = dependency_ids(posts).select(F.explode("deps").alias("id")).distinct()
-    return named.join(posts.select("id"), "id", "left_anti")
+    return named.join((posts if stored is None else stored).select("id"), "id", "left_anti")
 
 
 def with_inline_links(posts: DataFrame) -> DataFrame:

@@ -132,9 +132,6 @@ def match_catalysts(posts: DataFrame, catalysts: DataFrame, calendar: DataFrame)
 
 def _keep_known(rows: DataFrame, column: str, dim: DataFrame, dim_column: str) -> DataFrame:
     """Elements of an array column that the registry knows, in their order."""
-    known = small_values(dim, dim_column)
-    if known is not None:
-        return rows.withColumn(column, F.filter(column, lambda v: v.isin(known)) if known else F.array().cast("array<string>"))
     flat = rows.select("id", F.posexplode(column).alias("pos", "key"))
     kept = (
         lookup(flat, dim.select(F.col(dim_column).alias("key")).distinct(), "key", "inner")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import let, looks_truncated, non_blank, or_blank, rstrip, strip
-from tidewire.operators.skew import tree_fold
+from tidewire.operators.skew import lookup, tree_fold
 
 RICHER_BY = 120
 _VERSION = "struct<seq:long,text:string,len:int,cut:boolean>"
@@ -299,4 +299,4 @@ def dedupe_first_seen(rows: DataFrame, order: str = "seq") -> DataFrame:
 
 def new_observations(observations: DataFrame, known: DataFrame) -> DataFrame:
     """Observations whose id is not among the known posts."""
-    return observations.join(known.select("id"), "id", "left_anti")
+    return lookup(observations, known, "id", "left_anti")

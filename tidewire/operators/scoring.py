@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.decode import model_items, model_output, score_item
+from tidewire.functions.decode import has_score, model_items, model_output, score_item
 from tidewire.functions.text import or_blank
 from tidewire.functions.times import vision_age_ok
 from tidewire.operators.skew import lookup
@@ -108,16 +108,22 @@ def score_batches(
 
 
 def normalize_scores(batches: DataFrame) -> DataFrame:
-    """Raw scorer texts -> score results. Texts that cannot be parsed give no rows (see ``score_failures``)."""
-    items = model_items(F.col("raw"))
-    return batches.where(F.col("raw").isNotNull()).select(F.explode(items).alias("v")).select(
-        score_item(F.col("v")).alias("s")
-    ).select("s.*")
+    """Raw scorer texts -> score results, for ids of their batch with a score that is a number (or missing: 0).
+
+    All other ids of a batch are in ``score_failures``. Both read ``batches``: write the raw answers down first, or the
+    scorer is called once for each.
+    """
+    items = F.filter(model_items(F.col("raw")), has_score)
+    scored = batches.where(F.col("raw").isNotNull()).select("ids", F.explode(items).alias("v"))
+    return scored.select("ids", score_item(F.col("v")).alias("s")).where(F.array_contains("ids", F.col("s.id"))).select("s.*")
 
 
 def score_failures(batches: DataFrame) -> DataFrame:
-    """Batches for quarantine: the call failed or its text could not be parsed."""
-    unparsed = model_output(F.col("raw")).isNull()
-    return batches.where(F.col("error").isNotNull() | unparsed).withColumn(
-        "error", F.coalesce("error", F.lit("unparsable output"))
-    )
+    """Batches for quarantine, with the ids that got no score: the call failed, its text could not be parsed, or the
+    answer leaves them out or scores them by no number."""
+    items = F.filter(model_items(F.col("raw")), has_score)
+    answered = F.transform(items, lambda v: F.try_variant_get(v, "$.id", "string"))
+    missing = F.array_except("ids", F.coalesce(answered, F.array().cast("array<string>")))
+    why = F.when(model_output(F.col("raw")).isNull(), "unparsable output").otherwise("no score in the answer")
+    return batches.withColumn("ids", F.when(F.col("error").isNotNull(), F.col("ids")).otherwise(missing)).where(
+        F.size("ids") > 0).withColumn("error", F.coalesce("error", why))

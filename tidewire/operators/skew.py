@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-# A key is hot above this share of all rows, so there can never be more than 1/HOT_SHARE hot keys:
-# the set of hot keys (and one looked-up row for each) has a proven size and may be broadcast.
+# A key is hot above the share of rows of one shuffle partition, or this share where partitions are fewer. There can never
+# be more than 1/share hot keys: the set of them (and one looked-up row for each) has a proven size and may be broadcast.
 HOT_SHARE = 1 / 500
 # Salts a hot key is spread over.
 SPREAD = 64
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+def hot_share(spark: SparkSession) -> float:
+    return min(HOT_SHARE, 1 / int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_keys(df: DataFrame, key: str, share: float | None = None) -> DataFrame:
     """Keys above ``share`` of the keyed rows of ``df``: at most ``1/share`` rows. Counts combine before the shuffle."""
+    share = hot_share(df.sparkSession) if share is None else share
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n"))
     return counts.where(F.col("_n") > total.scalar() * F.lit(share)).select(F.col(key).alias("_hot"))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: float = HOT_SHARE) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: float | None = None) -> DataFrame:
     """Join ``left`` to ``right`` (unique on ``key``) so that no key sends its rows to one task.
 
+    With ``left_semi`` and ``left_anti`` only the keys of ``right`` count, and they may repeat.
+
     Rows of hot keys are spread over ``SPREAD`` salts and their looked-up rows (at most one per hot key, so few) are
     copied to each salt; rows without a key are spread too, as they match nothing. All others join as usual.
     """
-    if how not in ("left", "inner"):
+    if how in ("left_semi", "left_anti"):
+        right = right.select(key).distinct()
+    elif how not in ("left", "inner"):
         raise ValueError(f"unsupported lookup: {how!r}")
     hot = F.broadcast(hot_keys(left, key, share))
     is_hot = F.col("_hot").isNotNull()
@@ -45,14 +53,8 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", share
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local session without one gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder the cluster names in ``spark.checkpoint.dir``; unset, one in the warehouse, which is shared as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
 
 
 def materialize(df: DataFrame) -> DataFrame:

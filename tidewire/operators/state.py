@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire import constants as C
 from tidewire.functions.times import at, before
+from tidewire.operators.skew import lookup
 
 
 def tier_rank(tier: Column) -> Column:
@@ -125,4 +126,4 @@ def prune_count(posts: DataFrame, as_of: datetime, days: int = 14) -> DataFrame:
 
 def orphans_removed(rows: DataFrame, posts: DataFrame, post_column: str = "post_id") -> DataFrame:
     """Rows whose post still exists (after a prune)."""
-    return rows.join(posts.select(F.col("id").alias(post_column)), post_column, "left_semi")
+    return lookup(rows, posts.select(F.col("id").alias(post_column)), post_column, "left_semi")

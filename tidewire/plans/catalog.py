@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.plans.testfeed import AS_OF, Feed
+from tidewire.plans.feed_views import AS_OF, Feed
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from tidewire import constants as C
 from tidewire.functions.times import parse_timestamp, time_range
 from tidewire.operators import authors, feed, media, metrics, narratives, stats, usage
 from tidewire.plans.catalog import DAY, query
-from tidewire.plans.testfeed import AS_OF, Feed
+from tidewire.plans.feed_views import AS_OF, Feed
 
 _PAGE = ("id", "author_handle", "created_at", "score", "signal_tier", "categories", "tickers", "bookmarked")
 _PAGE_SQL = """id, author_handle, epoch_us(created_at) AS created_at, score, signal_tier,

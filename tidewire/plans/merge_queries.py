@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import graph, merge, state
 from tidewire.plans.catalog import query
-from tidewire.plans.testfeed import AS_OF, Feed
+from tidewire.plans.feed_views import AS_OF, Feed
 from tidewire.sources import files, payloads
 
 
@@ -308,8 +308,7 @@ def expand_dependencies(t: Feed) -> DataFrame:
 @query("G3", f"""{_EDGES} SELECT DISTINCT dep AS id FROM deps WHERE dep NOT IN (SELECT id FROM reactions r JOIN posts ON posts.id = r.post_id)""")
 def missing_dependencies(t: Feed) -> DataFrame:
     reacted = t.reactions.select(F.col("post_id").alias("id")).distinct()
-    edges = graph.dependency_ids(t.posts).select(F.explode("deps").alias("id")).distinct()
-    return edges.join(t.posts.join(reacted, "id", "left_semi").select("id"), "id", "left_anti")
+    return graph.missing_dependencies(t.posts, t.posts.join(reacted, "id", "left_semi"))
 
 
 _QUOTES = """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import alerts, articles, matching, scoring, signals
 from tidewire.plans.catalog import query
-from tidewire.plans.testfeed import AS_OF, Feed
+from tidewire.plans.feed_views import AS_OF, Feed
 from tidewire.schemas import ANALYSED_MEDIA
 
 

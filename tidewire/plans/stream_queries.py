@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidewire.operators.alerts import should_alert
 from tidewire.operators.skew import shared_folder
 from tidewire.plans.catalog import query
-from tidewire.plans.testfeed import Feed
+from tidewire.plans.feed_views import Feed
 from tidewire.streaming import jobs
 
 
@@ -88,7 +88,7 @@ SELECT count(*) FILTER (hour >= TIMESTAMP '2024-01-29 11:00:00') AS last_hour,
   count(*) FILTER (hour >= TIMESTAMP '2024-01-28 12:00:00') AS last_24h,
   count(*) FILTER (hour >= TIMESTAMP '2024-01-22 12:00:00') AS last_7d FROM h""")
 def rolled_counts(t: Feed) -> DataFrame:
-    from tidewire.plans.testfeed import AS_OF
+    from tidewire.plans.feed_views import AS_OF
 
     return jobs.rolled_counts(jobs.hourly_counts(t.posts.where("processed_at IS NOT NULL")), AS_OF)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import decode, text, urls
 from tidewire.operators import feed, search
 from tidewire.plans.catalog import query
-from tidewire.plans.testfeed import Feed
+from tidewire.plans.feed_views import Feed
 
 
 @query("J1 J2 J3", """

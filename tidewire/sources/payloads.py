@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.decode import whole_json
 from tidewire.functions.text import (
     looks_truncated,
     non_blank,
@@ -16,6 +17,8 @@ from tidewire.functions.text import (
 from tidewire.functions.times import parse_timestamp
 from tidewire.schemas import LINKS, MEDIA_ITEMS
 
+# Wrappers within wrappers that are opened; what is wrapped deeper goes to quarantine.
+NESTING = 6
 _ID_KEYS = ("id", "id_str", "tweetId", "rest_id")
 
 
@@ -46,9 +49,14 @@ def _items(v: Column) -> Column:
     )
 
 
-def _open(rows: DataFrame, nesting: int) -> DataFrame:
+def _levels(rows: DataFrame, nesting: int) -> DataFrame:
     for _ in range(nesting):
         rows = rows.withColumn("v", F.explode(_items(F.col("v"))))
+    return rows
+
+
+def _open(rows: DataFrame, nesting: int) -> DataFrame:
+    rows = _levels(rows, nesting)
     is_post = F.schema_of_variant("v").startswith("OBJECT") & _first_text(F.col("v"), *_ID_KEYS).isNotNull()
     return rows.where(is_post)
 
@@ -56,27 +64,36 @@ def _open(rows: DataFrame, nesting: int) -> DataFrame:
 def _parsed(spark: SparkSession, path: str, whole_files: bool) -> DataFrame:
     text = spark.read.text(path, wholetext=whole_files).select("value", F.col("_metadata.file_path").alias("file"))
     return text.where(strip(F.col("value")) != "").withColumn(
-        "v", F.try_parse_json("value")
+        "v", whole_json(F.col("value"))
     )
 
 
-def read_observations(spark: SparkSession, path: str, whole_files: bool = False, nesting: int = 3) -> DataFrame:
+def read_observations(spark: SparkSession, path: str, whole_files: bool = False, nesting: int = NESTING) -> DataFrame:
     """Payload objects (columns file, v) that carry an id.
 
     Line-delimited files split across tasks. Files that hold one array or page over several lines need
-    ``whole_files``; one such file is one record, so keep them small. ``nesting`` bounds wrappers within wrappers.
+    ``whole_files``; one such file is one record, so keep them small. Records with more than ``nesting`` wrappers within
+    wrappers are in ``read_quarantine``.
     """
     return _open(_parsed(spark, path, whole_files), nesting).select("file", "v")
 
 
-def read_quarantine(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """Records of the same files that are no JSON."""
-    return _parsed(spark, path, whole_files).where(F.col("v").isNull()).select("file", "value")
+def read_quarantine(spark: SparkSession, path: str, whole_files: bool = False, nesting: int = NESTING) -> DataFrame:
+    """Records of the same files that are no JSON, or still hold lists or pages below ``nesting`` wrappers."""
+    return quarantined(_parsed(spark, path, whole_files), nesting).select("file", "value")
+
+
+def quarantined(parsed: DataFrame, nesting: int = NESTING) -> DataFrame:
+    """Rows of ``parsed`` whose ``v`` is null or not opened by ``nesting`` steps; a row with several such parts once."""
+    others = [c for c in parsed.columns if c != "v"]
+    wrapped = F.schema_of_variant("v").startswith("ARRAY") | F.try_variant_get("v", "$.tweets", "array<variant>").isNotNull()
+    deep = _levels(parsed, nesting).where(wrapped).select(*others).distinct()
+    return parsed.where(F.col("v").isNull()).select(*others).unionByName(deep)
 
 
-def parse_payloads(raw: DataFrame, column: str, nesting: int = 3) -> DataFrame:
-    """The same from a text column; other columns are kept. Unparsable texts give no rows."""
-    return _open(raw.withColumn("v", F.try_parse_json(column)), nesting)
+def parse_payloads(raw: DataFrame, column: str, nesting: int = NESTING) -> DataFrame:
+    """The same from a text column; other columns are kept. Unparsable texts give no rows (see ``quarantined``)."""
+    return _open(raw.withColumn("v", whole_json(F.col(column))), nesting)
 
 
 def post_id(v: Column) -> Column:
