@@ -1,5 +1,6 @@
 """Single operators on small hand-made rows, against truth tables or a brute-force walk."""
 
+import html.entities
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import times, urls
-from tidewire.functions.text import let, looks_truncated, unescape_html
+from tidewire.functions.text import fixed, let, looks_truncated, unescape_html
 from tidewire.operators import alerts, feed, graph, matching, metrics, scoring, search, signals, skew, stats, usage
 
 
@@ -135,16 +136,84 @@ def test_positions_prefer_exact_tickers(spark):
     assert got == {"1": "CCC (short)", "2": "AAA (owned, t1)"}
 
 
-def test_long_calendars_match_like_short_ones(spark, monkeypatch):
+def test_labels_of_any_length_match(spark):
     posts = spark.createDataFrame([("1", "cpi print", "x"), ("2", "fomc and cpi", ""), ("3", None, "the FOMC met")],
                                   "id string, summary string, content string").withColumn("catalyst_status", F.lit(None).cast("string"))
     calendar = spark.createDataFrame([("CPI", "cpi"), ("FOMC", "fomc")], "label string, type string").selectExpr(
         "label", "type", "'us' AS scope", "DATE'2024-01-01' AS date")
     want = {"1": "cpi:us:2024-01-01", "3": "fomc:us:2024-01-01"}
-    for limit in (1000, 1):
-        monkeypatch.setattr(matching, "INLINE_VALUES", limit)
-        got = matching.match_labelled_catalyst(posts, calendar).collect()
-        assert {r["id"]: r["catalyst_ref"] for r in got} == want
+    got = matching.match_labelled_catalyst(posts, calendar).collect()
+    assert {r["id"]: r["catalyst_ref"] for r in got} == want
+    # A row that stands there twice is two candidates.
+    twice = matching.match_labelled_catalyst(posts, calendar.unionByName(calendar.where("type = 'cpi'"))).collect()
+    assert {r["id"] for r in twice} == {"3"}
+    assert matching.match_labelled_catalyst(posts, calendar.where("false")).count() == 0
+
+
+def test_two_rows_of_one_catalyst_are_ambiguous(spark):
+    schema = "id string, date string, type string, instruments array<string>, themes array<string>"
+    rows = [("a", "d", "t", ["A"], ["x"]), ("b", "d", "t", ["B"], ["x"]), ("b", "d", "t", ["C"], []), ("c", "d", "t", ["D"], [])]
+    posts = spark.createDataFrame(
+        [("1", ["A"], []), ("2", ["B", "C"], []), ("3", ["B"], []), ("4", ["Z"], ["x"]), ("5", ["D"], ["x"])],
+        "id string, tickers array<string>, themes array<string>").withColumn("catalyst_status", F.lit("resolved"))
+
+    def refs(catalysts):
+        return {r["id"]: r["catalyst_ref"] for r in matching.match_resolved_catalyst(posts, catalysts).collect()}
+
+    registry = spark.createDataFrame(rows, schema)
+    assert refs(registry) == {"1": "a", "3": "b", "5": "c"}
+    assert refs(registry.unionByName(registry.where("id = 'c'"))) == {"1": "a", "3": "b"}
+
+
+def test_html_references_decode_as_html_defines(spark):
+    names = sorted(html.entities.html5)
+    texts = [f"a &{n} b" for n in names] + [f"&{n}tail &{n.rstrip(';')}= x" for n in names]
+    texts += [f"&#{c}; &#x{c:x} &#X{c:X};z" for c in [*range(0, 0x180), 0x20AC, 0xD800, 0xFDD0, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 10**12]]
+    texts += ["", "no reference", "&", "&;", "&#;", "&#x;", "&#00065;", "&nosuchname; &ampamp;amp;", "&" * 50]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string").select("i", unescape_html(F.col("t")).alias("t"))
+    got = dict(tuple(r) for r in df.collect())
+    assert got.pop(-1) is None
+    wrong = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if got[i] != html.unescape(t)]
+    assert not wrong, wrong[:5]
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decimals_round_by_their_exact_value(spark):
+    rng = random.Random(3)
+    values = [k / 8 for k in range(-40, 200)] + [k / 20 for k in range(400)] + [k / 200 for k in range(400)]
+    values += [rng.uniform(0, 100) for _ in range(500)] + [0.0, 1e12, 123456.125]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", fixed(F.col("v"), 1).alias("one"), fixed(F.col("v"), 2).alias("two"))
+    wrong = [tuple(r) for r in df.collect() if (r["one"], r["two"]) != (f"{r['v']:.1f}", f"{r['v']:.2f}")]
+    assert not wrong, wrong[:5]
+
+
+def test_replies_of_a_thread_share_one_budget(spark):
+    edges = [("1", None), ("2", "1"), ("3", "1"), ("10", "1"), ("4", "2"), ("5", "3"), ("6", "5"), ("7", "6"), ("8", "9")]
+    posts = spark.createDataFrame(edges, "id string, reply_id string")
+
+    def ids(roots, **limits):
+        found = graph.thread_replies(posts, spark.createDataFrame([(r,) for r in roots], "id string"), **limits)
+        return [r["id"] for r in found.orderBy("depth", F.length("id"), "id").collect()]
+
+    assert ids(["1"]) == ["2", "3", "10", "4", "5"]
+    assert ids(["1", "2"]) == ["3", "4", "10", "5"]  # a root is never a reply
+    assert ids(["1"], max_nodes=3) == ["2", "3", "10"]
+    assert ids(["1"], depth=4, max_nodes=6) == ["2", "3", "10", "4", "5", "6"]
+    assert ids(["9"], depth=0) == [] and ids(["404"]) == []
+
+
+def test_hot_keys_fold_like_others(spark):
+    rows = [("hot" if i % 3 else f"k{i % 50}", i, f"t{i}") for i in range(3000)] + [(None, 3000 + i, "x") for i in range(5)]
+    df = spark.createDataFrame(rows, "key string, seq long, v string").repartition(7)
+    fold = {"said": lambda states: F.flatten(states)}
+    leaf = {"said": F.array("v"), "n": F.lit(1).cast("long")}
+    for share in (None, 2.0):
+        got = {r["key"]: (r["said"], r["n"]) for r in skew.tree_fold(df, "key", "seq", leaf, fold, {"n": F.sum}, (4, 8), share).collect()}
+        want = {}
+        for key, _, v in rows:
+            want.setdefault(key, []).append(v)
+        assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
 def test_quote_chain_stops_at_cycles(spark):

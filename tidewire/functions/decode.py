@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire import constants as C
-from tidewire.functions.text import let, non_blank, or_blank, strip
+from tidewire.functions.text import fixed, let, non_blank, or_blank, strip
 from tidewire.schemas import ACTIONS, ANALYSED_MEDIA, CHART, LINKS, POINTS, TABLE
 
 _EMPTY = "array<string>"
@@ -84,7 +84,7 @@ def article_points(value: Column, limit: int | None = None) -> Column:
 def format_confidence(value: Column) -> Column:
     """Numbers to two places without trailing zeros; other text trimmed; null blank."""
     number = value.try_cast("double")
-    short = F.regexp_replace(F.format_string("%.2f", number), r"\.?0+$", "")
+    short = F.regexp_replace(fixed(number, 2), r"\.?0+$", "")
     return F.when(number.isNotNull(), short).otherwise(strip(or_blank(value)))
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
+import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from tidewire import constants as C
 
@@ -61,21 +60,89 @@ def sanitize(value: Column) -> Column:
     return F.make_valid_utf8(value)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _decode_entities(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda items: [html.unescape(item) for item in items] if items is not None else None)
+# Names that HTML also reads without a semicolon, longest first: one may start a longer word.
+_BARE = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+# Code points that do not stand for themselves: C0 and C1 controls and those that are no characters.
+_ODD_CODES = [*range(0xA0), *range(0xFDD0, 0xFDF0), *(p << 16 | low for p in range(17) for low in (0xFFFE, 0xFFFF))]
+
+
+def _literal_map(pairs: dict[str, str]) -> Column:
+    """A map constant; its rows are never built again, as it folds when the plan is made."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
+
+
+def _character(code: Column) -> Column:
+    """The character of a valid code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _numeric(body: Column) -> Column:
+    """The text of ``#65;`` or ``#x41;``."""
+    hexadecimal = F.substring(body, 2, 1).isin("x", "X")
+    digits = F.regexp_extract(body, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
+    code = F.when(F.length(digits) > 7, F.lit(0x110000)).when(
+        hexadecimal, F.conv(F.when(digits == "", "0").otherwise(digits), 16, 10).cast("int")
+    ).otherwise(F.when(digits == "", "0").otherwise(digits).cast("int"))
+    odd = _literal_map({str(c): html.unescape(f"&#{c};") for c in _ODD_CODES})
+    return let(
+        code,
+        lambda c: F.when((c > 0x10FFFF) | c.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when((c < 0xA0) & (c > 0x1F) & (c < 0x7F), F.chr(c))
+        .otherwise(F.coalesce(F.try_element_at(odd, c.cast("string")), _character(c))),
+    )
+
+
+def _reference(token: Column) -> Column:
+    """The text of one matched reference, ``&`` included; unknown names stay as they are."""
+    names = _literal_map(html.entities.html5)
+    body = F.substring(token, 2, 40)
+
+    def named(body: Column) -> Column:
+        bare = F.regexp_extract(body, "^(" + "|".join(_BARE) + ")", 1)
+        start = let(
+            bare,
+            lambda b: F.when(
+                b != "", F.concat(F.try_element_at(names, b), F.substr(body, F.length(b) + 1))
+            ).otherwise(F.concat(F.lit("&"), body)),
+        )
+        return F.coalesce(F.try_element_at(names, body), start)
+
+    # The five usual ones come first: the rest of the table is walked.
+    common = F.when(body == "amp;", "&").when(body == "lt;", "<").when(body == "gt;", ">").when(body == "quot;", '"')
+    number = _numeric(F.substring(token, 2, 1_000_000_000))
+    return common.when(F.substring(body, 1, 1) == "#", number).otherwise(let(body, named))
 
 
 def unescape_html(value: Column) -> Column:
-    """Decode HTML references. Only the matched references visit Python; the text itself does not."""
+    """Decode HTML references; a text without ``&`` is left alone."""
     tokens = F.regexp_extract_all(value, F.lit(_ENTITY), F.lit(0))
     pieces = F.split(value, _ENTITY, -1)
-    joined = F.array_join(
-        F.zip_with(pieces, F.concat(_decode_entities(tokens), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""
-    )
+    decoded = F.concat(F.transform(tokens, _reference), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(pieces, decoded, lambda a, b: F.concat(a, b)), "")
     return F.when(F.contains(value, F.lit("&")), joined).otherwise(value)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A double to ``places`` digits by its exact binary value; exact ties go to the even digit.
+
+    The nearest half step ``n`` is a whole number of halves of the last digit. Where it is odd, the side of the tie on
+    which the value lies decides: the value's leading and trailing bits are multiplied apart, so nothing is rounded.
+    """
+    steps = 2 * 10**places
+
+    def text(v: Column) -> Column:
+        n = F.rint(v * steps)
+        head = v.cast("float").cast("double")
+        off = (head * steps - n) + (v - head) * steps
+        even = F.rint(n / 4) * 2
+        odd = F.when(off > 0, (n + 1) / 2).when(off < 0, (n - 1) / 2).otherwise(even)
+        return F.format_string(f"%.{places}f", F.when(n % 2 == 0, n / 2).otherwise(odd) / 10**places)
+
+    shown = F.when(F.abs(value) < 1e9, let(F.abs(value), text))
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.coalesce(F.concat(sign, shown), F.format_string(f"%.{places}f", value))
+
+
 def looks_truncated(value: Column) -> Column:
     """Right-trimmed text ends with an ellipsis."""
     kept = rstrip(value)

@@ -7,9 +7,9 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import brief_text, non_blank, or_blank
+from tidewire.functions.text import brief_text, fixed, non_blank, or_blank, retweet_parts, unescape_html
 from tidewire.functions.times import before, in_range
-from tidewire.functions.urls import post_url
+from tidewire.functions.urls import display_text, link_kinds, post_url
 from tidewire.operators.skew import lookup
 from tidewire.operators.state import tier_rank
 
@@ -210,7 +210,7 @@ def search_row_json(rows: DataFrame) -> DataFrame:
 
 def brief_lines(rows: DataFrame) -> DataFrame:
     """``[score]* @handle (time) [tickers] text`` in at most 80 characters of text."""
-    score = F.when(F.coalesce("score", F.lit(0.0)) != 0, F.format_string("%.1f", F.col("score"))).otherwise("-")
+    score = F.when(F.coalesce("score", F.lit(0.0)) != 0, fixed(F.col("score"), 1)).otherwise("-")
     tickers = F.when(F.size("tickers") > 0, F.concat(F.lit(" ["), F.array_join("tickers", ","), F.lit("]")))
     time = F.coalesce(F.date_format("created_at", "MM/dd HH:mm"), F.lit("??/??"))
     line = F.concat(
@@ -268,9 +268,11 @@ def post_detail(posts: DataFrame, reactions: DataFrame, post_id: str) -> DataFra
 
 
 def retweet_display(posts: DataFrame) -> DataFrame:
-    """Author, id and text to show, also for old rows that only carry ``RT @x: ...`` text."""
-    from tidewire.functions.text import retweet_parts
+    """Author, id and text to show, also for old rows that only carry ``RT @x: ...`` text.
 
+    The shown text has its links resolved and tidied and its HTML references decoded; the stored texts are decoded
+    only. Posts carry ``links`` and ``has_media``.
+    """
     legacy = F.when(~F.col("is_retweet"), retweet_parts(F.col("content")))
     rows = posts.withColumn("_legacy", legacy)
     found = F.col("_legacy").isNotNull()
@@ -282,8 +284,12 @@ def retweet_display(posts: DataFrame) -> DataFrame:
         .withColumn("display_author_handle", _shown("original_author_handle", "author_handle"))
         .withColumn("display_author_name", _shown("original_author_name", "author_name"))
         .withColumn("display_id", _shown("original_id", "id"))
-        .withColumn("display_content", _shown("original_content", "content"))
-        .drop("_legacy")
+        .withColumn("_said", _shown("original_content", "content"))
+        .withColumn("_kinds", link_kinds(F.col("display_id"), F.col("_said"), F.col("links"), F.col("has_media")))
+        .withColumn("display_content", unescape_html(display_text(F.col("_said"), F.col("_kinds"))))
+        .withColumn("content", unescape_html(F.col("content")))
+        .withColumn("original_content", unescape_html(F.col("original_content")))
+        .drop("_legacy", "_said", "_kinds")
     )
 
 

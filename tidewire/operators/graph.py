@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewire.functions.text import non_blank, or_blank, squeeze, strip, triage_text, truncate_context
+from tidewire.functions.text import fixed, non_blank, or_blank, squeeze, strip, triage_text, truncate_context
 from tidewire.functions.urls import inline_links, link_kinds, status_id
 from tidewire.operators.skew import lookup, materialize, union_all
 
@@ -124,26 +124,40 @@ def inline_references(posts: DataFrame) -> DataFrame:
 
 
 def thread_replies(posts: DataFrame, roots: DataFrame, depth: int = 2, max_nodes: int = 100) -> DataFrame:
-    """Stored direct replies below each root, level by level, at most ``max_nodes`` per root.
+    """Stored direct replies below the roots of each thread, level by level: (thread, depth, id, parent).
 
-    Order is (depth, id). The cap is part of the operator: top-k per root is cut per partition before the shuffle.
+    ``roots`` has ``id`` and, for several threads at once, ``thread``; without it all roots are one thread. A thread's
+    roots are never its replies, and ``max_nodes`` is one budget for all of them: at most so many posts are asked for
+    their replies, at most so many replies are kept, breadth first, ids in the order of their numbers. The budget is
+    part of the operator and cuts each level per partition before the shuffle; a much-answered parent is salted.
     """
+    place = lambda c: F.struct(F.length(c).alias("len"), c.alias("id"))
     replies = posts.select("id", F.col("reply_id").alias("parent")).where(F.col("parent").isNotNull())
-    frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("parent")).distinct()
-    by_id = W.partitionBy("root").orderBy("id")
-    levels = []
-    for level in range(1, depth + 1):
-        found = (
-            replies.join(frontier, "parent")
-            .where(F.col("id") != F.col("root"))
-            .withColumn("_n", F.row_number().over(by_id))
-            .where(F.col("_n") <= max_nodes)
-            .select("root", F.lit(level).alias("depth"), "id", "parent")
+    named = roots if "thread" in roots.columns else roots.withColumn("thread", F.lit(""))
+    start = named.select("thread", "id").distinct()
+    level = start.withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "path": F.array(place(F.col("id")))})
+    level = _first_nodes(level, max_nodes)
+    levels = [level]
+    for step in range(1, depth + 1):
+        frontier = level.select("thread", F.col("id").alias("parent"), "path")
+        below = lookup(replies, frontier, "parent", "inner").join(start, ["thread", "id"], "left_anti")
+        level = below.select(
+            "thread", "id", F.lit(step).alias("depth"), "parent", F.array_append("path", place(F.col("id"))).alias("path")
         )
-        levels.append(found)
-        frontier = found.select("root", F.col("id").alias("parent"))
-    ranked = union_all(levels).withColumn("_n", F.row_number().over(W.partitionBy("root").orderBy("depth", "id")))
-    return ranked.where(F.col("_n") <= max_nodes).drop("_n")
+        level = _first_nodes(level, max_nodes)
+        levels.append(level)
+    # In breadth-first order a post's number also counts those asked before it; all of the last depth come after them.
+    order = W.partitionBy("thread").orderBy("depth", "path")
+    nodes = union_all(levels).withColumn("_n", F.row_number().over(order))
+    asked = nodes.where(F.col("_n") <= max_nodes).select("thread", F.col("id").alias("parent"))
+    answers = nodes.where(F.col("depth") > 0).join(asked, ["thread", "parent"], "left_semi")
+    ranked = answers.withColumn("_n", F.row_number().over(order))
+    return ranked.where(F.col("_n") <= max_nodes).select("thread", "depth", "id", "parent")
+
+
+def _first_nodes(level: DataFrame, count: int) -> DataFrame:
+    ranked = level.withColumn("_n", F.row_number().over(W.partitionBy("thread").orderBy("path")))
+    return ranked.where(F.col("_n") <= count).drop("_n")
 
 
 def _triage() -> Column:
@@ -188,7 +202,7 @@ def author_context(posts: DataFrame, authors: DataFrame) -> DataFrame:
             ", ",
             F.concat(F.lit("tier-"), F.col("tier")),
             non_blank(F.col("category")),
-            F.when(F.col("avg_score").isNotNull(), F.format_string("prior %.1f", F.col("avg_score"))),
+            F.when(F.col("avg_score").isNotNull(), F.concat(F.lit("prior "), fixed(F.col("avg_score"), 1))),
         ).alias("known"),
     )
     joined = lookup(posts.select("id", "author_handle"), known, "author_handle")

@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from tidewire import constants as C
 from tidewire.functions.text import let, or_blank
-from tidewire.operators.skew import lookup, union_all
+from tidewire.operators.skew import SPREAD, lookup, union_all
 
-# Registries up to this many values are inlined as a literal list (their size is checked first).
-INLINE_VALUES = 1000
-
-
-def small_values(df: DataFrame, column: str) -> list | None:
-    """Distinct values of a registry column if there are at most INLINE_VALUES, else None."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(INLINE_VALUES + 1).collect()
-    return sorted(r[0] for r in rows) if len(rows) <= INLINE_VALUES else None
+# Labels are found by their first characters, at most this many.
+SEED = 4
+# 64-bit words of the table that tells which hashed seeds a calendar has.
+SLOT_WORDS = 1024
 
 
 def _format_match(instrument: Column, theme: Column) -> Column:
@@ -61,16 +57,32 @@ def match_positions(posts: DataFrame, instruments: DataFrame, themes: DataFrame)
 _CATALYST = ["ref", "date", "type"]
 
 
+def _rows(dims: DataFrame) -> DataFrame:
+    """Distinct registry rows as ``c``, which also holds how often each one stands there (``c.rows``)."""
+    others = [c for c in dims.columns if c not in _CATALYST]
+    counted = dims.groupBy(*dims.columns).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select(F.struct(*_CATALYST, *others, "rows").alias("c"), *others)
+
+
 def _only(prefix: str) -> Column:
-    """The sole candidate: smallest and largest agree exactly if there is one (repeats count once)."""
+    """The sole candidate: smallest and largest are the same registry row, which stands there once."""
     low, high = F.col(f"{prefix}_low"), F.col(f"{prefix}_high")
-    return F.when(low["ref"] == high["ref"], low)
+    return F.when(low.eqNullSafe(high) & (low["rows"] == 1), low)
+
+
+def _named(chosen: DataFrame) -> DataFrame:
+    fields = [F.col(f"m.{f}").alias(f"catalyst_{f}") for f in _CATALYST]
+    return chosen.where(F.col("m").isNotNull()).select("id", *fields)
 
 
 def match_resolved_catalyst(posts: DataFrame, catalysts: DataFrame) -> DataFrame:
-    """Resolved posts -> the one catalyst sharing a ticker, or, if no ticker matches, the one sharing a theme."""
-    dims = catalysts.where(or_blank(F.col("id")) != "").select(
-        F.struct(F.col("id").alias("ref"), "date", "type").alias("c"), "instruments", "themes"
+    """Resolved posts -> the one catalyst row sharing a ticker, or, if no ticker matches, the one sharing a theme.
+
+    Two registry rows with the same reference are two candidates, so neither is chosen.
+    """
+    dims = _rows(
+        catalysts.where(or_blank(F.col("id")) != "")
+        .select(F.col("id").alias("ref"), "date", "type", "instruments", "themes")
     )
     resolved = posts.where(F.col("catalyst_status") == "resolved")
 
@@ -86,44 +98,79 @@ def match_resolved_catalyst(posts: DataFrame, catalysts: DataFrame) -> DataFrame
 
     both = side("tickers", "instruments", "ticker").join(side("themes", "themes", "theme"), "id", "full")
     chosen = F.when(F.col("ticker_low").isNotNull(), _only("ticker")).otherwise(_only("theme"))
-    return both.select("id", chosen.alias("m")).where(F.col("m").isNotNull()).select(
-        "id", F.col("m.ref").alias("catalyst_ref"), F.col("m.date").alias("catalyst_date"),
-        F.col("m.type").alias("catalyst_type"),
+    return _named(both.select("id", chosen.alias("m")))
+
+
+def _slot(seed: Column) -> Column:
+    return F.pmod(F.xxhash64(seed), F.lit(64 * SLOT_WORDS)).cast("int")
+
+
+def _seed_patterns(seeds: DataFrame) -> DataFrame:
+    """One array of (n, pattern): the places where a seed of ``n`` characters may stand, to the longest label's length.
+
+    A pattern holds one class of characters for each place of a seed, so its size is that of the alphabet.
+    """
+
+    def characters(at: int) -> Column:
+        quoted = F.transform(
+            F.array_sort(F.collect_set(F.substring("seed", at, 1))),
+            lambda c: F.regexp_replace(c, r"([^\p{L}\p{N}])", r"\\$1"),
+        )
+        return F.when(F.size(quoted) > 0, F.concat(F.lit("["), F.array_join(quoted, ""), F.lit("]"))).otherwise("")
+
+    by_size = seeds.groupBy(F.length("seed").alias("n")).agg(
+        F.max(F.length("label")).alias("longest"),
+        *[F.when(F.first(F.length("seed")) >= at, characters(at)).otherwise("").alias(f"c{at}") for at in range(1, SEED + 1)],
     )
+    classes = F.concat(*[f"c{at}" for at in range(1, SEED + 1)])
+    rest = F.concat(F.lit(".{0,"), F.col("longest") - F.col("n"), F.lit("}"))
+    pattern = F.concat(F.lit("(?s)(?=("), classes, rest, F.lit("))"))
+    return by_size.agg(F.collect_list(F.struct("n", pattern.alias("pattern"))))
 
 
 def match_labelled_catalyst(posts: DataFrame, catalysts: DataFrame) -> DataFrame:
-    """Posts that are not resolved -> the one calendar catalyst whose label occurs in summary or content.
+    """Posts that are not resolved -> the one calendar row whose label occurs in summary or content.
 
-    A short calendar is tested in the row. A long one is matched by an equality join on all substrings of the label
-    lengths, so there is never a join without keys.
+    Each place of a text whose first ``SEED`` characters (fewer for shorter labels) may start a label is looked up by
+    them, together with as many characters as the longest label has; the label is compared there, so texts do not move.
+    ``May start`` means: each character is one that some seed has there, and the hashed seed has its bit in a table of
+    fixed size. Both spare rows and decide nothing; they serve calendars of any size.
     """
     ref = F.concat_ws(":", "type", "scope", F.col("date").cast("string"))
-    dims = catalysts.select(F.upper("label").alias("label"), F.struct(ref.alias("ref"), "date", "type").alias("c"))
+    dims = _rows(catalysts.select(ref.alias("ref"), "date", "type", F.upper("label").alias("label")).where("label <> ''"))
     per_label = dims.groupBy("label").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    seeds = per_label.select(F.substring("label", 1, SEED).alias("seed"), "label")
+    slot = _slot(F.col("seed"))
+    words = seeds.select((slot / 64).cast("int").alias("w"), F.expr("1L").alias("one"), (slot % 64).alias("b")).groupBy("w").agg(
+        F.bit_or(F.call_function("shiftleft", "one", "b")).alias("bits")
+    )
+    table = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m")).select(
+        F.transform(F.sequence(F.lit(0), F.lit(SLOT_WORDS - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0)))
+    ).scalar()
+    patterns = _seed_patterns(seeds).scalar()
     haystack = F.upper(F.concat(or_blank(F.col("summary")), F.lit(" "), or_blank(F.col("content"))))
     rows = posts.where(~F.coalesce(F.col("catalyst_status") == "resolved", F.lit(False)))
-    labels = small_values(dims, "label")
-    if labels is not None:
-        known = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
-        found = let(haystack, lambda h: F.filter(known, lambda x: F.contains(h, x)))
-        hits = rows.select("id", F.explode(found).alias("label"))
-    else:
-        lengths = dims.agg(F.collect_set(F.length("label"))).scalar()
-        pieces = let(haystack, lambda h: F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(h) - F.col("n") + 1, F.lit(1))),
-            lambda i: F.substring(h, i, F.col("n")),
-        )))
-        hits = rows.withColumn("n", F.explode(lengths)).select("id", F.explode(pieces).alias("label"))
-    return (
-        lookup(hits, per_label, "label", "inner")
-        .groupBy("id")
-        .agg(F.min("low").alias("l_low"), F.max("high").alias("l_high"))
-        .select("id", _only("l").alias("m"))
-        .where(F.col("m").isNotNull())
-        .select("id", F.col("m.ref").alias("catalyst_ref"), F.col("m.date").alias("catalyst_date"),
-                F.col("m.type").alias("catalyst_type"))
+    sized = rows.select("id", haystack.alias("hay"), table.alias("t"), F.explode(patterns).alias("p")).select("*", "p.n")
+
+    def may_start(piece: Column) -> Column:
+        return let(
+            _slot(F.substring(piece, F.lit(1), F.col("n"))),
+            lambda at: F.getbit(F.get("t", F.floor(at / 64).cast("int")), at % 64) == 1,
+        )
+
+    pieces = F.array_distinct(F.filter(F.regexp_extract_all("hay", F.col("p.pattern"), F.lit(1)), may_start))
+    # Outer, as a plain explode would add a filter that cuts the texts a second time.
+    cut = sized.select("id", "n", F.explode_outer(pieces).alias("piece")).where("piece IS NOT NULL").select(
+        "id", "piece", F.substring("piece", F.lit(1), F.col("n")).alias("seed"),
+        F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int").alias("salt"),
+    )
+    # A seed in every text would be one task: all seeds are copied to each salt, which spares counting the texts' pieces.
+    copies = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    starts = cut.join(copies, ["seed", "salt"]).where(F.startswith("piece", F.col("label")))
+    found = lookup(starts.select("id", "label").distinct(), per_label, "label", "inner").groupBy("id").agg(
+        F.min("low").alias("l_low"), F.max("high").alias("l_high")
     )
+    return _named(found.select("id", _only("l").alias("m")))
 
 
 def match_catalysts(posts: DataFrame, catalysts: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -77,32 +77,41 @@ def tree_fold(
     collapse: dict[str, object],
     commutative: dict[str, object] | None = None,
     level_bits: tuple[int, ...] = (12, 24),
+    share: float | None = None,
 ) -> DataFrame:
-    """Order-dependent fold per key as a tree over blocks of the arrival order.
+    """Order-dependent fold per key; rows of ordinary keys move once, hot keys fold as a tree over the arrival order.
 
     ``order`` is a non-negative long that names each row's place in the log; rows of one key have distinct
-    places. Level by level, rows of a key whose places share all but the lowest ``bits`` bits are combined, so
-    no group ever gathers more than ``2**12`` members by default, however hot the key; the last one gathers a state
-    per 16 million places of the log (2,400 of them for 40 billion rows). ``leaf`` turns a row into a state,
+    places. A key below ``share`` (less than a shuffle partition of rows) is gathered in one step. A hot key is
+    combined level by level: rows whose places share all but the lowest ``bits`` bits, so with levels 12 bits apart
+    no group gathers more than ``2**12`` members, however hot the key; the last one gathers a state per
+    ``2**level_bits[-1]`` places of the log. ``leaf`` turns a row into a state,
     ``collapse[name]`` maps the ordered array of states of one block to one state of the same type, and
     ``commutative[name]`` is an aggregate over the like-named leaf column (combined before the shuffle).
+    Rows without a key form one group and fold as a tree.
     """
     commutative = commutative or {}
-    state = df.select(key, F.col(order).alias("_at"), *[c.alias(n) for n, c in leaf.items()])
-    for bits in (*level_bits, None):
+    hot = F.broadcast(hot_keys(df, key, share))
+    marked = df.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_tree", F.col("_hot").isNotNull() | F.col(key).isNull()
+    )
+
+    def level(state: DataFrame, bits: int | None) -> DataFrame:
         block = F.lit(0).cast("long") if bits is None else F.shiftright(F.col("_at"), bits)
-        keyed = state.withColumn("_block", block)
         gathered = F.sort_array(F.collect_list(F.struct("_at", *collapse))).alias("_rows")
-        state = keyed.groupBy(key, "_block").agg(
+        grouped = state.withColumn("_block", block).groupBy(key, "_block").agg(
             F.min("_at").alias("_at"), gathered, *[f(F.col(n)).alias(n) for n, f in commutative.items()]
         )
-        state = state.select(
-            key,
-            "_at",
-            *commutative,
-            *[f(_pluck(n)).alias(n) for n, f in collapse.items()],
-        )
-    return state.drop("_at")
+        return grouped.select(key, "_at", *commutative, *[f(_pluck(n)).alias(n) for n, f in collapse.items()])
+
+    def leaves(rows: DataFrame) -> DataFrame:
+        return rows.select(key, F.col(order).alias("_at"), *[c.alias(n) for n, c in leaf.items()])
+
+    once = level(leaves(marked.where(~F.col("_tree"))), None)
+    tree = leaves(marked.where("_tree"))
+    for bits in (*level_bits, None):
+        tree = level(tree, bits)
+    return once.unionByName(tree).drop("_at")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

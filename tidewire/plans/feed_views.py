@@ -306,7 +306,7 @@ class Feed:
     def threads(self) -> DataFrame:
         return self.table("conversations").selectExpr(
             "concat(conv_id, '-', turn) AS id",
-            "CASE WHEN turn > 0 THEN concat(conv_id, '-', turn - 1) END AS reply_id", "turn", "role", "text AS content",
+            "CASE WHEN turn > 0 THEN concat(conv_id, '-', turn - 1) END AS reply_id", "CAST(conv_id % 10 AS STRING) AS thread", "turn", "role", "text AS content",
         )
 
     @cached_property

@@ -347,13 +347,20 @@ def inline_references(t: Feed) -> DataFrame:
     return graph.inline_references(t.full_posts).select("id", "linked_id", "url", "embedded")
 
 
+# Threads are ten bundles of conversations; every third turn is a root.
 @query("G6", """
-, walk AS (SELECT id AS root, 1 AS depth, c.id2 AS id FROM threads JOIN (SELECT id AS id2, reply_id AS p FROM threads) c ON c.p = threads.id
-   UNION ALL SELECT w.root, w.depth + 1, c.id FROM walk w JOIN threads c ON c.reply_id = w.id WHERE w.depth < 3)
-SELECT root, CAST(depth AS BIGINT) AS depth, id FROM
-  (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, id) AS r FROM walk) WHERE r <= 2""")
+, kin AS (SELECT id, reply_id, turn, thread FROM threads),
+  top AS (SELECT thread, id FROM kin WHERE turn % 3 = 0),
+  walk AS (SELECT thread, 0 AS depth, id, NULL::VARCHAR AS parent, [struct_pack(len := length(id), id := id)] AS path FROM top
+   UNION ALL SELECT w.thread, w.depth + 1, c.id, w.id, list_append(w.path, struct_pack(len := length(c.id), id := c.id))
+     FROM walk w JOIN kin c ON c.reply_id = w.id WHERE w.depth < 3 AND c.turn % 3 <> 0),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY depth, path) AS n FROM walk),
+  answers AS (SELECT c.*, row_number() OVER (PARTITION BY c.thread ORDER BY c.depth, c.path) AS r
+     FROM numbered c JOIN numbered p ON p.thread = c.thread AND p.id = c.parent AND p.n <= 9 WHERE c.depth > 0)
+SELECT thread, CAST(depth AS BIGINT) AS depth, id, parent FROM answers WHERE r <= 9""")
 def thread_replies(t: Feed) -> DataFrame:
-    return graph.thread_replies(t.threads, t.threads.select("id"), depth=3, max_nodes=2).select("root", "depth", "id")
+    roots = t.threads.where("turn % 3 = 0").select("id", "thread")
+    return graph.thread_replies(t.threads, roots, depth=3, max_nodes=9)
 
 
 _SQUEEZE = "trim(regexp_replace({c}, '[\\s\\x1c-\\x1f]+', ' ', 'g'))"

@@ -134,7 +134,7 @@ corpus_tokens AS (
   SELECT *, {tok_content} AS tc, {tok_summary} AS ts, {tok_author} AS ta, {tok_tickers} AS tt FROM corpus),
 threads AS (
   SELECT conv_id || '-' || turn AS id, CASE WHEN turn > 0 THEN conv_id || '-' || (turn - 1) END AS reply_id, turn, role,
-         text AS content FROM conversations),
+         CAST(conv_id % 10 AS VARCHAR) AS thread, text AS content FROM conversations),
 golden AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, quality * 5.0 AS score_min, 5.0 + quality * 5.0 AS score_max, toxic AS surprise,
          doc_id % 7 = 0 AS stale, CASE doc_id % 5 WHEN 0 THEN 'supply_shock' WHEN 1 THEN 'vol_substitution' END AS trigger,

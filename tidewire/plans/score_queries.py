@@ -44,7 +44,22 @@ def alert_candidates(t: Feed) -> DataFrame:
     return alerts.alert_candidates(t.posts).select("id", "score")
 
 
-@query("R5")
+# A walk over the alerts of each chat, one at a time; January in New York is five hours behind.
+GATE = f"""
+, due AS (SELECT id, CASE WHEN n % 3 = 0 THEN 'main' ELSE author_handle END AS chat, processed_at AS ts, score,
+    hour(processed_at - INTERVAL 5 HOUR) AS h FROM posts WHERE processed_at IS NOT NULL AND {_ALERT}),
+  line AS (SELECT *, h >= 23 OR h < 8 AS quiet, row_number() OVER (PARTITION BY chat ORDER BY ts, id) AS r FROM due),
+  gate AS (SELECT r, chat, id, ts, score, score >= 10 OR NOT quiet AS sent,
+     CASE WHEN score >= 10 OR NOT quiet THEN [ts] ELSE []::TIMESTAMP[] END AS recent FROM line WHERE r = 1
+   UNION ALL SELECT r, chat, id, ts, score, sent, CASE WHEN sent THEN list_append(recent, ts) ELSE recent END FROM
+     (SELECT *, score >= 10 OR (NOT quiet AND len(recent) < 10) AS sent FROM
+       (SELECT l.r, l.chat, l.id, l.ts, l.score, l.quiet,
+          list_filter(g.recent, lambda s: s >= l.ts - INTERVAL 60 MINUTE) AS recent
+        FROM gate g JOIN line l ON l.chat = g.chat AND l.r = g.r + 1)))
+SELECT id, chat, epoch_us(ts) AS ts, score, sent FROM gate"""
+
+
+@query("R5", GATE)
 def alert_gate(t: Feed) -> DataFrame:
     chats = F.when(F.col("n") % 3 == 0, "main").otherwise(F.col("author_handle")).alias("chat")
     rows = alerts.alert_candidates(t.posts).select("id", chats, F.col("processed_at").alias("ts"), "score")
@@ -82,17 +97,17 @@ def match_positions(t: Feed) -> DataFrame:
 
 
 _RESOLVED = """
-, tm AS (SELECT p.id, min(c.id) AS lo, max(c.id) AS hi FROM posts p JOIN catalysts c ON list_contains(p.tickers, c.ticker)
-     WHERE p.catalyst_status = 'resolved' GROUP BY 1),
-  th AS (SELECT p.id, min(c.id) AS lo, max(c.id) AS hi FROM posts p JOIN catalysts c ON list_contains(p.themes, c.theme)
-     WHERE p.catalyst_status = 'resolved' GROUP BY 1),
-  resolved AS (SELECT id, lo AS ref FROM tm WHERE lo = hi UNION ALL
-     SELECT id, lo FROM th WHERE lo = hi AND id NOT IN (SELECT id FROM tm))"""
+, tm AS (SELECT p.id, min(c.id) AS ref, count(*) AS rows FROM posts p
+     JOIN catalysts c ON list_contains(p.tickers, c.ticker) WHERE p.catalyst_status = 'resolved' GROUP BY 1),
+  th AS (SELECT p.id, min(c.id) AS ref, count(*) AS rows FROM posts p
+     JOIN catalysts c ON list_contains(p.themes, c.theme) WHERE p.catalyst_status = 'resolved' GROUP BY 1),
+  resolved AS (SELECT id, ref FROM tm WHERE rows = 1 UNION ALL
+     SELECT id, ref FROM th WHERE rows = 1 AND id NOT IN (SELECT id FROM tm))"""
 _LABELLED = """
   hay AS (SELECT id, upper(summary || ' ' || content) AS h FROM posts JOIN texts USING (n)
      WHERE coalesce(catalyst_status, '') <> 'resolved'),
   labelled AS (SELECT id, min(c.type || ':us:' || CAST(c.date AS VARCHAR)) AS ref FROM hay JOIN calendar c ON contains(h, c.label)
-     GROUP BY 1 HAVING count(DISTINCT c.type || ':us:' || CAST(c.date AS VARCHAR)) = 1)"""
+     GROUP BY 1 HAVING count(*) = 1)"""
 
 
 @query("G11", f"""{_RESOLVED}

@@ -12,6 +12,7 @@ from tidewire.operators.alerts import should_alert
 from tidewire.operators.skew import shared_folder
 from tidewire.plans.catalog import query
 from tidewire.plans.feed_views import Feed
+from tidewire.plans.score_queries import GATE
 from tidewire.streaming import jobs
 
 
@@ -60,7 +61,7 @@ def stream_signals(t: Feed) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/out").select("dedup_key")
 
 
-@query("V3 R5")
+@query("V3 R5", GATE)
 def stream_alerts(t: Feed) -> DataFrame:
     folder = _folder(t)
     test = should_alert(*[F.col(c) for c in ("score", "surprise", "playbook_trigger", "catalyst_status")])

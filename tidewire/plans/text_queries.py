@@ -180,16 +180,21 @@ def normalize_cashtags(t: Feed) -> DataFrame:
 
 
 @query("X18 S4", r"""
+, said AS (SELECT id, n, is_retweet, author_handle, summary || ' & ' || replace(split_part(content, ' https://t.co/', 1), chr(10), ' / ') AS body
+     FROM posts JOIN texts USING (n))
 SELECT id, is_retweet OR n % 4 = 1 AS is_retweet,
   CASE WHEN NOT is_retweet AND n % 4 = 1 THEN 'orig' || (n % 3) ELSE author_handle END AS display_author_handle, id AS display_id,
-  CASE WHEN NOT is_retweet AND n % 4 = 1 THEN summary WHEN n % 4 = 1 THEN 'RT @orig' || (n % 3) || ': ' || summary ELSE summary END
-    AS display_content FROM posts""")
+  md5(CASE WHEN n % 4 = 1 AND is_retweet THEN 'RT @orig' || (n % 3) || ': ' ELSE '' END || body) AS display_content FROM said""")
 def retweet_display(t: Feed) -> DataFrame:
     none = F.lit(None).cast("string")
-    said = F.when(F.col("n") % 4 == 1, F.concat(F.lit("RT @orig"), F.col("n") % 3, F.lit(": "), "summary")).otherwise(F.col("summary"))
+    body = F.concat("summary", F.lit(" &amp; "), F.replace(F.split_part("content", F.lit(" https://t.co/"), F.lit(1)), F.lit("\n"), F.lit(" / ")))
+    said = F.when(F.col("n") % 4 == 1, F.concat(F.lit("RT @orig"), F.col("n") % 3, F.lit(": "), body)).otherwise(body)
     names = ["original_id", "original_author_handle", "original_author_name", "original_content", "retweeted_by_handle"]
-    posts = t.posts.withColumn("content", said).withColumns({n: none for n in names})
-    return feed.retweet_display(posts).select("id", "is_retweet", "display_author_handle", "display_id", "display_content")
+    posts = t.full_posts.withColumn("content", said).withColumns({n: none for n in names})
+    shown = feed.retweet_display(posts)
+    return shown.select(
+        "id", "is_retweet", "display_author_handle", "display_id", F.md5("display_content").alias("display_content")
+    )
 
 
 @query("X11 X17", r"""

@@ -12,10 +12,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions.times import quiet_hours
 from tidewire.operators.merge import merge_posts
+from tidewire.operators.skew import lookup
 from tidewire.sources.payloads import normalize_payloads, parse_payloads
 
 # Layout of a place in the log: batch, then partition, then row.
 _ROW_BITS, _PARTITION_BITS = 22, 14
+# Levels for folds over these places: a last group holds a state per 4,096 micro-batches.
+_LEVELS = (12, 24, 36, 48)
 
 
 def _arrival(batch_id: int):
@@ -47,7 +50,7 @@ def stream_observations(
         history = spark.read.schema(written.schema).parquet(log).drop("batch")
         # A batch that runs again must see the log as it was: later places do not exist yet.
         history = history.where(F.col("seq") < ((batch_id + 1) << (_ROW_BITS + _PARTITION_BITS)))
-        merged = merge_posts(history.join(touched, "id", "left_semi"))
+        merged = merge_posts(lookup(history, touched, "id", "left_semi"), _LEVELS)
         merged.write.mode("overwrite").parquet(f"{posts}/batch={batch_id}")
 
     lines = spark.readStream.option("maxFilesPerTrigger", files).text(inbox)
