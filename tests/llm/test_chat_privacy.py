@@ -1,15 +1,55 @@
 """Quotation linking, personal data and the pipeline: small cases, brute force and awkward rows."""
 
 import hashlib
+import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import awkward, documents
+from tests.compare import compare
 from tidewire.llm import chat, privacy, simhash
-from tidewire.llm.queries import QUERIES
+from tidewire.llm.chat_sql import OP2_SQL
+from tidewire.llm.queries import QUERIES, ordered_digest
+
+
+
+def quoting_conversations(seed):
+    """Messages that quote earlier ones, whole or in lines, at several levels, with repeated turns and missing values."""
+    draw, rows = random.Random(seed), []
+    words = "alpha Beta gamma delta epsilon zeta eta theta".split()
+    for conv in range(12):
+        said = []
+        for turn in range(draw.randint(1, 14)):
+            parts = []
+            for text in draw.sample(said, min(len(said), draw.randint(0, 2))):
+                mark = draw.choice(["> ", ">> ", "> > ", ">"])
+                lines = text.split("\n")
+                parts += [mark + line for line in (lines if draw.random() < 0.6 else lines[:1])]
+                parts += draw.choice([[], [""], ["> never said by anyone"]])
+            parts += [" ".join(draw.choices(words, k=draw.randint(0, 5))) for _ in range(draw.randint(0, 3))]
+            text = "\n".join(parts)
+            said.append(text)
+            rows.append((conv, turn, draw.choice(["user", "assistant", None]), text if draw.random() < 0.9 else None))
+            if draw.random() < 0.1:
+                rows.append(rows[-1])
+    return [*rows, (None, 3, "user", "> alpha\nx"), (5, None, "user", "> alpha beta gamma\ny"), (99, 1, "user", "")]
+
+
+def test_quotation_linking_equals_its_sql(spark):
+    rows = quoting_conversations(3)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    conversations = frame.toPandas()  # noqa: F841 read by name
+    con.register("conversations", conversations.astype({"conv_id": "Int64", "turn": "Int64"}))
+    problem = compare(spark, con, lambda *_: ordered_digest(chat.link(frame)), OP2_SQL, "")
+    assert problem is None, problem
+    linked = chat.link(frame)
+    assert linked.where("n_linked > 0").count() > 20 and linked.where(F.size("path") > 1).count()
+
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

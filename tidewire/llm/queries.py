@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.llm.chat_sql import OP2_SQL
 from tidewire.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_quotation_linking": OP2_SQL}
 
 
 def query(function):
@@ -77,8 +78,6 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
-
 @query
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
@@ -128,6 +127,13 @@ def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without its quotes, formatted and in reply order."""
     from tidewire.llm import chat
 
-    ordered = chat.reply_ordered(chat.link(table(spark, sf_dir, "conversations")))
+    return ordered_digest(chat.link(table(spark, sf_dir, "conversations")))
+
+
+def ordered_digest(linked: DataFrame) -> DataFrame:
+    """Messages in reply order, with their branches as text."""
+    from tidewire.llm import chat
+
+    ordered = chat.reply_ordered(linked)
     path = F.array_join(F.transform("path", lambda b: F.concat_ws("-", -b["back"], b["first"])), "/")
     return ordered.select("conv_id", "turn", "role", "parent_turn", "n_quotes", "n_linked", path.alias("branches"), "formatted")
