@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +54,11 @@ class Term:
 
 
 def _words(term: Term) -> list[str]:
-    plain = unicodedata.normalize("NFD", term.text.lower())
-    plain = "".join(c for c in plain if not unicodedata.combining(c))
-    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in plain).split()
+    """Words of a query term, folded by the same steps and the same table as ``tokens``."""
+    plain = "".join(c for c in term.text.lower() if unicodedata.category(c)[0] != "M")
+    plain = plain.translate(str.maketrans(*_accent_table()))
+    kept = (c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in plain)
+    return "".join(kept).split()
 
 
 def _frequency(term: Term) -> Column:
@@ -143,6 +146,112 @@ def text_search(
     return (page.offset(offset) if offset else page).limit(limit)
 
 
+# Places in a column are counted from this times the column's number, so no phrase runs from one column into another.
+FIELD_ROOM = 1 << 32
+
+
+def postings(posts: DataFrame) -> DataFrame:
+    """(term, field, id, n_tokens, places): one row per word, text column and post that holds it.
+
+    A word's places in one post meet in a partial aggregate before they move, so a frequent word costs one row a post.
+    """
+    index = search_index(posts)
+
+    def placed(number: int, name: str) -> Column:
+        field, first = F.lit(name).alias("field"), F.lit(number * FIELD_ROOM)
+        return F.transform(f"t_{name}", lambda term, at: F.struct(term.alias("term"), field, (first + at).alias("place")))
+
+    words = F.concat(*[placed(i, name) for i, name in enumerate(TEXT_COLUMNS)])
+    flat = index.select("id", "n_tokens", F.explode(words).alias("w")).select("id", "n_tokens", "w.*")
+    return flat.groupBy("term", "field", "id", "n_tokens").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def write_index(posts: DataFrame, path: str) -> None:
+    """Write the postings, ordered by word, and the corpus totals beside them.
+
+    Files hold ranges of (word, post): a search skips all files and row groups whose words it does not ask for, prefixes
+    too, and the postings of a frequent word lie in several files. The totals are one row per write; writes append.
+    """
+    ranged = postings(posts).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    ranged.write.mode("append").parquet(f"{path}/postings")
+    totals = search_index(posts).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+    totals.write.mode("append").parquet(f"{path}/totals")
+
+
+def _moved_back(places: Column, by: int) -> Column:
+    return F.transform(places, lambda place: place - by) if by else places
+
+
+def stored_search(
+    path: str,
+    posts: DataFrame,
+    must: list[Term] = (),
+    should: list[Term] = (),
+    must_not: list[Term] = (),
+    order: str = "rank",
+    limit: int = 50,
+    offset: int = 0,
+    **filters,
+) -> DataFrame:
+    """As ``text_search``, from the index of these posts that ``write_index`` left under ``path``.
+
+    Only the postings of the terms are read; texts are read for no post but those that match. A post has one row per
+    word in the shuffle, whatever its length.
+    """
+    if order not in _ORDER:
+        raise ValueError(f"Invalid order: {order!r}. Must be one of {sorted(_ORDER)}")
+    scored, every = [*must, *should], [*must, *should, *must_not]
+    if not scored:
+        raise ValueError("a search needs at least one term to match")
+    spark = posts.sparkSession
+    slots = {}
+    for i, term in enumerate(every):
+        words = _words(term)
+        for j, word in enumerate(words):
+            test = F.col("term").startswith(word) if term.prefix and j == len(words) - 1 else F.col("term") == word
+            slots[i, j] = test & (F.col("field") == term.column) if term.column else test
+    wanted = F.lit(False)
+    for test in slots.values():
+        wanted = wanted | test
+    rows = spark.read.parquet(f"{path}/postings").where(wanted)
+    found = rows.groupBy("id", "n_tokens").agg(
+        *[F.flatten(F.collect_list(F.when(test, F.col("places")))).alias(f"p{i}_{j}") for (i, j), test in slots.items()],
+        F.count(F.lit(1)).alias("_rows"),
+    )
+
+    def frequency(i: int) -> Column:
+        size = len(_words(every[i]))
+        if not size:
+            return F.lit(0)
+        starts = [_moved_back(F.col(f"p{i}_{j}"), j) for j in range(size)]
+        return F.size(reduce(F.array_intersect, starts))
+
+    counted = found.select("id", "n_tokens", *[frequency(i).alias(f"f{i}") for i in range(len(every))])
+    dfs = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(scored))])
+    totals = spark.read.parquet(f"{path}/totals").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    test = F.lit(True)
+    for i in range(len(must)):
+        test = test & (F.col(f"f{i}") > 0)
+    if should and not must:
+        test = test & (F.greatest(F.lit(0), *[F.col(f"f{i}") for i in range(len(should))]) > 0)
+    for i in range(len(scored), len(every)):
+        test = test & (F.col(f"f{i}") == 0)
+    hits = counted.where(test).withColumns(
+        {"_s": dfs.select(F.struct("*")).scalar(), "_t": totals.select(F.struct("*")).scalar()}
+    )
+    docs = F.col("_t.docs")
+    rank = F.lit(0.0)
+    for i in range(len(scored)):
+        df, tf = F.col("_s")[f"df{i}"].cast("double"), F.col(f"f{i}").cast("double")
+        odds = (docs - df + 0.5) / (df + 0.5)
+        idf = F.when(odds > 1, F.ln(odds)).otherwise(_MIN_IDF)
+        norm = K1 * (1 - B + B * F.col("n_tokens") * docs / F.col("_t.tokens"))
+        rank = rank - idf * tf * (K1 + 1) / (tf + norm)
+    ranked = hits.select("id", "n_tokens", rank.alias("rank"))
+    page = filter_posts(posts, **filters).join(ranked, "id").orderBy(*_ORDER[order](), "id")
+    return (page.offset(offset) if offset else page).limit(limit)
+
+
 def query_words(query: Column) -> Column:
     """Words of free query texts with cashtags opened, as a column."""
     return tokens(normalize_cashtags(query))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import decode, text, urls
 from tidewire.operators import feed, search
+from tidewire.operators.skew import shared_folder
 from tidewire.plans.catalog import query
 from tidewire.plans.feed_views import Feed
 
@@ -292,3 +295,46 @@ def search_phrase_column(t: Feed) -> DataFrame:
     return search.text_search(index, should=terms, order="time", limit=80).select("id", "rank")
 
 
+def _stored_index(t: Feed) -> str:
+    path = f"{shared_folder(t.spark)}/search-{uuid.uuid4().hex}"
+    search.write_index(t.corpus, path)
+    return path
+
+
+@query("R1", """
+, w AS (
+    SELECT id, unnest(tc) AS term, 'content' AS field FROM corpus_tokens
+    UNION ALL SELECT id, unnest(ts), 'summary' FROM corpus_tokens
+    UNION ALL SELECT id, unnest(ta), 'author_handle' FROM corpus_tokens
+    UNION ALL SELECT id, unnest(tt), 'tickers_text' FROM corpus_tokens
+), p AS (SELECT term, field, id, count(*) AS n FROM w GROUP BY ALL)
+SELECT term, field, count(*) AS posts, sum(n)::BIGINT AS occurrences FROM p GROUP BY ALL""")
+def search_stored_postings(t: Feed) -> DataFrame:
+    stored = t.spark.read.parquet(f"{_stored_index(t)}/postings")
+    return stored.groupBy("term", "field").agg(
+        F.count(F.lit(1)).alias("posts"), F.sum(F.size("places")).alias("occurrences"))
+
+
+@query("R1", _bm25([(_tf("the"), ""), (_tf("eaux"), "")], "tf0 > 0 OR tf1 > 0", "signal_tier <> 'zz' AND score >= 5 AND "
+                   f"{_tf('src3')} = 0", limit=60))
+def search_stored_any_not(t: Feed) -> DataFrame:
+    found = search.stored_search(
+        _stored_index(t), t.corpus, should=[search.Term("the"), search.Term("eaux")], must_not=[search.Term("src3")],
+        min_score=5, limit=60,
+    )
+    return found.select("id", "rank")
+
+
+@query("R1", _bm25([("(" + " + ".join(f"len(list_filter({c}, lambda x: starts_with(x, 'eau')))" for c in "tc ts ta tt".split()) + ")", "")],
+                   "tf0 > 0", order="score DESC", limit=40))
+def search_stored_prefix(t: Feed) -> DataFrame:
+    found = search.stored_search(_stored_index(t), t.corpus, must=[search.Term("eau", prefix=True)], order="score", limit=40)
+    return found.select("id", "rank")
+
+
+@query("R1", _bm25([("len(list_filter(range(1, len(tc)), lambda i: tc[i] = 'of' AND tc[i + 1] = 'the'))", ""), (_tf("src1", "ta"), "")],
+                   "tf0 > 0 OR tf1 > 0", order="created_at DESC", limit=80))
+def search_stored_phrase(t: Feed) -> DataFrame:
+    terms = [search.Term("of the", column="content"), search.Term("src1", column="author_handle")]
+    found = search.stored_search(_stored_index(t), t.corpus, should=terms, order="time", limit=80)
+    return found.select("id", "rank")
