@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import brief_text, fixed, non_blank, or_blank, retweet_parts, unescape_html
 from tidewire.functions.times import before, in_range
 from tidewire.functions.urls import display_text, link_kinds, post_url
-from tidewire.operators.skew import lookup
+from tidewire.operators.skew import counted_broadcast, lookup
 from tidewire.operators.state import tier_rank
 
-# A page may be broadcast because its row count is an argument; longer pages join by shuffle.
-PAGE_BROADCAST_ROWS = 10_000
-
 
 def has_category(category: str) -> Column:
     return F.array_contains("categories", category)
@@ -93,19 +90,15 @@ def feed(posts: DataFrame, *, order: str = "relevance", limit: int = 50, offset:
 
 
 def attach_reactions(page: DataFrame, reactions: DataFrame, page_rows: int) -> DataFrame:
-    """Distinct reaction types for the posts of a page; reactions of other posts are dropped before they move."""
+    """Distinct reaction types for the posts of a page of at most ``page_rows`` rows, the limit it was cut with."""
     ids = page.select(F.col("id").alias("post_id"))
-    if page_rows <= PAGE_BROADCAST_ROWS:
-        ids = F.broadcast(ids)
     types = (
-        reactions.join(ids, "post_id", "left_semi")
+        reactions.join(counted_broadcast(ids, page_rows), "post_id", "left_semi")
         .groupBy(F.col("post_id").alias("id"))
         .agg(F.array_sort(F.collect_set("reaction_type")).alias("reactions"))
     )
-    if page_rows <= PAGE_BROADCAST_ROWS:
-        types = F.broadcast(types)
     empty = F.array().cast("array<string>")
-    return page.join(types, "id", "left").withColumn("reactions", F.coalesce("reactions", empty))
+    return page.join(counted_broadcast(types, page_rows), "id", "left").withColumn("reactions", F.coalesce("reactions", empty))
 
 
 def page_envelope(page: DataFrame, limit: int, offset: int = 0) -> DataFrame:
@@ -246,12 +239,11 @@ def reactions_export(
         .limit(limit)
     )
     wanted = page.select(F.col("post_id").alias("id")).distinct()
-    shown = posts.join(F.broadcast(wanted) if limit <= PAGE_BROADCAST_ROWS else wanted, "id", "left_semi").select(
+    shown = posts.join(counted_broadcast(wanted, limit), "id", "left_semi").select(
         F.col("id").alias("post_id"), "author_handle", F.substring("content", 1, 500).alias("content"), "summary",
         "score", "categories", "tickers",
     )
-    shown = F.broadcast(shown) if limit <= PAGE_BROADCAST_ROWS else shown
-    return page.join(shown, "post_id", "inner").orderBy(F.col("created_at").desc(), F.col("reaction_id").desc())
+    return page.join(counted_broadcast(shown, limit), "post_id", "inner").orderBy(F.col("created_at").desc(), F.col("reaction_id").desc())
 
 
 def export_recent(posts: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
@@ -260,7 +252,7 @@ def export_recent(posts: DataFrame, as_of: datetime, days: int = 7) -> DataFrame
 
 
 def post_detail(posts: DataFrame, reactions: DataFrame, post_id: str) -> DataFrame:
-    """One post with its reactions (quote chain: see ``graph.quote_chain``)."""
+    """One post with its reactions (``graph.with_quote_embeds`` adds the posts it quotes)."""
     one = posts.where(F.col("id") == post_id)
     own = reactions.where(F.col("post_id") == post_id)
     types = own.agg(F.array_sort(F.collect_set("reaction_type")).alias("reactions"))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewire.functions.text import fixed, non_blank, or_blank, squeeze, strip, triage_text, truncate_context
+from tidewire.functions.text import (
+    fixed, non_blank, or_blank, squeeze, strip, triage_text, truncate_context, unescape_html,
+)
 from tidewire.functions.urls import inline_links, link_kinds, status_id
-from tidewire.operators.skew import lookup, materialize, union_all
+from tidewire.operators.skew import counted_broadcast, lookup, materialize, union_all
 
 MAX_INLINE = 4
 MAX_QUOTE_DEPTH = 3
@@ -79,29 +81,28 @@ def quote_pointers(posts: DataFrame) -> DataFrame:
     )
 
 
-def _chosen(posts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Posts of a page's few ids: the ids are broadcast, so nothing but the chosen posts moves."""
-    return posts.join(F.broadcast(ids), "id", "left_semi")
-
-
 def quote_chain(posts: DataFrame, page: DataFrame | None = None, depth: int = MAX_QUOTE_DEPTH) -> DataFrame:
     """Per post the nested quoted posts q1..q<depth>; a chain ends at a missing post or one it already holds.
 
-    ``page`` restricts the starting posts; its row count is an argument of the feed, so its ids may be broadcast.
-    Each level is materialised (a few narrow columns), so the plan does not double from level to level, and the
-    texts that links are found in are read once, or for a page only for the posts of the chain.
+    ``page`` restricts the starting posts, as many as it likes: its ids are counted once, and since a chain has one row per
+    starting post, the same count bounds what each level looks up. Few ids are broadcast, so nothing but the chosen posts
+    moves; more are joined by shuffle. Each level is materialised (a few narrow columns), so the plan does not double from
+    level to level, and the texts that links are found in are read once, or for a page only for the posts of the chain.
     """
     if page is None:
         start = every = materialize(quote_pointers(posts))
     else:
-        start = quote_pointers(_chosen(posts, page.select("id")))
+        ids = materialize(page.select("id").distinct())
+        rows = ids.count()
+        start = quote_pointers(posts.join(counted_broadcast(ids, rows), "id", "left_semi"))
     chain = start.select("id", F.col("top_quote").alias("next"), F.array().cast("array<string>").alias("path"))
     for _ in range(depth):
         chain = materialize(chain)
         if page is not None:
-            every = quote_pointers(_chosen(posts, chain.select(F.col("next").alias("id")).distinct()))
+            ids = chain.where(F.col("next").isNotNull()).select(F.col("next").alias("id")).distinct()
+            every = quote_pointers(posts.join(counted_broadcast(ids, rows), "id", "left_semi"))
         hops = every.select(F.col("id").alias("next"), F.col("next_quote").alias("after"), F.lit(True).alias("found"))
-        joined = lookup(chain, hops, "next") if page is None else chain.join(F.broadcast(hops), "next", "left")
+        joined = lookup(chain, hops, "next")
         path = F.when(F.col("found"), F.array_append("path", F.col("next"))).otherwise(F.col("path"))
         open_end = F.col("found") & ~F.array_contains("path", F.col("after"))
         chain = joined.select("id", "after", "found", path.alias("path")).select(
@@ -110,6 +111,32 @@ def quote_chain(posts: DataFrame, page: DataFrame | None = None, depth: int = MA
     return chain.select("id", *[F.get("path", F.lit(i)).alias(f"q{i + 1}") for i in range(depth)])
 
 
+_EMBED = ("id", "author_handle", "author_name", "content", "created_at")
+
+
+def with_quote_embeds(page: DataFrame, posts: DataFrame, depth: int = MAX_QUOTE_DEPTH) -> DataFrame:
+    """Rows of ``page`` with ``quote_embed``: the quoted post's id, author, decoded text and time, and in it the next one.
+
+    Null where nothing is quoted or the quoted post is not stored. Only quoted posts move with their texts; a post that
+    many rows quote is spread.
+    """
+    chain = materialize(quote_chain(posts, page, depth))
+    asked = chain.select("id", F.posexplode(F.array(*[f"q{i + 1}" for i in range(depth)])).alias("level", "quoted"))
+    asked = asked.where(F.col("quoted").isNotNull())
+    ids = asked.select(F.col("quoted").alias("id")).distinct()
+    chosen = posts.select(*_EMBED).join(counted_broadcast(ids, asked.count()), "id", "left_semi")
+    shown = chosen.withColumn("content", unescape_html(F.col("content"))).select(
+        F.col("id").alias("quoted"), F.struct(*_EMBED).alias("post"))
+    found = lookup(asked, shown, "quoted", "inner").groupBy("id").agg(
+        *[F.first(F.when(F.col("level") == i, F.col("post")), ignorenulls=True).alias(f"e{i}") for i in range(depth)])
+    embed = None
+    for i in reversed(range(depth)):
+        fields = [F.col(f"e{i}")[name].alias(name) for name in _EMBED]
+        nested = [] if embed is None else [embed.alias("quote_embed")]
+        embed = F.when(F.col(f"e{i}").isNotNull(), F.struct(*fields, *nested))
+    return page.join(found.select("id", embed.alias("quote_embed")), "id", "left")
+
+
 def inline_references(posts: DataFrame) -> DataFrame:
     """Inline links other than the quoted post, one row each; ``embedded`` tells whether the target is stored."""
     explicit = non_blank(F.col("quote_id"))

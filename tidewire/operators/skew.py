@@ -52,6 +52,15 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", share
     return joined.drop("_salt")
 
 
+# Rows of a few narrow columns that may be broadcast; ``counted_broadcast`` checks.
+BROADCAST_ROWS = 10_000
+
+
+def counted_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` narrow rows as counted, marked for broadcast if they are few; else it is shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; unset, one in the warehouse, which is shared as well."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"

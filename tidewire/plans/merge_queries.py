@@ -338,6 +338,45 @@ def quote_chain_page(t: Feed) -> DataFrame:
     return graph.quote_chain(t.full_posts, page=feed(t.posts, limit=50))
 
 
+_EMBEDS = ", ".join(
+    f"e{i}.id AS e{i}_id, e{i}.author_handle AS e{i}_author, e{i}.author_name AS e{i}_name, md5(e{i}.content) AS e{i}_content,"
+    f" epoch_us(e{i}.created_at) AS e{i}_time" for i in (1, 2, 3))
+_EMBEDDED = f"""told AS (SELECT posts.*, texts.content FROM posts JOIN texts USING (n)),
+  c AS (SELECT a.id, b1.id AS q1, b2.id AS q2, b3.id AS q3 FROM q a
+    LEFT JOIN q b1 ON b1.id = a.top LEFT JOIN q b2 ON b2.id = b1.nxt AND b2.id <> b1.id
+    LEFT JOIN q b3 ON b3.id = b2.nxt AND b3.id <> b1.id AND b3.id <> b2.id WHERE a.id IN (SELECT id FROM page))
+SELECT c.id, {_EMBEDS} FROM c LEFT JOIN told e1 ON e1.id = q1 LEFT JOIN told e2 ON e2.id = q2 LEFT JOIN told e3 ON e3.id = q3"""
+
+
+def _flat_embeds(rows: DataFrame) -> DataFrame:
+    columns = []
+    for i in range(3):
+        embed = ".".join(["quote_embed"] * (i + 1))
+        columns += [
+            F.col(f"{embed}.id").alias(f"e{i + 1}_id"), F.col(f"{embed}.author_handle").alias(f"e{i + 1}_author"),
+            F.col(f"{embed}.author_name").alias(f"e{i + 1}_name"), F.md5(f"{embed}.content").alias(f"e{i + 1}_content"),
+            F.col(f"{embed}.created_at").alias(f"e{i + 1}_time"),
+        ]
+    return rows.select("id", *columns)
+
+
+@query("G4 Q1", f"""{_QUOTES},
+  page AS (SELECT id FROM posts WHERE processed_at IS NOT NULL ORDER BY score DESC, created_at DESC, id LIMIT 50),
+  {_EMBEDDED}""")
+def feed_page_embeds(t: Feed) -> DataFrame:
+    from tidewire.operators.feed import feed
+
+    return _flat_embeds(graph.with_quote_embeds(feed(t.posts, limit=50), t.full_posts))
+
+
+@query("G4 Q20", f"""{_QUOTES}, page AS (SELECT id FROM posts WHERE id = '24'),
+  {_EMBEDDED}""")
+def post_detail_embeds(t: Feed) -> DataFrame:
+    from tidewire.operators.feed import post_detail
+
+    return _flat_embeds(graph.with_quote_embeds(post_detail(t.posts, t.reactions, "24"), t.full_posts))
+
+
 @query("G5 X8", f"""
 , inl AS (SELECT *, CASE WHEN link_id <> id THEN link_id END AS inline FROM posts),
   s AS (SELECT id, inline, coalesce(quote_id, CASE WHEN NOT has_quote THEN inline END) AS quote FROM inl)
