@@ -68,11 +68,11 @@ def alert_gate(t: Feed) -> DataFrame:
 
 _KIND = """CASE WHEN surprise = 2 THEN 'surprise' WHEN catalyst_status = 'scheduled' AND ref IS NOT NULL THEN 'catalyst_scheduled'
   WHEN catalyst_status = 'resolved' AND ref IS NOT NULL THEN 'catalyst_resolved' ELSE 'datapoint' END"""
-_CANDIDATE = """signal_emitted_at IS NULL AND processed_at >= TIMESTAMP '2024-01-28 12:00:00'
+CANDIDATE = """signal_emitted_at IS NULL AND processed_at >= TIMESTAMP '2024-01-28 12:00:00'
   AND (score >= 7 OR surprise = 2 OR playbook_trigger IS NOT NULL OR catalyst_status = 'resolved')"""
 
 
-@query("R7", f"SELECT id, epoch_us(processed_at) AS processed_at FROM posts WHERE {_CANDIDATE}")
+@query("R7", f"SELECT id, epoch_us(processed_at) AS processed_at FROM posts WHERE {CANDIDATE}")
 def signal_candidates(t: Feed) -> DataFrame:
     return signals.signal_candidates(t.posts, AS_OF).select("id", "processed_at")
 
@@ -136,7 +136,7 @@ SELECT 'post:' || p.id AS dedup_key, epoch_us(p.created_at) AS ts, 'https://x.co
   array_to_string(themes, ',') AS themes,
   CASE WHEN playbook_trigger IS NOT NULL OR score >= 9 THEN 3 WHEN score >= 8 THEN 2 ELSE 1 END::BIGINT AS materiality,
   CASE WHEN playbook_trigger = 'supply_shock' THEN 'supply_loss' END AS playbook_trigger, ref AS catalyst_ref
-FROM posts p LEFT JOIN refs ON refs.id = p.id WHERE {_CANDIDATE}""")
+FROM posts p LEFT JOIN refs ON refs.id = p.id WHERE {CANDIDATE}""")
 def signal_events(t: Feed) -> DataFrame:
     events = signals.signal_events(
         signals.signal_candidates(t.full_posts, AS_OF), t.catalysts, t.calendar, t.themes, t.instruments
@@ -147,7 +147,7 @@ def signal_events(t: Feed) -> DataFrame:
 
 
 @query("R9", f"""
-SELECT 'post:' || id AS dedup_key FROM posts WHERE {_CANDIDATE} AND id NOT IN (SELECT post_id FROM reactions)""")
+SELECT 'post:' || id AS dedup_key FROM posts WHERE {CANDIDATE} AND id NOT IN (SELECT post_id FROM reactions)""")
 def unsent_signals(t: Feed) -> DataFrame:
     key = lambda c: F.concat(F.lit("post:"), F.col(c)).alias("dedup_key")
     events = signals.signal_candidates(t.posts, AS_OF).select(key("id"))
