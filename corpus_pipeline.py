@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import language, packing, privacy, simhash, winnow
 from tidewire.llm.common import checkpointed, fresh, quoted
+from tidewire.operators.skew import shared_folder
 
 # Documents whose letters are less like every profile than this have no language; prose stays far above.
 LEAST_LIKENESS = 0.25
@@ -66,10 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage returns is computed once and read by the next."""
+    """All stages over the documents. What a stage returns is written as Parquet to the shared folder, a new one for each
+    run, and read again by the next, which thus scans only the columns it needs and repeats nothing when executors go."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = checkpointed(docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
