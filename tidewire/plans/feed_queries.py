@@ -137,7 +137,7 @@ SELECT id, '[' || CASE WHEN coalesce(score, 0) <> 0 THEN printf('%.1f', score) E
   || CASE WHEN len(tickers) > 0 THEN ' [' || array_to_string(tickers, ',') || ']' ELSE '' END || ' ' || substr(summary, 1, 80) AS line
 FROM posts""")
 def brief_lines(t: Feed) -> DataFrame:
-    return feed.brief_lines(t.posts.withColumn("content", F.lit("")))
+    return feed.brief_lines(t.full_posts)
 
 
 @query("Q18", """

@@ -143,7 +143,7 @@ golden_results AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, least(10.0, n_chars / 500.0) AS score, n_chars % 2 AS surprise, doc_id % 14 = 0 AS stale,
          CASE doc_id % 10 WHEN 0 THEN 'supply_shock' WHEN 2 THEN 'vol_substitution' WHEN 3 THEN 'ai_victim' END AS trigger,
          CASE WHEN doc_id % 6 = 0 THEN 'resolved' END AS catalyst,
-         CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE 'long' END AS direction FROM documents WHERE lang <> 'fr')
+         CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE 'long' END AS direction FROM documents)
 """
 
 

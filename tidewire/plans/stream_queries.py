@@ -27,12 +27,12 @@ def _drain(writer: DataStreamWriter) -> None:
 @query("V1 S8", """
 , o AS (SELECT event_id // 2 AS post, event_id, 'u' || user_id AS handle,
      CASE WHEN event_id % 2 = 0 THEN split_part(content, '.', 1) || '...' ELSE content END AS content
-   FROM events JOIN texts ON texts.n = event_id WHERE event_type <> 'error')
+   FROM events JOIN texts ON texts.n = event_id)
 SELECT CAST(post AS VARCHAR) AS id, count(*) AS observations, count(DISTINCT handle) AS handles,
   md5(max(CASE WHEN event_id % 2 = 1 THEN content END)) AS full_text FROM o GROUP BY 1""")
 def stream_observations(t: Feed) -> DataFrame:
     folder = _folder(t)
-    rows = t.table("events").where("event_type <> 'error'").join(t.texts, F.col("event_id") == F.col("n"))
+    rows = t.table("events").join(t.texts, F.col("event_id") == F.col("n"))
     said = F.when(F.col("n") % 2 == 0, F.concat(F.split_part("content", F.lit("."), F.lit(1)), F.lit("...")))
     payload = F.struct(
         F.expr("event_id DIV 2").alias("id"), F.coalesce(said, "content").alias("text"),

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire import constants as C
 from tidewire.functions import decode, text, urls
 from tidewire.operators import feed, search
 from tidewire.operators.skew import shared_folder
@@ -34,14 +35,14 @@ def decode_objects(t: Feed) -> DataFrame:
 
 
 @query("J5 J6", r"""
-SELECT doc_id, regexp_replace(source || ' in ' || lang, '^\s+|\s+$', '', 'g') AS point, lang || ' weeks' AS horizon,
+SELECT doc_id, md5(regexp_replace(source || ' in ' || lang || chr(10) || text, '^\s+|\s+$', '', 'g')) AS point, lang || ' weeks' AS horizon,
   CASE WHEN n_chars % 100 = 0 THEN '0' ELSE regexp_replace(printf('%.2f', (n_chars % 100) / 100.0), '\.?0+$', '') END AS confidence,
   'A, ' || source AS tickers FROM documents""")
 def article_sections(t: Feed) -> DataFrame:
     rows = t.table("documents")
     points = F.to_json(F.array(
         F.struct(F.lit("  ").alias("point")),
-        F.struct(F.format_string(" %s in %s\n", "source", "lang").alias("point")),
+        F.struct(F.concat(F.lit(" "), "source", F.lit(" in "), "lang", F.lit("\n"), "text").alias("point")),
         F.struct(F.lit("later").alias("point")),
     ))
     actions = F.to_json(F.array(F.struct(
@@ -51,7 +52,7 @@ def article_sections(t: Feed) -> DataFrame:
     point = F.get(decode.article_points(points, 1), F.lit(0))
     action = F.get(decode.article_actions(actions), F.lit(0))
     return rows.select(
-        "doc_id", point["point"].alias("point"), action["horizon"].alias("horizon"),
+        "doc_id", F.md5(point["point"]).alias("point"), action["horizon"].alias("horizon"),
         action["confidence"].alias("confidence"), action["tickers"].alias("tickers"),
     )
 
@@ -83,12 +84,13 @@ def article_results(t: Feed) -> DataFrame:
     )
 
 
-@query("J10", """
-SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'chart' ELSE 'other' END AS kind, source AS prose_text,
+@query("J10", r"""
+SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'chart' ELSE 'other' END AS kind,
+  md5(regexp_replace(source || ': ' || text, '\s+$', '')) AS prose_text,
   CASE WHEN n_chars % 3 = 0 THEN lang ELSE '' END AS insight, lang AS charts_description, source AS charts_summary FROM documents""")
 def media_results(t: Feed) -> DataFrame:
     raw = F.to_json(F.struct(
-        F.when(F.col("n_chars") % 3 == 0, "Chart").alias("kind"), F.concat(F.lit("  "), "source").alias("prose_text"),
+        F.when(F.col("n_chars") % 3 == 0, "Chart").alias("kind"), F.concat(F.lit("  "), "source", F.lit(": "), "text").alias("prose_text"),
         F.when(F.col("n_chars") % 3 == 0, F.struct(F.col("lang").alias("insight"))).alias("chart"),
     ))
     second = decode.charts_result(
@@ -96,7 +98,7 @@ def media_results(t: Feed) -> DataFrame:
     )
     rows = t.table("documents").select("doc_id", decode.media_result(raw).alias("m"), second.alias("c"))
     return rows.select(
-        "doc_id", "m.kind", "m.prose_text", "m.chart.insight", F.col("c.chart.description").alias("charts_description"),
+        "doc_id", "m.kind", F.md5("m.prose_text").alias("prose_text"), "m.chart.insight", F.col("c.chart.description").alias("charts_description"),
         F.col("c.prose_summary").alias("charts_summary"),
     )
 
@@ -120,8 +122,11 @@ def unescape_html(t: Feed) -> DataFrame:
     return t.table("pages").select("page_id", F.md5(text.unescape_html(F.col("html"))).alias("html"))
 
 
-@query("X4 X6", r"""
-SELECT page_id, array_to_string(list_distinct_ordered, ' ') AS urls,
+@query("X4 X6", rf"""
+SELECT page_id, md5(array_to_string(list_sort(list_distinct(list_filter(list_transform(
+    regexp_extract_all(html, '{C.URL_PATTERN}'), lambda u: regexp_replace(u, '{C.URL_TRAILING_PUNCTUATION}', '')),
+    lambda u: u <> ''))), ' ')) AS html_urls,
+  array_to_string(list_distinct_ordered, ' ') AS urls,
   lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain,
   lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)
     || regexp_extract(url, '^[^?#]*(\?[^#]+)', 1) AS display_url
@@ -129,7 +134,8 @@ FROM (SELECT *, [regexp_replace(url, '[)\],.?!:;]+$', '')] AS list_distinct_orde
 def page_urls(t: Feed) -> DataFrame:
     twice = F.concat_ws(" ", F.lit("see"), F.col("url"), F.concat("url", F.lit("),")), F.lit("http:// nothing"))
     return t.table("pages").select(
-        "page_id", F.array_join(urls.extract_urls(twice), " ").alias("urls"), urls.domain(F.col("url")).alias("domain"),
+        "page_id", F.md5(F.array_join(F.array_sort(urls.extract_urls(F.col("html"))), " ")).alias("html_urls"),
+        F.array_join(urls.extract_urls(twice), " ").alias("urls"), urls.domain(F.col("url")).alias("domain"),
         urls.display_url(F.col("url")).alias("display_url"),
     )
 
@@ -221,8 +227,12 @@ def triage_text(t: Feed) -> DataFrame:
     return t.full_posts.select("id", F.md5(text.triage_text(*columns)).alias("text"))
 
 
-@query("X16 X19", r"""
-SELECT doc_id, CAST(doc_id % 9 AS BIGINT) AS page, (source = 'src1' OR n_chars % 2 = 0) AND lang <> 'de' AS data FROM documents""")
+@query("X16 X19", rf"""
+SELECT doc_id, text <> '' AND NOT regexp_matches(text, '{C.NOISE_IMAGE_PATTERN}') AND (regexp_matches(text, '{C.DATA_WORD_PATTERN}')
+    OR regexp_matches(text, '{C.DATA_NUMBER_PATTERN}')) AS text_data,
+  TRY_CAST(coalesce(nullif(regexp_extract(text, '(?i)\bpage\s*(\d+)\b', 1), ''),
+    nullif(regexp_extract(text, '\b(\d+)\s*/\s*(\d+)\b', 1), '')) AS BIGINT) AS text_page,
+  CAST(doc_id % 9 AS BIGINT) AS page, (source = 'src1' OR n_chars % 2 = 0) AND lang <> 'de' AS data FROM documents""")
 def page_hints(t: Feed) -> DataFrame:
     hint = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("see Page "), F.col("doc_id") % 9)).otherwise(
         F.concat(F.col("doc_id") % 9, F.lit(" / 12"))
@@ -231,7 +241,11 @@ def page_hints(t: Feed) -> DataFrame:
         " ", F.lit("note"), F.when(F.col("source") == "src1", "a revenue chart"), F.when(F.col("n_chars") % 2 == 0, "up 5.5% today"),
         F.when(F.col("lang") == "de", "selfie"),
     )
-    return t.table("documents").select("doc_id", text.page_hint(hint).alias("page"), text.looks_data_text(about).alias("data"))
+    said = F.col("text")
+    return t.table("documents").select(
+        "doc_id", text.page_hint(hint).alias("page"), text.looks_data_text(about).alias("data"),
+        text.page_hint(said).alias("text_page"), text.looks_data_text(said).alias("text_data"),
+    )
 
 
 @query("X20", r"""
