@@ -90,6 +90,20 @@ def test_shared_backoff_is_a_distribution(spark):
     assert words["cad"].real > 0.5 > -0.5 > words["mat"].real
 
 
+def test_every_ngram_keeps_its_own_ratio(spark):
+    """Words without any n-gram of the labelled texts have no evidence, however many n-grams the model holds."""
+    pick = random.Random(8)
+    toxic = ["".join(pick.choice("abcdefghijklm") for _ in range(120)) for _ in range(1500)]
+    unseen = ["".join(pick.choice("nopqrstuvwxyz") for _ in range(120)) for _ in range(50)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(toxic)] + [(-1, "abc", 0)], "doc_id long, text string, label int")
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(unseen)] + [(99, " ".join(unseen)), (100, None)], "doc_id long, text string")
+    rows = toxicity.likelihoods(texts, toxicity.fit_slots(df, "text", "label")).collect()
+    assert len(rows) == 52
+    # Only the edge before a word was seen: its first letter backs off to that, no other n-gram has a ratio.
+    edge = {r["doc_id"]: r["ratio"] for r in rows}
+    assert edge[100] == 0 and all(abs(edge[i] - edge[0]) < 1e-9 for i in range(50)) and abs(edge[99] - 50 * edge[0]) < 1e-6
+
+
 def repeated_by_force(words, width=5):
     windows = Counter(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
     inside = set()

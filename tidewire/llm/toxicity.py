@@ -8,6 +8,9 @@ is the log-likelihood ratio of its words per word, turned into a probability by
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
+from collections import Counter, defaultdict
 from functools import reduce
 
 import numpy as np
@@ -15,20 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import checkpointed, slices, worker_cache
+from tidewire.llm.common import checkpointed, slices
 
 ORDER = 5
 DISCOUNT = 0.75
-# Slots of the model that goes to the workers: 16 MB whatever the corpus. The heaviest n-gram keeps a shared slot.
-SLOTS = 1 << 22
 # Labelled rows, at most, that the logistic curve is fitted on.
 CALIBRATION_ROWS = 20_000
-CACHE_ENTRIES = 400_000
 # Evidence of one word, in nats, beyond which it counts as strong: ordinary words rarely get so far by chance.
 STRONG = 2.0
+# Letters of text, about, whose documents meet the model together.
+BLOCK = 16_000_000
 _EDGE = "\x02"
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_LONGEST = 64
 
 
 def word_counts(df: DataFrame, text: str, label: str) -> DataFrame:
@@ -65,10 +66,9 @@ def _head(column: str, size: int):
     return F.substring(column, 1, size)
 
 
-def fit_slots(df: DataFrame, text: str, label: str, order: int = ORDER, discount: float = DISCOUNT) -> np.ndarray:
-    """Log-likelihood ratios by slot: of every n-gram seen, and of every context for n-grams not seen after it.
-
-    All labelled texts count. The driver gets at most ``SLOTS`` numbers.
+def fit_slots(df: DataFrame, text: str, label: str, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
+    """(gram, ratio): log-likelihood ratios of every n-gram seen, and of every context (a letter shorter) for n-grams not
+    seen after it, each under its own letters. All labelled texts count; nothing is gathered.
     """
     top = checkpointed(_gram_counts(word_counts(df, text, label), order))
     d = F.lit(discount)
@@ -103,66 +103,162 @@ def fit_slots(df: DataFrame, text: str, label: str, order: int = ORDER, discount
     }
     ratios = (
         seen.join(contexts, "context").withColumn("tail", F.substring("gram", 2, order - 1)).join(below, "tail")
-        .select("gram", (F.log(chance[1]) - F.log(chance[0])).alias("ratio"), (F.col("c0") + F.col("c1")).alias("n"))
-    )
-    backing = contexts.select(
-        F.col("context").alias("gram"), (F.log(weight[1]) - F.log(weight[0])).alias("ratio"), (F.col("s0") + F.col("s1")).alias("n")
+        .select("gram", (F.log(chance[1]) - F.log(chance[0])).alias("ratio"))
     )
-    slot = F.crc32(F.col("gram").cast("binary")) % SLOTS
-    heaviest = ratios.unionByName(backing).groupBy(slot.cast("int").alias("slot")).agg(F.max_by("ratio", F.struct("n", "gram")).alias("ratio"))
-    table = heaviest.toArrow()
-    slots = np.full(SLOTS, np.nan, np.float32)
-    slots[table.column("slot").to_numpy()] = table.column("ratio").to_numpy()
-    return slots
+    backing = contexts.select(F.col("context").alias("gram"), (F.log(weight[1]) - F.log(weight[0])).alias("ratio"))
+    return checkpointed(ratios.unionByName(backing))
+
+
+def _grams_of(word: str, order: int) -> list[str]:
+    marked = _EDGE * (order - 1) + word + _EDGE
+    return [marked[i : i + order] for i in range(len(word) + 1)]
+
+
+def _wanted(words: list[str], order: int) -> dict[str, int]:
+    """Each distinct n-gram of the words, and each context, with its place."""
+    known: dict[str, int] = {}
+    for word in words:
+        for gram in _grams_of(word, order):
+            if gram not in known:
+                known[gram] = len(known)
+                known.setdefault(gram[:-1], len(known))
+    return known
+
+
+def _word_ratios(words: list[str], places, ratios, order: int) -> np.ndarray:
+    """The sum over each word's n-grams of the ratio at its place, else at its context's; neither: nothing."""
+    known = _wanted(words, order)
+    found = np.full(len(known), np.nan)
+    if len(places):
+        found[places] = ratios
+    held = dict(zip(known, found.tolist()))
+    values = np.zeros(len(words))
+    for i, word in enumerate(words):
+        total = 0.0
+        for gram in _grams_of(word, order):
+            ratio = held[gram]
+            if ratio != ratio:
+                ratio = held[gram[:-1]]
+                if ratio != ratio:
+                    continue
+            total += ratio
+        values[i] = total
+    return values
 
 
 class _Words(dict):
-    """Word -> log-likelihood ratio of its letters, and as imaginary part what of it exceeds ``STRONG``."""
+    """Word -> log-likelihood ratio of its letters, and as imaginary part what of it exceeds ``STRONG``: for looking at
+    single words, one query each."""
 
-    def __init__(self, slots: np.ndarray, order: int):
-        self.slots, self.order = slots, order
+    def __init__(self, ratios: DataFrame, order: int):
+        self.ratios, self.order = ratios, order
 
     def __missing__(self, word: str) -> complex:
-        import zlib
-
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        size, slots, total = self.order, self.slots, 0.0
-        marked = _EDGE * (size - 1) + word + _EDGE
-        for i in range(len(word) + 1):
-            ratio = slots[zlib.crc32(marked[i : i + size].encode()) % SLOTS]
-            if ratio != ratio:
-                ratio = slots[zlib.crc32(marked[i : i + size - 1].encode()) % SLOTS]
-                if ratio != ratio:
-                    continue
-            total += float(ratio)
-        made = complex(total, max(total - STRONG, 0.0))
-        if len(word) <= _LONGEST:
-            self[word] = made
-        return made
+        one = self.ratios.sparkSession.createDataFrame([(0, word)], "doc_id long, text string")
+        row = likelihoods(one, self.ratios, order=self.order).collect()[0]
+        self[word] = complex(row["ratio"], row["strong"])
+        return self[word]
 
 
-def likelihoods(df: DataFrame, slots: np.ndarray, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
-    """(doc_id, ratio, strong, n_words): each whole text's log-likelihood ratio, the sum of what single words have beyond
-    ``STRONG``, and its words. Null and wordless texts: zeros."""
-    shared = df.sparkSession.sparkContext.broadcast(slots)
+def _packed(numbers) -> bytes:
+    """Numbers as compressed planes of their bytes."""
+    planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(body: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(body, 4 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, size).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _squeezed(words) -> bytes:
+    return zlib.compress("\n".join(words).encode(), 6)
+
+
+def _words_of(squeezed: bytes) -> list[str]:
+    whole = zlib.decompress(squeezed).decode()
+    return whole.split("\n") if whole else []
+
+
+def _blocks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per slice of documents: its distinct words, and of each document the words (their places) and counts."""
 
     def run(batches):
-        words = _Words(shared.value, order)
+        from pyspark import TaskContext
+
+        block, known = TaskContext.get().partitionId() << 32, defaultdict()
+        known.default_factory = known.__len__
+        ids, sizes, places, counts, held = [], [], array("I"), array("I"), 0
+
+        def made():
+            columns = [
+                pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
+                *[pa.array([x], pa.binary()) for x in (_squeezed(known), _packed(places), _packed(counts))],
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "words", "places", "counts"])
+
         for batch in batches:
             for part in slices(batch, "text"):
-                sums, sizes = [], []
-                for value in part.column("text").to_pylist():
-                    found = _WORDS(value.lower()) if value else []
-                    sums.append(sum(map(words.__getitem__, found), 0j))
+                for doc, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = Counter(_WORDS(value.lower())) if value else {}
+                    places.extend(map(known.__getitem__, found))
+                    counts.extend(found.values())
+                    ids.append(doc)
                     sizes.append(len(found))
-                both = [pa.array([x.real for x in sums], pa.float64()), pa.array([x.imag for x in sums], pa.float64())]
+                    held += len(value or "") + 64
+                if held >= BLOCK:
+                    yield made()
+                    block, held = block + 1, 0
+                    for x in (known, ids, sizes):
+                        x.clear()
+                    del places[:], counts[:]
+        if ids:
+            yield made()
+
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "block long, ids array<long>, sizes array<int>, words binary, places binary, counts binary")
+
+
+def likelihoods(df: DataFrame, ratios: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+    """(doc_id, ratio, strong, n_words): each whole text's log-likelihood ratio, the sum of what single words have beyond
+    ``STRONG``, and its words. Null and wordless texts: zeros.
+
+    The distinct n-grams of each slice of documents are joined with the model, and come back to the slice as its part of it.
+    """
+    held = checkpointed(_blocks(df, doc_id, text))
+
+    def name(batches):
+        for batch in batches:
+            for block, squeezed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = list(_wanted(_words_of(squeezed), order))
+                places = np.arange(len(grams), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *both, pa.array(sizes, pa.int64())], ["doc_id", "ratio", "strong", "n_words"]
+                    [pa.array(np.full(len(grams), block, np.int64)), pa.array(places), pa.array(grams, pa.string())], ["block", "place", "gram"]
                 )
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ratio double, strong double, n_words long")
+    named = held.select("block", "words").mapInArrow(name, "block long, place int, gram string")
+    found = named.join(ratios, "gram").groupBy("block").agg(
+        F.collect_list(F.struct("place", "ratio")).alias("found")
+    ).select("block", F.col("found.place").alias("known"), F.col("found.ratio").alias("ratios"))
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = {n: batch.column(n)[row] for n in ("sizes", "words", "places", "counts", "known", "ratios")}
+                sizes = one["sizes"].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                total = int(sizes.sum())
+                places, counts = _unpacked(one["places"].as_py(), total), _unpacked(one["counts"].as_py(), total)
+                part = [one[n].values.to_numpy() if one[n].is_valid else [] for n in ("known", "ratios")]
+                values = _word_ratios(_words_of(one["words"].as_py()), *part, order)
+                ratio, beyond = values[places] * counts, np.maximum(values - STRONG, 0.0)[places] * counts
+                sums = np.zeros((3, len(sizes)))
+                for doc, (end, size) in enumerate(zip(np.cumsum(sizes).tolist(), sizes.tolist())):
+                    within = slice(end - size, end)
+                    sums[:, doc] = ratio[within].sum(), beyond[within].sum(), counts[within].sum()
+                columns = [batch.column("ids")[row].values, *map(pa.array, sums[:2]), pa.array(sums[2].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ratio", "strong", "n_words"])
+
+    return held.join(found, "block", "left").mapInArrow(run, "doc_id long, ratio double, strong double, n_words long")
 
 
 def features() -> list:
@@ -205,8 +301,8 @@ def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     calibrate = F.lit(True) if calibrate is None else calibrate
     # Merged at every size: labels grow with the documents, so they are never sent to all tasks.
     texts = df.where(learn).select(doc_id, text).join(known.where(learn).hint("merge"), doc_id)
-    slots = fit_slots(texts, text, "_label")
-    found = checkpointed(likelihoods(df, slots, doc_id, text))
+    ratios = fit_slots(texts, text, "_label")
+    found = checkpointed(likelihoods(df, ratios, doc_id, text))
     rows = (
         found.where(calibrate).join(known.where(calibrate).withColumnRenamed(doc_id, "doc_id"), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
