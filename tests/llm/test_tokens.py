@@ -115,6 +115,21 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack(df.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_packed_ids_are_the_librarys_with_added_tokens(spark, tmp_path):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}  {end}\n", f"x{end}y <|endoftext| > z", "plain text", f"wide  {end}  blanks", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from tidewire.llm.queries import QUERIES
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = {r["doc_id"]: r for r in QUERIES["op10_bounded_packing"](spark, str(tmp_path)).collect()}
+    for doc, text in enumerate(texts):
+        ids = library.encode(text or "", add_special_tokens=False).ids + [0]
+        row = rows[doc]
+        assert (row["doc_tokens"], row["length"]) == (len(ids), len(ids)), text
+        assert row["ids_crc32"] == zlib.crc32(array("I", ids).tobytes()), text
+
+
 def test_repeated_and_unnamed_documents_are_packed_each(spark):
     df = documents(spark, awkward())
     rows = packing.pack(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()

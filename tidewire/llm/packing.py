@@ -7,6 +7,7 @@ open at the end of all partitions are merged by the same rule over small groups
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -61,9 +62,12 @@ class Packer:
 
 
 class RankEncoder:
-    """Ids of the tokenizer file's vocabulary through its rank file, run by run between blanks."""
+    """Ids of the tokenizer file's vocabulary through its rank file, run by run between blanks.
 
-    def __init__(self, path: str, pattern: str):
+    ``added`` has the tokenizer file's added tokens: they are found in texts first, and what lies between is encoded.
+    """
+
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import base64
 
         import tiktoken
@@ -72,12 +76,31 @@ class RankEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._ordinary = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._runs = RunCache(self._whole)
+        self._added = {token: id_.to_bytes(4, "little") for token, id_ in (added or {}).items()}
+        # Leftmost, then longest.
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split
 
     def _whole(self, text: str) -> bytes:
         return self._ordinary.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return encode_runs(text, self._whole, self._runs)
+        if not any(token in text for token in self._added):
+            return encode_runs(text, self._whole, self._runs)
+        parts = self._cut(text)
+        return b"".join(
+            self._added[part] if i % 2 else encode_runs(part, self._whole, self._runs) for i, part in enumerate(parts) if part
+        )
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer file with their ids. Only plain ones: none that strip blanks or stand as single words."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        listed = json.load(file)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in listed):
+        raise ValueError(f"an added token of {path} matches by more than its text")
+    return {t["content"]: t["id"] for t in listed}
 
 
 def _rows(made: list[tuple]) -> pa.RecordBatch:
@@ -96,10 +119,11 @@ def pack(
     window: int = WINDOW,
     open_windows: int = OPEN_WINDOWS,
     merge_partitions: int = MERGE_PARTITIONS,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: its document, place and length in the document's ids, CRC-32 and place in a sequence.
 
-    A document's ids are those of its text (null: none) and then ``end_id``, so every document has a piece; null ids of
+    A document's ids are those of its text (null: none; ``added`` tokens inside it are one id each) and then ``end_id``, so every document has a piece; null ids of
     documents and repeated rows are packed like any other row. Every id lies in exactly one piece. Sequences take at
     most ``window`` ids; ``sequence_id`` is the partition's number and a count in it, so a task run again gives the
     same ids. Texts never leave their partition; only pieces of leftover windows are shuffled, and a merging task gets
@@ -109,7 +133,7 @@ def pack(
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = worker_cache(f"pack_{vocab}_{pattern}", lambda: RankEncoder(vocab, pattern))
+        encoder = worker_cache(f"pack_{vocab}_{pattern}_{added}", lambda: RankEncoder(vocab, pattern, added))
         base, made, count = TaskContext.get().partitionId() << 32, [], 0
 
         def full(items, left=False):

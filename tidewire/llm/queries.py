@@ -40,7 +40,8 @@ def op10_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm import packing
 
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack(table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN, added=added)
 
 
 @query
