@@ -125,6 +125,13 @@ def test_quality_counts_by_definition():
         ), text
 
 
+def test_lines_of_other_blanks_are_lines_of_words():
+    for blank in "\xa0\u3000\u2028\x85\x1c\x1f\u2003":
+        text = f"a.\n{blank}\n \t\n{blank}\nb.\n\n"
+        counts = dict(zip(quality.COUNTS, quality.measure_text(text)))
+        assert (counts["n_words"], counts["n_lines"], counts["n_dup_lines"], counts["n_ended"]) == (4, 4, 1, 2), repr(blank)
+
+
 def test_expectation_maximisation_finds_the_bad_class():
     random_ = np.random.default_rng(1)
     bad = random_.random(20_000) < 0.2

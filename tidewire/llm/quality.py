@@ -19,6 +19,8 @@ from tidewire.llm.common import WORD, checkpointed, slices
 
 _words = re.compile(WORD).findall
 SYMBOLS = "#*$%&|<>"
+# What lies between words; other white space, such as no-break spaces, is part of them.
+BLANKS = " \t\n\v\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_lines", "n_ended")
 
 
@@ -53,10 +55,10 @@ def repeated_words(words: list[str], width: int = 5) -> int:
 def measure_text(text: str) -> tuple[int, ...]:
     """The counts of ``COUNTS`` for one whole text."""
     words = _words(text)
-    lines = [x for x in text.split("\n") if x and not x.isspace() and _words(x)]
+    lines = [x for x in text.split("\n") if x.strip(BLANKS)]
     letters = sum(map(str.isalpha, text))
     upper = sum(map(str.isupper, text)) if text.lower() != text else 0
-    ended = sum(x.rstrip()[-1:] in ".!?\"'" for x in lines)
+    ended = sum((x.rstrip()[-1:] or x[-1]) in ".!?\"'" for x in lines)
     return (
         len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),
         repeated_words(words), upper, letters, len(lines), ended,
