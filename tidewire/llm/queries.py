@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.chat_sql import OP2_SQL
 from tidewire.llm.common import fold_of, table
+from tidewire.llm.manifest_sql import OP12_SQL
+from tidewire.llm.negatives_sql import OP13_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op2_quotation_linking": OP2_SQL}
+SQL: dict[str, str] = {
+    "op2_quotation_linking": OP2_SQL, "op12_merkle_manifest": OP12_SQL, "op13_hard_negatives": OP13_SQL,
+}
 
 
 def query(function):
@@ -138,3 +142,33 @@ def ordered_digest(linked: DataFrame) -> DataFrame:
     ordered = chat.reply_ordered(linked)
     path = F.array_join(F.transform("path", lambda b: F.concat_ws("-", -b["back"], b["first"])), "/")
     return ordered.select("conv_id", "turn", "role", "parent_turn", "n_quotes", "n_linked", path.alias("branches"), "formatted")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree per source over all documents; proofs checked against texts that lost their line feeds for half of the ids."""
+    from tidewire.llm import manifest
+
+    documents = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    altered = fold_of(F.col("doc_id"), 2) == 0
+    text = F.when(altered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.prove(
+        documents, manifest.leaf_of(*fields, F.col("text")), manifest.leaf_of(*fields, text), F.col("source"), F.col("doc_id"),
+        keep={"doc_id": F.col("doc_id")},
+    )
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector, for each of its five nearest of the same label."""
+    from tidewire.llm import negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    x = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    sound = F.forall(x, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(sound).select(
+        "vec_id", moved.alias("label"), F.transform(x, lambda x: F.floor(x * 256)).alias("vector")
+    )
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
