@@ -144,6 +144,19 @@ def ordered_digest(linked: DataFrame) -> DataFrame:
     return ordered.select("conv_id", "turn", "role", "parent_turn", "n_quotes", "n_linked", path.alias("branches"), "formatted")
 
 
+@query
+def op11_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of secrets in every document."""
+    from tidewire.llm import secrets
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(documents, secrets.fit(documents))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    every = secrets.spans_text(secrets.ordered(F.concat("base", "added")))
+    base = F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, every.alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree per source over all documents; proofs checked against texts that lost their line feeds for half of the ids."""
