@@ -45,6 +45,39 @@ def test_encoding_equals_the_library_and_decodes(encoder, library):
         assert encoder.decode(ids) == text.encode()
 
 
+def test_neighbours_by_plain_merging(encoder):
+    """Whether two tokens stay apart, for pairs as they stand in texts and random ones, against merging their bytes."""
+    pick, ranks = random.Random(7), bpe.Ranks(VOCAB)
+    tokens = [t for t in pick.sample(sorted(ranks.token), 4000) if ranks.alone(t)]
+    apart = 0
+    for _ in range(6000):
+        left, right = pick.choice(tokens), pick.choice(tokens)
+        if pick.random() < 0.7:
+            # Cut a token in two, so that the bytes fit each other.
+            whole = ranks.token[left]
+            at = pick.randint(1, len(whole))
+            halves = ranks.merge(whole[:at])[-1:], ranks.merge(whole[at:])[:1]
+            left, right = (halves[0][0], halves[1][0]) if halves[1] else (left, right)
+        want = ranks.merge(ranks.token[left] + ranks.token[right]) == [left, right]
+        assert ranks.beside(left, right) == want, (ranks.token[left], ranks.token[right])
+        apart += want
+    assert 1000 < apart < 6000 and ranks.rising
+
+
+def test_bad_ids_decode_to_null(spark):
+    rows = [(1, b""), (2, None), (3, b"\x01\0\0\0"), (4, b"\x01\0\0"), (5, b"\xff\xff\xff\xff"), (6, (50256).to_bytes(4, "little"))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "n long, ids binary, decoded string")
+    found = bpe.decode(df, VOCAB, P.PATTERN).orderBy("n").collect()
+    assert [r["decoded"] and bytes(r["decoded"]) for r in found] == [b"", b"", b'"', None, None, None]
+
+
+def test_caches_of_any_size_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 7)
+    encoder = bpe.Encoder(VOCAB, P.PATTERN)
+    for text in random_texts(400, 11):
+        assert list(array("I", encoder.encode(text))) == library.encode_ordinary(text)
+
+
 def test_edits_and_appends_equal_encoding_anew(encoder, library):
     pick = random.Random(2)
     for text in random_texts(400, 3):
@@ -153,7 +186,11 @@ def test_op1_query_digests(spark):
 
     directory = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{directory}/documents.parquet").collect()}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCAB, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for r in QUERIES["op1_byte_bpe"](spark, directory).collect():
+        ids = library.encode_ordinary(texts[r["doc_id"]] or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(bpe.pack_ids(ids)).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
     rows = QUERIES["op10_bounded_packing"](spark, directory).collect()
     check_pieces(rows, texts, 1024)

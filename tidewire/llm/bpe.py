@@ -14,6 +14,7 @@ import base64
 import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -21,8 +22,35 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tidewire.llm.common import slices, worker_cache
 
-# Entries a worker's caches hold before they start anew: bounded memory whatever the corpus.
-CACHE_ENTRIES = 500_000
+# Entries each generation of a worker's caches holds: bounded memory whatever the corpus.
+CACHE_ENTRIES = 300_000
+# Prefixes up to this many bytes are kept between pieces.
+KNOWN_PREFIX = 24
+# Ids decoded at a time.
+GATHER = 1 << 18
+
+
+class Generations(dict):
+    """A bounded cache in two generations: when the young one is full it becomes the old one, and what is asked for
+    again comes back. ``make`` computes what neither has; keys longer than 64 are not kept."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > 64:
+                return found
+        self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
 
 
 class Ranks:
@@ -36,13 +64,18 @@ class Ranks:
         # Every ending of a token, with the token's rank where the ending is a token itself.
         self.ending = {t[i:]: -1 for t in self.rank for i in range(len(t))}
         self.ending.update(self.rank)
+        # Prefix of a piece -> its last token, the part of the tables that pieces share.
+        self.last_of = Generations(None)
         self._beside: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
+        self._parts: dict[int, tuple[int, int]] = {}
+        # Whether every merge seen has a higher rank than the merges it is made of, as in vocabularies that were trained.
+        self.rising = True
 
-    def merge(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes, down_to: int = 1) -> list[int]:
         """Plain merging: the pair of lowest rank first, the leftmost of equals. Only for the bytes of one or two tokens."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > down_to:
             ranks = [self.rank.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
             at = min(range(len(ranks)), key=ranks.__getitem__)
             if ranks[at] == 1 << 60:
@@ -56,15 +89,47 @@ class Ranks:
             known = self._alone[token] = self.merge(self.token[token]) == [token]
         return known
 
+    def parts(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes this one last; of a single byte, itself twice."""
+        known = self._parts.get(token)
+        if known is None:
+            made = self.merge(self.token[token], 2)
+            known = self._parts[token] = (made[0], made[1]) if len(made) == 2 else (token, token)
+            self.rising &= len(made) < 2 or max(made) < token
+        return known
+
     def beside(self, left: int, right: int) -> bool:
+        """Whether merging the joined bytes of two valid tokens gives just these two.
+
+        Merges are undone from the latest on, on whichever side it happened, down to the single bytes on both sides of the
+        border: a merge across the border that comes before the next undone one would have been made in its stead.
+        """
         known = self._beside.get(left << 32 | right)
         if known is None:
             if len(self._beside) > CACHE_ENTRIES:
                 self._beside.clear()
-            known = self.merge(self.token[left] + self.token[right]) == [left, right]
+            known = self._stays_apart(left, right)
+            if not self.rising:
+                known = self.merge(self.token[left] + self.token[right]) == [left, right]
             self._beside[left << 32 | right] = known
         return known
 
+    def _stays_apart(self, left: int, right: int) -> bool:
+        token, rank = self.token, self.rank
+        # Merges with this rank or more come too late to matter. Of equal ranks the leftmost is made first.
+        limit = 1 << 60
+        while True:
+            across = rank.get(token[left] + token[right])
+            if across is not None and across < limit:
+                return False
+            left_open, right_open = len(token[left]) > 1, len(token[right]) > 1
+            if not left_open and not right_open:
+                return True
+            if left_open and (left > right or not right_open):
+                limit, left = left, self.parts(left)[1]
+            else:
+                limit, right = right + 1, self.parts(right)[0]
+
 
 class PrefixTable:
     """``last[i]`` is the last token of the encoding of the first ``i`` bytes."""
@@ -91,8 +156,17 @@ class PrefixTable:
     def append(self, data: bytes) -> None:
         done = len(self.data)
         self.data += data
-        for end in range(done + 1, len(self.data) + 1):
-            self.last.append(self._entry(end))
+        whole, known, put = self.data, self.ranks.last_of, self.last.append
+        for end in range(done + 1, min(len(whole), KNOWN_PREFIX) + 1):
+            prefix = whole[:end]
+            last = known.get(prefix)
+            if last is None:
+                last = known.old.get(prefix)
+                last = self._entry(end) if last is None else last
+                known.put(prefix, last)
+            put(last)
+        for end in range(max(done, KNOWN_PREFIX) + 1, len(whole) + 1):
+            put(self._entry(end))
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put ``data`` in the place of bytes ``start:stop``; the number of entries computed anew."""
@@ -118,38 +192,6 @@ class PrefixTable:
         return found[::-1]
 
 
-class PieceCache(dict):
-    """Piece of text -> its ids as little-endian 32-bit integers."""
-
-    def __init__(self, ranks: Ranks):
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        data = piece.encode()
-        whole = self.ranks.rank.get(data)
-        made = pack_ids([whole] if whole is not None else PrefixTable(self.ranks, data).ids())
-        if len(piece) <= 64:
-            self[piece] = made
-        return made
-
-
-class RunCache(dict):
-    """Run of text between blanks, read with the blank before it -> ids. Holds what ``encode`` gave."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        made = self.encode(" " + run)
-        if len(run) <= 64:
-            self[run] = made
-        return made
-
-
 def pack_ids(ids) -> bytes:
     packed = array("I", ids)
     if array("H", [1]).tobytes() != b"\1\0":
@@ -157,19 +199,23 @@ def pack_ids(ids) -> bytes:
     return packed.tobytes()
 
 
-# Two white-space characters, the first a blank: only beside these can a piece reach over a blank.
+# A blank before white space: only there can a piece reach over a blank. All others begin a piece.
 _WIDE = re.compile(r" \s")
+_CUT = re.compile(r" (?=\S)")
+
 
+def run_cache(encode) -> Generations:
+    """Run of text from one blank to the next, without that blank -> what ``encode`` gives for it with the blank."""
+    return Generations(lambda run: encode(" " + run))
 
-def encode_runs(text: str, encode, runs: RunCache) -> bytes:
-    """``encode(text)``, put together from runs between single blanks.
 
-    The splitting pattern joins a single blank to what follows it and never passes over one, so runs between
-    blanks split alike alone and in the text. Texts with wider white space go through ``encode`` whole.
+def encode_runs(text: str, encode, runs: Generations) -> bytes:
+    """``encode(text)``, put together from runs between blanks.
+
+    The splitting pattern joins a blank to what follows it, unless that is white space too. So every blank before
+    something else begins a piece, and what lies between two of them splits alike alone and in the text.
     """
-    if _WIDE.search(text):
-        return encode(text)
-    head, *rest = text.split(" ")
+    head, *rest = _CUT.split(text) if _WIDE.search(text) else text.split(" ")
     return encode(head) + b"".join(map(runs.__getitem__, rest))
 
 
@@ -178,9 +224,19 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = Ranks(path)
-        self.pieces = PieceCache(self.ranks)
+        self.pieces = Generations(self._piece)
         self._split = regex.compile(pattern).findall
-        self._runs = RunCache(self._whole)
+        self._runs = run_cache(self._whole)
+        # All tokens' bytes end to end, by rank; ranks that no token has are -1 bytes long.
+        most = max(self.ranks.token) + 1
+        self._sizes = np.array([len(self.ranks.token.get(r, b"")) if r in self.ranks.token else -1 for r in range(most)], np.int64)
+        self._starts = np.concatenate([[0], np.cumsum(np.maximum(self._sizes, 0))[:-1]])
+        self._bytes = np.frombuffer(b"".join(self.ranks.token.get(r, b"") for r in range(most)), np.uint8)
+
+    def _piece(self, piece: str) -> bytes:
+        data = piece.encode()
+        whole = self.ranks.rank.get(data)
+        return pack_ids([whole] if whole is not None else PrefixTable(self.ranks, data).ids())
 
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self._split(text)))
@@ -188,11 +244,21 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return encode_runs(text, self._whole, self._runs)
 
-    def decode(self, ids: bytes) -> bytes:
-        packed = array("I", ids)
-        if array("H", [1]).tobytes() != b"\1\0":
-            packed.byteswap()
-        return b"".join(map(self.ranks.token.__getitem__, packed))
+    def decode(self, ids: bytes) -> bytes | None:
+        """The bytes of the ids; None where they are no whole ids of the vocabulary."""
+        if len(ids) % 4:
+            return None
+        found = np.frombuffer(ids, "<u4").astype(np.int64)
+        if len(found) and (found.max() >= len(self._sizes) or self._sizes[found].min() < 0):
+            return None
+        parts = [self._gather(found[i : i + GATHER]) for i in range(0, len(found), GATHER)]
+        return b"".join(parts)
+
+    def _gather(self, ids: np.ndarray) -> bytes:
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self._starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])
+        return self._bytes[places].tobytes()
 
 
 class EditableText:
@@ -265,29 +331,33 @@ def _with(batch: pa.RecordBatch, schema: StructType, made: dict[str, pa.Array])
     return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else kept[f.name] for f in schema], schema.names)
 
 
-def encode(df: DataFrame, vocab: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, vocab: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """Adds ``ids`` (binary: little-endian unsigned 32-bit) and ``n_tokens`` (long) to every row.
 
     ``vocab`` is a rank file every executor can open, ``pattern`` the splitting pattern. No special tokens: their
-    strings are ordinary text. Null text counts as empty (no ids). Columns named ``ids`` or ``n_tokens`` are replaced;
-    all others pass. No shuffle; a worker holds one slice of texts and bounded caches.
+    strings are ordinary text. Null text counts as empty (no ids). ``decoded`` adds a column of that name as well, the
+    bytes that the ids decode to, in the same pass. Columns named like these are replaced; all others pass. No
+    shuffle; a worker holds one slice of texts and bounded caches.
     """
-    schema = _extended(df, StructField("ids", BinaryType()), StructField("n_tokens", LongType()))
+    more = [StructField("decoded", BinaryType())] if decoded else []
+    schema = _extended(df, StructField("ids", BinaryType()), StructField("n_tokens", LongType()), *more)
 
     def run(batches):
         encoder = _encoder(vocab, pattern)
         for batch in batches:
             for part in slices(batch, text):
                 found = [encoder.encode(t) if t else b"" for t in part.column(text).to_pylist()]
-                yield _with(part, schema, {
-                    "ids": pa.array(found, pa.binary()), "n_tokens": pa.array([len(f) // 4 for f in found], pa.int64()),
-                })
+                made = {"ids": pa.array(found, pa.binary()), "n_tokens": pa.array([len(f) // 4 for f in found], pa.int64())}
+                if decoded:
+                    made["decoded"] = pa.array([encoder.decode(f) for f in found], pa.binary())
+                yield _with(part, schema, made)
 
     return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocab: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded`` (binary), the bytes of ``ids``; null ids decode to no bytes. A column ``decoded`` is replaced."""
+    """Adds ``decoded`` (binary), the bytes of ``ids``; null ids decode to no bytes, and what is no row of whole ids of the
+    vocabulary to null. A column ``decoded`` is replaced."""
     schema = _extended(df, StructField("decoded", BinaryType()))
 
     def run(batches):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.bpe import RunCache, encode_runs
+from tidewire.llm.bpe import encode_runs, run_cache
 from tidewire.llm.common import checkpointed, slices, worker_cache
 
 WINDOW = 1024
@@ -75,7 +75,7 @@ class RankEncoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._ordinary = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._runs = RunCache(self._whole)
+        self._runs = run_cache(self._whole)
         self._added = {token: id_.to_bytes(4, "little") for token, id_ in (added or {}).items()}
         # Leftmost, then longest.
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split

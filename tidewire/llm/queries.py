@@ -31,8 +31,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(documents, vocab, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode(encoded, vocab, public_tokenizers.PATTERN)
+    decoded = bpe.encode(documents, vocab, public_tokenizers.PATTERN, decoded=True)
     return decoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
