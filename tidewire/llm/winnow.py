@@ -1,9 +1,10 @@
 """Line deduplication by winnowing.
 
 A gram is a run of lines with at least ``NOISE`` words, hashed; a window is a run of lines with at least ``GUARANTEE``
-words. Of the grams inside each window the one with the least hash is a fingerprint, so any two equal runs of that many
-words share one, and no match shorter than a gram is ever seen. Every occurrence of a fingerprint is joined to its first
-occurrence in the order of documents and lines, the match is extended line by line both ways, and the later run goes.
+words that would have fewer without its first or without its last line. Of the grams inside each window the one with the
+least hash is its fingerprint, so equal windows have equal fingerprints. Fingerprints that occur once settle most texts;
+the windows of the others are joined to the first occurrence of the same lines in the order of documents and lines, and the
+later ones go. Neighbouring windows overlap to both sides: together they cover every line of every run that came before.
 Each deleted line equals an earlier one, so the first of all copies always stays.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import checkpointed, fresh, quoted, slices
+from tidewire.operators.skew import lookup
 
 NOISE = 25
 GUARANTEE = 50
@@ -35,8 +37,11 @@ def read_lines(text: str) -> tuple[list[int], list[int], list[int]]:
     return places, hashes, words
 
 
-def winnow(hashes: list[int], words: list[int], noise: int = NOISE, guarantee: int = GUARANTEE) -> list[tuple[int, int, int]]:
-    """Fingerprints (hash, first line, last line) of a document. A document shorter than a window is one window."""
+def fingerprint_of_starts(
+    hashes: list[int], words: list[int], noise: int = NOISE, guarantee: int = GUARANTEE
+) -> list[tuple[int, int, int] | None]:
+    """For each line the fingerprint (hash, first line, last line) of the shortest window that begins there; from the first
+    line on that no window begins with, the list ends. A document shorter than a window is one window."""
     n = len(words)
     ends, end, held = [], 0, 0
     for start in range(n):
@@ -52,8 +57,7 @@ def winnow(hashes: list[int], words: list[int], noise: int = NOISE, guarantee: i
     ]
     if not grams:
         return []
-    chosen, queue, stop, held, put = {}, [], 0, 0, 0
-    head = 0
+    chosen, queue, stop, held, put, head = [], [], 0, 0, 0, 0
     for start in range(n):
         while stop < n and held < guarantee:
             held += words[stop]
@@ -68,30 +72,36 @@ def winnow(hashes: list[int], words: list[int], noise: int = NOISE, guarantee: i
             put += 1
         while head < len(queue) and queue[head] < start:
             head += 1
-        if head < len(queue):
-            chosen[queue[head]] = None
+        chosen.append((grams[queue[head]], queue[head], ends[queue[head]]) if head < len(queue) else None)
+        held -= words[start]
+    return chosen
+
+
+def winnow(hashes: list[int], words: list[int], noise: int = NOISE, guarantee: int = GUARANTEE) -> list[tuple[int, int, int]]:
+    """Fingerprints (hash, first line, last line) of a document, each once."""
+    return list(dict.fromkeys(f for f in fingerprint_of_starts(hashes, words, noise, guarantee) if f is not None))
+
+
+def windows(words: list[int], guarantee: int = GUARANTEE) -> list[tuple[int, int]]:
+    """(first line, last line) of all windows: the shortest from each line on, and the shortest up to each line."""
+    n, found, end, held = len(words), set(), 0, 0
+    for start in range(n):
+        while end < n and held < guarantee:
+            held += words[end]
+            end += 1
+        if held < guarantee:
+            break
+        found.add((start, end - 1))
         held -= words[start]
-    return [(grams[s], s, ends[s]) for s in chosen]
-
-
-def extend(here: list[int], there: list[int], anchors: list[tuple[int, int, int]]) -> set[int]:
-    """Lines of ``here`` in runs equal to runs of ``there`` around the anchors (first line here, last here, first there)."""
-    covered: set[int] = set()
-    done: dict[int, int] = {}
-    for start, stop, source in sorted(anchors):
-        shift = start - source
-        if done.get(shift, -1) >= stop:
-            continue
-        if here[start : stop + 1] != there[source : source + stop + 1 - start]:
-            continue
-        low, high = start, stop
-        while low > 0 and low - shift > 0 and here[low - 1] == there[low - 1 - shift]:
-            low -= 1
-        while high + 1 < len(here) and high + 1 - shift < len(there) and here[high + 1] == there[high + 1 - shift]:
-            high += 1
-        done[shift] = high
-        covered.update(range(low, high + 1))
-    return covered
+    start = held = 0
+    for end in range(n):
+        held += words[end]
+        while held - words[start] >= guarantee:
+            held -= words[start]
+            start += 1
+        if held >= guarantee:
+            found.add((start, end))
+    return sorted(found) if found or not n else [(0, n - 1)]
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -105,67 +115,64 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", no
                    guarantee: int = GUARANTEE) -> DataFrame:
     """(key, keep): for every document that loses lines, a flag for each of its lines (split at line feeds)."""
     key_type = "key struct<n:boolean,id:long,h:long>"
-    schema = key_type + (
-        ", total int, places array<int>, hashes array<long>, prints array<struct<gram:long,first:int,last:int>>"
-    )
-    print_type = pa.list_(pa.struct([("gram", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+    schema = key_type + ", total int, places array<int>, hashes array<long>, words array<int>, grams array<long>"
 
     def read(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                totals, places, hashes, prints = [], [], [], []
-                for value in part.column("text").to_pylist():
-                    found = read_lines(value or "")
-                    totals.append((value or "").count("\n") + 1)
-                    places.append(found[0])
-                    hashes.append(found[1])
-                    prints.append([
-                        {"gram": g, "first": a, "last": b} for g, a, b in winnow(found[1], found[2], noise, guarantee)
-                    ])
+                found = [read_lines(value or "") for value in part.column("text").to_pylist()]
+                totals = [(value or "").count("\n") + 1 for value in part.column("text").to_pylist()]
+                grams = [[g for g, _, _ in winnow(hashes, words, noise, guarantee)] for _, hashes, words in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(totals, pa.int32()), pa.array(places, pa.list_(pa.int32())),
-                     pa.array(hashes, pa.list_(pa.int64())), pa.array(prints, print_type)],
-                    ["key", "total", "places", "hashes", "prints"],
+                    [part.column("key"), pa.array(totals, pa.int32()),
+                     *[pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int32()))],
+                     pa.array(grams, pa.list_(pa.int64()))],
+                    ["key", "total", "places", "hashes", "words", "grams"],
                 )
 
     # A row equal to another in id and text is the same document: both get its flags.
     texts = df.select(_key(quoted(doc_id), quoted(text)).alias("key"), quoted(text).cast("string").alias("text"))
-    read_once = checkpointed(texts.mapInArrow(read, schema).where(F.size("prints") > 0))
-    posts = read_once.select("key", F.explode("prints").alias("p")).select("key", "p.gram", "p.first", "p.last")
-    first = posts.groupBy("gram").agg(F.min(F.struct("key", "first")).alias("src"), F.max(F.struct("key", "first")).alias("end"))
-    first = first.where(F.col("src") < F.col("end")).select("gram", "src")
-    later = posts.join(first, "gram").where(F.struct("key", "first") > F.col("src"))
-    anchors = later.groupBy("key", F.col("src.key").alias("source")).agg(
-        F.collect_set(F.struct("first", "last", F.col("src.first").alias("there"))).alias("anchors")
-    )
-    own = read_once.dropDuplicates(["key"]).select("key", "total", "places", "hashes")
-    theirs = own.select(F.col("key").alias("source"), F.col("hashes").alias("there"))
-    matched = anchors.join(theirs, "source").join(own, "key")
-
-    def match(batches):
+    read_once = checkpointed(texts.mapInArrow(read, schema).where(F.size("grams") > 0))
+    # Rows of one document twice only make its fingerprints look repeated.
+    prints = read_once.select("key.*", F.explode("grams").alias("gram"))
+    repeated = prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    shared = lookup(prints, repeated, "gram", "left_semi")
+    # At most the distinct fingerprints of one document.
+    by_doc = shared.groupBy(F.struct("n", "id", "h").alias("key")).agg(F.collect_set("gram").alias("shared"))
+
+    def spread(batches):
+        """The windows whose fingerprint occurs again, under a hash of their lines."""
         for batch in batches:
-            keys, totals, gone = [], [], []
-            for row in batch.to_pylist():
-                found = [(a["first"], a["last"], a["there"]) for a in row["anchors"]]
-                covered = extend(row["hashes"], row["there"], found)
-                keys.append(row["key"])
-                totals.append(row["total"])
-                gone.append(sorted(row["places"][i] for i in covered))
+            rows = {name: batch.column(name).to_pylist() for name in ("key", "hashes", "words", "shared")}
+            made = []
+            for key, hashes, words, grams in zip(*rows.values()):
+                grams, starts = set(grams), fingerprint_of_starts(hashes, words, noise, guarantee)
+                packed = struct.pack(f"<{len(hashes)}q", *hashes)
+                for first, last in windows(words, guarantee):
+                    if starts[first] is not None and starts[first][0] in grams:
+                        made.append((key["n"], key["id"], key["h"], xxhash.xxh3_128_digest(packed[8 * first : 8 * last + 8]), first, last))
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.schema.field("key").type), pa.array(totals, pa.int32()), pa.array(gone, pa.list_(pa.int32()))],
-                ["key", "total", "gone"],
+                [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)], ["n", "id", "h", "w", "first", "last"]
             )
 
-    # Sources of one document are few beside its lines; their lines are united per document.
-    found = matched.mapInArrow(match, key_type + ", total int, gone array<int>").where(F.size("gone") > 0)
-    united = found.groupBy("key").agg(F.max("total").alias("total"), F.flatten(F.collect_list("gone")).alias("gone"))
+    kept = read_once.select("key", "hashes", "words").join(by_doc, "key").dropDuplicates(["key"])
+    listed = checkpointed(kept.mapInArrow(spread, "n boolean, id long, h long, w binary, first int, last int"))
+    place = F.struct("n", "id", "h", "first")
+    first = listed.groupBy("w").agg(F.min(place).alias("src"), F.max(place).alias("end")).where(F.col("src") < F.col("end"))
+    later = lookup(listed, first.select("w", "src"), "w", "inner").where(place > F.col("src"))
+    # At most two windows for each line of the document.
+    gone = later.groupBy(F.struct("n", "id", "h").alias("key")).agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    united = read_once.select("key", "total", "places").join(gone, "key").dropDuplicates(["key"])
 
     def flags(batches):
         for batch in batches:
             kept = []
-            for total, gone in zip(batch.column("total").to_pylist(), batch.column("gone").to_pylist()):
+            for total, places, gone in zip(*(batch.column(c).to_pylist() for c in ("total", "places", "gone"))):
                 keep = np.ones(total, bool)
-                keep[gone] = False
+                places = np.array(places, np.int64)
+                for run in gone:
+                    keep[places[run["first"] : run["last"] + 1]] = False
                 kept.append(keep)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(kept, pa.list_(pa.bool_()))], ["key", "keep"])
 
@@ -177,7 +184,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", noise
     """All rows of ``df`` with later repeated runs of lines taken out of ``text``, and their number in ``removed``.
 
     Every line of a run of at least ``guarantee`` words that occurred before, in an earlier document or earlier in the
-    same one, is found with its gram; runs under ``noise`` words stay. Order: id (null ids last), then a hash of the
+    same one, goes; so does a document of at least ``noise`` and under ``guarantee`` words that equals an earlier one line
+    by line. Shorter runs stay. Blanks at a line's ends do not count, lines without a word neither. Order: id (null ids last), then a hash of the
     text. Lines without a word belong to no run and stay. Null texts stay null; a text that loses all its lines becomes
     empty. A column ``removed`` is replaced, all others pass.
     """
