@@ -140,6 +140,53 @@ def test_later_runs_go_and_first_ones_stay(spark):
     assert any(r["n_removed"] > 0 for r in rows)
 
 
+def removal_by_force(texts, guarantee=50, noise=25):
+    """Lines that lie in a run of at least the guaranteed words equal to an earlier run; whole short documents too."""
+    rows, gone = [], {}
+    for doc in sorted(texts):
+        lines = [(n, x.strip()) for n, x in enumerate(texts[doc].split("\n")) if x.split()]
+        rows.append((doc, [n for n, _ in lines], [x for _, x in lines], [len(x.split()) for _, x in lines]))
+    seen = {}
+    for doc, places, lines, words in rows:
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                size = sum(words[a : b + 1])
+                whole = a == 0 and b == len(lines) - 1
+                if size >= guarantee or (whole and size >= noise):
+                    run = (size >= guarantee, tuple(lines[a : b + 1]))
+                    if run in seen:
+                        gone.setdefault(doc, set()).update(places[a : b + 1])
+                    else:
+                        seen[run] = doc
+    return gone
+
+
+def left_by_force(texts, gone):
+    return {d: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(d, ())) for d, t in texts.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_by_force(spark, seed):
+    """Few different lines of all sizes, so that runs begin, end and overlap everywhere."""
+    pick = random.Random(seed)
+    words = "alpha beta gamma delta eps zeta eta theta".split()
+    vocabulary = [" ".join(pick.choice(words) for _ in range(pick.choice([1, 3, 9, 14, 30, 55]))) for _ in range(14)] + ["", "  "]
+    texts = {i: "\n".join(pick.choice(vocabulary) for _ in range(pick.randint(0, 14))) for i in range(60)}
+    rows = winnow.dedup_lines(documents(spark, [(i, t, None) for i, t in texts.items()]).repartition(3)).collect()
+    gone = removal_by_force(texts)
+    assert {r["doc_id"]: r["text"] for r in rows} == left_by_force(texts, gone)
+    assert {r["doc_id"]: r["n_removed"] for r in rows if r["n_removed"]} == {d: len(g) for d, g in gone.items()}
+
+
+def test_a_passage_whose_chosen_lines_stood_alone_before_goes(spark):
+    pick = random.Random(4)
+    lines = [" ".join(pick.choice("abcdefgh") + str(pick.randrange(999)) for _ in range(30)) for _ in range(8)]
+    texts = {n: f"own line {n}\n{line}\nanother {n}" for n, line in enumerate(lines)}
+    texts |= {50: "\n".join(lines), 60: "before\n" + "\n".join(lines) + "\nbehind"}
+    rows = {r["doc_id"]: r["text"] for r in winnow.dedup_lines(documents(spark, [(i, t, None) for i, t in texts.items()])).collect()}
+    assert rows[50] == texts[50] and rows[60] == "before\nbehind"
+
+
 def test_line_dedup_on_awkward_rows(spark):
     df = documents(spark, awkward())
     out = winnow.dedup_lines(df)
@@ -157,3 +204,71 @@ def test_repeated_words_and_bits_stay_bounded():
     text = "w " * 200_000
     assert isinstance(simhash.fingerprint(text), int)
     assert np.bitwise_count(np.uint64(simhash.fingerprint(text) & (1 << 64) - 1)) > 0
+
+
+def similarity(one, two):
+    return len(one & two) / len(one | two) if one or two else 1.0
+
+
+def shingles_by_force(text, width=5):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} or ({" ".join(words)} if words else set())
+
+
+def near_copies(pick):
+    """Texts, each with copies of which some words are changed, up to similarities about the limit."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = [pick.choice(words) for _ in range(pick.randint(30, 300))]
+        texts.append(" ".join(base))
+        for _ in range(pick.randint(0, 5)):
+            copy = base[:]
+            for _ in range(pick.randint(0, max(1, len(base) // 35))):
+                copy[pick.randrange(len(copy))] = pick.choice(words)
+            texts.append(" ".join(copy).upper() if pick.random() < 0.2 else " ".join(copy))
+    return texts + ["one two", "one two", "One TWO", "three", "", None, " "]
+
+
+def test_similar_groups_against_all_pairs(spark):
+    texts = near_copies(random.Random(8))
+    rows = simhash.similar_groups(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()
+    found = {r["doc_id"]: r["component"] for r in rows}
+    assert len(rows) == len(texts)
+    sets = [shingles_by_force(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+    caught = [found[i] == found[j] for i, j in links]
+    assert len(links) > 150 and sum(caught) / len(links) >= 0.95
+    # Nothing is put together that no links join.
+    root = list(range(len(texts)))
+    for i, j in links:
+        a, b = root[i], root[j]
+        root = [b if r == a else r for r in root]
+    assert all(root[i] == root[j] for i in range(len(texts)) for j in range(i) if found[i] == found[j])
+
+
+def test_similar_groups_of_awkward_rows(spark):
+    df = documents(spark, awkward())
+    rows = simhash.similar_groups(df).collect()
+    assert len(rows) == len(awkward()) and simhash.similar_groups(df.limit(0)).count() == 0
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], set()).add(r["component"])
+    assert by_id[1] == by_id[2] == by_id[3] and by_id[4] == by_id[None] and len({min(c) for c in by_id.values()}) == 6
+    with pytest.raises(ValueError):
+        simhash.similar_groups(df, similarity=0.5)
+
+
+def test_recall_of_similar_groups_on_given_tables(spark):
+    """Pairs of the given documents with five-word similarities from 0.8 up to below 1, by all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: shingles_by_force(r["text"]) for r in docs.collect()}
+    by_shingle = {}
+    for i, s in sets.items():
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+    near = {(i, j) for ids in by_shingle.values() if len(ids) < 60 for i in ids for j in ids if i < j and 0.8 <= similarity(sets[i], sets[j]) < 1}
+    found = {r["doc_id"]: r["component"] for r in simhash.similar_groups(docs).collect()}
+    caught = sum(found[i] == found[j] for i, j in near)
+    print("near copies found", caught, "of", len(near))
+    assert len(near) >= 10 and caught >= 0.9 * len(near)

@@ -18,10 +18,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tidewire.llm.common import checkpointed, slices
 from tidewire.llm.components import components
+from tidewire.operators.skew import lookup
 
 POSITIONS = 8
 MOST_BITS = 3
@@ -160,3 +161,169 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     found = checkpointed(groups(df, doc_id, text, width, most_bits).withColumn("doc_id", F.col("doc_id").cast("long")))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "component").select("doc_id", "fp", "component_id")
+
+
+# --- similarity of shingle sets ----------------------------------------------------------------------------------
+# Texts whose sets of shingles have a Jaccard similarity of 0.8 differ in about 15 % of a SimHash's bits, far more than an
+# index over single fingerprints can promise to find. So a longer fingerprint is taken, and lists stand under each run of
+# positional bytes of it; two texts are compared where they share a list, that is one such run at least, by 128 of their
+# bits first and by their sets themselves in the end.
+
+WIDTH = 5
+SIMILARITY = 0.8
+# Tables, and bytes of a key: the second pair is for more texts than the first number. With p = 0.151 differing bits
+# at the least similarity a pair shares one of the keys with 1 - (1 - (1 - p) ** bits) ** tables: 0.91 and 0.92.
+TABLES = ((1 << 24, 32, 2), (1 << 62, 128, 3))
+# Bits of 128 in which texts as similar as that may differ: 19 on average, with a deviation of 4.
+NEAR_BITS = 36
+_MIX = 0x9E3779B97F4A7C15
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of the distinct shingles of a text (words and lower case as in ``fingerprint``), sorted; none without words."""
+    words = _words(text.encode().lower()) if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(words) - width + 1))
+
+
+def long_fingerprint(hashes: np.ndarray, size: int) -> bytes:
+    """``size`` bytes of a SimHash over distinct hashes, each 64 bits of it from the hashes mixed anew."""
+    words = []
+    for seed in range(1, -(-size // 8) + 1):
+        ones = np.zeros(64, np.int64)
+        for start in range(0, len(hashes), BLOCK):
+            mixed = (hashes[start : start + BLOCK] ^ np.uint64(seed * _MIX & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(32)
+            ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        words.append(np.packbits(2 * ones > len(hashes)))
+    return np.concatenate(words)[:size].tobytes()
+
+
+def _near_tree(nodes: np.ndarray, bits: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links from each member to those not reached yet that differ in at most ``most`` bits; ``bits`` is (members, 2)."""
+    ends, roots = [], []
+    left = np.arange(len(nodes))
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        front = [root]
+        while front and len(left):
+            at = front.pop()
+            near = np.bitwise_count(bits[left] ^ bits[at]).sum(axis=1) <= most
+            if near.any():
+                reached, left = left[near], left[~near]
+                ends.append(nodes[reached])
+                roots.append(np.full(len(reached), nodes[at]))
+                front += reached[::-1].tolist()
+    return ends, roots
+
+
+def _near_links(keys: np.ndarray, nodes: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of lists that lie whole in these sorted arrays."""
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    sizes = np.diff(edges)
+    pairs = edges[:-1][sizes == 2]
+    near = np.bitwise_count(bits[pairs] ^ bits[pairs + 1]).sum(axis=1) <= most
+    a, b = [nodes[pairs + 1][near]], [nodes[pairs][near]]
+    for start, size in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        ends, roots = _near_tree(nodes[start : start + size], bits[start : start + size], most)
+        a += ends
+        b += roots
+    return np.concatenate(a), np.concatenate(b)
+
+
+def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
+                   similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, node, component) for every row: rows share a component exactly if verified links join them.
+
+    A node is a set of shingles (``width`` words; a shorter text: all its words; texts without words share the empty set),
+    so copies meet before anything is paired. Links have a Jaccard similarity of at least ``similarity``, computed on the
+    whole sets. They are found with the probability stated at ``TABLES`` at 0.8 and more above; in a list the members of a
+    similar group are linked as a tree, never pair by pair. Nulls, repeated rows and empty tables as in ``groups``.
+    """
+    if not SIMILARITY <= similarity <= 1:
+        raise ValueError(f"the lists are laid out for similarities from {SIMILARITY}")
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    total = rows.count()
+    tables, width_of_key = next((t, w) for most, t, w in TABLES if total <= most)
+    kind = rows.schema["doc_id"].dataType
+    schema = StructType([StructField("doc_id", kind), StructField("node", LongType()), StructField("size", LongType()), StructField("long", BinaryType())])
+
+    def read(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
+                nodes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+                made = [long_fingerprint(s, tables * width_of_key) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary())],
+                    ["doc_id", "node", "size", "long"],
+                )
+
+    prints = checkpointed(rows.mapInArrow(read, schema))
+    nodes = prints.where("size > 0").groupBy("node").agg(F.any_value("long").alias("long"), F.any_value("size").alias("size"))
+
+    def listed(batches):
+        for batch in batches:
+            whole = np.frombuffer(b"".join(batch.column("long").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            keys = np.zeros((batch.num_rows, tables), np.int64)
+            for i in range(width_of_key):
+                keys = keys << 8 | whole[:, i::width_of_key]
+            keys |= np.arange(tables, dtype=np.int64) << 8 * width_of_key
+            bits = np.ascontiguousarray(whole[:, :16]).view(np.int64)
+            columns = [keys.ravel(), *(np.repeat(c, tables) for c in (batch.column("node").to_numpy(), bits[:, 0], bits[:, 1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "x", "y"])
+
+    lists = nodes.select("node", "long").mapInArrow(listed, "key long, node long, x long, y long")
+
+    def near(batches):
+        held = None
+        for batch in batches:
+            more = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            held = more if held is None else [np.concatenate([h, m]) for h, m in zip(held, more)]
+            whole = int(np.searchsorted(held[0], held[0][-1], side="left")) if len(held[0]) else 0
+            if whole:
+                yield told(*(h[:whole] for h in held))
+                held = [h[whole:].copy() for h in held]
+        if held is not None and len(held[0]):
+            yield told(*held)
+
+    def told(key, node, x, y):
+        a, b = _near_links(key, node, np.stack([x, y], axis=1).view(np.uint64), NEAR_BITS)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = lists.repartition("key").sortWithinPartitions("key", "node")
+    least, most = F.least("a", "b"), F.greatest("a", "b")
+    pairs = checkpointed(dealt.mapInArrow(near, "a long, b long").select(least.alias("a"), most.alias("b")).distinct())
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # One row of each set that has to be looked at.
+    chosen = prints.join(involved, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+    def sets_of(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [shingle_set(t, width).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text")
+    sets = checkpointed(texts.mapInArrow(sets_of, "node long, shingles array<long>").dropDuplicates(["node"]))
+    left = lookup(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a", "inner")
+    both = lookup(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b", "inner")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("one"), batch.column("two")):
+                one, two = one.values.to_numpy(), two.values.to_numpy()
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(shared >= similarity * (len(one) + len(two) - shared) - 1e-9)
+            taken = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([taken.column("a"), taken.column("b")], ["a", "b"])
+
+    roots = components(both.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long"))
+    placed = prints.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return prints.select("doc_id", "node").join(placed, "node").select("doc_id", "node", "component")
