@@ -54,11 +54,24 @@ def word_counts(df: DataFrame, text: str, label: str) -> DataFrame:
 
 def _gram_counts(words: DataFrame, order: int) -> DataFrame:
     """(gram, c0, c1) of the top order; words carry edge marks, so their beginnings are n-grams too."""
-    marked = F.concat(F.lit(_EDGE * (order - 1)), "word", F.lit(_EDGE))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(F.col("_marked"), i, F.lit(order))
-    )
-    rows = words.withColumn("_marked", marked).select(F.explode(grams).alias("gram"), "n0", "n1")
+
+    def run(batches):
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for word, n0, n1 in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for gram in _grams_of(word, order):
+                    held = counts.get(gram)
+                    if held is None:
+                        counts[gram] = [n0, n1]
+                    else:
+                        held[0] += n0
+                        held[1] += n1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(counts), pa.string()), *[pa.array([n[i] for n in counts.values()], pa.int64()) for i in (0, 1)]],
+                ["gram", "n0", "n1"],
+            )
+
+    rows = words.select("word", "n0", "n1").mapInArrow(run, "gram string, n0 long, n1 long")
     return rows.groupBy("gram").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
 
 
@@ -79,7 +92,7 @@ def fit_slots(df: DataFrame, text: str, label: str, order: int = ORDER, discount
         kinds = kinds.groupBy(F.substring("gram", 2, size).alias("gram")).agg(F.count(F.lit(1)).alias("k"))
         levels.append(kinds)
     letters = levels[-1]
-    share = letters.crossJoin(F.broadcast(letters.agg(F.sum("k").alias("all")))).select("gram", (F.col("k") / F.col("all")).alias("p"))
+    share = letters.select("gram", (F.col("k") / letters.agg(F.sum("k")).scalar()).alias("p"))
     for size in range(2, order):
         level = levels[order - 1 - size].withColumn("context", _head("gram", size - 1))
         total = level.groupBy("context").agg(F.sum("k").alias("sum"), F.count(F.lit(1)).alias("types"))
@@ -109,9 +122,9 @@ def fit_slots(df: DataFrame, text: str, label: str, order: int = ORDER, discount
     return checkpointed(ratios.unionByName(backing))
 
 
-def _grams_of(word: str, order: int) -> list[str]:
+def _grams_of(word: str, order: int):
     marked = _EDGE * (order - 1) + word + _EDGE
-    return [marked[i : i + order] for i in range(len(word) + 1)]
+    return (marked[i : i + order] for i in range(len(word) + 1))
 
 
 def _wanted(words: list[str], order: int) -> dict[str, int]:
