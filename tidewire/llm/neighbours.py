@@ -222,12 +222,14 @@ def search(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embeddi
     picked = classes.select(F.xxhash64("key.id", "key.h").alias("o"), "v").orderBy("o").limit(sample).select("v").toPandas()
     lists = max(1, min(MOST_LISTS, -(-total // list_size)))
     index = fit(np.array(picked["v"].tolist(), float), radius * (1 + 1e-9), lists, nearest=k)
-    shared = spark.sparkContext.broadcast(index)
+    # Arrays alone are sent: workers need not have this package.
+    shared = spark.sparkContext.broadcast(dict(vars(index)))
 
     def listed(batches):
+        own = Index(**shared.value)
         for batch in batches:
             vectors = np.array(batch.column("v").to_pylist(), float).reshape(batch.num_rows, -1)
-            found = shared.value.lists_of(shared.value.lengthened(vectors)) if len(vectors) else []
+            found = own.lists_of(own.lengthened(vectors)) if len(vectors) else []
             places = np.repeat(np.arange(len(found)), [len(f) for f in found])
             numbers = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
             first = np.concatenate([np.arange(len(f)) == 0 for f in found]) if found else np.zeros(0, bool)
@@ -243,11 +245,11 @@ def search(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embeddi
         index.sizes[row["list"]] = row["own"]
     most = max(1024, SHELF_COMPONENTS // common["dim"])
     index.shelf, blocks = shelve({r["list"]: r["n"] for r in counted}, len(index.centroids), most)
-    probing = spark.sparkContext.broadcast(index)
+    probing = spark.sparkContext.broadcast(dict(vars(index)))
 
     def probe(batches):
+        own = Index(**probing.value)
         for batch in batches:
-            own = probing.value
             vectors = np.array(batch.column("v").to_pylist(), float).reshape(batch.num_rows, -1)
             places, shelves, lists = [], [], []
             for place, q in enumerate(own.lengthened(vectors, query=True) if len(vectors) else []):
