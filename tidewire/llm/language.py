@@ -102,8 +102,9 @@ def profiles(df: DataFrame, lang: str = "lang", text: str = "text", size: int =
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).dropna()
     counted = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    best = counted.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size)
-    return best.select("lang", "rank", "gram")
+    # The filter is on the number itself: only then does each task pass on no more than ``size`` n-grams of a language.
+    best = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    return best.select("lang", (F.col("rank") - 1).alias("rank"), "gram")
 
 
 class Model:
