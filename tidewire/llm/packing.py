@@ -40,6 +40,10 @@ class Packer:
     def add(self, items: list[tuple[int, object]]) -> None:
         """Place items that stay together: they take the window with the least room that still holds them all."""
         size = sum(i[0] for i in items)
+        if size == self.window:
+            # A whole window needs no open place.
+            self.full(items)
+            return
         at = bisect_left(self._room, (size, -1))
         if at < len(self._room):
             room, name = self._room.pop(at)
