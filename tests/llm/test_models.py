@@ -197,3 +197,52 @@ def test_neighbours_of_few_and_none(spark):
     # Equal scores: the smaller id first.
     assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == 20] == [0, 3]
     assert neighbours.search(few.limit(0), few["vec_id"] % 20 == 0).count() == 0
+
+
+def test_a_word_of_a_million_letters_is_counted_in_seconds(spark):
+    import time
+
+    from tidewire.llm import toxicity
+
+    word = "abcdefghij" * 100_000
+    df = spark.createDataFrame([(1, word, 1), (2, "plain words here", 0)], "doc_id long, text string, toxic int")
+    start = time.time()
+    grams = {r["gram"]: (r["c0"], r["c1"]) for r in toxicity._gram_counts(toxicity.word_counts(df, "text", "toxic"), 4).collect()}
+    assert time.time() - start < 60
+    assert grams["abcd"] == (0, 100_000) and grams["jabc"] == (0, 99_999) and grams["\x02pla"] == (1, 0)
+
+
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    from tests.llm.helpers import awkward, documents
+    from tidewire.llm.queries import QUERIES
+
+    documents(spark, awkward()).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op8_kneser_ney_toxicity", "op9_rank_order_language"):
+        rows = QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(rows) == len(awkward()) and all(r["held_out"] is not None for r in rows)
+
+
+def test_queries_run_from_a_foreign_directory(tmp_path):
+    """Workers find nothing of this package on their path: whatever they need travels with the job."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config(
+    "spark.checkpoint.dir", {str(tmp_path / 'shared')!r}).getOrCreate()
+queries = entry.queries()
+for name in sorted(n for n in queries if n.startswith("op")):
+    print(name, queries[name](spark, "/root/testdata/sf0.001").count(), flush=True)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert len(done.stdout.split("\n")) == 14

@@ -181,6 +181,14 @@ def test_packer_emits_the_fullest():
     assert [[s for s, _ in w] for w in packer.rest()] == [[5]]
 
 
+def test_whole_windows_need_no_open_place():
+    done = []
+    packer = packing.Packer(1024, 2, done.append)
+    for size in (600, 500, 1024):
+        packer.add([(size, size)])
+    assert [[s for s, _ in w] for w in done] == [[1024]] and sorted(s for w in packer.rest() for s, _ in w) == [500, 600]
+
+
 def test_op1_query_digests(spark):
     from tidewire.llm.queries import QUERIES
 

@@ -56,7 +56,7 @@ def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 3) == 1
     model = language.fit(documents.where(~held_out))
     return language.identify(documents.drop("lang"), model).select(
-        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
 
 
@@ -69,7 +69,7 @@ def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold > 1, calibrate=fold == 1
     )
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query
