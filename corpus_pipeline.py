@@ -36,12 +36,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least id, and one row of it."""
+    """One document of each group of near-duplicates (sets of five-word shingles with a similarity of 0.8 or more, verified)
+    stays: the one with the least id, and one row of it."""
     n, i, h, place = fresh(docs, "n", "i", "h", "place")
     key = privacy.identity(F.col("doc_id"), F.col("text"))
     marked = docs.withColumns({n: key["id"].isNull(), i: F.coalesce(key["id"], F.lit(0)), h: key["h"]})
     named = marked.select(F.struct(n, i, h).alias("doc_id"), "text")
-    found = checkpointed(simhash.groups(named))
+    found = checkpointed(simhash.similar_groups(named))
     first = found.groupBy("component").agg(F.min("doc_id").alias("k")).select(
         F.col(f"k.{n}").alias(n), F.col(f"k.{i}").alias(i), F.col(f"k.{h}").alias(h))
     same = Window.partitionBy(n, i, h).orderBy(n)
