@@ -37,14 +37,15 @@ def test_scores_and_failures_cover_every_id(spark, raw, scored):
     assert sorted(failed + scored) == ["1", "2"]
 
 
-def test_deep_and_broken_payloads_are_posts_or_quarantine(spark, tmp_path):
-    deep = "[" * 20 + '{"id": "9", "text": "t"}' + "]" * 20
-    lines = ['[[[[{"id": "1", "text": "t"}]]]]', '{"tweets": [{"id": "2"}, [{"id": "3"}]]}', '{"id": "4"} junk', "no json", deep]
+def test_deep_payloads_are_posts_and_broken_ones_quarantine(spark, tmp_path):
+    deep = "[" * 20 + '{"id": "9", "text": "t ]]] \\" [["}' + "]" * 20
+    paged = '{"tweets": [' * 12 + '{"id": "8"}' + "]}" * 12
+    lines = ['[[[[{"id": "1", "text": "t"}]]]]', '{"tweets": [{"id": "2"}, [{"id": "3"}]]}', '{"id": "4"} junk', "no json", deep, paged]
     (tmp_path / "in.txt").write_text("\n".join(lines))
     path = str(tmp_path / "in.txt")
     found = payloads.read_observations(spark, path)
-    assert sorted(r["i"] for r in found.select(payloads.post_id(F.col("v")).alias("i")).collect()) == ["1", "2", "3"]
-    assert sorted(r["value"] for r in payloads.read_quarantine(spark, path).collect()) == sorted(lines[2:])
+    assert sorted(r["i"] for r in found.select(payloads.post_id(F.col("v")).alias("i")).collect()) == ["1", "2", "3", "8", "9"]
+    assert sorted(r["value"] for r in payloads.read_quarantine(spark, path).collect()) == sorted(lines[2:4])
 
 
 @pytest.mark.parametrize("text, known", [

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import non_blank
@@ -30,6 +30,22 @@ def alert_candidates(posts: DataFrame, threshold: float = 8) -> DataFrame:
     return posts.where(should_alert(*columns, threshold))
 
 
+def _with_stretches(rows: DataFrame, window: int) -> DataFrame:
+    """A number ``day`` for each stretch of a chat that no pause of more than ``window`` microseconds interrupts.
+
+    Within a cell as long as the window nothing pauses that long, so first and last times of the cells tell all pauses:
+    what is sorted for a chat is one row for each window of time, however many candidates it has.
+    """
+    cell = F.floor(F.unix_micros("ts") / F.lit(window))
+    keyed = rows.withColumn("_chat", F.to_json(F.struct("chat"))).withColumn("_cell", cell)
+    cells = keyed.groupBy("_chat", "_cell").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    order = Window.partitionBy("_chat").orderBy("_cell")
+    pause = F.unix_micros("lo") - F.unix_micros(F.lag("hi").over(order))
+    cells = cells.withColumn("_new", F.when(pause > window, 1).otherwise(0))
+    cells = cells.select("_chat", "_cell", F.sum("_new").over(order).alias("day"))
+    return keyed.join(cells, ["_chat", "_cell"]).drop("_chat", "_cell")
+
+
 _DECISION = "id string, chat string, ts timestamp, score double, sent boolean"
 
 
@@ -47,10 +63,12 @@ def alert_gate(
     sent in the window before; every sent alert counts. The walk is sequential, but in quiet hours only overrides
     pass, whatever came before. So each local day that begins at the end of the quiet hours is walked on its own,
     after a replay of the overrides of the last window before it; even a chat with most of the alerts is split
-    into days. State is the send times of one window.
+    into days. Quiet hours shorter than the window do not empty it: there a chat is cut wherever it has no candidate for
+    longer than a window. State is the send times of one window.
     """
     start, end = quiet
     rows = candidates.select("id", "chat", "ts", "score")
+    window = window_minutes * 60_000_000
     span = (end - start) % 24
     if span * 60 >= window_minutes and start != end:
         local = F.from_utc_timestamp("ts", tz)
@@ -65,11 +83,10 @@ def alert_gate(
         )
         rows = rows.unionByName(replay)
     else:
-        rows = rows.withColumn("day", F.lit(None).cast("date")).withColumn("replay", F.lit(False))
+        rows = _with_stretches(rows, window).withColumn("replay", F.lit(False))
     rows = rows.withColumn("quiet", quiet_hours(F.col("ts"), tz, start, end))
     rows = rows.withColumn("run", F.struct("chat", "day").cast("string"))
     rows = rows.withColumn("us", F.unix_micros("ts"))
-    window = window_minutes * 60_000_000
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, recent = None, deque()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import brief_text, fixed, non_blank, or_blank, retweet_parts, unescape_html
 from tidewire.functions.times import before, in_range
 from tidewire.functions.urls import display_text, link_kinds, post_url
-from tidewire.operators.skew import counted_broadcast, lookup
+from tidewire.operators.skew import counted_broadcast, lookup, newest
 from tidewire.operators.state import tier_rank
 
 
@@ -153,8 +153,10 @@ def posts_by_ids(posts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def last_fetch(fetch_log: DataFrame) -> DataFrame:
+    """The latest row of each endpoint; ties as in ``latest_scores``."""
     others = [c for c in fetch_log.columns if c != "endpoint"]
-    return fetch_log.groupBy("endpoint").agg(F.max_by(F.struct(*others), "executed_at").alias("r")).select(
+    last = F.max_by(F.struct(*others), newest(fetch_log, "executed_at")).alias("r")
+    return fetch_log.groupBy("endpoint").agg(last).select(
         "endpoint", "r.*"
     )
 

@@ -22,12 +22,15 @@ def linked_ids(post_id: Column, links: Column, limit: int = MAX_INLINE) -> Colum
     return F.slice(F.array_distinct(F.filter(ids, lambda i: i.isNotNull() & (i != post_id))), 1, limit)
 
 
-def dependency_ids(posts: DataFrame) -> DataFrame:
-    """Per post the ordered distinct ids it depends on: quoted post, reply parent, inline-linked posts."""
+def _dependencies() -> Column:
     near = F.transform(F.array("quote_id", "reply_id"), strip)
     every = F.concat(near, F.coalesce(linked_ids(F.col("id"), F.col("links")), F.array().cast("array<string>")))
-    kept = F.array_distinct(F.filter(every, lambda i: (or_blank(i) != "") & (i != F.col("id"))))
-    return posts.select("id", kept.alias("deps"))
+    return F.array_distinct(F.filter(every, lambda i: (or_blank(i) != "") & (i != F.col("id"))))
+
+
+def dependency_ids(posts: DataFrame) -> DataFrame:
+    """Per post the ordered distinct ids it depends on: quoted post, reply parent, inline-linked posts."""
+    return posts.select("id", _dependencies().alias("deps"))
 
 
 def _reached(posts: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
@@ -39,8 +42,8 @@ def _reached(posts: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     edges = dependency_ids(posts)
     frontier, levels = sources.select("id").distinct(), []
     for _ in range(depth):
-        step = frontier.join(edges, "id").select(F.explode("deps").alias("id")).distinct()
-        frontier = step.join(posts.select("id"), "id", "left_semi")
+        # An id that is no post has no edges and is left out by whoever joins the result with posts.
+        frontier = frontier.join(edges, "id").select(F.explode("deps").alias("id")).distinct()
         levels.append(frontier)
     return union_all(levels).distinct()
 
@@ -191,13 +194,15 @@ def _triage() -> Column:
     return triage_text(*[F.col(c) for c in ("content", "is_article", "article_title", "article_preview", "article_text")])
 
 
-def context_text(posts: DataFrame, dep_chars: int = 900, context_chars: int = 2400) -> DataFrame:
-    """Text for a scorer: the post, then bounded lines for the posts it quotes, answers or links to."""
-    deps = (
-        dependency_ids(posts)
-        .join(posts.select("id", "quote_id", "reply_id"), "id")
-        .select("id", "quote_id", "reply_id", F.posexplode("deps").alias("pos", "dep_id"))
-    )
+def context_text(
+    posts: DataFrame, dep_chars: int = 900, context_chars: int = 2400, page: DataFrame | None = None
+) -> DataFrame:
+    """Text for a scorer: the post, then bounded lines for the posts it quotes, answers or links to.
+
+    ``page`` holds the posts to be scored, with their texts (by default all); what they depend on is looked up in ``posts``.
+    """
+    page = posts if page is None else page
+    deps = page.select("id", "quote_id", "reply_id", F.posexplode(_dependencies()).alias("pos", "dep_id"))
     # Texts are cut before they travel.
     said = posts.select(
         F.col("id").alias("dep_id"), F.col("author_handle").alias("dep_author"),
@@ -216,7 +221,7 @@ def context_text(posts: DataFrame, dep_chars: int = 900, context_chars: int = 24
         .agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
         .select("id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("context"))
     )
-    base = posts.select("id", _triage().alias("base")).join(lines, "id", "left")
+    base = page.select("id", _triage().alias("base")).join(lines, "id", "left")
     full = F.concat(F.col("base"), F.lit("\n\nDirect context:\n"), truncate_context(F.col("context"), context_chars))
     return base.select("id", F.when(F.col("context").isNull(), F.col("base")).otherwise(full).alias("text"))
 

@@ -176,6 +176,15 @@ def merge_posts(observations: DataFrame, level_bits: tuple[int, ...] = (12, 24))
     by richer ones, extend media and link lists and complete retweet originals. ``links_changed_seq`` is the last
     sight that added a link (older link expansions are void from there on).
     """
+    return posts_of(merge_states(observations, level_bits))
+
+
+def merge_states(observations: DataFrame, level_bits: tuple[int, ...] = (12, 24)) -> DataFrame:
+    """The fold's state of every id after these observations; ``posts_of`` turns it into posts.
+
+    States of one id over disjoint stretches of the log compose (``compose_states``), so they can be stored and carried on
+    without the observations they came from.
+    """
     seq = F.col("seq")
     said = or_blank(F.col("content")) != ""
     wrote = strip(or_blank(F.col("article_text"))) != ""
@@ -203,45 +212,56 @@ def merge_posts(observations: DataFrame, level_bits: tuple[int, ...] = (12, 24))
             )
         ),
     }
-    commutative: dict[str, object] = {
-        "first_row": F.min,
-        "observations": F.sum,
-        "last_seq": F.max,
-        "title": F.max,
-        "preview": F.max,
-    }
     for name in _FILL_IF_NULL:
         present = F.col(name).isNotNull() if name == "created_at" else or_blank(F.col(name)) != ""
         leaf[name] = _first(F.col(name), present, seq)
-        commutative[name] = F.min
     for name in _STICKY:
         leaf[name] = F.coalesce(F.col(name), F.lit(False))
-        commutative[name] = F.bool_or
     for name in _RETWEET_FILL:
         leaf[name] = _first(F.col(name), F.coalesce("is_retweet", F.lit(False)) & F.col(name).isNotNull(), seq)
-        commutative[name] = F.min
-
-    # The first sight's original text follows a rule of its own, so its run is kept apart until the end.
-    def originals(parts: Column) -> Column:
-        flat = F.flatten(parts)
-        rest = F.transform(F.slice(flat, 2, F.greatest(F.size(flat) - 1, F.lit(1))), lambda p: p["run"])
-        return F.when(
-            F.size(flat) > 1,
-            F.array(
-                F.get(flat, F.lit(0)),
-                F.struct(F.get(flat, F.lit(1))["seq"].alias("seq"), _fold_originals(rest).alias("run")),
-            ),
-        ).otherwise(flat)
-
-    collapse = {
-        "content": _fold_steps,
-        "body": _fold_steps,
-        "media": lambda rows: _fold_items(rows, MEDIA_FIELDS),
-        "link_items": lambda rows: _fold_items(rows, LINK_FIELDS),
-        "original": originals,
-    }
-    state = tree_fold(observations, "id", "seq", leaf, collapse, commutative, level_bits)
+    return tree_fold(observations, "id", "seq", leaf, _COLLAPSE, _COMMUTATIVE, level_bits)
+
+
+def _fold_firsts(parts: Column) -> Column:
+    """Runs of originals: the first sight's follows a rule of its own and is kept apart until the end."""
+    flat = F.flatten(parts)
+    rest = F.transform(F.slice(flat, 2, F.greatest(F.size(flat) - 1, F.lit(1))), lambda p: p["run"])
+    return F.when(
+        F.size(flat) > 1,
+        F.array(
+            F.get(flat, F.lit(0)),
+            F.struct(F.get(flat, F.lit(1))["seq"].alias("seq"), _fold_originals(rest).alias("run")),
+        ),
+    ).otherwise(flat)
+
+
+_COLLAPSE = {
+    "content": _fold_steps,
+    "body": _fold_steps,
+    "media": lambda rows: _fold_items(rows, MEDIA_FIELDS),
+    "link_items": lambda rows: _fold_items(rows, LINK_FIELDS),
+    "original": _fold_firsts,
+}
+_COMMUTATIVE = {
+    "first_row": F.min, "observations": F.sum, "last_seq": F.max, "title": F.max, "preview": F.max,
+    **{name: F.min for name in (*_FILL_IF_NULL, *_RETWEET_FILL)}, **{name: F.bool_or for name in _STICKY},
+}
+
+
+def compose_states(states: DataFrame) -> DataFrame:
+    """One state per id out of states over disjoint stretches of the log. The caller bounds how many an id has."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col("first_row")["seq"].alias("_at"), *_COLLAPSE))).alias("_rows")
+    grouped = states.groupBy("id").agg(rows, *[f(F.col(n)).alias(n) for n, f in _COMMUTATIVE.items()])
+    parts = [f(_of_rows(n)).alias(n) for n, f in _COLLAPSE.items()]
+    return grouped.select("id", *_COMMUTATIVE, *parts).select(*states.columns)
+
+
+def _of_rows(name: str) -> Column:
+    return F.transform("_rows", lambda row: row[name])
+
 
+def posts_of(state: DataFrame) -> DataFrame:
+    """Posts of the fold's states."""
     first = F.col("first_row")
     first_seq = first["seq"]
     content = F.get("content", F.lit(0))["end"]["text"]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidewire.functions.decode import has_score, model_items, model_output, score_item
 from tidewire.functions.text import or_blank
 from tidewire.functions.times import vision_age_ok
-from tidewire.operators.skew import lookup
+from tidewire.operators.skew import lookup, materialize
+from tidewire.sources.paths import exists
 
 BATCH_SIZE = 15
 
@@ -75,6 +76,7 @@ def work_routing(
 
 
 SCORED_BATCH = "ids array<string>, raw string, error string"
+_LOGGED = "ids array<string>, addresses array<string>, raw string, error string"
 
 
 def score_batches(
@@ -83,8 +85,14 @@ def score_batches(
     """Calls ``scorer`` with lists of ``batch_size`` posts where they lie; it returns the model's raw text.
 
     A batch whose call fails yields its ids and the error; nothing else of the job is affected, and its posts stay
-    unprocessed. Callers filter and cut the texts first: no predicate moves through a Python map.
+    unprocessed. Callers filter and cut the texts first: no predicate moves through a Python map. Every action on the
+    result calls the scorer again; ``logged_answers`` keeps what it said.
     """
+    return posts.mapInPandas(_scored(scorer, batch_size), SCORED_BATCH)
+
+
+def _scored(scorer: Callable[[list[dict]], str], batch_size: int):
+    """Frames of posts -> frames of (ids, raw answer, error), a row for each batch."""
 
     def call(rows: list[dict]) -> tuple[list[str], str | None, str | None]:
         ids = [row["id"] for row in rows]
@@ -104,13 +112,57 @@ def score_batches(
         if waiting:
             yield pd.DataFrame([call(waiting)], columns=["ids", "raw", "error"])
 
-    return posts.mapInPandas(run, SCORED_BATCH)
+    return run
+
+
+def logged_answers(
+    posts: DataFrame, scorer: Callable[[list[dict]], str], log: str, batch_size: int = BATCH_SIZE
+) -> DataFrame:
+    """Batches as ``score_batches`` gives them for these posts, each question put to the scorer once for all time.
+
+    A question's address is the hash of all its columns. Answers are written to ``log`` with the addresses they answer,
+    and read from there: scores, failures and a later run over the same posts call nothing. Posts whose call failed are
+    asked again by the next run. A task that dies asks again only what it had not written, the batches of its partition.
+    """
+    spark = posts.sparkSession
+    named = F.sha2(F.to_json(F.struct(*sorted(posts.columns)), {"ignoreNullFields": "false"}), 256)
+    asked = materialize(posts.withColumn("address", named))
+    known = spark.read.schema(_LOGGED).parquet(log) if exists(spark, log) else spark.createDataFrame([], _LOGGED)
+    answered = known.where(F.col("error").isNull()).select(F.explode("addresses").alias("address"))
+    # Copies of a question are put once.
+    fresh = lookup(asked, answered, "address", "left_anti").dropDuplicates(["address"])
+
+    def bare(rows: list[dict]) -> str:
+        return scorer([{k: v for k, v in row.items() if k != "address"} for row in rows])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        addresses: dict[str, str] = {}
+
+        def noted(parts):
+            for frame in parts:
+                addresses.update(zip(frame["id"], frame["address"]))
+                yield frame
+
+        for done in _scored(bare, batch_size)(noted(frames)):
+            if len(done):
+                yield done.assign(addresses=[[addresses.pop(i) for i in ids] for ids in done["ids"]])[["ids", "addresses", "raw", "error"]]
+
+    fresh.mapInPandas(run, _LOGGED).write.mode("append").parquet(log)
+    told = spark.read.schema(_LOGGED).parquet(log).withColumn("batch", F.sha2(F.concat_ws(",", "addresses"), 256))
+    each = told.select("batch", "error", F.explode(F.arrays_zip("ids", "addresses")).alias("q")).select(
+        F.col("q.addresses").alias("address"), "batch", F.col("error").isNull().alias("good")
+    )
+    # The good answer where there is one, else a failed one; each batch with the ids that are asked for now.
+    best = each.groupBy("address").agg(F.max(F.struct("good", "batch")).alias("b")).select("address", "b.*")
+    ids = lookup(asked.select("id", "address"), best, "address", "inner").groupBy("batch", "good").agg(F.collect_set("id").alias("ids"))
+    once = told.withColumn("good", F.col("error").isNull()).dropDuplicates(["batch", "good"]).select("batch", "good", "raw", "error")
+    return ids.join(once, ["batch", "good"]).select("ids", "raw", "error")
 
 
 def normalize_scores(batches: DataFrame) -> DataFrame:
     """Raw scorer texts -> score results, for ids of their batch with a score that is a number (or missing: 0).
 
-    All other ids of a batch are in ``score_failures``. Both read ``batches``: write the raw answers down first, or the
+    All other ids of a batch are in ``score_failures``. Both read ``batches``: take them from ``logged_answers``, or the
     scorer is called once for each.
     """
     items = F.filter(model_items(F.col("raw")), has_score)

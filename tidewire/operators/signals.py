@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire import constants as C
@@ -14,6 +15,7 @@ from tidewire.functions.times import before
 from tidewire.functions.urls import post_url
 from tidewire.operators.matching import match_catalysts, registry_validate
 from tidewire.operators.skew import materialize
+from tidewire.sources.paths import claim, exists
 
 
 def signal_kind(surprise: Column, catalyst_status: Column, catalyst_ref: Column) -> Column:
@@ -98,7 +100,7 @@ def emit_signals(events: DataFrame, emitted_path: str) -> None:
     """Append events not sent before. The ledger itself is the emitted log, so one write both sends and marks.
 
     A task that is lost and run again cannot send twice: files become visible with the commit of the whole write,
-    and a repeated run finds the keys in the ledger.
+    and a repeated run finds the keys in the ledger. For one writer at a time; several use ``emit_once``.
     """
     spark = events.sparkSession
     try:
@@ -108,3 +110,39 @@ def emit_signals(events: DataFrame, emitted_path: str) -> None:
             raise
         fresh = events.dropDuplicates(["dedup_key"])
     fresh.write.mode("append").parquet(emitted_path)
+
+
+def emitted(spark: SparkSession, ledger: str, schema) -> DataFrame:
+    """Events that runs of ``emit_once`` have committed, with the columns of ``schema`` and their ``turn``."""
+    if not exists(spark, f"{ledger}/turns"):
+        return spark.createDataFrame([], schema).withColumn("turn", F.lit(None).cast("long"))
+    name = F.col("_metadata.file_name")
+    turns = spark.read.text(f"{ledger}/turns").select(F.col("value").alias("run"), name.cast("long").alias("turn"))
+    staged = spark.read.schema(schema).option("basePath", f"{ledger}/runs").parquet(f"{ledger}/runs/run=*")
+    return staged.join(turns, "run").drop("run")
+
+
+def emit_once(events: DataFrame, ledger: str) -> int | None:
+    """Send the events whose ``dedup_key`` nobody has sent, whatever other writers do meanwhile; the turn taken, if any.
+
+    A run stages its events where no reader looks and then claims the next turn of the ledger, a file that exactly one
+    writer can create; with it the staged events count as sent. A writer that finds the turn taken leaves out what the
+    others have sent since and tries the next one. A run that dies before its claim has sent nothing, one that dies after
+    it has sent everything, and when it starts again it finds its own events in the ledger. One event of each key goes.
+    """
+    spark = events.sparkSession
+    fresh, schema = events.dropDuplicates(["dedup_key"]), events.schema
+    while True:
+        run = f"r{uuid.uuid4().hex}"
+        sent = emitted(spark, ledger, schema)
+        # One number: the last turn this attempt knows of. What came later makes the claim fail.
+        last = sent.agg(F.max("turn")).first()[0] if exists(spark, f"{ledger}/turns") else None
+        known = sent.where(F.col("turn") <= F.lit(-1 if last is None else last))
+        path = f"{ledger}/runs/run={run}"
+        fresh.join(known.select("dedup_key"), "dedup_key", "left_anti").select(*events.columns).write.parquet(path)
+        fresh = spark.read.schema(schema).parquet(path)
+        if fresh.isEmpty():
+            return None
+        turn = 0 if last is None else last + 1
+        if claim(spark, f"{ledger}/turns/{turn:012d}", run + "\n", run):
+            return turn

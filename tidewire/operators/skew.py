@@ -123,5 +123,12 @@ def tree_fold(
     return once.unionByName(tree).drop("_at")
 
 
+def newest(df: DataFrame, order: str, sequence: str = "seq") -> Column:
+    """What to order rows of one key by, for a later maximum: ``order``, then ``sequence`` where the rows have it, then a
+    hash of the whole row, so that rows of one time give the same result in every run. Null where ``order`` is."""
+    tie = [F.col(sequence)] if sequence in df.columns and sequence != order else []
+    return F.when(F.col(order).isNotNull(), F.struct(F.col(order), *tie, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

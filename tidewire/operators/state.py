@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire import constants as C
 from tidewire.functions.times import at, before
-from tidewire.operators.skew import lookup
+from tidewire.operators.skew import lookup, newest
 
 
 def tier_rank(tier: Column) -> Column:
@@ -20,26 +20,28 @@ def tier_rank(tier: Column) -> Column:
 
 
 def latest_scores(results: DataFrame, order: str = "processed_at") -> DataFrame:
-    """Last result per post; it replaces every score column, also by null."""
+    """Last result per post; it replaces every score column, also by null. Of results at one time the one with the
+    greatest ``seq`` is the last, where they have one."""
     others = [c for c in results.columns if c != "id"]
-    return results.groupBy("id").agg(F.max_by(F.struct(*others), order).alias("r")).select("id", "r.*")
+    last = F.max_by(F.struct(*others), newest(results, order)).alias("r")
+    return results.groupBy("id").agg(last).select("id", "r.*")
 
 
-def _last_present(name: str, order: str) -> Column:
-    return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias(name)
+def _last_present(log: DataFrame, name: str, order: str) -> Column:
+    return F.max_by(name, F.when(F.col(name).isNotNull(), newest(log, order))).alias(name)
 
 
 def apply_enrichment(log: DataFrame, order: str = "at") -> DataFrame:
-    """Per column the latest non-null value."""
-    return log.groupBy("id").agg(*[_last_present(c, order) for c in log.columns if c not in ("id", order)])
+    """Per column the latest non-null value; ties as in ``latest_scores``."""
+    return log.groupBy("id").agg(*[_last_present(log, c, order) for c in log.columns if c not in ("id", order, "seq")])
 
 
 def apply_article(log: DataFrame, order: str = "at") -> DataFrame:
     """As enrichment; the short summary is the link summary too; a row with ``set_top_visual`` may clear it."""
-    rest = [c for c in log.columns if c not in ("id", order, "top_visual", "set_top_visual")]
-    visual = F.max_by(F.struct("top_visual"), F.when(F.col("set_top_visual"), F.col(order)))
+    rest = [c for c in log.columns if c not in ("id", order, "seq", "top_visual", "set_top_visual")]
+    visual = F.max_by(F.struct("top_visual"), F.when(F.col("set_top_visual"), newest(log, order)))
     state = log.groupBy("id").agg(
-        *[_last_present(c, order) for c in rest], visual["top_visual"].alias("top_visual")
+        *[_last_present(log, c, order) for c in rest], visual["top_visual"].alias("top_visual")
     )
     return state.withColumn("link_summary", F.col("short_summary"))
 
@@ -62,7 +64,7 @@ def merged_tickers(existing: Column, new: Column) -> Column:
 def apply_analysis(posts: DataFrame, analyses: DataFrame, order: str = "at") -> DataFrame:
     """Latest analysis per post joined on: stronger tier kept, tickers united when the analysis names any."""
     fields = [c for c in analyses.columns if c != "id"]
-    latest = analyses.groupBy("id").agg(F.max_by(F.struct(*fields), order).alias("analysis"))
+    latest = analyses.groupBy("id").agg(F.max_by(F.struct(*fields), newest(analyses, order)).alias("analysis"))
     analysis = F.col("analysis")
     return posts.drop("analysis").join(latest, "id", "left").withColumns(
         {
@@ -93,7 +95,7 @@ def apply_bookmarks(posts: DataFrame, bookmarks: DataFrame) -> DataFrame:
 
 
 def digest_marks(marks: DataFrame) -> DataFrame:
-    return marks.groupBy("id").agg(F.max_by("digest_date", "marked_at").alias("included_in_digest"))
+    return marks.groupBy("id").agg(F.max_by("digest_date", newest(marks, "marked_at")).alias("included_in_digest"))
 
 
 def skip_stale_backlog(posts: DataFrame, older_than_days: int, as_of: datetime) -> DataFrame:

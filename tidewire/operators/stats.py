@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.times import EASTERN, before
+from tidewire.operators.skew import newest
 
 
 def _day(posts: DataFrame, day: date | None, day_tz: str) -> DataFrame:
@@ -98,11 +99,15 @@ _GATES = {
 }
 
 
-def golden_eval(golden: DataFrame, results: DataFrame) -> DataFrame:
-    """Expected bands and labels against scorer output: one row of accuracies and whether all gates pass."""
+def golden_eval(golden: DataFrame, results: DataFrame, order: str = "seq") -> DataFrame:
+    """Expected bands and labels against scorer output: one row of accuracies and whether all gates pass.
+
+    Of several results for an id the last by ``order`` counts; without such a column, one chosen by its content.
+    """
     total, got = F.count(F.lit(1)), F.col("r").isNotNull()
     want, have = F.col("expected"), F.col("r")
-    last = results.groupBy("id").agg(F.any_value(F.struct(*[c for c in results.columns if c != "id"])).alias("r"))
+    last_by = newest(results, order) if order in results.columns else F.xxhash64(*results.columns)
+    last = results.groupBy("id").agg(F.max_by(F.struct(*[c for c in results.columns if c != "id"]), last_by).alias("r"))
     joined = golden.select("id", "expected").join(last, "id", "left")
     expected_trigger = F.nullif(want["playbook_trigger"], F.lit(""))
     actual_trigger = F.nullif(F.nullif(have["playbook_trigger"], F.lit(_CANARY)), F.lit(""))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire import constants as C
+from tidewire.functions.text import strip
 from tidewire.functions.times import before
 from tidewire.operators.skew import lookup
 from tidewire.schemas import MODEL_PRICE
@@ -33,7 +34,7 @@ def fold_attempts(events: DataFrame) -> DataFrame:
 
 
 def _key(value: Column) -> Column:
-    return F.lower(F.trim(value))
+    return F.lower(strip(value))
 
 
 def price_of_models(models: DataFrame, prices: DataFrame) -> DataFrame:

@@ -63,6 +63,8 @@ def run(name: str, spark: SparkSession, directory: str) -> DataFrame:
 
 def load() -> dict[str, Query]:
     """All registered queries."""
-    from tidewire.plans import feed_queries, merge_queries, score_queries, sink_queries, stream_queries, text_queries  # noqa: F401
+    from tidewire.plans import (  # noqa: F401
+        cycle_queries, feed_queries, merge_queries, score_queries, sink_queries, stream_queries, text_queries,
+    )
 
     return CATALOG

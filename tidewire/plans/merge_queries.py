@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators import graph, merge, state
+from tidewire.operators.skew import shared_folder
 from tidewire.plans.catalog import query
 from tidewire.plans.feed_views import AS_OF, Feed
 from tidewire.sources import files, payloads
@@ -87,6 +89,40 @@ def payload_observations(t: Feed) -> DataFrame:
     )
 
 
+# Files that the payloads of the array queries are dealt to.
+ARRAY_FILES = 4
+
+
+def _array_files(t: Feed) -> str:
+    """The payloads as lists over several lines, pages in them still in their wrappers; every 50th breaks the JSON rules."""
+    folder, n = f"{shared_folder(t.spark)}/arrays-{uuid.uuid4().hex}", F.col("seq")
+    broken = F.concat(F.lit('{"id": '), n, F.lit(', "text": tru}'))
+    file, text = F.pmod(n, F.lit(ARRAY_FILES)).alias("file"), F.when(n % 50 == 7, broken).otherwise(F.col("value"))
+    rows = _raw_payloads(t).select(file, F.struct(F.lit(1).alias("edge"), n.alias("n")).alias("place"), F.concat(text, F.lit(",")).alias("value"))
+    edges = t.spark.range(ARRAY_FILES).select(F.col("id").alias("file"), F.explode(F.array(F.lit(0), F.lit(2))).alias("edge"))
+    edges = edges.select("file", F.struct(F.col("edge"), F.lit(0).cast("long").alias("n")).alias("place"), F.when(F.col("edge") == 0, "[").otherwise("null]").alias("value"))
+    lines = rows.unionByName(edges).repartition(ARRAY_FILES, "file").sortWithinPartitions("file", "place")
+    lines.select("value").write.text(folder)
+    return folder
+
+
+@query("S1 S2", """
+SELECT CAST(event_id AS VARCHAR) AS id, 'u' || user_id AS author_handle, event_id % 4 = 2 AS is_article,
+  CASE WHEN event_id % 4 = 0 THEN CAST(event_id + 1 AS VARCHAR) END AS quote_id,
+  CASE WHEN event_id % 4 = 3 THEN CAST(event_id - 3 AS VARCHAR) END AS original_id
+FROM events WHERE event_id % 50 <> 7""")
+def array_observations(t: Feed) -> DataFrame:
+    """Lists over several lines, each file read by as many tasks as it has blocks."""
+    found = payloads.read_observations(t.spark, _array_files(t), whole_files=True)
+    return payloads.normalize_payloads(found).select("id", "author_handle", "is_article", "quote_id", "original_id")
+
+
+@query("S1", """
+SELECT '{"id": ' || event_id || ', "text": tru}' AS value FROM events WHERE event_id % 50 = 7""")
+def array_quarantine(t: Feed) -> DataFrame:
+    return payloads.read_quarantine(t.spark, _array_files(t), whole_files=True).select("value")
+
+
 @query("X21", """
 SELECT seq FROM observations WHERE is_retweet AND CASE
   WHEN original_id IS NOT NULL AND original_content IS NOT NULL AND NOT regexp_matches(original_content, '(…|\\.\\.\\.)\\s*$') THEN FALSE
@@ -278,7 +314,7 @@ def reactions_after_prune(t: Feed) -> DataFrame:
 
 # --- graph ------------------------------------------------------------------------------------------------------
 
-_EDGES = """
+EDGES_SQL = _EDGES = """
 , edges AS (SELECT id, quote_id AS dep, 1 AS pos FROM posts WHERE quote_id IS NOT NULL AND quote_id <> id
   UNION ALL SELECT id, reply_id, 2 FROM posts WHERE reply_id IS NOT NULL AND reply_id <> id
   UNION ALL SELECT id, link_id, 3 FROM posts WHERE link_id IS NOT NULL AND link_id <> id),
@@ -292,11 +328,14 @@ def dependency_ids(t: Feed) -> DataFrame:
     return graph.dependency_ids(t.posts)
 
 
-@query("G2", f"""{_EDGES},
-  src AS (SELECT id FROM posts WHERE processed_at IS NULL AND created_at >= TIMESTAMP '2024-01-20'),
+CHOSEN_SQL = """src AS (SELECT id FROM posts WHERE processed_at IS NULL AND created_at >= TIMESTAMP '2024-01-20'),
   l1 AS (SELECT DISTINCT dep AS id FROM deps WHERE id IN (SELECT id FROM src) AND dep IN (SELECT id FROM posts)),
   l2 AS (SELECT DISTINCT dep AS id FROM deps WHERE id IN (SELECT id FROM l1) AND dep IN (SELECT id FROM posts)),
-  l3 AS (SELECT DISTINCT dep AS id FROM deps WHERE id IN (SELECT id FROM l2) AND dep IN (SELECT id FROM posts))
+  l3 AS (SELECT DISTINCT dep AS id FROM deps WHERE id IN (SELECT id FROM l2) AND dep IN (SELECT id FROM posts))"""
+
+
+@query("G2", f"""{_EDGES},
+  {CHOSEN_SQL}
 SELECT id FROM src UNION SELECT id FROM posts WHERE processed_at IS NULL
   AND id IN (SELECT id FROM l1 UNION SELECT id FROM l2 UNION SELECT id FROM l3)""")
 def expand_dependencies(t: Feed) -> DataFrame:
@@ -412,15 +451,19 @@ def _cut(text: str, limit: int) -> str:
 _SAID = r"regexp_replace(content, '^\s+|\s+$', '', 'g')"
 
 
-@query("G7 X11 X12", f"""{_EDGES},
-  said AS (SELECT posts.id, author_handle, {_SAID} AS base, {_SQUEEZE.format(c="content")} AS flat FROM posts JOIN texts USING (n)),
+CONTEXT_SQL = f"""said AS (SELECT posts.id, author_handle, {_SAID} AS base, {_SQUEEZE.format(c="content")} AS flat FROM posts JOIN texts USING (n)),
   short AS (SELECT id, author_handle, {_cut("flat", 900)} AS txt FROM said),
   lines AS (SELECT d.id, string_agg('- ' || CASE WHEN d.dep = p.quote_id THEN 'Quoted tweet' WHEN d.dep = p.reply_id THEN 'Reply parent'
       ELSE 'Context' END || ' @' || s.author_handle || ': ' || s.txt, chr(10) ORDER BY d.pos) AS ctx
     FROM deps d JOIN posts p ON p.id = d.id JOIN short s ON s.id = d.dep WHERE s.txt <> '' GROUP BY 1),
-  flatctx AS (SELECT id, {_SQUEEZE.format(c="ctx")} AS ctx FROM lines)
-SELECT said.id, md5(CASE WHEN ctx IS NULL THEN base ELSE base || chr(10) || chr(10) || 'Direct context:' || chr(10)
-  || {_cut("ctx", 2400)} END) AS text FROM said LEFT JOIN flatctx USING (id)""")
+  flatctx AS (SELECT id, {_SQUEEZE.format(c="ctx")} AS ctx FROM lines),
+  asked AS (SELECT said.id, CASE WHEN ctx IS NULL THEN base ELSE base || chr(10) || chr(10) || 'Direct context:' || chr(10)
+    || {_cut("ctx", 2400)} END AS text FROM said LEFT JOIN flatctx USING (id))"""
+
+
+@query("G7 X11 X12", f"""{_EDGES},
+  {CONTEXT_SQL}
+SELECT id, md5(text) AS text FROM asked""")
 def context_text(t: Feed) -> DataFrame:
     return graph.context_text(t.full_posts.withColumn("is_article", F.lit(False))).select("id", F.md5("text").alias("text"))
 

@@ -87,3 +87,22 @@ def written_digest_marks(t: Feed) -> DataFrame:
     path = _folder(t)
     feed.digest_mark_rows(feed.digest(t.posts, DAY), DAY, AS_OF).write.mode("append").parquet(path)
     return state.digest_marks(t.spark.read.parquet(path))
+
+
+@query("R9", f"SELECT 'post:' || id AS dedup_key, CASE WHEN created_at < TIMESTAMP '2024-01-29 00:00:00' THEN 0 ELSE 1 END AS turn FROM posts WHERE {CANDIDATE}")
+def events_sent_once(t: Feed) -> DataFrame:
+    """Sent by two runs of the claim protocol, the second with everything."""
+    ledger = _folder(t)
+    events = signals.signal_candidates(t.posts, AS_OF).select(F.concat(F.lit("post:"), "id").alias("dedup_key"), "created_at")
+    signals.emit_once(events.where("created_at < TIMESTAMP '2024-01-29 00:00:00'"), ledger)
+    signals.emit_once(events, ledger)
+    return signals.emitted(t.spark, ledger, events.schema).select("dedup_key", "turn")
+
+
+@query("M17", CATALOG["pruned_files"].sql)
+def pruned_in_place(t: Feed) -> DataFrame:
+    """Only the folders of dates that lose rows are written again."""
+    path, staging = _folder(t), _folder(t)
+    files.write_pruned(t.posts, path)
+    files.prune_dates(t.spark, path, AS_OF, staging)
+    return t.spark.read.parquet(path).select("id")

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidewire.operators.alerts import should_alert
+from tidewire.operators.alerts import alert_gate, should_alert
 from tidewire.operators.skew import shared_folder
 from tidewire.plans.catalog import query
 from tidewire.plans.feed_views import Feed
 from tidewire.plans.score_queries import GATE
 from tidewire.streaming import jobs
+from tidewire.streaming.late import late_rows, with_late_rows
 
 
 def _folder(t: Feed) -> str:
@@ -94,3 +96,106 @@ def rolled_counts(t: Feed) -> DataFrame:
     return jobs.rolled_counts(jobs.hourly_counts(t.posts.where("processed_at IS NOT NULL")), AS_OF)
 
 
+@query("V1 S1", """
+SELECT '{"id": ' || event_id || ', "text": tru}' AS value FROM events WHERE event_id % 10 = 3""")
+def stream_quarantine(t: Feed) -> DataFrame:
+    """Every tenth payload is no JSON: the job keeps it in its quarantine."""
+    folder, n = _folder(t), F.col("event_id")
+    good = F.to_json(F.struct(n.alias("id"), F.col("event_type").alias("text")))
+    bad = F.concat(F.lit('{"id": '), n, F.lit(', "text": tru}'))
+    t.table("events").select(F.when(n % 10 == 3, bad).otherwise(good).alias("value")).write.text(f"{folder}/inbox")
+    _drain(jobs.stream_observations(
+        t.spark, f"{folder}/inbox", f"{folder}/log", f"{folder}/posts", f"{folder}/checkpoint"
+    ))
+    return jobs.quarantined_payloads(t.spark, f"{folder}/log").select("value")
+
+
+@query("V1 M1", """
+SELECT CAST(event_id // 3 AS VARCHAR) AS id, count(*) AS observations, 'u' || arg_min(user_id, event_id % 3) AS author_handle,
+  list_reduce(list_prepend('', list(event_type || ' ' || repeat('x', CAST(event_id % 3 * 130 AS INTEGER)) ORDER BY event_id % 3)),
+    lambda a, b: CASE WHEN a = '' OR length(b) >= length(a) + 120 THEN b ELSE a END) AS content
+FROM events GROUP BY 1""")
+def posts_over_batches(t: Feed) -> DataFrame:
+    """Three batches in three starts of the job; every post is seen in each and composed from the stored states."""
+    folder, n = _folder(t), F.col("event_id")
+    said = F.concat("event_type", F.lit(" "), F.repeat(F.lit("x"), (n % 3 * 130).cast("int")))
+    payload = F.struct(
+        F.expr("event_id DIV 3").alias("id"), said.alias("text"), F.struct(F.concat(F.lit("u"), "user_id").alias("username")).alias("author"))
+    for part in range(3):
+        rows = t.table("events").where(n % 3 == part).select(F.to_json(payload).alias("value"))
+        rows.write.mode("append").text(f"{folder}/inbox")
+        _drain(jobs.stream_observations(
+            t.spark, f"{folder}/inbox", f"{folder}/log", f"{folder}/posts", f"{folder}/checkpoint", every=2
+        ))
+    return jobs.current_posts(t.spark, f"{folder}/posts").select("id", "observations", "author_handle", "content")
+
+
+# Arrivals are dealt to five batches by number, so all but the first bring old rows.
+_LATE = """
+, a AS (SELECT id, n % 5 AS batch, processed_at AS ts FROM posts WHERE processed_at IS NOT NULL),
+  w AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM a GROUP BY 1),
+  split AS (SELECT a.id, a.batch, a.ts, coalesce({until} <= date_trunc('millisecond', most) - INTERVAL {delay}, false) AS late
+    FROM a JOIN w USING (batch))"""
+
+
+def _arrivals(t: Feed, folder: str, job, delay: str, until=None) -> DataFrame:
+    """The posts in five batches, each with a start of the job; late rows beside those in time."""
+    rows = t.posts.where("processed_at IS NOT NULL").select("id", "n", "processed_at")
+    for part in range(5):
+        rows.where(F.col("n") % 5 == part).write.mode("append").parquet(f"{folder}/inbox")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/inbox")
+        with_late_rows(stream, "processed_at", delay, f"{folder}/split", job, until).trigger(availableNow=True).start().awaitTermination()
+    return late_rows(t.spark, f"{folder}/split", rows.schema)
+
+
+@query("V2", _LATE.format(until="a.ts", delay="24 HOURS") + "SELECT 'post:' || id AS dedup_key, late FROM split")
+def stream_signals_and_late_rows(t: Feed) -> DataFrame:
+    folder = _folder(t)
+    key = F.concat(F.lit("post:"), "id").alias("dedup_key")
+    late = _arrivals(
+        t, folder, lambda s: jobs.stream_signals(s.withColumn("dedup_key", key), f"{folder}/out", f"{folder}/own"), "24 hours"
+    )
+    out = t.spark.read.parquet(f"{folder}/out").select("dedup_key", F.lit(False).alias("late"))
+    return out.unionByName(late.select(key, F.lit(True).alias("late")))
+
+
+@query("V4", _LATE.format(until="date_trunc('hour', a.ts) + INTERVAL 1 HOUR", delay="2 HOURS") + """
+, closed AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM split WHERE NOT late GROUP BY 1)
+SELECT epoch_us(hour) AS hour, n, false AS late FROM closed
+  WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM a) - INTERVAL 2 HOURS
+UNION ALL SELECT epoch_us(date_trunc('hour', ts)), count(*), true FROM split WHERE late GROUP BY 1""")
+def stream_counts_and_late_rows(t: Feed) -> DataFrame:
+    folder = _folder(t)
+    hour = F.date_trunc("hour", "processed_at")
+    late = _arrivals(
+        t, folder, lambda s: jobs.stream_counts(s, f"{folder}/out", f"{folder}/own"), "2 hours", hour + F.expr("INTERVAL 1 hour")
+    )
+    out = t.spark.read.parquet(f"{folder}/out").select("hour", "n", F.lit(False).alias("late"))
+    behind = late.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n")).withColumn("late", F.lit(True))
+    return out.unionByName(behind)
+
+
+_SHORT = (("hour(processed_at - INTERVAL 5 HOUR) AS h", "hour(processed_at) AS h"), ("h >= 23 OR h < 8 AS quiet", "h >= 2 AND h < 4 AS quiet"),
+          ("INTERVAL 60 MINUTE", "INTERVAL 180 MINUTE"), ("len(recent) < 10", "len(recent) < 3"))
+SHORT_GATE = reduce(lambda sql, pair: sql.replace(*pair), _SHORT, GATE)
+
+
+def _due(posts: DataFrame) -> DataFrame:
+    test = should_alert(*[F.col(c) for c in ("score", "surprise", "playbook_trigger", "catalyst_status")])
+    chat = F.when(F.col("n") % 3 == 0, "main").otherwise(F.col("author_handle")).alias("chat")
+    return posts.where(test & F.col("processed_at").isNotNull()).select("id", chat, F.col("processed_at").alias("ts"), "score")
+
+
+@query("R5", SHORT_GATE)
+def alert_gate_short_quiet(t: Feed) -> DataFrame:
+    """Quiet hours shorter than the window: chats are cut at pauses."""
+    return alert_gate(_due(t.posts), quiet=(2, 4), max_per_window=3, window_minutes=180)
+
+
+@query("V3 R5", SHORT_GATE)
+def stream_alerts_short_quiet(t: Feed) -> DataFrame:
+    folder = _folder(t)
+    _drain(jobs.stream_alerts(
+        _due(t.stream_posts), f"{folder}/out", f"{folder}/checkpoint", quiet=(2, 4), max_per_window=3, window_minutes=180
+    ))
+    return t.spark.read.parquet(f"{folder}/out")

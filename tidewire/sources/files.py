@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import or_blank, strip
 from tidewire.functions.times import at
 from tidewire.operators.feed import export_recent
+from tidewire.operators.state import prunable
 from tidewire.schemas import GOLDEN
+from tidewire.sources.paths import exists, finished
 
 
 def observations_to_append(observations: DataFrame, source: str) -> DataFrame:
@@ -45,6 +47,34 @@ def write_pruned(kept: DataFrame, target: str) -> None:
     )
 
 
+def prune_dates(spark: SparkSession, path: str, as_of: datetime, staging: str, days: int = 14) -> DataFrame:
+    """Prune a table written by ``append_observations`` or ``write_pruned`` in place; (created_date, pruned) per date.
+
+    Only dates up to the limit are read, and only those that lose rows are written again, first to ``staging`` (a folder of
+    this prune alone), then over their own folder; all other dates keep their files. A prune that died is resumed by the
+    same call: what it staged is put in place first.
+    """
+    table = spark.read.parquet(path)
+    limit = at(as_of) - F.make_interval(days=F.lit(days))
+    old = table.where(F.col("created_date") <= F.to_date(limit))
+    if not finished(spark, f"{staging}/pruned"):
+        counts = old.groupBy("created_date").agg(F.count_if(prunable(as_of, days)).alias("pruned")).where("pruned > 0")
+        counts.write.mode("overwrite").parquet(f"{staging}/dates")
+        dates = spark.read.parquet(f"{staging}/dates")
+        # A few dates, broadcast by their measured size.
+        kept = old.join(dates.select("created_date"), "created_date", "left_semi").where(~prunable(as_of, days))
+        kept.write.mode("overwrite").partitionBy("created_date").parquet(f"{staging}/kept")
+        dates.write.mode("overwrite").parquet(f"{staging}/pruned")
+    pruned = spark.read.parquet(f"{staging}/pruned")
+    schema = table.drop("created_date").schema
+    # One folder per date; a date of which nothing is kept stays as an empty one.
+    for row in pruned.select(F.col("created_date").cast("string").alias("d")).orderBy("d").collect():
+        source = f"{staging}/kept/created_date={row['d']}"
+        rows = spark.read.schema(schema).parquet(source) if exists(spark, source) else spark.createDataFrame([], schema)
+        rows.write.mode("overwrite").parquet(f"{path}/created_date={row['d']}")
+    return pruned
+
+
 def read_author_list(spark: SparkSession, path: str, tier: int = 2) -> DataFrame:
     """Handles of a text file as upsert commands; blank lines and ``#`` comments are skipped."""
     return author_lines(spark.read.text(path), tier)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.decode import whole_json
 from tidewire.functions.text import (
+    let,
     looks_truncated,
     non_blank,
     or_blank,
@@ -16,9 +17,8 @@ from tidewire.functions.text import (
 )
 from tidewire.functions.times import parse_timestamp
 from tidewire.schemas import LINKS, MEDIA_ITEMS
+from tidewire.sources.objects import read_objects
 
-# Wrappers within wrappers that are opened; what is wrapped deeper goes to quarantine.
-NESTING = 6
 _ID_KEYS = ("id", "id_str", "tweetId", "rest_id")
 
 
@@ -49,51 +49,76 @@ def _items(v: Column) -> Column:
     )
 
 
-def _levels(rows: DataFrame, nesting: int) -> DataFrame:
-    for _ in range(nesting):
-        rows = rows.withColumn("v", F.explode(_items(F.col("v"))))
-    return rows
+def _wrapped(v: Column) -> Column:
+    """Whether a value is a list or a page, not a leaf."""
+    return F.schema_of_variant(v).startswith("ARRAY") | F.try_variant_get(v, "$.tweets", "array<variant>").isNotNull()
 
 
-def _open(rows: DataFrame, nesting: int) -> DataFrame:
-    rows = _levels(rows, nesting)
+def _depth(text: Column) -> Column:
+    """How many square brackets are open at once at most, those within JSON strings left out."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\(?s:.))*+"', "")
+    signs = F.split(F.regexp_replace(bare, r"[^\[\]]++", ""), "")
+    step = lambda s, c: F.when(c == "[", s["now"] + 1).otherwise(s["now"] - 1)
+    return F.aggregate(
+        F.filter(signs, lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, c: let(step(s, c), lambda n: F.struct(n.alias("now"), F.greatest(s["most"], n).alias("most"))),
+        lambda s: s["most"],
+    )
+
+
+def _opened(v: Column, text: Column) -> Column:
+    """All leaves of a value whatever its wrappers: every wrapper has a square bracket, so their greatest nesting is enough.
+
+    Few payloads have more than two wrappers: only for those the nesting is looked up and the rest opened.
+    """
+    def step(items: Column) -> Column:
+        return F.flatten(F.transform(items, _items))
+
+    def rest(items: Column) -> Column:
+        turns = F.sequence(F.lit(1), F.greatest(_depth(text), F.lit(1)))
+        return F.when(F.exists(items, _wrapped), F.aggregate(turns, items, lambda acc, _: step(acc))).otherwise(items)
+
+    return let(step(_items(v)), rest)
+
+
+def _open(rows: DataFrame, column: str) -> DataFrame:
+    rows = rows.withColumn("v", F.explode(_opened(F.col("v"), F.col(column))))
     is_post = F.schema_of_variant("v").startswith("OBJECT") & _first_text(F.col("v"), *_ID_KEYS).isNotNull()
     return rows.where(is_post)
 
 
-def _parsed(spark: SparkSession, path: str, whole_files: bool) -> DataFrame:
-    text = spark.read.text(path, wholetext=whole_files).select("value", F.col("_metadata.file_path").alias("file"))
-    return text.where(strip(F.col("value")) != "").withColumn(
-        "v", whole_json(F.col("value"))
-    )
+def _records(spark: SparkSession, path: str, whole_files: bool) -> DataFrame:
+    """(file, value, whole): records of the files; ``whole`` is false for text that belongs to no object."""
+    if whole_files:
+        return read_objects(spark, path)
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.lit(True).alias("whole"))
+    return text.where(strip(F.col("value")) != "")
 
 
-def read_observations(spark: SparkSession, path: str, whole_files: bool = False, nesting: int = NESTING) -> DataFrame:
-    """Payload objects (columns file, v) that carry an id.
+def read_observations(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Payload objects (columns file, v) that carry an id, out of any number of wrappers.
 
-    Line-delimited files split across tasks. Files that hold one array or page over several lines need
-    ``whole_files``; one such file is one record, so keep them small. Records with more than ``nesting`` wrappers within
-    wrappers are in ``read_quarantine``.
+    Files are read line by line, or with ``whole_files`` as lists or pages over several lines; either way one large file is
+    read by many tasks. Records that cannot be opened are in ``read_quarantine``.
     """
-    return _open(_parsed(spark, path, whole_files), nesting).select("file", "v")
+    return parse_payloads(_records(spark, path, whole_files).where("whole"), "value").select("file", "v")
 
 
-def read_quarantine(spark: SparkSession, path: str, whole_files: bool = False, nesting: int = NESTING) -> DataFrame:
-    """Records of the same files that are no JSON, or still hold lists or pages below ``nesting`` wrappers."""
-    return quarantined(_parsed(spark, path, whole_files), nesting).select("file", "value")
+def read_quarantine(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Records of the same files (columns file, value) that are no JSON."""
+    records = _records(spark, path, whole_files)
+    broken = quarantined(records.where("whole"), "value")
+    return records.where(~F.col("whole")).select("file", "value").unionByName(broken.select("file", "value"))
 
 
-def quarantined(parsed: DataFrame, nesting: int = NESTING) -> DataFrame:
-    """Rows of ``parsed`` whose ``v`` is null or not opened by ``nesting`` steps; a row with several such parts once."""
-    others = [c for c in parsed.columns if c != "v"]
-    wrapped = F.schema_of_variant("v").startswith("ARRAY") | F.try_variant_get("v", "$.tweets", "array<variant>").isNotNull()
-    deep = _levels(parsed, nesting).where(wrapped).select(*others).distinct()
-    return parsed.where(F.col("v").isNull()).select(*others).unionByName(deep)
+def quarantined(raw: DataFrame, column: str) -> DataFrame:
+    """Rows whose text is no JSON; blank and null texts are nothing at all."""
+    return raw.where((strip(or_blank(F.col(column))) != "") & whole_json(F.col(column)).isNull())
 
 
-def parse_payloads(raw: DataFrame, column: str, nesting: int = NESTING) -> DataFrame:
-    """The same from a text column; other columns are kept. Unparsable texts give no rows (see ``quarantined``)."""
-    return _open(raw.withColumn("v", whole_json(F.col(column))), nesting)
+def parse_payloads(raw: DataFrame, column: str) -> DataFrame:
+    """Payload objects ``v`` of a text column; other columns are kept. Unparsable texts give no rows (see ``quarantined``)."""
+    return _open(raw.withColumn("v", whole_json(F.col(column))), column)
 
 
 def post_id(v: Column) -> Column:

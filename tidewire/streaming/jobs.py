@@ -11,9 +11,9 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions.times import quiet_hours
-from tidewire.operators.merge import merge_posts
-from tidewire.operators.skew import lookup
-from tidewire.sources.payloads import normalize_payloads, parse_payloads
+from tidewire.operators.merge import merge_states
+from tidewire.sources.payloads import normalize_payloads, parse_payloads, quarantined
+from tidewire.streaming.store import BUCKETS, EVERY, PostStates
 
 # Layout of a place in the log: batch, then partition, then row.
 _ROW_BITS, _PARTITION_BITS = 22, 14
@@ -31,32 +31,37 @@ def _arrival(batch_id: int):
 
 
 def stream_observations(
-    spark: SparkSession, inbox: str, log: str, posts: str, checkpoint: str, source: str = "home", files: int = 1000
+    spark: SparkSession, inbox: str, log: str, posts: str, checkpoint: str, source: str = "home", files: int = 1000,
+    buckets: int = BUCKETS, every: int = EVERY,
 ) -> DataStreamWriter:
     """New payload files (one object per line) -> observation log; posts touched by a batch are merged again.
 
-    Every batch overwrites its own folders only, so a batch that is run again after a failure changes nothing.
+    A batch folds its own rows and composes them with the stored states of the ids it touches (``PostStates``, beside the
+    posts); it never reads the log. Payloads that are no JSON go to ``quarantine`` beside the log. Every batch overwrites
+    its own folders only, so a batch that is run again after a failure changes nothing.
     """
+    states = PostStates(spark, f"{posts}-states", buckets, every)
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        quarantined(batch, "value").write.mode("overwrite").text(f"{log}-quarantine/batch={batch_id}")
         rows = parse_payloads(batch, "value").withColumn("seq", _arrival(batch_id)).drop("value")
         observations = normalize_payloads(rows).withColumn("source", F.lit(source))
         target = f"{log}/batch={batch_id}"
         observations.write.mode("overwrite").parquet(target)
-        written = spark.read.parquet(target)
-        if written.isEmpty():
-            return
-        touched = written.select("id").distinct()
-        history = spark.read.schema(written.schema).parquet(log).drop("batch")
-        # A batch that runs again must see the log as it was: later places do not exist yet.
-        history = history.where(F.col("seq") < ((batch_id + 1) << (_ROW_BITS + _PARTITION_BITS)))
-        merged = merge_posts(lookup(history, touched, "id", "left_semi"), _LEVELS)
-        merged.write.mode("overwrite").parquet(f"{posts}/batch={batch_id}")
+        written = spark.read.schema(observations.schema).parquet(target)
+        delta = states.write_delta(batch_id, merge_states(written, _LEVELS))
+        states.touched_posts(batch_id, delta).write.mode("overwrite").parquet(f"{posts}/batch={batch_id}")
+        states.compact(batch_id, delta.schema)
 
     lines = spark.readStream.option("maxFilesPerTrigger", files).text(inbox)
     return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
+def quarantined_payloads(spark: SparkSession, log: str) -> DataFrame:
+    """Payloads that the job could not open."""
+    return spark.read.text(f"{log}-quarantine")
+
+
 def current_posts(spark: SparkSession, posts: str) -> DataFrame:
     """Latest merged version of every post."""
     rows = spark.read.parquet(posts)
@@ -82,26 +87,29 @@ def gate_stream(
     """Streaming twin of ``alert_gate`` for candidates that arrive in time order.
 
     Keyed by chat and local day from the end of the quiet hours, with overrides of the last window copied into the
-    next day: state is the send times of one window, and it expires when the watermark has passed the run's day.
+    next day. Where the quiet hours are shorter than the window, a chat is one key. State is the send times of one
+    window; it expires once the watermark is a window past the last candidate, as nothing that still counts is in it then.
     """
     start, end = quiet
-    if (end - start) % 24 * 60 < window_minutes or start == end:
-        raise ValueError("the quiet hours must be at least as long as the window")
+    by_day = (end - start) % 24 * 60 >= window_minutes and start != end
     window = window_minutes * 60_000_000
     day = F.to_date(F.from_utc_timestamp("ts", tz) - F.make_interval(hours=F.lit(end)))
     begin = F.to_utc_timestamp(F.date_add("day", 1).cast("timestamp") + F.make_interval(hours=F.lit(end)), tz)
     late = (F.col("ts") >= begin - F.make_interval(mins=F.lit(window_minutes))) & (F.col("score") >= override_score)
     own = F.struct(F.col("day"), F.lit(False).alias("replay"))
     copy = F.struct(F.date_add("day", 1).alias("day"), F.lit(True).alias("replay"))
+    copied = late if by_day else F.lit(False)
     rows = (
         candidates.select("id", "chat", "ts", "score")
         .withWatermark("ts", watermark)
-        .withColumn("day", day)
-        .withColumn("run", F.explode(F.when(late, F.array(own, copy)).otherwise(F.array(own))))
+        .withColumn("day", day if by_day else F.lit(None).cast("date"))
+        .withColumn("run", F.explode(F.when(copied, F.array(own, copy)).otherwise(F.array(own))))
         .select("id", "chat", "ts", "score", "run.*", quiet_hours(F.col("ts"), tz, start, end).alias("quiet"))
         .withColumn("us", F.unix_micros("ts"))
     )
 
+    expiry = _EXPIRY_MS if by_day else window // 1000 + 1
+
     def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -116,7 +124,7 @@ def gate_stream(
                 recent.append(row.us)
             sent.append(passes)
         state.update((recent,))
-        state.setTimeoutTimestamp(max(int(batch["us"].max()) // 1000 + _EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(batch["us"].max()) // 1000 + expiry, state.getCurrentWatermarkMs() + 1))
         yield batch.assign(sent=sent)[~batch["replay"]][["id", "chat", "ts", "score", "sent"]]
 
     return rows.groupBy("chat", "day").applyInPandasWithState(
