@@ -125,6 +125,27 @@ def test_histogram_places_are_exact(spark):
     assert (got["tiny{k=v}"]["p50"], got["tiny{k=v}"]["p99"]) == (3.0, 3.0)
 
 
+def test_rolled_histograms_in_parts(spark, tmp_path):
+    rng = random.Random(6)
+    keys = {
+        "spread": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(3000)], "few": [float(rng.randint(-3, 3)) for _ in range(5000)],
+        "odd": [float("inf"), -float("inf"), 0.0, -0.0, 5e-324, 1.7e308, -1.0, 1.0], "one": [2.5], "narrow": [1 + rng.random() / 1e6 for _ in range(4000)],
+    }
+    rows = [(k, v, i % 50) for k, values in keys.items() for i, v in enumerate(values)]
+    events = spark.createDataFrame(rows, "name string, value double, h long").selectExpr(
+        "name", "map() AS labels", "'histogram' AS type", "value", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, h) AS at", "h")
+    path = str(tmp_path / "rollup")
+    for part in range(3):
+        metrics.write_rollup(events.where(f"h % 3 = {part}"), path)
+    for got in (metrics.stored_histograms(spark, path), metrics.metric_histograms(events)):
+        found = {r["key"]: r for r in got.collect()}
+        assert set(found) == set(keys)
+        for k, values in keys.items():
+            ordered, n = sorted(values), len(values)
+            want = (n, ordered[0], ordered[-1], ordered[n // 2], ordered[min(int(0.99 * n), n - 1)])
+            assert tuple(found[k][c] for c in ("count", "min", "max", "p50", "p99")) == want
+
+
 def test_positions_prefer_exact_tickers(spark):
     instruments = spark.createDataFrame(
         [("AAA", "owned", ["t1"], 0), ("BBB", "watch_list", ["t1"], 1), ("CCC", "short", ["t2"], 2)],

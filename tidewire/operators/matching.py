@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire import constants as C
 from tidewire.functions.text import let, or_blank
-from tidewire.operators.skew import SPREAD, lookup, union_all
+from tidewire.operators.skew import BROADCAST_ROWS, SPREAD, counted_broadcast, lookup, materialize, union_all
 
 # Labels are found by their first characters, at most this many.
 SEED = 4
@@ -39,19 +39,27 @@ def match_positions(posts: DataFrame, instruments: DataFrame, themes: DataFrame)
               "key", "left_semi")
         .groupBy("key").agg(first)
     )
-    tickers = posts.select("id", "themes", F.explode(F.array_distinct(F.transform("tickers", F.upper))).alias("key"))
-    shared = F.get(F.filter("themes", lambda t: F.array_contains(F.col("instrument.themes"), t)), F.lit(0))
-    exact = lookup(tickers, by_ticker, "key", "inner").select(
-        "id", F.lit(0).alias("rank"), F.col("pos").cast("long").alias("place"),
-        _format_match(F.col("instrument"), shared).alias("match"),
-    )
-    named = posts.select("id", F.posexplode("themes").alias("place", "key"))
-    thematic = lookup(named, by_theme, "key", "inner").select(
-        "id", F.lit(1).alias("rank"), F.col("place").cast("long").alias("place"),
-        _format_match(F.col("instrument"), F.col("key")).alias("match"),
+    named = lambda sign, key: F.concat(F.lit(sign), key)
+    registry = materialize(
+        by_ticker.select(named("$", F.col("key")).alias("key"), "instrument", F.col("pos").cast("long").alias("place")).unionByName(
+            by_theme.select(named("#", F.col("key")).alias("key"), "instrument", F.lit(None).cast("long").alias("place"))
+        )
     )
+    # Tickers and themes of a post are looked up together: posts are read once while the registry is small.
+    tickers = F.transform(F.array_distinct(F.transform("tickers", F.upper)), lambda t: F.struct(named("$", t).alias("key"), F.lit(None).cast("long").alias("at")))
+    own = F.transform("themes", lambda t, i: F.struct(named("#", t).alias("key"), i.cast("long").alias("at")))
+    empty = F.array().cast("array<struct<key:string,at:bigint>>")
+    keys = posts.select("id", "themes", F.explode(F.concat(F.coalesce(tickers, empty), F.coalesce(own, empty))).alias("k")).select(
+        "id", "themes", "k.*")
+    rows = registry.count()
+    found = keys.join(counted_broadcast(registry, rows), "key") if rows <= BROADCAST_ROWS else lookup(keys, registry, "key", "inner")
+    is_ticker = F.col("key").startswith("$")
+    shared = F.get(F.filter("themes", lambda t: F.array_contains(F.col("instrument.themes"), t)), F.lit(0))
+    match = F.when(is_ticker, _format_match(F.col("instrument"), shared)).otherwise(
+        _format_match(F.col("instrument"), F.substr(F.col("key"), F.lit(2))))
+    ranked = found.select("id", F.when(is_ticker, 0).otherwise(1).alias("rank"), F.coalesce("place", "at").alias("place"), match.alias("match"))
     best = F.min_by("match", F.struct("rank", "place", "match")).alias("position")
-    return exact.unionByName(thematic).groupBy("id").agg(best)
+    return ranked.groupBy("id").agg(best)
 
 
 _CATALYST = ["ref", "date", "type"]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.operators.skew import lookup
+from tidewire.operators.skew import lookup, materialize
 
 # Prefix of metric names per subsystem (fixed values).
 SUBSYSTEMS = {"scorer": "scorer.", "pipeline": "pipeline.", "fetcher": "fetcher.", "web": "web."}
@@ -31,58 +31,84 @@ def metric_gauges(events: DataFrame) -> DataFrame:
     return _keyed(events, "gauge").groupBy("key").agg(F.max_by("value", F.struct("at", "value")).alias("value"))
 
 
-# A sketch place is off by at most n/_ACCURACY; brackets are twice that wide on both sides.
-_ACCURACY = 20_000
-_MARGIN = 2 / _ACCURACY
+# Values lie in buckets a hundredth wide: the same for every key and time, so counts of buckets add up over any roll-up and
+# tell exactly in which bucket a place lies and how many values are below it.
+_WIDTH = 1.01
+# More than the number of the bucket of the smallest and of the largest double.
+_EDGE = 100_000
+ROLLUP = "key string, hour timestamp, bucket int, n long, total double, least double, most double"
 
 
-def metric_histograms(events: DataFrame) -> DataFrame:
-    """Count, total, mean, min, max and exact p50/p99 (the values at places n//2 and min(int(.99n), n-1)).
+def value_bucket(value: Column) -> Column:
+    """The bucket of a double, in the order of the doubles; NaN is above all."""
+    size = F.abs(value)
+    place = F.when(size == float("inf"), _EDGE).otherwise(F.ceil(F.ln(size) / F.ln(F.lit(_WIDTH))).cast("int")) + 2 * _EDGE
+    return F.when(F.isnan(value), 4 * _EDGE).when(value == 0, 0).when(value > 0, place).otherwise(-place)
 
-    A mergeable sketch brackets each wanted place; only distinct values inside the brackets are then ranked by
-    their counts. So no task sorts all values of a key, and the result is still exact.
-    """
-    rows = _keyed(events, "histogram").select("key", "value")
-    points = [0.5 - _MARGIN, 0.5 + _MARGIN, 0.99 - _MARGIN]
-    base = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.sum("value").alias("total"),
-        F.avg("value").alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.percentile_approx("value", points, _ACCURACY).alias("b"),
-    )
-    # Small groups are ranked whole: their bracket is their range.
-    small = F.col("count") <= _ACCURACY
-    p50 = F.struct(
-        F.lit("p50").alias("p"),
-        F.expr("count div 2").alias("place"),
-        F.when(small, F.col("min")).otherwise(F.col("b")[0]).alias("lo"),
-        F.when(small, F.col("max")).otherwise(F.col("b")[1]).alias("hi"),
-    )
-    p99 = F.struct(
-        F.lit("p99").alias("p"),
-        F.least(F.floor(F.col("count") * 0.99).cast("long"), F.col("count") - 1).alias("place"),
-        F.when(small, F.col("min")).otherwise(F.col("b")[2]).alias("lo"),
-        F.col("max").alias("hi"),
+
+def histogram_values(events: DataFrame) -> DataFrame:
+    """(key, hour, bucket, value, n): how often each value occurred in an hour. Counts combine in tasks first."""
+    rows = _keyed(events, "histogram").where(F.col("value").isNotNull())
+    hour = F.date_trunc("hour", "at").alias("hour")
+    return rows.select("key", hour, value_bucket(F.col("value")).alias("bucket"), "value").groupBy(
+        "key", "hour", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rolled(values: DataFrame) -> DataFrame:
+    """(key, hour, bucket, n, total, least, most): the roll-up that reports read first."""
+    times = F.col("value") * F.col("n")
+    return values.groupBy("key", "hour", "bucket").agg(
+        F.sum("n").alias("n"), F.sum(times).alias("total"), F.min("value").alias("least"), F.max("value").alias("most")
     )
-    brackets = base.select("key", F.array(p50, p99).alias("brackets"))
-    counts = rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
-    # Keys are few and may be hot, so their brackets travel to the counted values, not the other way round.
-    placed = lookup(counts, brackets, "key", "inner").select("key", "value", "n", F.explode("brackets").alias("b"))
-    placed = placed.select("key", "value", "n", "b.*").where(F.col("value") <= F.col("hi"))
-    below = F.sum(F.when(F.col("value") < F.col("lo"), F.col("n")).otherwise(0))
-    under = placed.groupBy("key", "p").agg(below.alias("below"))
-    upto = F.sum("n").over(W.partitionBy("key", "p").orderBy("value"))
-    picked = (
-        placed.where(F.col("value") >= F.col("lo"))
-        .withColumn("upto", upto)
-        .join(under, ["key", "p"])
-        .where(F.col("below") + F.col("upto") > F.col("place"))
-        .groupBy("key")
-        .agg(*[F.min(F.when(F.col("p") == p, F.col("value"))).alias(p) for p in ("p50", "p99")])
+
+
+def write_rollup(events: DataFrame, path: str) -> None:
+    """Append the roll-up of these events and the counted values behind it; hours may be written in any number of parts."""
+    values = materialize(histogram_values(events))
+    ordered = values.repartitionByRange("key", "bucket").sortWithinPartitions("key", "bucket")
+    ordered.write.mode("append").parquet(f"{path}/values")
+    rolled(values).write.mode("append").parquet(f"{path}/rollup")
+
+
+def histograms_of(rollup: DataFrame, values: DataFrame) -> DataFrame:
+    """Count, total, mean, min, max and exact p50/p99 (the values at places n//2 and min(int(.99n), n-1)) per key.
+
+    The roll-up tells the bucket of each place, closed on both sides, and what lies below it. Only the values of these
+    two buckets are ranked, by their counts; no task sees more of a key than a hundredth of the range of its values.
+    """
+    buckets = materialize(rollup.groupBy("key", "bucket").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most")))
+    base = buckets.groupBy("key").agg(
+        F.sum("n").alias("count"), F.sum("total").alias("total"), F.min("least").alias("min"), F.max("most").alias("max"))
+    base = base.withColumn("mean", F.col("total") / F.col("count"))
+    # A key has at most some hundred thousand buckets, as many as doubles have.
+    upto = F.sum("n").over(W.partitionBy("key").orderBy("bucket"))
+    places = F.array(
+        F.struct(F.lit("p50").alias("p"), F.expr("count div 2").alias("place")),
+        F.struct(F.lit("p99").alias("p"), F.least(F.floor(F.col("count") * 0.99).cast("long"), F.col("count") - 1).alias("place")),
     )
-    return base.drop("b").join(picked, "key")
+    wanted = buckets.select("key", "bucket", "n", upto.alias("upto")).join(base.select("key", F.explode(places).alias("w")), "key")
+    below = (F.col("upto") - F.col("n")).alias("below")
+    brackets = wanted.where((F.col("upto") > F.col("w.place")) & (F.col("upto") - F.col("n") <= F.col("w.place"))).select(
+        F.struct("key", "bucket").alias("at"), F.struct("w.p", "w.place", below).alias("b"))
+    brackets = brackets.groupBy("at").agg(F.collect_list("b").alias("brackets"))
+    inside = lookup(values.withColumn("at", F.struct("key", "bucket")), brackets, "at", "inner")
+    counted = inside.groupBy("key", "value", "brackets").agg(F.sum("n").alias("n")).select("key", "value", "n", F.explode("brackets").alias("b"))
+    reached = F.sum("n").over(W.partitionBy("key", "b.p").orderBy("value"))
+    picked = counted.withColumn("reached", F.col("b.below") + reached).where(F.col("reached") > F.col("b.place")).groupBy("key").agg(
+        *[F.min(F.when(F.col("b.p") == p, F.col("value"))).alias(p) for p in ("p50", "p99")])
+    return base.join(picked, "key").select("key", "count", "total", "mean", "min", "max", "p50", "p99")
+
+
+def metric_histograms(events: DataFrame) -> DataFrame:
+    """The same straight from events: their values are counted once and rolled up on the way."""
+    values = materialize(histogram_values(events))
+    return histograms_of(rolled(values), values)
+
+
+def stored_histograms(spark: SparkSession, path: str) -> DataFrame:
+    """The same from what ``write_rollup`` has left; of the values, only those of two buckets for each key are kept."""
+    return histograms_of(spark.read.parquet(f"{path}/rollup"), spark.read.parquet(f"{path}/values"))
 
 
 def metric_coverage(events: DataFrame) -> DataFrame:

@@ -47,15 +47,8 @@ def work_routing(
     force_refresh: bool = False,
 ) -> DataFrame:
     """Which follow-up work each scored post needs, as flags. The cheap tests run before any costly work."""
-    tier1 = authors.where(F.col("tier") == 1).select(F.lower("handle").alias("handle_key")).distinct()
-    rows = lookup(
-        scored.withColumn("handle_key", F.lower("author_handle")), tier1.withColumn("is_tier1", F.lit(True)), "handle_key"
-    )
     score, fresh = F.col("score"), F.lit(force_refresh)
     blank = lambda c: or_blank(F.col(c)) == ""
-    summary = (
-        (F.length("content") > 500) & F.col("is_tier1").isNull() & (score >= summary_min) & (fresh | blank("content_summary"))
-    )
     article = (
         F.col("is_article")
         & (fresh | F.col("article_processed_at").isNull())
@@ -65,12 +58,17 @@ def work_routing(
     vision = vision_age_ok(F.col("created_at"), vision_max_age_days, as_of)
     open_media = needs_media_analysis(F.col("media_items"))
     flags = {
-        "needs_summary": summary,
+        "needs_summary": (F.length("content") > 500) & (score >= summary_min) & (fresh | blank("content_summary")),
         "needs_analysis": (score >= analysis_min) & (fresh | F.col("analysis").isNull()),
         "needs_article": article,
         "media_via_article": article & vision & open_media,
         "needs_media": vision & (score >= media_min) & open_media & ~(article & vision & open_media),
     }
+    # Flags first: no text crosses the shuffle of the authors.
+    narrow = scored.select("id", F.lower("author_handle").alias("handle_key"), *[f.alias(n) for n, f in flags.items()])
+    tier1 = authors.where(F.col("tier") == 1).select(F.lower("handle").alias("handle_key")).distinct()
+    rows = lookup(narrow, tier1.withColumn("is_tier1", F.lit(True)), "handle_key")
+    flags = {n: F.col(n) for n in flags} | {"needs_summary": F.col("needs_summary") & F.col("is_tier1").isNull()}
     no = F.lit(False)
     return rows.select("id", *[F.coalesce(flag, no).alias(name) for name, flag in flags.items()])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewire import constants as C
 from tidewire.functions.text import strip
 from tidewire.functions.times import before
-from tidewire.operators.skew import lookup
+from tidewire.operators.skew import lookup, materialize
 from tidewire.schemas import MODEL_PRICE
 
 TOKENS = ["input_tokens", "output_tokens", "reasoning_tokens", "cached_input_tokens", "total_tokens"]
@@ -78,6 +78,8 @@ def cost(price: Column, provider: Column, tokens: dict[str, Column]) -> Column:
 
 
 def per_call_cost(attempts: DataFrame, prices: DataFrame) -> DataFrame:
+    """Every attempt with ``cost_usd``. The attempts (folded from events, narrow) are read three times, so written once."""
+    attempts = materialize(attempts)
     priced = price_of_models(attempts, prices).withColumn("pair", F.concat_ws("\x01", "provider", "model"))
     calls = attempts.withColumn("pair", F.concat_ws("\x01", "provider", "model"))
     joined = lookup(calls, priced.select("pair", "price"), "pair")
@@ -113,7 +115,9 @@ def usage_summary(
 
 
 def reestimated_cost(summary: DataFrame, prices: DataFrame) -> DataFrame:
-    """Cost on the summed tokens (cached tokens are taken off after summing), dearest first."""
+    """Cost on the summed tokens (cached tokens are taken off after summing), dearest first. The summary is read for its
+    models and again for its sums, so it is written once: one row for each component and model."""
+    summary = materialize(summary)
     priced = summary.join(price_of_models(summary, prices), ["provider", "model"], "left")
     value = cost(F.col("price"), F.col("provider"), {n: F.col(n) for n in TOKENS})
     return (

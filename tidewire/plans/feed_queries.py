@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from tidewire import constants as C
 from tidewire.functions.times import parse_timestamp, time_range
 from tidewire.operators import authors, feed, media, metrics, narratives, stats, usage
-from tidewire.plans.catalog import DAY, query
+from tidewire.operators.skew import shared_folder
+from tidewire.plans.catalog import CATALOG, DAY, query
 from tidewire.plans.feed_views import AS_OF, Feed
 
 _PAGE = ("id", "author_handle", "created_at", "score", "signal_tier", "categories", "tickers", "bookmarked")
@@ -359,6 +361,15 @@ def metric_histograms(t: Feed) -> DataFrame:
     return metrics.metric_histograms(t.metric_events)
 
 
+@query("A12", CATALOG["metric_histograms"].sql)
+def metric_histograms_rolled(t: Feed) -> DataFrame:
+    """From a roll-up written in three parts."""
+    path = f"{shared_folder(t.spark)}/rollup-{uuid.uuid4().hex}"
+    for part in range(3):
+        metrics.write_rollup(t.metric_events.where(F.pmod(F.xxhash64("value", "at"), F.lit(3)) == part), path)
+    return metrics.stored_histograms(t.spark, path)
+
+
 @query("A13", """
 SELECT bool_or(starts_with(name, 'scorer.')) AS scorer, bool_or(starts_with(name, 'pipeline.')) AS pipeline,
   bool_or(starts_with(name, 'fetcher.')) AS fetcher, bool_or(starts_with(name, 'web.')) AS web FROM metric_events""")
