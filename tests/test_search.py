@@ -39,3 +39,65 @@ def test_stored_search_equals_the_scan(corpus, asked):
 def test_a_search_needs_a_term(corpus):
     with pytest.raises(ValueError):
         search.stored_search(corpus[1], corpus[0], must_not=[Term("the")])
+
+
+def scanned(df):
+    """Rows that the scans of postings gave out."""
+    df.collect()
+    total, open_ = 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            open_.append(node.executedPlan())
+        elif "QueryStage" in name:
+            open_.append(node.plan())
+        elif name.startswith("Scan parquet") and "places" in node.toString():
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.fixture(scope="module")
+def lengths(spark, tmp_path_factory):
+    """Posts of all lengths, written in three parts and merged."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(600):
+        # Longer posts use more different words, as texts do: what they hold of one word does not grow with them.
+        size = int(2 ** rng.uniform(1, 9))
+        rows.append((f"{i:05}", " ".join(f"w{rng.randrange(8 + 2 * size)}" for _ in range(size)), None, f"u{i % 7}", None, float(i % 10)))
+    posts = spark.createDataFrame(rows, "id string, content string, summary string, author_handle string, tickers_text string, score double")
+    path = str(tmp_path_factory.mktemp("lengths"))
+    for part in range(3):
+        search.write_index(posts.where(f"CAST(id AS INT) % 3 = {part}"), f"{path}/parts")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "50")
+    search.merge_index(spark, f"{path}/parts", f"{path}/whole")
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    return posts, path
+
+
+@pytest.mark.parametrize("asked", [
+    dict(should=[Term("w1")]), dict(should=[Term("w1"), Term("w2", column="content")]), dict(must=[Term("w3"), Term("u3")]),
+    dict(must=[Term("w1")], must_not=[Term("w2")]), dict(should=[Term("nowhere")]), dict(should=[Term("w5"), Term("w6")], min_score=7),
+    dict(should=[Term("w1 w2")]), dict(must=[Term("w", prefix=True)]), dict(should=[Term("w1")], limit=2000),
+], ids=str)
+def test_top_search_equals_the_whole_one(lengths, asked):
+    posts, path = lengths
+    asked = {"limit": 10} | asked
+    kept = [F.col("id"), F.round("rank", 9)]
+    want = search.text_search(search.search_index(posts), **asked).select(*kept).collect()
+    for part in ("parts", "whole"):
+        assert search.top_search(f"{path}/{part}", posts, **asked).select(*kept).collect() == want
+
+
+def test_top_search_reads_less(lengths):
+    posts, path = lengths
+    whole = search.stored_search(f"{path}/whole", posts, should=[Term("w1")], limit=10).select("id", "rank")
+    top = search.top_search(f"{path}/whole", posts, should=[Term("w1")], limit=10).select("id", "rank")
+    assert scanned(top) < scanned(whole) and top.collect() == whole.collect()
+    shelves = search._shelf_bounds(f"{path}/whole", posts.sparkSession, [Term("w1")])
+    read = search._shelves_to_read(shelves, 10, lambda some: search.stored_search(f"{path}/whole", posts, should=[Term("w1")], limit=10, shelves=some))
+    assert len(read) < len(shelves)

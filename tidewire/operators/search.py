@@ -6,11 +6,12 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import let, normalize_cashtags, or_blank
 from tidewire.operators.feed import filter_posts
+from tidewire.operators.skew import materialize
 
 TEXT_COLUMNS = ("content", "summary", "author_handle", "tickers_text")
 K1, B = 1.2, 0.75
@@ -150,34 +151,132 @@ def text_search(
 FIELD_ROOM = 1 << 32
 
 
-def postings(posts: DataFrame) -> DataFrame:
-    """(term, field, id, n_tokens, places): one row per word, text column and post that holds it.
+def shelf_of(size: Column) -> Column:
+    """Posts of about one length share a shelf (four for each doubling of the number of words): their scores for a word
+    depend on little more than how often they hold it."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 4).cast("int")
 
-    A word's places in one post meet in a partial aggregate before they move, so a frequent word costs one row a post.
-    """
-    index = search_index(posts)
 
+def _postings(index: DataFrame) -> DataFrame:
     def placed(number: int, name: str) -> Column:
         field, first = F.lit(name).alias("field"), F.lit(number * FIELD_ROOM)
         return F.transform(f"t_{name}", lambda term, at: F.struct(term.alias("term"), field, (first + at).alias("place")))
 
     words = F.concat(*[placed(i, name) for i, name in enumerate(TEXT_COLUMNS)])
     flat = index.select("id", "n_tokens", F.explode(words).alias("w")).select("id", "n_tokens", "w.*")
-    return flat.groupBy("term", "field", "id", "n_tokens").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    rows = flat.groupBy("term", "field", "id", "n_tokens").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return rows.withColumn("shelf", shelf_of(F.col("n_tokens")))
 
 
-def write_index(posts: DataFrame, path: str) -> None:
-    """Write the postings, ordered by word, and the corpus totals beside them.
+def postings(posts: DataFrame) -> DataFrame:
+    """(term, field, id, n_tokens, places, shelf): one row per word, text column and post that holds it.
 
-    Files hold ranges of (word, post): a search skips all files and row groups whose words it does not ask for, prefixes
-    too, and the postings of a frequent word lie in several files. The totals are one row per write; writes append.
+    A word's places in one post meet in a partial aggregate before they move, so a frequent word costs one row a post.
     """
-    ranged = postings(posts).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    return _postings(search_index(posts))
+
+
+def _bounds(rows: DataFrame) -> DataFrame:
+    """(term, field, shelf, posts, most, fewest): posts of a shelf that hold a word in a column (null: in any), how often
+    at most, and their least length."""
+    size = F.size("places")
+    own = rows.groupBy("term", "field", "shelf").agg(
+        F.count(F.lit(1)).alias("posts"), F.max(size).cast("long").alias("most"), F.min("n_tokens").alias("fewest"))
+    whole = rows.groupBy("term", "shelf", "id").agg(F.sum(size).alias("tf"), F.min("n_tokens").alias("n_tokens"))
+    every = whole.groupBy("term", "shelf").agg(
+        F.count(F.lit(1)).alias("posts"), F.max("tf").alias("most"), F.min("n_tokens").alias("fewest"))
+    return own.unionByName(every.withColumn("field", F.lit(None).cast("string")))
+
+
+def _write_segment(rows: DataFrame, bounds: DataFrame, totals: DataFrame, path: str) -> None:
+    ranged = rows.repartitionByRange("term", "shelf", "id").sortWithinPartitions("term", "shelf", "id")
     ranged.write.mode("append").parquet(f"{path}/postings")
-    totals = search_index(posts).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+    bounds.repartitionByRange("term").sortWithinPartitions("term").write.mode("append").parquet(f"{path}/bounds")
     totals.write.mode("append").parquet(f"{path}/totals")
 
 
+def write_index(posts: DataFrame, path: str) -> None:
+    """Write the postings, ordered by word and shelf, with bounds of what a word can score on a shelf, and the corpus totals.
+
+    Files hold ranges of (word, shelf, post): a search skips all files and row groups whose words it does not ask for,
+    prefixes too, and the postings of a frequent word lie in several files. Texts are split into words once. The totals
+    are one row per write; writes append (a post in one of them only), ``merge_index`` makes one of many.
+    """
+    index = materialize(search_index(posts).select("id", "n_tokens", *[f"t_{c}" for c in TEXT_COLUMNS]))
+    rows = materialize(_postings(index))
+    totals = index.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+    _write_segment(rows, _bounds(rows), totals, path)
+
+
+def merge_index(spark: SparkSession, path: str, target: str) -> None:
+    """An index of many writes, as one in a new place: each word's postings lie together again."""
+    read = lambda part: spark.read.parquet(f"{path}/{part}")
+    bounds = read("bounds").groupBy("term", "field", "shelf").agg(
+        F.sum("posts").alias("posts"), F.max("most").alias("most"), F.min("fewest").alias("fewest"))
+    totals = read("totals").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    _write_segment(read("postings"), bounds, totals, target)
+
+
+def _idf(docs: Column, df: Column) -> Column:
+    odds = (docs - df + 0.5) / (df + 0.5)
+    return F.when(odds > 1, F.ln(odds)).otherwise(_MIN_IDF)
+
+
+def _gain(idf: Column, tf: Column, size: Column, mean: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+def _shelf_bounds(path: str, spark: SparkSession, scored: list[Term]) -> list[tuple[int, float, int]]:
+    """(shelf, the most any of its posts can score, postings) by falling score: as many rows as there are lengths' classes."""
+    words = spark.createDataFrame([(_words(t)[0], t.column) for t in scored], "term string, column string")
+    bounds = spark.read.parquet(f"{path}/bounds").join(F.broadcast(words), "term")
+    bounds = bounds.where(F.col("field").eqNullSafe(F.col("column")))
+    totals = spark.read.parquet(f"{path}/totals").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    df = bounds.groupBy("term", "column").agg(F.sum("posts").alias("df"))
+    rows = bounds.join(df.withColumnRenamed("column", "c"), (F.col("c").eqNullSafe(F.col("column"))) & (bounds["term"] == df["term"]))
+    rows = rows.withColumn("_t", totals.select(F.struct("*")).scalar())
+    mean = F.col("_t.tokens") / F.col("_t.docs")
+    most = _gain(_idf(F.col("_t.docs"), F.col("df").cast("double")), F.col("most").cast("double"), F.col("fewest"), mean)
+    found = rows.groupBy("shelf").agg(F.sum(most).alias("most"), F.sum("posts").alias("posts")).collect()
+    return sorted(((r["shelf"], r["most"], r["posts"]) for r in found), key=lambda s: (-s[1], s[0]))
+
+
+def top_search(
+    path: str, posts: DataFrame, must: list[Term] = (), should: list[Term] = (), must_not: list[Term] = (), limit: int = 50, **filters
+) -> DataFrame:
+    """The first page of ``stored_search`` by rank, reading only shelves that can hold one of its rows.
+
+    Shelves are taken by the most that a post on them can score. When the rows found are enough for a page, its last
+    score is compared with what the shelves left can reach at most: those below it are never read. Phrases and
+    prefixes have no such bounds; with one of them among the terms that score, everything is read.
+    """
+    scored = [*must, *should]
+    if not scored:
+        raise ValueError("a search needs at least one term to match")
+    if any(t.prefix or len(_words(t)) != 1 for t in scored):
+        return stored_search(path, posts, must, should, must_not, limit=limit, **filters)
+    shelves = _shelf_bounds(path, posts.sparkSession, scored)
+    return stored_search(path, posts, must, should, must_not, limit=limit, shelves=_shelves_to_read(
+        shelves, limit, lambda some: stored_search(path, posts, must, should, must_not, limit=limit, shelves=some, **filters)), **filters)
+
+
+def _shelves_to_read(shelves: list[tuple[int, float, int]], limit: int, page) -> list[int]:
+    """Shelves that can hold a row of the page, told by the page of the first few."""
+    taken, held, at = [], 0, 0
+    while at < len(shelves):
+        # Each turn reads at least twice as much as the one before.
+        goal = max(4 * limit, 2 * held)
+        while at < len(shelves) and held < goal:
+            taken.append(shelves[at][0])
+            held += shelves[at][2]
+            at += 1
+        # One number: the last score of the page, if there is a whole one.
+        last = page(taken).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("r")).first()
+        if last["n"] >= limit:
+            return taken + [s for s, most, _ in shelves[at:] if most >= -last["r"] - 1e-9]
+    return taken
+
+
 def _moved_back(places: Column, by: int) -> Column:
     return F.transform(places, lambda place: place - by) if by else places
 
@@ -191,12 +290,14 @@ def stored_search(
     order: str = "rank",
     limit: int = 50,
     offset: int = 0,
+    shelves: list[int] | None = None,
     **filters,
 ) -> DataFrame:
     """As ``text_search``, from the index of these posts that ``write_index`` left under ``path``.
 
     Only the postings of the terms are read; texts are read for no post but those that match. A post has one row per
-    word in the shuffle, whatever its length.
+    word in the shuffle, whatever its length. ``shelves`` leaves all posts of other shelves out (see ``top_search``); the
+    frequencies of single words then come from the bounds, as their postings are not all read.
     """
     if order not in _ORDER:
         raise ValueError(f"Invalid order: {order!r}. Must be one of {sorted(_ORDER)}")
@@ -214,6 +315,8 @@ def stored_search(
     for test in slots.values():
         wanted = wanted | test
     rows = spark.read.parquet(f"{path}/postings").where(wanted)
+    if shelves is not None:
+        rows = rows.where(F.col("shelf").isin(shelves))
     found = rows.groupBy("id", "n_tokens").agg(
         *[F.flatten(F.collect_list(F.when(test, F.col("places")))).alias(f"p{i}_{j}") for (i, j), test in slots.items()],
         F.count(F.lit(1)).alias("_rows"),
@@ -227,7 +330,13 @@ def stored_search(
         return F.size(reduce(F.array_intersect, starts))
 
     counted = found.select("id", "n_tokens", *[frequency(i).alias(f"f{i}") for i in range(len(every))])
-    dfs = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(scored))])
+    if shelves is None:
+        dfs = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(scored))])
+    else:
+        bounds = spark.read.parquet(f"{path}/bounds")
+        same = [(F.col("term") == _words(t)[0]) & F.col("field").eqNullSafe(F.lit(t.column)) for t in scored]
+        asked = F.col("term").isin([_words(t)[0] for t in scored])
+        dfs = bounds.where(asked).agg(*[F.coalesce(F.sum(F.when(test, F.col("posts"))), F.lit(0)).alias(f"df{i}") for i, test in enumerate(same)])
     totals = spark.read.parquet(f"{path}/totals").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     test = F.lit(True)
     for i in range(len(must)):
@@ -243,10 +352,7 @@ def stored_search(
     rank = F.lit(0.0)
     for i in range(len(scored)):
         df, tf = F.col("_s")[f"df{i}"].cast("double"), F.col(f"f{i}").cast("double")
-        odds = (docs - df + 0.5) / (df + 0.5)
-        idf = F.when(odds > 1, F.ln(odds)).otherwise(_MIN_IDF)
-        norm = K1 * (1 - B + B * F.col("n_tokens") * docs / F.col("_t.tokens"))
-        rank = rank - idf * tf * (K1 + 1) / (tf + norm)
+        rank = rank - _gain(_idf(docs, df), tf, F.col("n_tokens"), F.col("_t.tokens") / docs)
     ranked = hits.select("id", "n_tokens", rank.alias("rank"))
     page = filter_posts(posts, **filters).join(ranked, "id").orderBy(*_ORDER[order](), "id")
     return (page.offset(offset) if offset else page).limit(limit)

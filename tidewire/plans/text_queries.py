@@ -294,6 +294,17 @@ def search_any_not(t: Feed) -> DataFrame:
     return found.select("id", "rank")
 
 
+@query("R1", _bm25([(_tf("the"), ""), (_tf("eaux"), "")], "tf0 > 0 OR tf1 > 0", "signal_tier <> 'zz' AND score >= 5 AND "
+                   f"{_tf('src3')} = 0", limit=60))
+def search_top_shelves(t: Feed) -> DataFrame:
+    """The same page from the shelves alone that can hold a row of it."""
+    found = search.top_search(
+        _stored_index(t), t.corpus, should=[search.Term("the"), search.Term("eaux")], must_not=[search.Term("src3")],
+        min_score=5, limit=60,
+    )
+    return found.select("id", "rank")
+
+
 @query("R1", _bm25([("(" + " + ".join(f"len(list_filter({c}, lambda x: starts_with(x, 'eau')))" for c in "tc ts ta tt".split()) + ")", "")],
                    "tf0 > 0", order="score DESC", limit=40))
 def search_prefix(t: Feed) -> DataFrame:
