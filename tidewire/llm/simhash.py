@@ -265,7 +265,10 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 )
 
     prints = checkpointed(rows.mapInArrow(read, schema))
-    nodes = prints.where("size > 0").groupBy("node").agg(F.any_value("long").alias("long"), F.any_value("size").alias("size"))
+    # Copies meet in the tasks first: a node that most rows share sends one row for each task.
+    every = checkpointed(prints.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.any_value("long").alias("long"), F.any_value("size").alias("size")))
+    nodes = every.where("size > 0")
 
     def listed(batches):
         for batch in batches:
@@ -301,7 +304,7 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     pairs = checkpointed(dealt.mapInArrow(near, "a long, b long").select(least.alias("a"), most.alias("b")).distinct())
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # One row of each set that has to be looked at.
-    chosen = prints.join(involved, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    chosen = every.select("node", "doc_id").join(involved, "node")
 
     def sets_of(batches):
         for batch in batches:
@@ -325,5 +328,7 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays([taken.column("a"), taken.column("b")], ["a", "b"])
 
     roots = components(both.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long"))
-    placed = prints.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
-    return prints.select("doc_id", "node").join(placed, "node").select("doc_id", "node", "component")
+    placed = every.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    # Rows of a hot node are spread by a hash of their ids.
+    told = prints.select("doc_id", "node", F.xxhash64("doc_id").alias("spread"))
+    return lookup(told, placed, "node", "inner").select("doc_id", "node", "component")
