@@ -34,7 +34,7 @@ SELECT CAST(post AS VARCHAR) AS id, count(*) AS observations, count(DISTINCT han
   md5(max(CASE WHEN event_id % 2 = 1 THEN content END)) AS full_text FROM o GROUP BY 1""")
 def stream_observations(t: Feed) -> DataFrame:
     folder = _folder(t)
-    rows = t.table("events").join(t.texts, F.col("event_id") == F.col("n"))
+    rows = t.told_events
     said = F.when(F.col("n") % 2 == 0, F.concat(F.split_part("content", F.lit("."), F.lit(1)), F.lit("...")))
     payload = F.struct(
         F.expr("event_id DIV 2").alias("id"), F.coalesce(said, "content").alias("text"),
