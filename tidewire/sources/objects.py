@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -184,7 +185,10 @@ def _begins(reports: pd.DataFrame) -> pd.DataFrame:
 _PIECE = "file string, began long, block long, kind string, value binary"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_INSIDE, _CROSSING = ("object", "stray"), ("piece", "end object", "end page")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...] = _INSIDE + _CROSSING) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("file", pa.string()), ("began", pa.int64()), ("block", pa.int64()), ("kind", pa.string()), ("value", pa.binary())])
     state: dict = {"key": None}
 
@@ -204,6 +208,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((file, began if walk.begun_before else block, block, "piece", b"".join(walk.pieces)))
         if last and final and (walk.stack or walk.in_string) and walk.depth is None:
             rows.append((file, block, block, "stray", "".join(walk.stack).replace(_PAGE, _OBJECT).replace(_LISTED, _LIST).encode()))
+        rows = [r for r in rows if r[3] in kinds]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema.names)
 
     for key, values in _by_block(batches, "file", "block", "stack", "quoted", "began", "open_end", "final"):
@@ -234,10 +239,11 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     # One row per block of the files, counted before it is sent to all.
     known = counted_broadcast(begins, begins.count())
     placed = fragments.drop("size").join(known, ["file", "block"]).sortWithinPartitions("file", "block", "at")
-    pieces = materialize(placed.drop("at").mapInArrow(_pieces, _PIECE))
-    inside = pieces.where(F.col("kind").isin("object", "stray")).select("file", "value", (F.col("kind") == "object").alias("whole"))
+    # The blocks are walked twice, for whole objects and for the pieces at their edges, so that no object is written again.
+    blocks = placed.drop("at")
+    inside = blocks.mapInArrow(partial(_pieces, kinds=_INSIDE), _PIECE).select("file", "value", (F.col("kind") == "object").alias("whole"))
     # Pieces of an object that crosses blocks: as many as it touches blocks.
-    parts = pieces.where(F.col("kind").isin("piece", "end object", "end page")).groupBy("file", "began").agg(
+    parts = blocks.mapInArrow(partial(_pieces, kinds=_CROSSING), _PIECE).groupBy("file", "began").agg(
         F.array_sort(F.collect_list(F.struct("block", "value"))).alias("parts"), F.bool_or(F.col("kind") == "end object").alias("whole"),
         F.bool_or(F.col("kind") == "end page").alias("page"),
     )
