@@ -35,23 +35,25 @@ _REPLACED = ("score", "categories", "summary", "tickers", "surprise", "is_stale_
 def process_cycle(
     posts: DataFrame, queue: DataFrame, authors: DataFrame, url_map: DataFrame, scorer: Callable[[list[dict]], str], log: str,
     as_of: datetime, *, depth: int = 3, chat: Column | None = None, alert_threshold: float = 8, routing: dict | None = None,
-    gate: dict | None = None,
+    gate: dict | None = None, texts: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Cycle:
     """Process the posts of ``queue`` (ids) and the unprocessed posts they depend on, at ``as_of``.
 
-    ``posts`` have their texts. Dependencies are followed, short links of what was found are resolved by ``url_map``, and
+    ``posts`` have their texts, or ``texts`` adds them to rows of posts, once these have moved. Dependencies are followed, short links of what was found are resolved by ``url_map``, and
     dependencies are followed once more, as a resolved link may point to a post. Each post is put to ``scorer`` once, with
     the posts it quotes, answers or links to and what is known of its author; answers are kept in ``log``. Scores get a
     tier; flags tell which further work a post needs, and the alert gate which of them are sent (``chat`` names a
     post's chat, one for all by default). Nothing is marked here: the caller appends ``scores`` to its log.
     """
-    first = materialize(expand_dependencies(posts, queue, depth).select("id"))
-    resolved = expand_short_urls(posts.join(first, "id", "left_semi").select("id", "links"), url_map)
+    told = texts or (lambda rows: rows)
+    first = materialize(expand_dependencies(told(posts), queue, depth).select("id"))
+    resolved = expand_short_urls(told(posts.join(first, "id", "left_semi")).select("id", "links"), url_map)
     linked = materialize(resolved.select("id", F.col("links").alias("_links")))
     known = posts.join(linked, "id", "left").withColumn("links", F.coalesce("_links", "links")).drop("_links")
-    chosen = materialize(expand_dependencies(known, queue, depth).select("id"))
-    page = known.join(chosen, "id", "left_semi")
-    asked = context_text(known, page=page).join(author_context(page, authors), "id")
+    chosen = materialize(expand_dependencies(told(known), queue, depth).select("id"))
+    bare = known.join(chosen, "id", "left_semi")
+    page = told(bare)
+    asked = context_text(known, page=bare, texts=texts).join(author_context(page, authors), "id")
     answers = materialize(logged_answers(asked, scorer, log))
     scores = normalize_scores(answers).withColumn("signal_tier", signal_tier(F.col("score"))).withColumn("processed_at", at(as_of))
     scores = materialize(scores)

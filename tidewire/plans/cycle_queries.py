@@ -37,12 +37,12 @@ def process_cycle(t: Feed) -> DataFrame:
     """Everything unprocessed since the 20th and what it depends on, scored, routed and put to the alert gate."""
     item = F.struct(
         F.col("media_url").alias("url"), F.lit("").alias("kind"), F.lit("").alias("prose_text"), F.lit("").alias("short_description"))
-    posts = t.full_posts.withColumn("is_article", F.lit(False)).withColumn("media_items", F.when(F.col("has_media"), F.array(item)))
+    posts = t.paired_posts.withColumn("is_article", F.lit(False)).withColumn("media_items", F.when(F.col("has_media"), F.array(item)))
     since = F.lit(datetime(2024, 1, 20, tzinfo=timezone.utc))
-    queue = posts.where(F.col("processed_at").isNull() & (F.col("created_at") >= since)).select("id")
+    queue = t.with_texts(posts).where(F.col("processed_at").isNull() & (F.col("created_at") >= since)).select("id")
     url_map = t.table("region").selectExpr("concat('https://t.co/s', r_regionkey) AS url", "concat('https://long.example.com/', r_regionkey) AS target")
     log = f"{shared_folder(t.spark)}/answers-{uuid.uuid4().hex}"
     done = cycle.process_cycle(
-        posts, queue, t.authors, url_map, _length_scorer, log, AS_OF, routing={"vision_max_age_days": 10})
+        posts, queue, t.authors, url_map, _length_scorer, log, AS_OF, routing={"vision_max_age_days": 10}, texts=t.with_texts)
     flags = done.routing.select("id", "needs_analysis", "needs_media")
     return done.scores.select("id", "score", "signal_tier").join(flags, "id").join(done.alerts.select("id", "sent"), "id", "left")
