@@ -66,7 +66,8 @@ def current_posts(spark: SparkSession, posts: str) -> DataFrame:
     """Latest merged version of every post."""
     rows = spark.read.parquet(posts)
     others = [c for c in rows.columns if c not in ("id", "batch")]
-    return rows.groupBy("id").agg(F.max_by(F.struct(*others), "batch").alias("r")).select("id", "r.*")
+    # A maximum for each column, all of the same row: columns that nobody asks for, such as texts, do not move.
+    return rows.groupBy("id").agg(*[F.max_by(F.col(f"`{c}`"), "batch").alias(c) for c in others])
 
 
 def stream_signals(events: DataFrame, out: str, checkpoint: str, watermark: str = "24 hours") -> DataStreamWriter:

@@ -61,11 +61,13 @@ class PostStates:
     def touched_posts(self, batch: int, delta: DataFrame) -> DataFrame:
         """Posts that the batch touched, as they are after it: its states and the older ones of the same ids."""
         older = self.before(batch, delta.schema)
-        if older is not None:
-            # At most ``buckets`` numbers.
-            buckets = [r["bucket"] for r in delta.select("bucket").distinct().collect()]
-            mine = older.where(F.col("bucket").isin(buckets)).join(delta.select("id"), "id", "left_semi")
-            delta = mine.select(*delta.columns).unionByName(delta)
+        if older is None:
+            # One state per id already.
+            return posts_of(delta.drop("bucket"))
+        # At most ``buckets`` numbers.
+        buckets = [r["bucket"] for r in delta.select("bucket").distinct().collect()]
+        mine = older.where(F.col("bucket").isin(buckets)).join(delta.select("id"), "id", "left_semi")
+        delta = mine.select(*delta.columns).unionByName(delta)
         return posts_of(compose_states(delta.drop("bucket")))
 
     def compact(self, batch: int, schema) -> None:
