@@ -14,6 +14,9 @@ from tidewire.operators.state import prunable
 from tidewire.schemas import GOLDEN
 from tidewire.sources.paths import exists, finished
 
+# Days written side by side by one task before it sorts the rest, and bytes that are held for each.
+OPEN_DAYS, BUFFER = 64, 8 << 20
+
 
 def observations_to_append(observations: DataFrame, source: str) -> DataFrame:
     """Observations with an id, labelled with their source."""
@@ -32,7 +35,15 @@ def fetch_log_row(observations: DataFrame, known: DataFrame, endpoint: str, exec
 def append_observations(observations: DataFrame, path: str, source: str) -> None:
     """Append to the observation log, partitioned by day of creation (posts without a time in their own folder)."""
     rows = observations_to_append(observations, source)
-    rows.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy("created_date").parquet(path)
+    dated = rows.withColumn("created_date", F.to_date("created_at"))
+    # Files of this many days are open at once, with small buffers, so that whole texts need not be sorted (and spilled) by day.
+    conf, name = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(OPEN_DAYS))
+    try:
+        dated.write.mode("append").option("parquet.block.size", BUFFER).option("compression", "zstd").partitionBy("created_date").parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 def write_recent_json(posts: DataFrame, path: str, as_of: datetime, days: int = 7) -> None:
