@@ -91,6 +91,18 @@ def test_base_spans_by_definition(spark):
         assert r["spans"] == spans_by_force(r["text"]), r["text"][:60]
 
 
+def test_disclosing_terms_far_from_the_entity_and_on_other_lines_go(spark):
+    plain = "river mountain valley forest meadow harbour castle village bridge garden".split()
+    rows = [(i, " ".join(plain[(i * k) % 10] for k in (1, 3, 7)) + f" w{i}x") for i in range(400)]
+    for i in range(5):
+        far = " ".join(plain[(i * k) % 10] for k in range(1, 40))
+        rows.append((1000 + i, f"quill@example.com {far} number{i} Quillfeather\nQuillfeather {plain[i]} again"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, text = {r["key"]["id"]: r for r in privacy.all_spans(df).collect()}, dict(rows)
+    for i in range(1000, 1005):
+        assert [text[i][s["start"] : s["end"]] for s in found[i]["added"]].count("Quillfeather") == 2
+
+
 def test_disclosing_terms_are_found_and_chance_words_are_not(spark):
     plain = "river mountain valley forest meadow harbour castle village bridge garden".split()
     rows = []

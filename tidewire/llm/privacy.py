@@ -14,8 +14,6 @@ from tidewire.llm.common import checkpointed, fresh, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 TERM, VAGUE = "term", "vague"
-# Characters of context on either side of an entity.
-REACH = 64
 REMOVE, GENERALISE = 0.9, 0.7
 # Contexts, unlike each other, in which a term must stand with an entity; chance meetings and copies stay below.
 SUPPORT = 3
@@ -104,66 +102,72 @@ def spans_text(spans: Column) -> Column:
 
 
 def entities(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    """(key, base): the base spans of every row with the text around each, as far as the line goes."""
+    """(key, base, text): the base spans of every row, and its text where there are any."""
+    plain = df.select(key.alias("key"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+    found = plain.select("key", "text", base_spans(F.col("text")).alias("base"))
+    return found.select("key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
 
-    def around(s):
-        begin = F.greatest(s["start"] - REACH, F.lit(0))
-        before = F.regexp_extract(F.substring(text, begin + 1, s["start"] - begin), r"[^\n]*$", 0)
-        after = F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(REACH)), r"^[^\n]*", 0)
-        # Words that the context cuts off at its far ends do not count.
-        whole_before = F.when(F.length(before) == REACH, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-        whole_after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-        return F.struct(s["kind"], s["start"], s["end"], s["value"], whole_before.alias("before"), whole_after.alias("after"))
 
-    plain = df.select(key.alias("key"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    found = plain.select("key", "text", base_spans(F.col("text")).alias("spans"))
-    text = F.col("text")
-    return found.select("key", F.transform("spans", around).alias("base"))
+# A document by its key: a null id is a value here.
+_DOCUMENT = ("_n", "_i", "_h")
+
+
+def _flat(frame: DataFrame) -> DataFrame:
+    key = F.col("key")
+    return frame.withColumns({"_n": key["id"].isNull(), "_i": F.coalesce(key["id"], F.lit(0)), "_h": key["h"]})
 
 
 def disclosing_terms(found: DataFrame, documents: DataFrame, text: Column, remove: float = REMOVE,
                      generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """(key, kind, start, end): places of terms, beside an entity, that disclose it.
+    """(key, kind, start, end): places of terms that disclose an entity, anywhere in the documents that hold it.
 
-    ``found`` is (key, base) of all documents, ``documents`` the corpus whose words count. A term counts with an entity
-    where it stands in its context in at least ``support`` contexts, unlike each other and half of all they share: the
-    least hashes of a context's terms tell copies of one context. All documents count for term frequencies; no term or
-    entity is gathered in one place, counts combine in tasks first.
+    ``found`` is (key, base, text) of all documents with an entity, ``documents`` the corpus whose words count. A context is
+    the whole line around an entity (no pattern runs over a line's end). A term counts with an entity where it stands in at
+    least ``support`` of its contexts, unlike each other and half of all they share: the least hashes of a line's terms tell
+    copies of one. All documents count for term frequencies; no term or entity is gathered in one place, counts combine in
+    tasks first. Terms too frequent to reach the threshold even if they stood in every context are left out before pairing.
     """
-    one = found.select("key", F.posexplode("base").alias("nth", "s")).select(
-        "key", "nth", F.concat("s.kind", F.lit(":"), F.when(F.col("s.kind") == "email", F.lower("s.value")).otherwise(
-            F.regexp_replace("s.value", "[ ()-]", ""))).alias("entity"),
-        F.col("s.start").alias("at"), F.col("s.end").alias("to"), "s.before", "s.after",
-    )
-    left = F.transform(occurrences(F.col("before"), _TERM), lambda t: F.struct(
-        (F.col("at") - F.length("before") + t["start"]).alias("start"), (F.col("at") - F.length("before") + t["end"]).alias("end"),
-        F.lower(t["value"]).alias("term")))
-    right = F.transform(occurrences(F.col("after"), _TERM), lambda t: F.struct(
-        (F.col("to") + t["start"]).alias("start"), (F.col("to") + t["end"]).alias("end"), F.lower(t["value"]).alias("term")))
-    context = one.select("key", "nth", "entity", F.concat(left, right).alias("terms"))
+    lines = found.select("key", F.explode(occurrences(F.col("text"), r"[^\n]+")).alias("l")).select(
+        "key", F.col("l.start").alias("at"), F.col("l.value").alias("line"), base_spans(F.col("l.value")).alias("spans"))
+    free = F.filter(occurrences(F.col("line"), _TERM), lambda t: ~F.exists(
+        "spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    terms = F.transform(free, lambda t: F.struct(
+        (F.col("at") + t["start"]).alias("start"), (F.col("at") + t["end"]).alias("end"), F.lower(t["value"]).alias("term")))
+    lines = lines.select("key", "at", "spans", terms.alias("terms"))
     hashes = F.transform("terms", lambda t: F.xxhash64(t["term"]))
     other = F.transform("terms", lambda t: F.xxhash64(t["term"], F.lit(1)))
-    marked = context.withColumn("mark", F.xxhash64(F.array_min(hashes), F.array_min(other)))
-    words = marked.select("key", "entity", "mark", F.explode("terms").alias("t")).select(
-        "key", "entity", "mark", F.xxhash64("t.term").alias("term"), "t.start", "t.end")
-    words = checkpointed(words)
-    # Distinct contexts and documents of each pair, and documents of each entity, in two steps each.
-    pairs = words.groupBy("entity", "term", "mark").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("marks"), F.sum("c").alias("n_both"))
+    mark = F.xxhash64(F.array_min(hashes), F.array_min(other)).alias("mark")
+    places = F.transform("terms", lambda t: F.struct(F.xxhash64(t["term"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+    name = lambda s: F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(
+        F.regexp_replace(s["value"], "[ ()-]", "")))
+    lines = checkpointed(_flat(lines).select(
+        *_DOCUMENT, "key", "at", mark, places.alias("terms"), F.transform("spans", name).alias("entities")))
+    mentions = lines.select(*_DOCUMENT, "at", "mark", F.explode("entities").alias("entity")).groupBy(
+        *_DOCUMENT, "at", "mark", "entity").agg(F.count(F.lit(1)).alias("c"))
+    n = documents.agg(F.count(F.lit(1))).scalar().cast("double")
+    held = mentions.groupBy("entity").agg(F.sum("c").alias("n_entity")).where(F.col("n_entity") >= support)
+    held = checkpointed(held.withColumn("most", n * F.pow(F.least(F.col("n_entity"), n) / n, F.lit(generalise)) + 1e-6))
+    mentions = mentions.join(held, "entity")
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)), lambda w: F.xxhash64(w)))
+    frequency = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # Only terms of contexts that some entity can share often enough.
+    near = lines.where(F.size("entities") > 0).select(*_DOCUMENT, "at", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+    rare = near.join(frequency.where(F.col("n_term") <= held.agg(F.max("most")).scalar()), "term")
+    paired = mentions.join(rare, [*_DOCUMENT, "at"]).where(F.col("n_term") <= F.col("most"))
+    pairs = paired.groupBy("entity", "term", "mark").agg(
+        F.sum("c").alias("c"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")
+    ).groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("marks"), F.sum("c").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
     pairs = pairs.where((F.col("marks") >= support) & (2 * F.col("marks") >= F.col("n_both")))
-    held = one.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)), lambda w: F.xxhash64(w)))
-    frequency = documents.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = documents.agg(F.count(F.lit(1))).scalar()
-    weighed = pairs.join(held, "entity").join(frequency, "term")
-    n = total.cast("double")
     own = F.log(n / F.least(F.col("n_entity"), n))
     mutual = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     share = F.when(own > 0, mutual / own).otherwise(0.0)
-    judged = weighed.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
-    kind = F.when(F.col("share") >= remove, TERM).otherwise(VAGUE).alias("kind")
-    places = words.join(judged, ["entity", "term"]).select("key", kind, "start", "end")
-    return places.groupBy("key", "start", "end").agg(F.min("kind").alias("kind")).select("key", "kind", "start", "end")
+    judged = pairs.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    kind = F.when(F.col("share") >= remove, TERM).otherwise(VAGUE)
+    told = mentions.select(*_DOCUMENT, "entity").distinct().join(judged, "entity").groupBy(*_DOCUMENT, "term").agg(F.min(kind).alias("kind"))
+    every = lines.select("key", *_DOCUMENT, F.explode("terms").alias("t")).select("key", *_DOCUMENT, "t.*")
+    return every.join(told, [*_DOCUMENT, "term"]).groupBy("key", "start", "end").agg(F.min("kind").alias("kind")).select(
+        "key", "kind", "start", "end")
 
 
 def identity(doc_id: Column, text: Column) -> Column:
@@ -181,10 +185,7 @@ def all_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     terms = disclosing_terms(found.where(F.size("base") > 0).dropDuplicates(["key"]), df, quoted(text))
     added = terms.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))
     # Keys with a null id match here too: their hash and the null flag stand in for the key.
-    def flat(frame):
-        return frame.withColumn("_n", F.col("key.id").isNull()).withColumn("_i", F.coalesce("key.id", F.lit(0))).withColumn("_h", F.col("key.h"))
-
-    joined = flat(found).join(flat(added).drop("key"), ["_n", "_i", "_h"], "left").drop("_n", "_i", "_h")
+    joined = _flat(found.drop("text")).join(_flat(added).drop("key"), [*_DOCUMENT], "left").drop(*_DOCUMENT)
     free = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:string>>")), lambda t: ~F.exists(
         "base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return joined.select("key", "base", free.alias("added"))
