@@ -191,3 +191,25 @@ def test_gates_equal_a_plain_walk_for_any_quiet_hours(spark, tmp_path, quiet, wi
             drain(jobs.stream_alerts(stream, f"{folder}/out", f"{folder}/c", **options))
         streamed = {r["id"]: r["sent"] for r in spark.read.parquet(f"{folder}/out").collect()}
         assert streamed == want
+
+
+@pytest.mark.parametrize("quiet", [(23, 8), (2, 3)])
+def test_chats_share_keys_of_the_gate(spark, tmp_path, quiet):
+    """Many chats in several batches: decisions of a plain walk, while the state has a bounded number of keys a day."""
+    rng, rows, at = random.Random(9), [], START + timedelta(hours=14)
+    for n in range(1500):
+        at += timedelta(seconds=rng.choice([0, 1, 5, 30]))
+        chat = rng.choice(["main", None, f"u{rng.randrange(500)}", f"u{rng.randrange(20)}"])
+        rows.append((str(n), chat, at, float(rng.choice([8, 9, 9, 10]))))
+    schema = "id string, chat string, ts timestamp, score double"
+    options = dict(tz="UTC", quiet=quiet, max_per_window=3, window_minutes=60)
+    folder, keys = str(tmp_path), []
+    for start in range(0, 1500, 500):
+        spark.createDataFrame(rows[start : start + 500], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        query = jobs.stream_alerts(stream, f"{folder}/out", f"{folder}/c", **options).trigger(availableNow=True).start()
+        query.awaitTermination()
+        keys += [s.numRowsTotal for p in query.recentProgress for s in p.stateOperators]
+    found = {r["id"]: r["sent"] for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert found == walk_gate(rows, **options) and len(set(found.values())) == 2
+    assert 0 < max(keys) <= 2 * jobs._SHARES

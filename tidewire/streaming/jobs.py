@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,6 +80,8 @@ def stream_signals(events: DataFrame, out: str, checkpoint: str, watermark: str
 # No alert of a run comes later than a day (25 hours where clocks change) after another one.
 _EXPIRY_MS = 26 * 3600 * 1000
 _SENT = "id string, chat string, ts timestamp, score double, sent boolean"
+# Chats of a day that share a key of the state, by a hash of their names: so many keys a day. A checkpoint holds to its number.
+_SHARES = 64
 
 
 def gate_stream(
@@ -87,9 +90,11 @@ def gate_stream(
 ) -> DataFrame:
     """Streaming twin of ``alert_gate`` for candidates that arrive in time order.
 
-    Keyed by chat and local day from the end of the quiet hours, with overrides of the last window copied into the
-    next day. Where the quiet hours are shorter than the window, a chat is one key. State is the send times of one
-    window; it expires once the watermark is a window past the last candidate, as nothing that still counts is in it then.
+    Chats are walked by the local day from the end of the quiet hours, with overrides of the last window copied into the
+    next day. Where the quiet hours are shorter than the window, all of a chat is one walk. A key of the state is a day and a
+    share of the chats: most chats have few candidates a day, and a key costs far more than a row. State is the send times
+    of one window by chat; it expires once the watermark is a window past the last candidate, as nothing that still
+    counts is in it then.
     """
     start, end = quiet
     by_day = (end - start) % 24 * 60 >= window_minutes and start != end
@@ -107,6 +112,7 @@ def gate_stream(
         .withColumn("run", F.explode(F.when(copied, F.array(own, copy)).otherwise(F.array(own))))
         .select("id", "chat", "ts", "score", "run.*", quiet_hours(F.col("ts"), tz, start, end).alias("quiet"))
         .withColumn("us", F.unix_micros("ts"))
+        .withColumn("share", F.pmod(F.xxhash64("chat"), F.lit(_SHARES)).cast("int"))
     )
 
     expiry = _EXPIRY_MS if by_day else window // 1000 + 1
@@ -115,21 +121,32 @@ def gate_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        recent = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(frames)).sort_values(["us", "id"])
+        recent = {}
+        for chat, us in zip(*state.get) if state.exists else ():
+            recent.setdefault(chat, []).append(us)
+        recent = {chat: deque(sorted(times)) for chat, times in recent.items()}
+        batch = pd.concat(list(frames)).sort_values(["us", "id"], ignore_index=True)
         sent = []
-        for row in batch.itertuples(index=False):
-            recent = [us for us in recent if us >= row.us - window]
-            passes = row.score >= override_score or (not row.quiet and len(recent) < max_per_window)
+        for chat, us, score, quiet in zip(*(batch[c].tolist() for c in ("chat", "us", "score", "quiet"))):
+            times = recent.setdefault(chat, deque())
+            while times and times[0] < us - window:
+                times.popleft()
+            passes = score >= override_score or (not quiet and len(times) < max_per_window)
             if passes:
-                recent.append(row.us)
+                times.append(us)
+                if len(times) > 1 and times[-2] > us:
+                    recent[chat] = deque(sorted(times))
             sent.append(passes)
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(int(batch["us"].max()) // 1000 + expiry, state.getCurrentWatermarkMs() + 1))
+        # Rows come in time order: what lies a window before the watermark counts for none that is to come.
+        least = state.getCurrentWatermarkMs() * 1000 - window
+        kept = [(chat, us) for chat, times in recent.items() for us in times if us >= least]
+        state.update(([chat for chat, _ in kept], [us for _, us in kept]))
+        last = max([int(batch["us"].max()), *(us for _, us in kept)])
+        state.setTimeoutTimestamp(max(last // 1000 + expiry, state.getCurrentWatermarkMs() + 1))
         yield batch.assign(sent=sent)[~batch["replay"]][["id", "chat", "ts", "score", "sent"]]
 
-    return rows.groupBy("chat", "day").applyInPandasWithState(
-        walk, _SENT, "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("share", "day").applyInPandasWithState(
+        walk, _SENT, "chats array<string>, recent array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
