@@ -10,6 +10,7 @@ and a list reports a tree that spans each linked group, never all pairs.
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
 
@@ -22,7 +23,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tidewire.llm.common import checkpointed, slices
 from tidewire.llm.components import components
-from tidewire.operators.skew import lookup
+from tidewire.operators.skew import counted_broadcast, lookup
 
 POSITIONS = 8
 MOST_BITS = 3
@@ -167,7 +168,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 # Texts whose sets of shingles have a Jaccard similarity of 0.8 differ in about 15 % of a SimHash's bits, far more than an
 # index over single fingerprints can promise to find. So a longer fingerprint is taken, and lists stand under each run of
 # positional bytes of it; two texts are compared where they share a list, that is one such run at least, by 128 of their
-# bits first and by their sets themselves in the end.
+# bits first and by their sets themselves in the end. That puts large groups together at little cost, but misses links.
+#
+# The rest is exact: in one order of all shingles, two similar sets share one of their first few (``prefix_length``).
+# Lists stand under each of these, and give every pair of two sets not yet in one group. A pair tells by the number of
+# lists it shares whether its sets can be similar at all; those that can are compared themselves.
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -177,6 +182,13 @@ TABLES = ((1 << 24, 32, 2), (1 << 62, 128, 3))
 # Bits of 128 in which texts as similar as that may differ: 19 on average, with a deviation of 4.
 NEAR_BITS = 36
 _MIX = 0x9E3779B97F4A7C15
+# Texts whose shingles are counted, and shingles found in LEAST or more of them that are put last, at most. They settle the
+# order of shingles and thus the length of lists, never what is found.
+COUNTED, LEAST, FREQUENT = 1 << 14, 3, 1 << 16
+# Bytes of a shingle's hash that name a list; lists of two shingles in one only give pairs to look at in vain.
+NAME_BYTES = 5
+# Lists up to this size are compared together, longer ones one at a time; and pairs handed on at a time.
+SHORT, PAIRS = 64, 1 << 16
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -236,14 +248,161 @@ def _near_links(keys: np.ndarray, nodes: np.ndarray, bits: np.ndarray, most: int
     return np.concatenate(a), np.concatenate(b)
 
 
+def prefix_length(size: int, similarity: float) -> int:
+    """Of how many first shingles, in any one order, a set as large as that shares one with every set as similar as that."""
+    return size - math.ceil(similarity * size - 1e-6) + 1
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> bytes:
+    """Names of the first shingles of a set: those not in ``frequent`` (sorted) by hash, then the others by count and hash."""
+    if not len(hashes):
+        return b""
+    weight = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        weight = np.where(frequent[at] == hashes, counts[at], 0)
+    first = hashes[np.argsort(weight, kind="stable")[: prefix_length(len(hashes), similarity)]]
+    return first.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
+
+
+def _names(prefixes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The names in these prefixes as longs, and how many each prefix has."""
+    flat = np.frombuffer(b"".join(prefixes), np.uint8).reshape(-1, NAME_BYTES)
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, :NAME_BYTES] = flat
+    return wide.view("<i8").ravel(), np.array([len(p) // NAME_BYTES for p in prefixes], np.int64)
+
+
+def _pairs_across(keys: np.ndarray, groups: np.ndarray, sizes: np.ndarray, similarity: float):
+    """Places (i, j) of all pairs in whole lists, sorted by key and size, of two groups and of sizes that can be similar."""
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    long = np.diff(edges) > SHORT
+    # Short lists: each member with the next one, the one after that, and so on while its list goes on.
+    ends = np.repeat(np.where(long, 0, edges[1:]), np.diff(edges))
+    at, step = np.arange(len(keys)), 1
+    while len(at):
+        at = at[at + step < ends[at]]
+        at = at[similarity * sizes[at + step] <= sizes[at] + 1e-6]
+        apart = at[groups[at] != groups[at + step]]
+        if len(apart):
+            yield apart, apart + step
+        step += 1
+    # Long lists: members of the largest group are not compared among themselves.
+    for start, end in zip(edges[:-1][long].tolist(), edges[1:][long].tolist()):
+        own, size = groups[start:end], sizes[start:end]
+        kinds, of, many = np.unique(own, return_inverse=True, return_counts=True)
+        if len(kinds) == 1:
+            continue
+        rank = np.where(of == many.argmax(), -1, np.arange(len(own)))
+        for i in np.flatnonzero(rank >= 0).tolist():
+            fits = (rank < i) & (of != of[i]) & (similarity * np.maximum(size, size[i]) <= np.minimum(size, size[i]) + 1e-6)
+            near = np.flatnonzero(fits)
+            if len(near):
+                yield near + start, np.full(len(near), i + start)
+
+
+def _frequent(rows: DataFrame, total: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in several of the counted texts, sorted, and in how many: at most ``FREQUENT`` of them."""
+
+    def read(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [shingle_set(t, width) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-total // COUNTED) or 1)) == 0).select("text")
+    counts = some.mapInArrow(read, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shingles, n = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def _verified(rows: DataFrame, every: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole sets have the similarity."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # One row of each set that has to be looked at.
+    chosen = checkpointed(every.select("node", "doc_id").join(involved, "node"))
+    chosen = counted_broadcast(chosen, chosen.count())
+
+    def sets_of(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [shingle_set(t, width).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text")
+    sets = checkpointed(texts.mapInArrow(sets_of, "node long, shingles array<long>").dropDuplicates(["node"]))
+    left = lookup(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a", "inner")
+    both = lookup(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b", "inner")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("one"), batch.column("two")):
+                one, two = one.values.to_numpy(), two.values.to_numpy()
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(shared >= similarity * (len(one) + len(two) - shared) - 1e-9)
+            taken = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([taken.column("a"), taken.column("b")], ["a", "b"])
+
+    return both.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long")
+
+
+def _left_out(nodes: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of nodes (node, size, prefix) in two components that can be similar, by their prefixes."""
+
+    def listed(batches):
+        for batch in batches:
+            keys, many = _names(batch.column("prefix").to_pylist())
+            columns = [np.repeat(batch.column(c).to_numpy(), many) for c in ("node", "component", "size")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, *columns)], ["key", "node", "component", "size"])
+
+    lists = nodes.select("node", "size", "prefix").join(placed, "node").mapInArrow(listed, "key long, node long, component long, size long")
+
+    def across(batches):
+        held = None
+        for batch in batches:
+            more = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            held = more if held is None else [np.concatenate([h, m]) for h, m in zip(held, more)]
+            whole = int(np.searchsorted(held[0], held[0][-1], side="left")) if len(held[0]) else 0
+            if whole:
+                yield from told(*(h[:whole] for h in held))
+                held = [h[whole:].copy() for h in held]
+        if held is not None and len(held[0]):
+            yield from told(*held)
+
+    def told(key, node, component, size):
+        found, many = [], 0
+        for i, j in _pairs_across(key, component, size, similarity):
+            found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(size[i], size[j]), np.maximum(size[i], size[j])))
+            many += len(i)
+            if many >= PAIRS:
+                yield batch_of(found)
+                found, many = [], 0
+        if found:
+            yield batch_of(found)
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "small", "large"])
+
+    dealt = lists.repartition("key").sortWithinPartitions("key", "size")
+    pairs = dealt.mapInArrow(across, "a long, b long, small long, large long")
+    # What two sets share is in the prefixes of both, or behind the prefix of the one whose prefix ends first in the order.
+    behind = F.ceil(similarity * F.col("large") - 1e-6) - 1
+    enough = F.col("shared") + behind >= F.lit(similarity / (1 + similarity)) * (F.col("small") + F.col("large")) - 1e-6
+    return pairs.groupBy("a", "b", "small", "large").agg(F.count(F.lit(1)).alias("shared")).where(enough).select("a", "b")
+
+
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
                    similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, node, component) for every row: rows share a component exactly if verified links join them.
 
     A node is a set of shingles (``width`` words; a shorter text: all its words; texts without words share the empty set),
     so copies meet before anything is paired. Links have a Jaccard similarity of at least ``similarity``, computed on the
-    whole sets. They are found with the probability stated at ``TABLES`` at 0.8 and more above; in a list the members of a
-    similar group are linked as a tree, never pair by pair. Nulls, repeated rows and empty tables as in ``groups``.
+    whole sets. Most are found by fingerprints, where the members of a similar group are linked as a tree, never pair by
+    pair; all pairs of different groups that may be left are then found by the prefixes of their sets, so none is missed.
+    Nulls, repeated rows and empty tables as in ``groups``.
     """
     if not SIMILARITY <= similarity <= 1:
         raise ValueError(f"the lists are laid out for similarities from {SIMILARITY}")
@@ -251,7 +410,10 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     total = rows.count()
     tables, width_of_key = next((t, w) for most, t, w in TABLES if total <= most)
     kind = rows.schema["doc_id"].dataType
-    schema = StructType([StructField("doc_id", kind), StructField("node", LongType()), StructField("size", LongType()), StructField("long", BinaryType())])
+    frequent, counts = _frequent(rows, total, width)
+    schema = StructType([
+        StructField("doc_id", kind), StructField("node", LongType()), StructField("size", LongType()), StructField("long", BinaryType()),
+        StructField("prefix", BinaryType())])
 
     def read(batches):
         for batch in batches:
@@ -259,15 +421,18 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
                 nodes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
                 made = [long_fingerprint(s, tables * width_of_key) for s in sets]
+                first = [prefix(s, frequent, counts, similarity) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary())],
-                    ["doc_id", "node", "size", "long"],
+                    [part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary()),
+                     pa.array(first, pa.binary())],
+                    ["doc_id", "node", "size", "long", "prefix"],
                 )
 
     prints = checkpointed(rows.mapInArrow(read, schema))
     # Copies meet in the tasks first: a node that most rows share sends one row for each task.
     every = checkpointed(prints.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("long").alias("long"), F.any_value("size").alias("size")))
+        F.min("doc_id").alias("doc_id"), F.any_value("long").alias("long"), F.any_value("size").alias("size"),
+        F.any_value("prefix").alias("prefix")))
     nodes = every.where("size > 0")
 
     def listed(batches):
@@ -302,33 +467,14 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     dealt = lists.repartition("key").sortWithinPartitions("key", "node")
     least, most = F.least("a", "b"), F.greatest("a", "b")
     pairs = checkpointed(dealt.mapInArrow(near, "a long, b long").select(least.alias("a"), most.alias("b")).distinct())
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # One row of each set that has to be looked at.
-    chosen = every.select("node", "doc_id").join(involved, "node")
-
-    def sets_of(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingle_set(t, width).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text")
-    sets = checkpointed(texts.mapInArrow(sets_of, "node long, shingles array<long>").dropDuplicates(["node"]))
-    left = lookup(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a", "inner")
-    both = lookup(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b", "inner")
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("one"), batch.column("two")):
-                one, two = one.values.to_numpy(), two.values.to_numpy()
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(shared >= similarity * (len(one) + len(two) - shared) - 1e-9)
-            taken = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([taken.column("a"), taken.column("b")], ["a", "b"])
-
-    roots = components(both.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long"))
-    placed = every.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    roots = components(_verified(rows, every, pairs, width, similarity))
+    placed = checkpointed(every.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component")))
+    more = _verified(rows, every, checkpointed(_left_out(nodes, placed, similarity)), width, similarity)
+    # The links left out join whole components.
+    for end in ("a", "b"):
+        more = more.join(placed.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end)
+    again = components(more.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).withColumnRenamed("node", "component")
+    placed = lookup(placed, again, "component").select("node", F.coalesce("root", "component").alias("component"))
     # Rows of a hot node are spread by a hash of their ids.
     told = prints.select("doc_id", "node", F.xxhash64("doc_id").alias("spread"))
     return lookup(told, placed, "node", "inner").select("doc_id", "node", "component")
