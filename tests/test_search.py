@@ -101,3 +101,51 @@ def test_top_search_reads_less(lengths):
     shelves = search._shelf_bounds(f"{path}/whole", posts.sparkSession, [Term("w1")])
     read = search._shelves_to_read(shelves, 10, lambda some: search.stored_search(f"{path}/whole", posts, should=[Term("w1")], limit=10, shelves=some))
     assert len(read) < len(shelves)
+
+
+def test_postings_are_grouped_within_posts(spark, lengths):
+    """No shuffle of words before the files' own: repeated words of a post meet in its row; repeated ids still merge."""
+    posts, _ = lengths
+    index = search.search_index(posts)
+    grouped = search._grouped(index)
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+
+    def by_force(rows):
+        want = {}
+        for r in rows:
+            for number, name in enumerate(search.TEXT_COLUMNS):
+                for at, word in enumerate(r[f"t_{name}"]):
+                    want.setdefault((word, name, r["id"], r["n_tokens"]), []).append(number * search.FIELD_ROOM + at)
+        return {k: sorted(v) for k, v in want.items()}
+
+    def plain(df):
+        rows = df.collect()
+        assert all(r["shelf"] is not None for r in rows)
+        made = {(r["term"], r["field"], r["id"], r["n_tokens"]): r["places"] for r in rows}
+        assert len(made) == len(rows)
+        return made
+
+    want = by_force(index.collect())
+    assert plain(grouped) == want
+    assert grouped.agg(F.sum("tf")).first()[0] == index.agg(F.sum("n_tokens")).first()[0]
+    twice = posts.unionByName(posts.where("score > 5")).unionByName(posts.limit(3).withColumn("id", F.lit(None).cast("string")))
+    assert plain(search.postings(twice)) == by_force(search.search_index(twice).collect())
+    assert search.postings(posts.limit(0)).count() == 0
+
+
+def test_index_of_repeated_ids_equals_its_postings(spark, lengths, tmp_path):
+    posts, _ = lengths
+    twice = posts.unionByName(posts.where("score > 5"))
+    search.write_index(twice, str(tmp_path / "twice"))
+    search.write_index(posts.limit(0), str(tmp_path / "none"))
+    read = lambda part: spark.read.parquet(str(tmp_path / "twice" / part))
+    stored, made = read("postings").drop("write"), search.postings(twice)
+    assert stored.columns == made.columns
+    assert "Exchange" not in search._bounds(stored)._jdf.queryExecution().executedPlan().toString()
+    assert stored.exceptAll(made).isEmpty() and made.exceptAll(stored).isEmpty()
+    size = search.search_index(twice).agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+    assert tuple(read("totals").first()) == tuple(size)
+    most = made.groupBy("term", "shelf", "id").agg(F.sum(F.size("places")).alias("tf")).groupBy("term", "shelf").agg(F.max("tf"), F.count(F.lit(1)))
+    found = read("bounds").where("field IS NULL").groupBy("term", "shelf").agg(F.max("most"), F.sum("posts"))
+    assert found.exceptAll(most).isEmpty() and most.exceptAll(found).isEmpty()
+    assert tuple(spark.read.parquet(str(tmp_path / "none" / "totals")).first()) == (0, 0)

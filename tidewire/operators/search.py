@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tidewire.functions.text import let, normalize_cashtags, or_blank
 from tidewire.operators.feed import filter_posts
-from tidewire.operators.skew import materialize
+from tidewire.operators.skew import shared_folder
 
 TEXT_COLUMNS = ("content", "summary", "author_handle", "tickers_text")
 K1, B = 1.2, 0.75
@@ -157,41 +163,121 @@ def shelf_of(size: Column) -> Column:
     return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 4).cast("int")
 
 
-def _postings(index: DataFrame) -> DataFrame:
-    def placed(number: int, name: str) -> Column:
-        field, first = F.lit(name).alias("field"), F.lit(number * FIELD_ROOM)
-        return F.transform(f"t_{name}", lambda term, at: F.struct(term.alias("term"), field, (first + at).alias("place")))
+# Words a Python worker groups at a time; a longer post is taken by itself.
+GROUPED_WORDS = 500_000
 
-    words = F.concat(*[placed(i, name) for i, name in enumerate(TEXT_COLUMNS)])
-    flat = index.select("id", "n_tokens", F.explode(words).alias("w")).select("id", "n_tokens", "w.*")
-    rows = flat.groupBy("term", "field", "id", "n_tokens").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return rows.withColumn("shelf", shelf_of(F.col("n_tokens")))
+
+def _grouped(index: DataFrame) -> DataFrame:
+    """(term, field, id, n_tokens, places, shelf, tf): one row per row of the index, word and text column that holds it.
+
+    ``tf`` is how often the row holds the word in all columns, told once for each word. Words are grouped within their
+    row, where they stand: nothing is shuffled.
+    """
+    names = [f"t_{c}" for c in TEXT_COLUMNS]
+    index = index.select("id", "n_tokens", *names)
+    fields = pa.array(TEXT_COLUMNS)
+
+    def group(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = np.arange(part.num_rows)
+        words, row, place = [], [], []
+        for number, name in enumerate(names):
+            many = pc.list_value_length(part.column(name)).to_numpy(zero_copy_only=False)
+            words.append(part.column(name).flatten())
+            row.append(np.repeat(rows, many))
+            place.append(np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + number * FIELD_ROOM)
+        coded = pa.concat_arrays(words).dictionary_encode()
+        word, row, place = coded.indices.to_numpy(), np.concatenate(row), np.concatenate(place)
+        key = row * max(1, len(coded.dictionary)) + word
+        # Places of a row ascend, as do the columns: a stable sort keeps them so.
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+        whole = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        starts = np.flatnonzero(whole | np.concatenate([[True], place[1:] // FIELD_ROOM != place[:-1] // FIELD_ROOM])[: len(key)])
+        first = whole[starts]
+        tf = np.zeros(len(starts), np.int64)
+        tf[first] = np.diff(np.append(starts[first], len(key)))
+        at = pa.array(row[order][starts])
+        return pa.RecordBatch.from_arrays([
+            coded.dictionary.take(pa.array(word[order][starts])), fields.take(pa.array(place[starts] // FIELD_ROOM)),
+            part.column("id").take(at), part.column("n_tokens").take(at),
+            pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(place, pa.int64())),
+            pa.array(tf, pa.int64(), mask=~first),
+        ], ["term", "field", "id", "n_tokens", "places", "tf"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turn = np.cumsum(batch.column("n_tokens").to_numpy(zero_copy_only=False)) // GROUPED_WORDS
+            edges = [0, *(np.flatnonzero(turn[1:] != turn[:-1]) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:]):
+                yield group(batch.slice(start, end - start))
+
+    schema = StructType([
+        StructField("term", StringType()), StructField("field", StringType()), index.schema["id"], index.schema["n_tokens"],
+        StructField("places", ArrayType(LongType())), StructField("tf", LongType()),
+    ])
+    rows = index.mapInArrow(run, schema)
+    return rows.select("term", "field", "id", "n_tokens", "places", shelf_of(F.col("n_tokens")).alias("shelf"), "tf")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Postings of rows whose ids repeat: one for each word, column, id and length."""
+    merged = rows.groupBy("term", "field", "id", "n_tokens").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    own = Window.partitionBy("term", "shelf", "id")
+    merged = merged.withColumn("shelf", shelf_of(F.col("n_tokens"))).withColumn("_sum", F.sum(F.size("places")).over(own))
+    first = F.row_number().over(own.orderBy("n_tokens", "field")) == 1
+    return merged.withColumn("tf", F.when(first, F.col("_sum"))).drop("_sum")
 
 
 def postings(posts: DataFrame) -> DataFrame:
-    """(term, field, id, n_tokens, places, shelf): one row per word, text column and post that holds it.
+    """(term, field, id, n_tokens, places, shelf, tf): one row per word, text column and post that holds it.
 
-    A word's places in one post meet in a partial aggregate before they move, so a frequent word costs one row a post.
+    ``tf`` is how often the post holds the word in all columns, told in one of its rows for the word.
     """
-    return _postings(search_index(posts))
+    return _merged(_grouped(search_index(posts)))
 
 
-def _bounds(rows: DataFrame) -> DataFrame:
-    """(term, field, shelf, posts, most, fewest): posts of a shelf that hold a word in a column (null: in any), how often
-    at most, and their least length."""
-    size = F.size("places")
-    own = rows.groupBy("term", "field", "shelf").agg(
-        F.count(F.lit(1)).alias("posts"), F.max(size).cast("long").alias("most"), F.min("n_tokens").alias("fewest"))
-    whole = rows.groupBy("term", "shelf", "id").agg(F.sum(size).alias("tf"), F.min("n_tokens").alias("n_tokens"))
-    every = whole.groupBy("term", "shelf").agg(
-        F.count(F.lit(1)).alias("posts"), F.max("tf").alias("most"), F.min("n_tokens").alias("fewest"))
-    return own.unionByName(every.withColumn("field", F.lit(None).cast("string")))
+_BOUNDS = "term string, field string, shelf int, posts long, most long, fewest int"
 
 
-def _write_segment(rows: DataFrame, bounds: DataFrame, totals: DataFrame, path: str) -> None:
+def _bounds(stored: DataFrame) -> DataFrame:
+    """(term, field, shelf, posts, most, fewest): posts of a shelf that hold a word in a column (null: in any), how often
+    at most, and their least length. Postings stored in order of words and shelves are counted as they lie, without a
+    shuffle; a word's shelf that begins in one piece of a file and goes on in another one has a row for each.
+    """
+    names = ["term", "field", "shelf"]
+    order = [*names, "posts", "most", "fewest"]
+
+    def combined(parts: pa.Table) -> pa.Table:
+        found = parts.group_by(names).aggregate([("posts", "sum"), ("most", "max"), ("fewest", "min")])
+        return found.rename_columns({"posts_sum": "posts", "most_max": "most", "fewest_min": "fewest"}).select(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.table(batch).append_column("posts", pa.array(np.ones(batch.num_rows, np.int64)))
+            own = rows.drop_columns("tf")
+            every = rows.filter(pc.is_valid(rows["tf"])).drop_columns("most").rename_columns({"tf": "most"})
+            every = every.set_column(every.schema.get_field_index("field"), "field", pa.nulls(len(every), pa.string()))
+            made = [combined(own.select(order)), combined(every.select(order))]
+            found = combined(pa.concat_tables(made if held is None else [held, *made]))
+            last = pc.and_(pc.equal(found["term"], batch.column("term")[-1]), pc.equal(found["shelf"], batch.column("shelf")[-1]))
+            yield from found.filter(pc.invert(last)).to_batches()
+            held = found.filter(last)
+        if held is not None:
+            yield from held.to_batches()
+
+    rows = stored.select("term", "field", "shelf", F.size("places").cast("long").alias("most"), F.col("n_tokens").alias("fewest"), "tf")
+    return rows.mapInArrow(run, _BOUNDS)
+
+
+def _write_segment(rows: DataFrame, totals: DataFrame, path: str) -> None:
+    """Each write has a folder of its own under ``postings``, from which its bounds are counted."""
     ranged = rows.repartitionByRange("term", "shelf", "id").sortWithinPartitions("term", "shelf", "id")
-    ranged.write.mode("append").parquet(f"{path}/postings")
-    bounds.repartitionByRange("term").sortWithinPartitions("term").write.mode("append").parquet(f"{path}/bounds")
+    folder = f"{path}/postings/write=w{uuid.uuid4().hex}"
+    ranged.write.parquet(folder)
+    _bounds(rows.sparkSession.read.parquet(folder)).write.mode("append").parquet(f"{path}/bounds")
     totals.write.mode("append").parquet(f"{path}/totals")
 
 
@@ -199,22 +285,26 @@ def write_index(posts: DataFrame, path: str) -> None:
     """Write the postings, ordered by word and shelf, with bounds of what a word can score on a shelf, and the corpus totals.
 
     Files hold ranges of (word, shelf, post): a search skips all files and row groups whose words it does not ask for,
-    prefixes too, and the postings of a frequent word lie in several files. Texts are split into words once. The totals
-    are one row per write; writes append (a post in one of them only), ``merge_index`` makes one of many.
+    prefixes too, and the postings of a frequent word lie in several files. Texts are split into words once; each post's
+    postings are kept, packed, in a new folder of the shared one, from which they are dealt to their files and counted.
+    The totals are one row per write; writes append (a post in one of them only), ``merge_index`` makes one of many.
     """
-    index = materialize(search_index(posts).select("id", "n_tokens", *[f"t_{c}" for c in TEXT_COLUMNS]))
-    rows = materialize(_postings(index))
-    totals = index.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
-    _write_segment(rows, _bounds(rows), totals, path)
+    spark = posts.sparkSession
+    folder = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    _grouped(search_index(posts)).write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.parquet(folder)
+    tokens = rows.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    totals = posts.agg(F.count(F.lit(1)).alias("docs")).crossJoin(tokens)
+    # Only where ids repeat do postings of several rows have to meet.
+    repeated = posts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    _write_segment(rows if repeated.isEmpty() else _merged(rows), totals, path)
 
 
 def merge_index(spark: SparkSession, path: str, target: str) -> None:
     """An index of many writes, as one in a new place: each word's postings lie together again."""
     read = lambda part: spark.read.parquet(f"{path}/{part}")
-    bounds = read("bounds").groupBy("term", "field", "shelf").agg(
-        F.sum("posts").alias("posts"), F.max("most").alias("most"), F.min("fewest").alias("fewest"))
     totals = read("totals").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-    _write_segment(read("postings"), bounds, totals, target)
+    _write_segment(read("postings").drop("write"), totals, target)
 
 
 def _idf(docs: Column, df: Column) -> Column:
@@ -230,7 +320,8 @@ def _shelf_bounds(path: str, spark: SparkSession, scored: list[Term]) -> list[tu
     """(shelf, the most any of its posts can score, postings) by falling score: as many rows as there are lengths' classes."""
     words = spark.createDataFrame([(_words(t)[0], t.column) for t in scored], "term string, column string")
     bounds = spark.read.parquet(f"{path}/bounds").join(F.broadcast(words), "term")
-    bounds = bounds.where(F.col("field").eqNullSafe(F.col("column")))
+    bounds = bounds.where(F.col("field").eqNullSafe(F.col("column"))).groupBy("term", "column", "shelf").agg(
+        F.sum("posts").alias("posts"), F.max("most").alias("most"), F.min("fewest").alias("fewest"))
     totals = spark.read.parquet(f"{path}/totals").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     df = bounds.groupBy("term", "column").agg(F.sum("posts").alias("df"))
     rows = bounds.join(df.withColumnRenamed("column", "c"), (F.col("c").eqNullSafe(F.col("column"))) & (bounds["term"] == df["term"]))
