@@ -265,6 +265,46 @@ def test_similar_groups_lose_no_link(spark):
     assert len(set(found.values())) == len(texts) - len(pairs)
 
 
+def test_near_copies_below_the_limit_are_hardly_paired(spark, monkeypatch):
+    """A large group of texts that differ just too much: few pairs are compared whole, and the groups are those of all pairs."""
+    pick, asked, verified = random.Random(5), [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda rows, every, pairs, *rest: asked.append(pairs.count()) or verified(rows, every, pairs, *rest))
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for n in range(120):
+        copy = base[:]
+        for at in pick.sample(range(300), 5):
+            copy[at] = f"x{pick.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [shingles_by_force(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+    root = list(range(len(texts)))
+    for i, j in near:
+        a, b = root[i], root[j]
+        root = [b if r == a else r for r in root]
+    rows = simhash.similar_groups(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()
+    found = {r["doc_id"]: r["component"] for r in rows}
+    assert len({(found[i], root[i]) for i in found}) == len(set(found.values())) == len(set(root))
+    # All pairs are 7,140.
+    assert near and len(asked) == 2 and sum(asked) <= 8 * len(texts)
+
+
+@pytest.mark.parametrize("size", [3, 100, 500, 700, 3000])
+def test_parities_rule_out_no_similar_pair(size):
+    pick, sets = np.random.default_rng(size), []
+    for _ in range(40):
+        base = pick.integers(0, 1 << 63, size * 5 // 4, dtype=np.uint64)
+        sets += [np.unique(base[: pick.integers(size, len(base) + 1)]) for _ in range(2)]
+        sets.append(np.unique(np.concatenate([base[: size * 7 // 8], pick.integers(0, 1 << 63, size // 8, dtype=np.uint64)])))
+    i, j = (x.ravel() for x in np.triu_indices(len(sets), 1))
+    sizes = np.array([len(s) for s in sets])
+    fits = simhash._fits(i, j, sizes, simhash._levels([simhash.parities(s) for s in sets]), 0.8)
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    similar = common >= 0.8 * (sizes[i] + sizes[j] - common)
+    assert similar.any() and fits[similar].all()
+    assert size < 100 or fits.sum() <= 1.5 * similar.sum()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_prefixes_give_every_pair(seed):
     """Short and long lists, with groups: the pairs of two groups whose sizes can be similar, each once a list."""

@@ -171,8 +171,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 # bits first and by their sets themselves in the end. That puts large groups together at little cost, but misses links.
 #
 # The rest is exact: in one order of all shingles, two similar sets share one of their first few (``prefix_length``).
-# Lists stand under each of these, and give every pair of two sets not yet in one group. A pair tells by the number of
-# lists it shares whether its sets can be similar at all; those that can are compared themselves.
+# Lists stand under each of these; those of one set, or of one group, end there. The others meet once more at the least
+# node in them, which brings lists of much the same members together, with the parities of each member once and not in
+# every list. Pairs of two groups are told only if their parities leave them similar, once for each such place and with the
+# number of lists they share there, which rules out more; those that are left are compared themselves.
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -189,6 +191,8 @@ COUNTED, LEAST, FREQUENT = 1 << 14, 3, 1 << 16
 NAME_BYTES = 5
 # Lists up to this size are compared together, longer ones one at a time; and pairs handed on at a time.
 SHORT, PAIRS = 64, 1 << 16
+# Bytes of the parities of a set: at least so many, else a bit for each shingle, as a power of two; and of those compared at a time.
+LEAST_PARITIES, COMPARED = 64, 1 << 24
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -216,6 +220,44 @@ def long_fingerprint(hashes: np.ndarray, size: int) -> bytes:
     return np.concatenate(words)[:size].tobytes()
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes of a set: whether an odd number of them has it.
+
+    Two sets differ in as many hashes at least as these bits differ; the longer ones are folded to the length of the others.
+    """
+    bits = max(8 * LEAST_PARITIES, 1 << max(len(hashes) - 1, 0).bit_length())
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+
+
+def _levels(parts: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the place of each of the parities (-1: none), and those as long or, folded, twice as long as rows of words."""
+    length, levels = np.array([len(p) for p in parts], np.int64), {}
+    for size in np.unique(length).tolist():
+        own, double = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)
+        halves = np.frombuffer(b"".join(parts[i] for i in double), np.uint64).reshape(-1, 2, size // 8)
+        rows = np.frombuffer(b"".join(parts[i] for i in own), np.uint64).reshape(-1, size // 8)
+        place = np.full(len(parts), -1, np.int64)
+        place[own], place[double] = np.arange(len(own)), len(own) + np.arange(len(double))
+        levels[size] = place, np.concatenate([rows, halves[:, 0] ^ halves[:, 1]])
+    return levels
+
+
+def _fits(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, levels: dict, similarity: float) -> np.ndarray:
+    """Whether the pairs (i, j) of sets can be as similar as that, by their sizes and parities."""
+    most = (1 - similarity) / (1 + similarity) * (sizes[i] + sizes[j]) + 1e-6
+    fits, left = np.zeros(len(i), bool), np.abs(sizes[i] - sizes[j]) <= most
+    # Sets that can be similar differ by less than half in size, so their parities are as long or twice as long.
+    for size in sorted(levels, reverse=True):
+        place, rows = levels[size]
+        at = np.flatnonzero(left & (place[i] >= 0) & (place[j] >= 0))
+        step = max(COMPARED // size, 1)
+        for part in (at[start : start + step] for start in range(0, len(at), step)):
+            fits[part] = np.bitwise_count(rows[place[i[part]]] ^ rows[place[j[part]]]).sum(axis=1) <= most[part]
+        left[at] = False
+    return fits
+
+
 def _near_tree(nodes: np.ndarray, bits: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links from each member to those not reached yet that differ in at most ``most`` bits; ``bits`` is (members, 2)."""
     ends, roots = [], []
@@ -349,49 +391,116 @@ def _verified(rows: DataFrame, every: DataFrame, pairs: DataFrame, width: int, s
     return both.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long")
 
 
+def _whole_runs(batches):
+    """The batches as tables that cut no run of equal values of the first column, which is sorted."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        inside = int(np.searchsorted(keys, keys[-1], side="left"))
+        # A batch that is one run may go on with the last one of those held.
+        if inside:
+            whole = held.num_rows - len(keys) + inside
+            yield held.slice(0, whole).combine_chunks()
+            held = held.slice(whole)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
 def _left_out(nodes: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of nodes (node, size, prefix) in two components that can be similar, by their prefixes."""
+    """(a, b): all pairs of nodes (node, size, prefix, parities) in two components that can be similar."""
 
     def listed(batches):
         for batch in batches:
             keys, many = _names(batch.column("prefix").to_pylist())
-            columns = [np.repeat(batch.column(c).to_numpy(), many) for c in ("node", "component", "size")]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, *columns)], ["key", "node", "component", "size"])
-
-    lists = nodes.select("node", "size", "prefix").join(placed, "node").mapInArrow(listed, "key long, node long, component long, size long")
+            columns = [np.repeat(batch.column(c).to_numpy(), many) for c in ("node", "component")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, *columns)], ["key", "node", "component"])
+
+    def led(batches):
+        for table in _whole_runs(batches):
+            key, node, component = (_column(table, c) for c in ("key", "node", "component"))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            many = np.diff(np.append(starts, len(key)))
+            several = np.minimum.reduceat(component, starts) < np.maximum.reduceat(component, starts)
+            kept = np.repeat(several, many)
+            columns = [np.repeat(node[starts], many), node, key, component]
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], ["leader", "node", "key", "component"])
 
     def across(batches):
-        held = None
-        for batch in batches:
-            more = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            held = more if held is None else [np.concatenate([h, m]) for h, m in zip(held, more)]
-            whole = int(np.searchsorted(held[0], held[0][-1], side="left")) if len(held[0]) else 0
-            if whole:
-                yield from told(*(h[:whole] for h in held))
-                held = [h[whole:].copy() for h in held]
-        if held is not None and len(held[0]):
-            yield from told(*held)
-
-    def told(key, node, component, size):
-        found, many = [], 0
-        for i, j in _pairs_across(key, component, size, similarity):
-            found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(size[i], size[j]), np.maximum(size[i], size[j])))
-            many += len(i)
-            if many >= PAIRS:
-                yield batch_of(found)
-                found, many = [], 0
-        if found:
-            yield batch_of(found)
-
-    def batch_of(found):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "small", "large"])
-
-    dealt = lists.repartition("key").sortWithinPartitions("key", "size")
-    pairs = dealt.mapInArrow(across, "a long, b long, small long, large long")
+        for table in _whole_runs(batches):
+            # A member is a node at a leader, an entry is a member in a list; a list has one leader.
+            lists = table.column("keys").combine_chunks()
+            member = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+            key = lists.flatten().to_numpy()
+            node, component, size = (_column(table, c) for c in ("node", "component", "size"))
+            order = np.lexsort([size[member], key])
+            key, member = key[order], member[order]
+            levels = _levels(table.column("parities").to_pylist())
+            found, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            waiting, many = [], 0
+
+            def joined():
+                """What was found so far and waits, each pair of members once."""
+                i, j = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+                i, j = np.minimum(i, j), np.maximum(i, j)
+                fits = _fits(i, j, size, levels, similarity)
+                pairs, n = np.unique(i[fits] * table.num_rows + j[fits], return_counts=True)
+                every, at = np.unique(np.concatenate([found, pairs]), return_inverse=True)
+                return every, np.bincount(at, np.concatenate([shared, n]), len(every)).astype(np.int64)
+
+            for i, j in _pairs_across(key, component[member], size[member], similarity):
+                waiting.append((member[i], member[j]))
+                many += len(i)
+                if many >= PAIRS:
+                    found, shared = joined()
+                    waiting, many = [], 0
+            if waiting:
+                found, shared = joined()
+            for start in range(0, len(found), PAIRS):
+                told = found[start : start + PAIRS]
+                i, j = told // table.num_rows, told % table.num_rows
+                columns = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(size[i], size[j]),
+                           np.maximum(size[i], size[j]), shared[start : start + PAIRS]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "small", "large", "shared"])
+
+    lists = nodes.select("node", "prefix").join(placed, "node").mapInArrow(listed, "key long, node long, component long")
+    dealt = lists.repartition("key").sortWithinPartitions("key", "node")
+    entries = dealt.mapInArrow(led, "leader long, node long, key long, component long")
+    members = entries.groupBy("leader", "node").agg(F.collect_list("key").alias("keys"), F.any_value("component").alias("component"))
+    # A node has no more leaders than its prefix has shingles.
+    whole = members.join(nodes.select("node", "size", "parities"), "node")
+    met = whole.select("leader", "node", "component", "size", "parities", "keys").repartition("leader").sortWithinPartitions("leader", "node")
+    pairs = met.mapInArrow(across, "a long, b long, small long, large long, shared long")
     # What two sets share is in the prefixes of both, or behind the prefix of the one whose prefix ends first in the order.
     behind = F.ceil(similarity * F.col("large") - 1e-6) - 1
     enough = F.col("shared") + behind >= F.lit(similarity / (1 + similarity)) * (F.col("small") + F.col("large")) - 1e-6
-    return pairs.groupBy("a", "b", "small", "large").agg(F.count(F.lit(1)).alias("shared")).where(enough).select("a", "b")
+    return pairs.groupBy("a", "b", "small", "large").agg(F.sum("shared").alias("shared")).where(enough).select("a", "b")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sizes and parities leave them similar."""
+    sides = nodes.select("node", "size", "parities")
+    for end in ("a", "b"):
+        pairs = lookup(pairs, sides.select(*[F.col(c).alias(end if c == "node" else f"{c}_{end}") for c in sides.columns]), end, "inner")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.concatenate([batch.column(f"size_{end}").to_numpy() for end in ("a", "b")])
+            levels = _levels([p for end in ("a", "b") for p in batch.column(f"parities_{end}").to_pylist()])
+            at = np.arange(batch.num_rows)
+            taken = batch.filter(pa.array(_fits(at, at + batch.num_rows, sizes, levels, similarity)))
+            yield pa.RecordBatch.from_arrays([taken.column("a"), taken.column("b")], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -413,7 +522,7 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     frequent, counts = _frequent(rows, total, width)
     schema = StructType([
         StructField("doc_id", kind), StructField("node", LongType()), StructField("size", LongType()), StructField("long", BinaryType()),
-        StructField("prefix", BinaryType())])
+        StructField("prefix", BinaryType()), StructField("parities", BinaryType())])
 
     def read(batches):
         for batch in batches:
@@ -424,15 +533,15 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 first = [prefix(s, frequent, counts, similarity) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary()),
-                     pa.array(first, pa.binary())],
-                    ["doc_id", "node", "size", "long", "prefix"],
+                     pa.array(first, pa.binary()), pa.array([parities(s) for s in sets], pa.binary())],
+                    ["doc_id", "node", "size", "long", "prefix", "parities"],
                 )
 
     prints = checkpointed(rows.mapInArrow(read, schema))
     # Copies meet in the tasks first: a node that most rows share sends one row for each task.
     every = checkpointed(prints.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("long").alias("long"), F.any_value("size").alias("size"),
-        F.any_value("prefix").alias("prefix")))
+        F.any_value("prefix").alias("prefix"), F.any_value("parities").alias("parities")))
     nodes = every.where("size > 0")
 
     def listed(batches):
@@ -467,6 +576,7 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     dealt = lists.repartition("key").sortWithinPartitions("key", "node")
     least, most = F.least("a", "b"), F.greatest("a", "b")
     pairs = checkpointed(dealt.mapInArrow(near, "a long, b long").select(least.alias("a"), most.alias("b")).distinct())
+    pairs = checkpointed(_likely(pairs, nodes, similarity))
     roots = components(_verified(rows, every, pairs, width, similarity))
     placed = checkpointed(every.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component")))
     more = _verified(rows, every, checkpointed(_left_out(nodes, placed, similarity)), width, similarity)
