@@ -1,5 +1,6 @@
 """Which columns the plans of wide queries shuffle: long texts stay out of their exchanges."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -53,3 +54,24 @@ def test_first_sights_move_only_what_is_asked_for(spark):
     found = merge.dedupe_first_seen(rows)
     assert all(r["content"] == f"said {r['seq']}" for r in found.collect())
     assert "content" not in found.select("id", "seq")._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_first_sights_are_whole_rows(spark, tmp_path):
+    """The query gives every column of the first row, texts too, and one row per id where events and documents repeat."""
+    from tidewire.plans import catalog
+
+    write_tables(spark, tmp_path)
+    doubled = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 5").collect()
+    spark.createDataFrame(doubled, "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for r in sorted(Feed(spark, str(tmp_path)).observations.collect(), key=lambda r: r["seq"]):
+        want.setdefault(r["id"], r)
+    found = catalog.load()["dedupe_first_seen"].build(Feed(spark, str(tmp_path))).collect()
+    assert len(found) == len(want)
+    md5 = lambda text: None if text is None else hashlib.md5(text.encode()).hexdigest()
+    for r in found:
+        first = want[r["id"]]
+        for name in ("seq", "author_handle", "source", "author_name", "created_at", "reply_id", "article_title", "original_content"):
+            assert r[name] == first[name]
+        assert (r["content"], r["article_text"]) == (md5(first["content"]), md5(first["article_text"]))
+        assert r["media"] == (first["media_items"] and [m["url"] for m in first["media_items"]])
