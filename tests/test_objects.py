@@ -93,3 +93,64 @@ def test_packed_file(spark, tmp_path):
         (tmp_path / f"{name}.json.gz").write_bytes(gzip.compress(text.encode()))
     rows = objects.read_objects(spark, str(tmp_path)).collect()
     assert sorted(json.loads(r["value"])["id"] for r in rows if r["whole"]) == ["1", "2", "3", "4"] and all(r["whole"] for r in rows)
+
+
+def test_whole_files_are_walked_once(spark, tmp_path):
+    """Files of one block need no report of how they begin and have no pieces that cross: nothing is shuffled."""
+    import gzip
+
+    (tmp_path / "a.json").write_text('[{"id": "1"}, {"id": "2", "t": "}"}]')
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(b'{"tweets": [{"id": "3"}, {"id": "4", "t": "cut'))
+    rows = objects.read_objects(spark, str(tmp_path))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = {(r["value"], r["whole"]) for r in rows.collect()}
+    want = {('{"id": "1"}', True), ('{"id": "2", "t": "}"}', True), ('{"id": "3"}', True), ('{"id": "4", "t": "cut', False)}
+    assert found == want
+    quarantine = payloads.read_quarantine(spark, str(tmp_path), whole_files=True)
+    # Each file is read once, for both kinds of broken records.
+    assert quarantine._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert [r["value"] for r in quarantine.collect()] == ['{"id": "4", "t": "cut']
+
+
+@pytest.mark.parametrize("told", [10_000, -1])
+def test_packed_files_beside_cut_ones(spark, tmp_path, small_blocks, monkeypatch, told):
+    """Blocks of open files keep their begins whatever other files lie beside them, told by broadcast or by a join."""
+    import gzip
+
+    monkeypatch.setattr(objects, "BROADCAST_ROWS", told)
+    rng = random.Random(5)
+    things = [thing(rng, i) for i in range(300)]
+    (tmp_path / "open.json").write_text(json.dumps(wrapped(rng, things[:100]), indent=1))
+    (tmp_path / "short.json").write_text(json.dumps(things[100:101]))
+    for n in range(3):
+        (tmp_path / f"{n}.json.gz").write_bytes(gzip.compress(json.dumps(things[101 + n * 60 : 161 + n * 60]).encode()))
+    found = objects.read_objects(spark, str(tmp_path)).collect()
+    assert all(r["whole"] for r in found)
+    assert sorted((json.loads(r["value"]) for r in found), key=str) == sorted(things[:281], key=str)
+
+
+def reference_walk(text, in_string):
+    """Brackets outside of strings, one byte after another."""
+    out, at = [], 0
+    while at < len(text):
+        sign = text[at : at + 1]
+        if in_string and sign == b"\\":
+            at += 1
+        elif sign == b'"':
+            in_string = not in_string
+        elif not in_string and sign in (b"{", b"}", b"[", b"]"):
+            out.append((at, ord(sign)))
+        at += 1
+    return out, in_string
+
+
+@pytest.mark.parametrize("in_string", [False, True])
+def test_signs_equal_a_plain_walk(in_string):
+    rng = random.Random(1)
+    for _ in range(3000):
+        parts = [b"{", b"}", b"[", b"]", b'"', b"\\", b'\\"', b'\\\\"', b"a", b" ", b'"tweets": [']
+        text = b"".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        places, signs, _, after = objects.Signs(text).outside(in_string)
+        plain = [ord("[") if s == ord("T") else s for s in signs]
+        # A backslash at the very end takes the brace that follows every stretch.
+        assert (list(zip(places, plain)), after) == reference_walk(text, in_string)

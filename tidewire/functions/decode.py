@@ -23,6 +23,11 @@ def whole_json(text: Column) -> Column:
     return F.when((F.size(listed) == 1) & named.isNotNull(), listed[0])
 
 
+def closed_json(text: Column) -> Column:
+    """``whole_json`` of a text that ends where its first bracket closes, as ``read_objects`` gives them: parsed once."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$[0]", "variant")
+
+
 def _strings(value: Column) -> Column:
     """JSON list as strings; null where the text is no list."""
     parsed = whole_json(value)

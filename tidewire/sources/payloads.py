@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.decode import whole_json
+from tidewire.functions.decode import closed_json, whole_json
 from tidewire.functions.text import (
     let,
     looks_truncated,
@@ -101,24 +101,33 @@ def read_observations(spark: SparkSession, path: str, whole_files: bool = False)
     Files are read line by line, or with ``whole_files`` as lists or pages over several lines; either way one large file is
     read by many tasks. Records that cannot be opened are in ``read_quarantine``.
     """
-    return parse_payloads(_records(spark, path, whole_files).where("whole"), "value").select("file", "v")
+    return parse_payloads(_records(spark, path, whole_files).where("whole"), "value", whole_files).select("file", "v")
 
 
 def read_quarantine(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Records of the same files (columns file, value) that are no JSON."""
-    records = _records(spark, path, whole_files)
-    broken = quarantined(records.where("whole"), "value")
-    return records.where(~F.col("whole")).select("file", "value").unionByName(broken.select("file", "value"))
+    # One reading of the files for both kinds.
+    broken = F.when(F.col("whole"), _broken(F.col("value"), whole_files)).otherwise(True)
+    return _records(spark, path, whole_files).where(broken).select("file", "value")
+
+
+def _broken(text: Column, closed: bool = False) -> Column:
+    value = closed_json(text) if closed else whole_json(text)
+    return (strip(or_blank(text)) != "") & value.isNull()
 
 
 def quarantined(raw: DataFrame, column: str) -> DataFrame:
     """Rows whose text is no JSON; blank and null texts are nothing at all."""
-    return raw.where((strip(or_blank(F.col(column))) != "") & whole_json(F.col(column)).isNull())
+    return raw.where(_broken(F.col(column)))
 
 
-def parse_payloads(raw: DataFrame, column: str) -> DataFrame:
-    """Payload objects ``v`` of a text column; other columns are kept. Unparsable texts give no rows (see ``quarantined``)."""
-    return _open(raw.withColumn("v", whole_json(F.col(column))), column)
+def parse_payloads(raw: DataFrame, column: str, closed: bool = False) -> DataFrame:
+    """Payload objects ``v`` of a text column; other columns are kept. Unparsable texts give no rows (see ``quarantined``).
+
+    ``closed``: texts end where their first bracket closes.
+    """
+    value = closed_json(F.col(column)) if closed else whole_json(F.col(column))
+    return _open(raw.withColumn("v", value), column)
 
 
 def post_id(v: Column) -> Column:
