@@ -154,3 +154,23 @@ def test_signs_equal_a_plain_walk(in_string):
         plain = [ord("[") if s == ord("T") else s for s in signs]
         # A backslash at the very end takes the brace that follows every stretch.
         assert (list(zip(places, plain)), after) == reference_walk(text, in_string)
+
+
+def test_lists_of_packed_files(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from tests.test_moved_texts import write_tables
+    from tidewire.plans import merge_queries
+
+    monkeypatch.setattr(merge_queries, "_LIST", 4)
+    texts = [f'{{"id": {n}}},' for n in range(22)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a:b], pa.string())], ["value"]) for a, b in ((0, 3), (3, 13), (13, 13), (13, 22))]
+    lines = [x for b in merge_queries._listed(iter(batches)) for x in b.column(0).to_pylist()]
+    lists = [json.loads("\n".join(lines[a : a + 6])) for a in range(0, len(lines), 6)]
+    assert [x["id"] for part in lists for x in part[:-1]] == list(range(22)) and [len(part) for part in lists] == [5] * 5 + [3]
+    monkeypatch.undo()
+    folder = merge_queries._array_files(write_tables(spark, tmp_path)).removeprefix("file:")
+    import os
+
+    files = [f for f in os.listdir(folder) if f.startswith("part-")]
+    assert files and all(f.endswith(".gz") for f in files)
