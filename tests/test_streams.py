@@ -213,3 +213,27 @@ def test_chats_share_keys_of_the_gate(spark, tmp_path, quiet):
     found = {r["id"]: r["sent"] for r in spark.read.parquet(f"{folder}/out").collect()}
     assert found == walk_gate(rows, **options) and len(set(found.values())) == 2
     assert 0 < max(keys) <= 2 * jobs._SHARES
+
+
+def test_greatest_texts_by_their_hashes(spark):
+    import hashlib
+
+    from tidewire.plans.stream_queries import _greatest_texts
+
+    rows = [("a", "u", "x"), ("a", "v", "x"), ("a", "v", None), ("b", "u", "x"), ("b", "u", "xy"), ("b", "w", "Z"), ("c", "u", None), ("d", None, "")]
+    log = spark.createDataFrame(rows, "id string, author_handle string, whole string")
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    found = {r["id"]: (r["handles"], r["full_text"]) for r in _greatest_texts(log).collect()}
+    assert found == {"a": (2, md5("x")), "b": (2, md5("xy")), "c": (1, None), "d": (0, md5(""))}
+
+
+def test_stream_keeps_texts_packed(spark, tmp_path):
+    import glob
+
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox" / "1.txt").write_text("\n".join(payload(random.Random(1), n) for n in range(20)))
+    folder = str(tmp_path)
+    drain(jobs.stream_observations(spark, f"{folder}/inbox", f"{folder}/log", f"{folder}/posts", f"{folder}/checkpoint", buckets=2, every=1))
+    for kind in ("log/", "posts/", "posts-states/delta/", "posts-states/base/"):
+        files = glob.glob(f"{folder}/{kind}**/*.parquet", recursive=True)
+        assert files and all(".zstd." in f for f in files)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidewire.operators.alerts import alert_gate, should_alert
-from tidewire.operators.skew import shared_folder
+from tidewire.operators.skew import counted_broadcast, materialize, shared_folder
 from tidewire.plans.catalog import query
 from tidewire.plans.feed_views import Feed
 from tidewire.plans.score_queries import GATE
@@ -18,6 +18,10 @@ from tidewire.streaming import jobs
 from tidewire.streaming.late import late_rows, with_late_rows
 
 
+# Payloads in a file of an inbox.
+_INBOX_ROWS = 1 << 16
+
+
 def _folder(t: Feed) -> str:
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
@@ -40,16 +44,30 @@ def stream_observations(t: Feed) -> DataFrame:
         F.expr("event_id DIV 2").alias("id"), F.coalesce(said, "content").alias("text"),
         F.struct(F.concat(F.lit("u"), "user_id").alias("username")).alias("author"),
     )
-    rows.select(F.to_json(payload).alias("value")).write.text(f"{folder}/inbox")
+    # Packed files are not split: a bounded number of rows keeps the job's tasks small.
+    packed = {"compression": "gzip", "maxRecordsPerFile": _INBOX_ROWS}
+    rows.select(F.to_json(payload).alias("value")).write.options(**packed).text(f"{folder}/inbox")
     _drain(jobs.stream_observations(
         t.spark, f"{folder}/inbox", f"{folder}/log", f"{folder}/posts", f"{folder}/checkpoint"
     ))
-    log = t.spark.read.parquet(f"{folder}/log").groupBy("id").agg(
-        F.countDistinct("author_handle").alias("handles"),
-        F.max(F.when(~F.col("content").endswith("..."), F.col("content"))).alias("whole"),
-    )
+    whole = F.when(~F.col("content").endswith("..."), F.col("content"))
+    log = _greatest_texts(t.spark.read.parquet(f"{folder}/log").select("id", "author_handle", whole.alias("whole")))
     merged = jobs.current_posts(t.spark, f"{folder}/posts").select("id", "observations")
-    return merged.join(log, "id").select("id", "observations", "handles", F.md5("whole").alias("full_text"))
+    return merged.join(log, "id").select("id", "observations", "handles", "full_text")
+
+
+def _greatest_texts(log: DataFrame) -> DataFrame:
+    """Number of handles and hash of the greatest text ``whole`` of every id.
+
+    Where the hashes of an id are one, so is its text: only texts of ids with several are compared, and only they move.
+    """
+    mark = F.unhex(F.md5("whole"))
+    seen = materialize(log.groupBy("id").agg(
+        F.countDistinct("author_handle").alias("handles"), F.min(mark).alias("low"), F.max(mark).alias("high")))
+    several = seen.where("low <> high").select("id")
+    chosen = log.join(counted_broadcast(several, several.count()), "id", "left_semi")
+    most = chosen.groupBy("id").agg(F.md5(F.max("whole")).alias("most"))
+    return seen.join(most, "id", "left").select("id", "handles", F.coalesce("most", F.lower(F.hex("low"))).alias("full_text"))
 
 
 @query("V2 R9", """

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidewire.functions.times import quiet_hours
 from tidewire.operators.merge import merge_states
 from tidewire.sources.payloads import normalize_payloads, parse_payloads, quarantined
-from tidewire.streaming.store import BUCKETS, EVERY, PostStates
+from tidewire.streaming.store import BUCKETS, CODEC, EVERY, PostStates
 
 # Layout of a place in the log: batch, then partition, then row.
 _ROW_BITS, _PARTITION_BITS = 22, 14
@@ -48,10 +48,10 @@ def stream_observations(
         rows = parse_payloads(batch, "value").withColumn("seq", _arrival(batch_id)).drop("value")
         observations = normalize_payloads(rows).withColumn("source", F.lit(source))
         target = f"{log}/batch={batch_id}"
-        observations.write.mode("overwrite").parquet(target)
+        observations.write.mode("overwrite").option("compression", CODEC).parquet(target)
         written = spark.read.schema(observations.schema).parquet(target)
         delta = states.write_delta(batch_id, merge_states(written, _LEVELS))
-        states.touched_posts(batch_id, delta).write.mode("overwrite").parquet(f"{posts}/batch={batch_id}")
+        states.touched_posts(batch_id, delta).write.mode("overwrite").option("compression", CODEC).parquet(f"{posts}/batch={batch_id}")
         states.compact(batch_id, delta.schema)
 
     lines = spark.readStream.option("maxFilesPerTrigger", files).text(inbox)

@@ -17,6 +17,8 @@ from tidewire.operators.skew import union_all
 BUCKETS = 64
 # Batches from one base to the next.
 EVERY = 16
+# States and posts hold whole texts.
+CODEC = "zstd"
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,7 @@ class PostStates:
     def write_delta(self, batch: int, states: DataFrame) -> DataFrame:
         """Keep the states of one batch's own rows; they are returned as stored."""
         rows = states.withColumn("bucket", self.bucket(F.col("id")))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(self._delta(batch))
+        rows.write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(self._delta(batch))
         return self.spark.read.schema(rows.schema).parquet(self._delta(batch))
 
     def before(self, batch: int, schema) -> DataFrame | None:
@@ -74,7 +76,8 @@ class PostStates:
         """After every ``every`` batches gather all states into a new base; older parts are left to the folder's owner."""
         if (batch + 1) % self.every == 0:
             rows = self.all_states(batch, schema)
-            rows.withColumn("bucket", self.bucket(F.col("id"))).write.mode("overwrite").partitionBy("bucket").parquet(self._base(batch))
+            rows = rows.withColumn("bucket", self.bucket(F.col("id")))
+            rows.write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(self._base(batch))
 
     def all_states(self, batch: int, schema) -> DataFrame:
         """One state per id after this batch."""
