@@ -112,8 +112,7 @@ def read_quarantine(spark: SparkSession, path: str, whole_files: bool = False) -
 
 
 def _broken(text: Column, closed: bool = False) -> Column:
-    value = closed_json(text) if closed else whole_json(text)
-    return (strip(or_blank(text)) != "") & value.isNull()
+    return closed_json(text).isNull() if closed else (strip(or_blank(text)) != "") & whole_json(text).isNull()
 
 
 def quarantined(raw: DataFrame, column: str) -> DataFrame:
