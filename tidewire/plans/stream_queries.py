@@ -13,6 +13,7 @@ from tidewire.operators.alerts import alert_gate, should_alert
 from tidewire.operators.skew import counted_broadcast, materialize, shared_folder
 from tidewire.plans.catalog import query
 from tidewire.plans.feed_views import Feed
+from tidewire.plans.merge_queries import PACKED
 from tidewire.plans.score_queries import GATE
 from tidewire.streaming import jobs
 from tidewire.streaming.late import late_rows, with_late_rows
@@ -45,8 +46,7 @@ def stream_observations(t: Feed) -> DataFrame:
         F.struct(F.concat(F.lit("u"), "user_id").alias("username")).alias("author"),
     )
     # Packed files are not split: a bounded number of rows keeps the job's tasks small.
-    packed = {"compression": "gzip", "maxRecordsPerFile": _INBOX_ROWS}
-    rows.select(F.to_json(payload).alias("value")).write.options(**packed).text(f"{folder}/inbox")
+    rows.select(F.to_json(payload).alias("value")).write.options(**PACKED, maxRecordsPerFile=_INBOX_ROWS).text(f"{folder}/inbox")
     _drain(jobs.stream_observations(
         t.spark, f"{folder}/inbox", f"{folder}/log", f"{folder}/posts", f"{folder}/checkpoint"
     ))
